@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import line_dedup, quality, url_filter
+from fitloom.llm import line_dedup, pieces, quality, simhash, token_store, url_filter
 from fitloom.llm.common import table
 
 
@@ -17,7 +17,10 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": _over("pages", url_filter.judged),
+        "op3_simhash": _over("documents", simhash.grouped),
         "op6_line_dedup": _over("documents", line_dedup.deduped),
+        "op7_sentencepiece": _over("documents", pieces.encoded),
+        "op9_token_ids": _over("documents", token_store.stored),
         "op10_quality_rules": _over("documents", quality.judged),
     }
 
