@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import line_dedup, pieces, quality, simhash, token_store, url_filter
+from fitloom.llm import line_dedup, pieces, quality, secret_scan, simhash, token_store, toxicity, url_filter
 from fitloom.llm.common import table
 
 
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": _over("pages", url_filter.judged),
         "op3_simhash": _over("documents", simhash.grouped),
+        "op4_secret_scan": _over("documents", secret_scan.scanned),
+        "op5_toxicity": lambda spark, sf_dir: toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op6_line_dedup": _over("documents", line_dedup.deduped),
         "op7_sentencepiece": _over("documents", pieces.encoded),
         "op9_token_ids": _over("documents", token_store.stored),
