@@ -6,7 +6,7 @@ the merge machine of byte-pair models: its states are the last piece, and it let
 texts afresh gives the two pieces back. (A segmentation in which every neighbouring pair does so is the one that the merges give,
 so at most one path has finite weight.) For unigram models B has one state and an arc weighs minus the piece's score. Encoding
 composes N, P and B with the input lazily and takes the path of least weight in the tropical semiring; of equal paths, the one
-whose pieces begin longest.
+whose last pieces are longest.
 
 No piece has U+2581 behind another character, so the lattice falls apart at each such place; chunks are solved alone and
 remembered. Where a model has such pieces, a text is one chunk.
@@ -101,6 +101,8 @@ class Transducer:
         self.split = all(MARK not in t.lstrip(MARK) for t in self.ids)
         self.follows: dict[tuple[int, int], bool] = {}
         self.solved: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, list[int]] = {}
+        self.together = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
 
     def merged(self, text: str) -> list[str]:
         """What the model's merges leave of a short text: the best-scored neighbours first, the leftmost of equals."""
@@ -132,43 +134,85 @@ class Transducer:
             text = " " + text
         return text.replace(" ", MARK) if self.escape else text
 
-    def shortest(self, chunk: str) -> tuple[int, ...]:
+    def arcs(self, chunk: str, at: int) -> list[tuple[int, int]]:
+        """(end, piece) of the ways through P from ``at``, shortest first; -1 for a character that only byte fallback takes."""
+        out, end = [], at
+        node = self.trie
+        while end < len(chunk):
+            node = node.get(chunk[end])
+            if node is None:
+                break
+            end += 1
+            if "" in node:
+                out.append((end, node[""]))
+        return out if out and out[0][0] == at + 1 else [(at + 1, -1), *out]
+
+    def shortest(self, chunk: str) -> list[int]:
         """The ids along the path of least weight through the composition with ``chunk``."""
-        bpe = self.model_type == BPE
-        # Of each position and last piece: (weight, position before, piece before).
-        ways: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(len(chunk) + 1)]
-        ways[0][-1] = (0.0, -1, -1)
-        for at in range(len(chunk)):
-            if not ways[at]:
-                continue
-            if not bpe and len(ways[at]) > 1:  # one state of B: only the best way matters
-                ways[at] = dict([min(ways[at].items(), key=lambda x: x[1][0])])
-            arcs = []
-            node, end = self.trie.get(chunk[at]), at + 1
-            single = node is not None and "" in node
-            while node is not None:
-                if "" in node:
-                    piece = node[""]
-                    arcs.append((end, piece, 1.0 if bpe else -self.scores[piece]))
-                node = node.get(chunk[end]) if end < len(chunk) else None
-                end += 1
-            if not single:
-                arcs.append((at + 1, -1, self.fallback * len(chunk[at].encode("utf-8", "surrogatepass"))))
-            for end, piece, weight in arcs:
-                for last, (so_far, _, _) in ways[at].items():
-                    if self.may_follow(last, piece):
-                        old = ways[end].get(piece)
-                        if old is None or so_far + weight < old[0]:
-                            ways[end][piece] = (so_far + weight, at, last)
-        if not ways[-1]:  # merges of equal score can leave no path of valid pairs: take the merges themselves
-            return tuple(x for p in self.merged(chunk) for x in ([self.ids[p]] if p in self.ids else self.spelled(p)))
+        found = self.only_path(chunk) if self.model_type == BPE else self.best_path(chunk)
         out: list[int] = []
-        at, piece = len(chunk), min(ways[-1], key=lambda p: ways[-1][p][0])
+        for begin, end, piece in found:
+            out += [piece] if piece >= 0 else self.spelled(chunk[begin:end])
+        return out
+
+    def only_path(self, chunk: str) -> list[tuple[int, int, int]]:
+        """With B's arcs: what is reached at a place by valid neighbours is the merges' segmentation of all before it, so a place is one
+        state, and one that leads nowhere need not be reached again. States are made as the search, longest arcs first, gets to them."""
+        stack: list[tuple[int, int, int, list[tuple[int, int]]]] = []
+        dead: set[int] = set()
+        at, last, n = 0, -1, len(chunk)
+        arcs = self.arcs(chunk, 0)
+        while at < n:
+            while arcs:
+                end, piece = arcs.pop()
+                if end not in dead and self.may_follow(last, piece):
+                    stack.append((at, end, last, arcs))
+                    at, last, arcs = end, piece, self.arcs(chunk, end) if end < n else []
+                    break
+            else:
+                dead.add(at)
+                if not stack:  # merges of equal score can leave no path: take what the merges leave
+                    out, at = [], 0
+                    for text in self.merged(chunk):
+                        out.append((at, at + len(text), self.ids.get(text, -1)))
+                        at += len(text)
+                    return out
+                at, _, last, arcs = stack.pop()
+        pieces = [s[2] for s in stack[1:]] + [last]
+        return [(s[0], s[1], piece) for s, piece in zip(stack, pieces)]
+
+    def best_path(self, chunk: str) -> list[tuple[int, int, int]]:
+        """With B's single state: the least weight to each place, from the front."""
+        ways: list[tuple[float, int, int]] = [(0.0, 0, -1)] + [(float("inf"), 0, -1)] * len(chunk)
+        for at in range(len(chunk)):
+            for end, piece in reversed(self.arcs(chunk, at)):
+                weight = ways[at][0] + (-self.scores[piece] if piece >= 0 else self.fallback * len(chunk[at].encode("utf-8", "surrogatepass")))
+                if weight < ways[end][0]:
+                    ways[end] = (weight, at, piece)
+        out, at = [], len(chunk)
         while at:
-            _, before, last = ways[at][piece]
-            out += [piece] if piece >= 0 else self.spelled(chunk[before:at])[::-1]
-            at, piece = before, last
-        return tuple(out[::-1])
+            _, before, piece = ways[at]
+            out.append((before, at, piece))
+            at = before
+        return out[::-1]
+
+    def solve(self, chunk: str) -> tuple[int, ...]:
+        """A chunk falls apart between characters that stand together in no piece; the parts are remembered, too."""
+        out: list[int] = []
+        begin = 0
+        for at in range(1, len(chunk) + 1):
+            if at == len(chunk) or chunk[at - 1 : at + 1] not in self.together:
+                part = chunk[begin:at]
+                ids = self.parts.get(part)
+                if ids is None:
+                    if len(self.parts) >= REMEMBERED:
+                        self.parts.clear()
+                    ids = self.shortest(part)
+                    if len(part) <= 64:
+                        self.parts[part] = ids
+                out += ids
+                begin = at
+        return tuple(out)
 
     def spelled(self, text: str) -> list[int]:
         return [self.bytes.get(b, self.unknown) for b in text.encode("utf-8", "surrogatepass")]
@@ -182,7 +226,7 @@ class Transducer:
             if ids is None:
                 if len(solved) >= REMEMBERED:
                     solved.clear()
-                ids = self.shortest(chunk)
+                ids = self.solve(chunk)
                 if len(chunk) <= 64:
                     solved[chunk] = ids
             out += ids
