@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import line_dedup, pieces, quality, secret_scan, simhash, token_store, toxicity, url_filter
+from fitloom.llm import decontaminate, line_dedup, pieces, quality, secret_scan, simhash, suffix_dedup, token_store, toxicity, url_filter
 from fitloom.llm.common import table
 
 
@@ -17,11 +17,13 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spark
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": _over("pages", url_filter.judged),
+        "op2_suffix_dedup": _over("documents", suffix_dedup.deduped),
         "op3_simhash": _over("documents", simhash.grouped),
         "op4_secret_scan": _over("documents", secret_scan.scanned),
         "op5_toxicity": lambda spark, sf_dir: toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op6_line_dedup": _over("documents", line_dedup.deduped),
         "op7_sentencepiece": _over("documents", pieces.encoded),
+        "op8_decontaminate": lambda spark, sf_dir: decontaminate.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op9_token_ids": _over("documents", token_store.stored),
         "op10_quality_rules": _over("documents", quality.judged),
     }
