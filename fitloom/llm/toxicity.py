@@ -27,8 +27,8 @@ FOLDS = 5
 
 @dataclass(frozen=True)
 class Settings:
-    most_positive: int = 4_000
-    most_unlabelled: int = 8_000
+    most_positive: int = 3_000
+    most_unlabelled: int = 6_000
     features: int = 1_500
     hash_bits: int = 24
     beginnings: tuple[int, ...] = (4, 5, 6, 7)
@@ -92,33 +92,47 @@ def nnpu_gradient(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarr
     return g
 
 
-def fit(rows: list[tuple[bool, dict[int, int]]], prior: float, settings: Settings = SETTINGS) -> Model:
-    """From (confirmed toxic, feature counts) rows; rows that aren't confirmed are the unlabelled ones."""
-    positive = np.array([p for p, _ in rows], bool)
+@dataclass
+class Sample:
+    """Feature counts of documents, one after the other: ``sizes[i]`` entries of ``features`` and ``counts`` for row i."""
+
+    positive: np.ndarray
+    sizes: np.ndarray
+    features: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[bool, dict[int, int]]]) -> Sample:
+        flat = [x for _, c in rows for x in c.items()]
+        return cls(np.array([p for p, _ in rows], bool), np.array([len(c) for _, c in rows], np.int64), np.array([f for f, _ in flat], np.int32), np.array([n for _, n in flat], np.int32))
+
+
+def fit(sample: Sample, prior: float, settings: Settings = SETTINGS) -> Model:
+    """Rows that aren't confirmed toxic are the unlabelled ones."""
+    positive = sample.positive
     if not positive.any():
         return Model(settings, {}, 0.0)
-    shares = [dict(), dict()]
-    for p, counts in rows:
-        side = shares[p]
-        for f in counts:
-            side[f] = side.get(f, 0) + 1
+    row = np.repeat(np.arange(len(positive)), sample.sizes)
     n_p, n_u = positive.sum(), max(1, (~positive).sum())
-    lift = {f: c / n_p - shares[0].get(f, 0) / n_u for f, c in shares[1].items() if c >= 3}
-    chosen = sorted(lift, key=lambda f: (-lift[f] / np.sqrt((shares[1][f] + shares[0].get(f, 0)) / (n_p + n_u)), f))[: settings.features]
-    column = {f: j for j, f in enumerate(chosen)}
-    x = np.zeros((len(rows), len(chosen) + 1), np.float32)
+    names, seen = np.unique(sample.features[positive[row]], return_counts=True)
+    names, seen = names[seen >= 3], seen[seen >= 3]
+    others, times = np.unique(sample.features[~positive[row]], return_counts=True)
+    at = np.minimum(np.searchsorted(others, names), max(0, len(others) - 1))
+    usual = np.where(others[at] == names, times[at], 0) if len(others) else np.zeros(len(names))
+    lift = (seen / n_p - usual / n_u) / np.sqrt((seen + usual) / (n_p + n_u))
+    chosen = np.sort(names[np.lexsort((names, -lift))][: settings.features])
+    x = np.zeros((len(positive), len(chosen) + 1), np.float32)
     x[:, -1] = 1
-    for i, (_, counts) in enumerate(rows):
-        for f, c in counts.items():
-            if f in column:
-                x[i, column[f]] = np.log1p(c)
+    column = np.minimum(np.searchsorted(chosen, sample.features), max(0, len(chosen) - 1))
+    use = chosen[column] == sample.features if len(chosen) else np.zeros(len(column), bool)
+    x[row[use], column[use]] = np.log1p(sample.counts[use])
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     w[-1] = np.log(prior / (1 - prior))
     for t in range(1, settings.steps + 1):
         g = x.T @ nnpu_gradient(x @ w.astype(np.float32), positive, prior).astype(np.float32) + settings.decay * np.r_[w[:-1], 0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= settings.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(settings, {f: float(w[j]) for f, j in column.items()}, float(w[-1]))
+    return Model(settings, dict(zip(chosen.tolist(), w[:-1].tolist())), float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> Model:
@@ -133,14 +147,15 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) ->
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, tuple[int, ...]] = {}
         for batch in batches:
-            counts = [counted(t.as_py() or "", words, settings) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("confirmed"), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["confirmed", "f", "c"])
+            for key, confirmed, text in zip(batch.column("doc_id"), batch.column("confirmed"), batch.column("text")):
+                counts = counted(text.as_py() or "", words, settings)
+                yield pa.RecordBatch.from_arrays([pa.array([str(key)]), pa.array([confirmed.as_py()]), pa.array([np.fromiter(counts, "<i4").tobytes()]), pa.array([np.fromiter(counts.values(), "<i4").tobytes()])], ["id", "confirmed", "f", "c"])
 
     # The sample has at most most_positive + most_unlabelled rows.
-    read = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("confirmed", "text").mapInArrow(features, "confirmed boolean, f array<int>, c array<int>")
-    rows = [(r["confirmed"], dict(zip(r["f"], r["c"]))) for r in read.toLocalIterator()]
-    rows.sort(key=lambda r: (r[0], sorted(r[1].items())))
-    return fit(rows, prior, settings)
+    read = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "confirmed", "text").mapInArrow(features, "id string, confirmed boolean, f binary, c binary")
+    rows = sorted(((r["id"], r["confirmed"], r["f"], r["c"]) for r in read.toLocalIterator()), key=lambda r: r[:3])
+    flat = lambda i: np.frombuffer(b"".join(r[i] for r in rows), "<i4")
+    return fit(Sample(np.array([r[1] for r in rows], bool), np.array([len(r[2]) // 4 for r in rows], np.int64), flat(2), flat(3)), prior, settings)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
