@@ -10,6 +10,8 @@ rows and null ids come through as they are. Extra columns are not looked at.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,17 +46,18 @@ RULES = LineRules()
 
 
 def line_fails(line: Column, rules: LineRules = RULES) -> Column:
-    """Whether a line goes. Each count is one pass of the regular-expression engine over the line."""
+    """Whether a line goes. Each count is one pass over the line, so the rarer condition of a rule stands first."""
     n = F.regexp_count(line, F.lit(WORD + "+"))
-    dense = F.regexp_count(line, F.lit(WORD))
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
     marks = F.regexp_count(line, F.lit(NAVIGATION))
+    letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
+    furniture = let(F.lower(line), lambda low: reduce(or_, (low.contains(x) for x in rules.boilerplate), F.lit(False)))
     return (
-        (symbols > dense * F.lit(rules.symbol_share))
+        ((symbols > 0) & (symbols > F.regexp_count(line, F.lit(WORD)) * F.lit(rules.symbol_share)))
         | ((marks >= rules.fields) & (n <= (marks + 1) * rules.words_a_field))
-        | ((n >= rules.shouted_words) & (F.regexp_count(line, F.lit(r"\p{Lu}")) > F.regexp_count(line, F.lit(r"\p{L}")) * F.lit(rules.shouted_share)))
-        | ((n >= rules.unclosed_words) & ~line.rlike(CLOSING))
-        | line.rlike("(?i)" + "|".join(rules.boilerplate))
+        | ((F.regexp_count(line, F.lit(r"\p{Lu}")) > letters * F.lit(rules.shouted_share)) & (n >= rules.shouted_words))
+        | (~line.rlike(CLOSING) & (n >= rules.unclosed_words))
+        | furniture
     )
 
 
@@ -65,7 +68,7 @@ def worded_lines(text: Column) -> Column:
 def repeated_words(w: Column) -> Column:
     """Words inside three-word windows that occur twice or more in ``w``.
 
-    Windows are sorted as 34 bits of hash and 30 bits of position in one long; only windows whose hash has a neighbour like it are
+    Without two hashes alike there are none. Else windows are sorted as 34 bits of hash and 30 bits of position in one long; only windows whose hash has a neighbour like it are
     built as text and compared exactly.
     """
     low = (1 << 30) - 1
@@ -74,8 +77,13 @@ def repeated_words(w: Column) -> Column:
     def alike(s: Column, part) -> Column:
         return F.filter(s, lambda x, j: F.coalesce(part(x) == part(F.get(s, j + 1)), F.lit(False)) | F.coalesce((j > 0) & (part(x) == part(F.get(s, j - 1))), F.lit(False)))
 
-    hashed = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), 30).bitwiseOR(i.cast("bigint")))).otherwise(none)
-    suspects = let(F.sort_array(hashed), lambda s: alike(s, lambda x: F.shiftright(x, 30)))
+    def suspected(h: Column) -> Column:
+        placed = F.transform(h, lambda x, i: F.shiftleft(x, 30).bitwiseOR(i.cast("bigint")))
+        found = let(F.sort_array(placed), lambda s: alike(s, lambda x: F.shiftright(x, 30)))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(found)
+
+    hashed = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(none)
+    suspects = let(hashed, suspected)
 
     def window(x: Column) -> Column:
         return let(x.bitwiseAND(F.lit(low)).cast("int"), lambda p: F.struct(F.concat_ws(" ", F.get(w, p), F.get(w, p + 1), F.get(w, p + 2)).alias("g"), p.alias("p")))
