@@ -25,8 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import let, text_key, words, written
-from fitloom.llm.quality import fresh
+from fitloom.llm.common import fresh, let, text_key, words, written
 
 SHINGLE = 5
 SIMILARITY = 0.8

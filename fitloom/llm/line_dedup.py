@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import WORD, let, text_key
-from fitloom.llm.quality import fresh
+from fitloom.llm.common import WORD, fresh, let, text_key
 
 WINDOW = 3
 

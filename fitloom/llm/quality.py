@@ -16,7 +16,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import SPACE, WORD, let, words
+from fitloom.llm.common import WORD, fresh, let, words
 
 # Phrases of page furniture and notices.
 BOILERPLATE = (
@@ -129,14 +129,6 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: LineRules = RULES)
     ).drop(raw)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, made longer until no column of ``df`` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

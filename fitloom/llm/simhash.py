@@ -1,9 +1,6 @@
 """Operator 3: near-duplicates by SimHash, with pigeonring filtering.
 
-Fingerprints of 64 bits that differ in at most 4 are linked. The ring of six segments has this property for each such pair: from
-some segment on, every chain of l consecutive segments differs in at most floor(4 l / 6) bits: 0, 1, 2, 2, 3, 4. The first two
-chain lengths make the key: a segment that is equal and its successor with at most one bit changed; longer chains prune the pairs
-that meet under a key, and the whole ring is the Hamming test.
+Fingerprints of 64 bits that differ in at most 4 are linked; ``Ring`` finds them.
 
 Only distinct fingerprints are compared, and each group of a key gives at most as many edges as it has members (a forest of what is
 linked in it), so large groups of copies stay linear in what is sent on. Components are found by rounds of joins.
@@ -19,17 +16,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import partitions, written
+from fitloom.llm.common import fresh, partitions, text_key, written
 from fitloom.llm.components import components
 
-RADIUS = 4
-WIDTHS = (11, 11, 11, 11, 10, 10)
-SHIFTS = tuple(int(x) for x in np.cumsum((0,) + WIDTHS[:-1]))
-PARTS = len(WIDTHS)
-BUDGETS = tuple(RADIUS * (n + 1) // PARTS for n in range(PARTS))
 #: Groups of a key above this many members are searched breadth first, smaller ones pair by pair, all groups of a batch at once.
 LARGE = 512
 #: Pairs looked at in one numpy step.
@@ -74,34 +67,55 @@ def fingerprints(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(of, f"{kinds}, fp long")
 
 
-def ring_mask(first: int, length: int) -> int:
-    out = 0
-    for k in range(length):
-        i = (first + k) % PARTS
-        out |= ((1 << WIDTHS[i]) - 1) << SHIFTS[i]
-    return out
-
-
-def ring_keys(fps: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
-    """For each segment the key with nothing changed (True), then those with one bit of the next segment changed."""
-    one = np.uint64(1)
-    for i in range(PARTS):
-        j = (i + 1) % PARTS
-        a = (fps >> np.uint64(SHIFTS[i])) & np.uint64((1 << WIDTHS[i]) - 1)
-        b = (fps >> np.uint64(SHIFTS[j])) & np.uint64((1 << WIDTHS[j]) - 1)
-        key = (np.uint64(i) << np.uint64(32)) | (a << np.uint64(WIDTHS[j])) | b
-        yield key, True
-        for bit in range(WIDTHS[j]):
-            yield key ^ (one << np.uint64(bit)), False
-
-
-def linked(x: np.ndarray, first: np.ndarray | int) -> np.ndarray:
-    """Whether the differences ``x`` keep to the budgets of all chains that begin at segment ``first``."""
-    masks = np.array([[ring_mask(i, n + 1) for n in range(PARTS)] for i in range(PARTS)], np.uint64)
-    ok = np.ones(len(x), bool)
-    for n, most in enumerate(BUDGETS):
-        ok &= np.bitwise_count(x & masks[first, n]) <= most
-    return ok
+class Ring:
+    """Pigeonring filtering of 64-bit fingerprints within ``radius``.
+
+    The bits are a ring of segments. Of two fingerprints within the radius, from some segment on every chain of n consecutive segments
+    differs in at most floor(radius n / segments) bits. The first ``keyed`` segments of such a chain make an equi-join key (where a
+    budget allows a bit in the second one, one side sends each such change); longer chains prune what meets under a key.
+    """
+
+    def __init__(self, radius: int, widths: tuple[int, ...], keyed: int):
+        self.radius, self.widths, self.parts = radius, widths, len(widths)
+        self.shifts = [sum(widths[:i]) for i in range(self.parts)]
+        self.budgets = [radius * (n + 1) // self.parts for n in range(self.parts)]
+        if sum(widths) != 64 or self.budgets[0] or keyed not in (1, 2) or keyed == 2 and self.budgets[1] != 1:
+            raise ValueError("keys need an equal first segment and at most one bit in a second one")
+        self.keyed = keyed
+        self.low = max(w + (widths[(i + 1) % self.parts] if keyed == 2 else 0) for i, w in enumerate(widths))
+        self.masks = np.array([[self.mask(i, n + 1) for n in range(self.parts)] for i in range(self.parts)], np.uint64)
+
+    def mask(self, first: int, length: int) -> int:
+        return sum(((1 << self.widths[i]) - 1) << self.shifts[i] for i in ((first + k) % self.parts for k in range(length)))
+
+    def segment(self, fps: np.ndarray, i: int) -> np.ndarray:
+        return (fps >> np.uint64(self.shifts[i])) & np.uint64((1 << self.widths[i]) - 1)
+
+    def keys(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+        """For each segment the key as it is (True), then those with one bit of the second keyed segment changed. Keys have ``low`` + 3 bits."""
+        for i in range(self.parts):
+            key = self.segment(fps, i)
+            j = (i + 1) % self.parts
+            if self.keyed == 2:
+                key = (key << np.uint64(self.widths[j])) | self.segment(fps, j)
+            key |= np.uint64(i << self.low)
+            yield key, True
+            for bit in range(self.widths[j] if self.keyed == 2 else 0):
+                yield key ^ np.uint64(1 << bit), False
+
+    def linked(self, x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Whether the differences ``x`` of pairs that meet under ``keys`` keep to the budgets of all chains from there."""
+        first = ((keys >> np.uint64(self.low)) & np.uint64(7)).astype(np.int64)
+        ok = np.ones(len(x), bool)
+        for n, most in enumerate(self.budgets):
+            ok &= np.bitwise_count(x & self.masks[first, n]) <= most
+        return ok
+
+
+#: Whole fingerprints: four bits; each key has 20 to 22 bits.
+WHOLE = Ring(4, (11, 11, 11, 11, 10, 10), 2)
+#: Fingerprints of one class of shingles: two bits; each key has 21 or 22 bits.
+CLASS = Ring(2, (22, 21, 21), 1)
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +139,14 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def search(group: np.ndarray) -> tuple[list[int], list[int]]:
-    """Edges of a forest over a large group: breadth first, each found member against those not yet found."""
-    u, v, left = [], [], group
+def search(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """Edges of a forest over distinct fingerprints: breadth first, each found one against those not yet found."""
+    u, v, left = [], [], fps
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(left ^ at) <= RADIUS
+            near = np.bitwise_count(left ^ at) <= radius
             if near.any():
                 found = left[near]
                 left = left[~near]
@@ -142,16 +156,20 @@ def search(group: np.ndarray) -> tuple[list[int], list[int]]:
     return u, v
 
 
-def pair_up(keys: np.ndarray, fps: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges among rows that share a key; ``keys`` is sorted and holds whole groups."""
+def pair_up(ring: Ring, keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the nodes of rows that share a key; ``keys`` is sorted and holds whole groups."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.array([], np.int64)
     sizes = np.diff(np.r_[starts, len(keys)])
     whole = np.add.reduceat(plain.astype(np.int64), starts) if len(starts) else sizes
     us, vs = [], []
     for s, n in zip(starts[(whole > 0) & (sizes > LARGE)], sizes[(whole > 0) & (sizes > LARGE)]):
-        u, v = search(np.unique(fps[s : s + n]))
-        us.append(np.array(u, np.uint64))
-        vs.append(np.array(v, np.uint64))
+        some, at, which = np.unique(fps[s : s + n], return_index=True, return_inverse=True)
+        first = nodes[s : s + n][at]
+        us += [nodes[s : s + n]]  # alike in fingerprint
+        vs += [first[which]]
+        u, v = search(some, ring.radius)
+        us += [first[np.searchsorted(some, np.array(u, np.uint64))]]
+        vs += [first[np.searchsorted(some, np.array(v, np.uint64))]]
     use = (whole > 0) & (sizes > 1) & (sizes <= LARGE)
     starts, sizes = starts[use], sizes[use]
     # Each unchanged row against every row of its group.
@@ -166,68 +184,133 @@ def pair_up(keys: np.ndarray, fps: np.ndarray, plain: np.ndarray) -> tuple[np.nd
         n = sizes[of[at:end]]
         a = np.repeat(left[at:end], n)
         b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[of[at:end]], n)
-        x = fps[a] ^ fps[b]
-        some = (fps[a] != fps[b]) & (~plain[b] | (fps[a] < fps[b]))
-        a, b, x = a[some], b[some], x[some]
-        ok = linked(x, (keys[a] >> np.uint64(32)).astype(np.int64))
-        us.append(fps[a[ok]])
-        vs.append(fps[b[ok]])
+        some = (nodes[a] != nodes[b]) & (~plain[b] | (nodes[a] < nodes[b]))
+        a, b = a[some], b[some]
+        ok = ring.linked(fps[a] ^ fps[b], keys[a])
+        us.append(nodes[a[ok]])
+        vs.append(nodes[b[ok]])
         at = end
     empty = np.array([], np.uint64)
     u, v = np.concatenate(us or [empty]), np.concatenate(vs or [empty])
     return forest(u, v) if len(u) else (u, v)
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Edges (u, v) that keep together all linked fingerprints of the distinct ``fp``."""
+def links(prints: DataFrame, ring: Ring) -> DataFrame:
+    """Edges (u, v) that keep together all nodes with linked fingerprints. ``prints``: node, and ``fps``, pairs of (scope, fingerprint) as
+    bytes; only fingerprints of one scope (of 25 bits) are compared."""
+    shift = np.uint64(ring.low + 3)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            for key, plain in ring_keys(fps):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("fp"), pa.array(np.full(len(fps), plain))], ["k", "fp", "plain"])
+            for part in range(0, batch.num_rows, 1024):
+                rows = batch.slice(part, 1024)
+                data = rows.column("fps").to_pylist()
+                flat = np.frombuffer(b"".join(data), np.uint64).reshape(-1, 2)
+                nodes = pa.array(np.repeat(rows.column("node").to_numpy(), [len(d) // 16 for d in data]))
+                fps = np.ascontiguousarray(flat[:, 1])
+                for key, plain in ring.keys(fps):
+                    key = key | (flat[:, 0] << shift)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps.view(np.int64)), nodes, pa.array(np.full(len(fps), plain))], ["k", "fp", "node", "plain"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def out(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            u, v = pair_up(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+        def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            u, v = pair_up(ring, *(np.concatenate([p[i] for p in parts]) for i in range(4)))
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         for batch in batches:
-            k, fp, plain = batch.column("k").to_numpy().view(np.uint64), batch.column("fp").to_numpy().view(np.uint64), batch.column("plain").to_numpy(zero_copy_only=False)
+            k, fp, node = (batch.column(c).to_numpy().view(np.uint64) for c in ("k", "fp", "node"))
+            plain = batch.column("plain").to_numpy(zero_copy_only=False)
             if not len(k):
                 continue
             # The last group of a batch may go on in the next one.
-            cut = int(np.searchsorted(k, k[-1]))
+            cut = int(np.flatnonzero(np.r_[True, k[1:] != k[:-1]])[-1])
             if cut:
-                yield out([*held, (k[:cut], fp[:cut], plain[:cut])])
+                yield out([*held, (k[:cut], fp[:cut], node[:cut], plain[:cut])])
                 held = []
             elif held and held[-1][0][-1] != k[0]:
                 yield out(held)
                 held = []
-            held.append((k[cut:], fp[cut:], plain[cut:]))
+            held.append((k[cut:], fp[cut:], node[cut:], plain[cut:]))
         if held:
             yield out(held)
 
-    rows = prints.mapInArrow(spread, "k long, fp long, plain boolean")
+    rows = prints.select("node", "fps").mapInArrow(spread, "k long, fp long, node long, plain boolean")
     return rows.repartition(partitions(prints.sparkSession), "k").sortWithinPartitions("k").mapInArrow(meet, "u long, v long")
 
 
-def near_groups(docs: DataFrame, shingle: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``fp``, roots): the fingerprint of every row, and the root fingerprint ``root`` of each distinct ``fp``."""
-    rows = written(fingerprints(docs, shingle, list(keep)), "prints")
-    distinct = rows.select("fp").distinct()
-    found = components(links(distinct))
-    roots = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    return rows, roots
+def rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) of every node."""
+    found = components(edges)
+    return nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def grouped(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """The query's columns: doc_id, fingerprint, component_id."""
-    rows, roots = near_groups(docs.select("doc_id", "text"), shingle)
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    of_print = first.join(roots, "fp")
+    rows = written(fingerprints(docs.select("doc_id", "text"), shingle, ["doc_id"]), "prints")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    scope = F.lit(bytes(8))
+    pairs = distinct.select(F.col("fp").alias("node"), F.concat(scope, little_endian(F.col("fp"))).alias("fps"))
+    of_print = distinct.join(rooted(distinct.select(F.col("fp").alias("node")), links(pairs, WHOLE)), F.col("fp") == F.col("node"))
     least = of_print.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = written(of_print.join(least, "root").select("fp", "component_id"), "roots")
     return rows.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def little_endian(x: Column) -> Column:
+    return F.unhex(F.concat(*(F.substring(F.lpad(F.hex(x), 16, "0"), 2 * k + 1, 2) for k in reversed(range(8)))))
+
+
+#: Shingles that a class of the stage's fingerprints has at least, on the average; a class of fewer than the other is left out.
+CLASS_SHINGLES, LEAST_SHINGLES = 12, 4
+#: Sizes of two near copies differ by this factor at most (a similarity of 0.8).
+SIZE_RATIO = 1.25
+
+
+def class_prints(hashes: list[int]) -> bytes:
+    """(scope, fingerprint) pairs: shingles are dealt by their hash to 2**level classes of at least 12 on the average, and each class has a
+    fingerprint. A copy with changes here and there leaves some class nearly as it was. A document whose near copy may be large enough
+    for one level more has that one, too."""
+    n = len(hashes)
+    level = lambda m: int(np.log2(max(1.0, m / CLASS_SHINGLES)))
+    all_ = np.array(hashes, np.uint64)
+    out = []
+    for at in {level(n), level(n * SIZE_RATIO)}:
+        of = (all_ >> np.uint64(40)) & np.uint64((1 << at) - 1)
+        order = np.argsort(of, kind="stable")
+        classes, begins = np.unique(of[order], return_index=True)
+        for c, a, b in zip(classes.tolist(), begins, np.r_[begins[1:], n]):
+            if at == 0 or b - a >= LEAST_SHINGLES:
+                out.append(((at << 20 | c & 0xFFFFF) & 0x1FFFFFF, simhash(all_[order[a:b]].tolist())))
+    return np.array(out or [(0, 0)], np.uint64).tobytes()
+
+
+def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(id, key, root) of every row of ``docs`` (id, key, text): texts of one root are near copies of each other, or linked by such.
+
+    Nodes are texts, by their key. Texts are linked if a fingerprint of one of their classes of shingles differs in at most two bits.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [class_prints(shingle_hashes(t.as_py() or b"", shingle)) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(fps, pa.binary())], ["id", "key", "fps"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    rows = written(docs.select("id", "key", "text").mapInArrow(of, f"id {kind}, key long, fps binary"), "prints")
+    nodes = rows.groupBy(F.col("key").alias("node")).agg(F.first("fps").alias("fps"))
+    roots = written(rooted(nodes.select("node"), links(nodes, CLASS)), "roots")
+    return rows.select("id", "key").join(roots, F.col("key") == F.col("node")).select("id", "key", "root")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the least id (a null id comes last)."""
+    key, nth = fresh(docs, "near_key_"), fresh(docs, "near_nth_")
+    rows = docs.withColumn(key, text_key(F.col(f"`{text}`")))
+    found = near_copies(rows.select(F.col(f"`{doc_id}`").alias("id"), F.col(key).alias("key"), F.col(f"`{text}`").alias("text")), shingle)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("k")).select(F.col("k.id").alias("keep_id_"), F.col("k.key").alias("keep_key_"))
+    out = rows.join(kept, rows[doc_id].eqNullSafe(F.col("keep_id_")) & (F.col(key) == F.col("keep_key_")), "left_semi")
+    # Rows alike in id and text: one stays.
+    numbered = out.withColumn(nth, F.row_number().over(W.partitionBy(f"`{doc_id}`", key).orderBy(key)))
+    return numbered.filter(F.col(nth) == 1).select(*docs.columns)
