@@ -17,10 +17,14 @@ text; both parts make the key. Extra columns are not looked at.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -159,44 +163,100 @@ def build_index(ids: np.ndarray, nth: np.ndarray, nulls: np.ndarray, lengths: np
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space: what stands between white space is encoded alone and remembered."""
+    """Ids of texts by a tokenizer that drops white space: what stands between white space is encoded alone and remembered.
+
+    A text of letters of ASCII and Latin-1 and ASCII punctuation needs no more of the library than its merges: such letters are normal
+    as they are, and runs of letters and of punctuation are tokens apart. Pieces of other texts go through the whole library.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, int] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.simple = (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+        self.known: dict[str, int] = {}
         self.reset()
 
     def reset(self) -> None:
         self.known.clear()
         self.flat, self.begin, self.size = np.array([], np.uint32), np.array([], np.int64), np.array([], np.int64)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, text: str) -> list[str]:
+        """What to encode alone: runs of letters and of punctuation in lower case, or what stands between ASCII white space."""
+        if self.simple and SIMPLE.fullmatch(text) and not any(x in text for x in self.special):
+            return MARKS.sub(r" \g<0> ", text.lower()).split()
+        return [w.decode() for w in text.encode().split()]
+
+    def ids(self, piece: str) -> list[int]:
+        if self.simple and RUN.fullmatch(piece):
+            return [t.id for t in self.merge(piece if piece.isascii() else "".join(BYTE_LETTERS[b] for b in piece.encode()))]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id behind each, length of each)."""
         if len(self.known) > REMEMBERED:
             self.reset()
-        words = [t.split() for t in texts]  # at ASCII white space, where no token reaches across
-        every = [w for ws in words for w in ws]
+        words = [self.pieces(t) for t in texts]
+        every = list(chain.from_iterable(words))
         known = self.known
-        new = [w for w in dict.fromkeys(every) if w not in known]
-        if new:
-            ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+        at = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
             base = len(known)
+            new = list(dict.fromkeys(map(every.__getitem__, missing)))
             known.update(zip(new, range(base, base + len(new))))
+            ids = list(map(self.ids, new))
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.begin = np.r_[self.begin, len(self.flat) + np.cumsum(sizes) - sizes]
             self.size = np.r_[self.size, sizes]
-            self.flat = np.concatenate([self.flat, *ids])
-        at = np.fromiter(map(known.__getitem__, every), np.int64, len(every))
+            self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))]
+            at[missing] = [known[every[i]] for i in missing]
         sizes = self.size[at]
         ends = np.cumsum(sizes)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        bounds = np.cumsum(counts)
+        bounds = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         upto = np.r_[0, ends][bounds]
-        lengths = np.diff(np.r_[0, upto])
         flat = self.flat[np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        return np.insert(flat, upto, END_ID), lengths + 1
+        return np.insert(flat, upto, END_ID), np.diff(np.r_[0, upto]) + 1
+
+
+# The tokenizer's own rules under which a simple chunk may be cut without them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Letters, ASCII punctuation other than the apostrophe, and white space; runs of either of the first two.
+SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~ \t-\r]*")
+MARKS = re.compile(r"[!-&(-/:-@\[-`{-~]+")
+RUN = re.compile(r"[a-zß-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+")
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones of Latin-1 for themselves, the rest from U+0100 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
+BYTE_LETTERS = byte_letters()
+
+
+_loaded: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of ``path``, loaded once in a worker with what it remembers."""
+    if path not in _loaded:
+        _loaded[path] = WordTokenizer(path)
+    return _loaded[path]
 
 
 def default_tokenizer() -> str:
@@ -213,18 +273,18 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     files.create_dir(at)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(path)
+        words = word_tokenizer(path)
         width = 2 if words.tokenizer.get_vocab_size() <= 1 << 16 else 4
         files, at = open_fs(folder)
         task = TaskContext.get()
         name, attempt = f"{task.partitionId():05d}", f".{task.taskAttemptId()}-{uuid.uuid4().hex}"
         ids, nulls, lengths, out = [], [], [], None
         for batch in batches:
-            for part in range(0, batch.num_rows, 1024):
-                rows = batch.slice(part, 1024)
+            for part in range(0, batch.num_rows, 512):
+                rows = batch.slice(part, 512)
                 if out is None:
                     out = files.open_output_stream(f"{at}/{attempt}.bin")
-                flat, sizes = words.encode([t or b"" for t in rows.column("t").cast(pa.binary()).to_pylist()])
+                flat, sizes = words.encode([t or "" for t in rows.column("t").to_pylist()])
                 out.write(flat.astype(f"<u{width}").tobytes())
                 ids.append(rows.column("k").fill_null(0).to_numpy())
                 nulls.append(rows.column("k").is_null().to_numpy(zero_copy_only=False))
