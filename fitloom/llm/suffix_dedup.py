@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,9 @@ class Cover:
             raise ValueError("the cover is too wide for this length")
         self.places = np.array([], np.int64)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"places": self.places[:0]}
+
     def upto(self, last: int) -> np.ndarray:
         """Sample places from 0 to ``last``."""
         if last < 0:
@@ -114,6 +118,12 @@ class Hasher:
         return out ^ (out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+@cache
+def hasher(seed: int, most: int) -> Hasher:
+    """Its tables are large; each worker makes its own."""
+    return Hasher(seed, most)
+
+
 def within(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The places below n that one of the intervals [begin, end) covers."""
     steps = np.zeros(n + 1, np.int32)
@@ -128,11 +138,12 @@ class Rounds:
     def __init__(self, length: int = LENGTH, coarse: int = 17, fine: int = 7, wide: bool = False):
         self.length, self.wide = length, wide
         self.coarse, self.fine = Cover(coarse, length), Cover(fine, length)
-        self.hashers = [Hasher(seed, self.fine.span) for seed in range(1 + wide)]
+        self.words = 1 + wide
 
     def keys(self, data: np.ndarray, at: np.ndarray, length: int, tag: int, width: int) -> np.ndarray:
         """A row of ``width`` words a place."""
-        return np.stack([h.windows(data, at, length) ^ np.uint64(tag * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for h in self.hashers[:width]], axis=1)
+        tag_ = np.uint64(tag * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        return np.stack([hasher(seed, self.fine.span).windows(data, at, length) ^ tag_ for seed in range(width)], axis=1)
 
     def suspects(self, n: int, bits: bytes) -> np.ndarray:
         """Starts that round 1 leaves."""
@@ -156,7 +167,7 @@ class Rounds:
 
     def ask(self, data: np.ndarray, bits: list[bytes], alone: int) -> np.ndarray:
         """The keys of the next round; ``alone`` is a number of this document's own."""
-        n, words = len(data), len(self.hashers)
+        n, words = len(data), self.words
         if not bits:
             return self.keys(data, self.coarse.upto(n - self.coarse.core), self.coarse.core, 1, 1)
         if len(bits) == 1:
@@ -259,7 +270,7 @@ def one_round(texts: DataFrame, rounds: Rounds, number: int, total: int, width:
         now, held = None, []
 
         def done() -> pa.RecordBatch:
-            step = keep + 8 * (len(rounds.hashers) - 1) * (number > 0)
+            step = keep + 8 * (rounds.words - 1) * (number > 0)
             sizes = [len(d) // (step + 4) for _, d in held]
             data = np.concatenate([np.frombuffer(d, np.uint8, n * step).reshape(n, step) for n, (_, d) in zip(sizes, held)])
             times = np.concatenate([np.frombuffer(d, "<u4", n, n * step) for n, (_, d) in zip(sizes, held)])
