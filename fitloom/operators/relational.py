@@ -49,7 +49,7 @@ def on_spine(df: DataFrame, spine: DataFrame, key: str, fill: dict[str, object]
     for c, v in (fill or {}).items():
         out = out.withColumn(c, F.when(F.col("there_").isNull(), F.lit(v)).otherwise(F.col(c)))
     check = strange.agg(F.count("x_").alias("x_"))  # one row, or the error
-    return out.drop("there_").join(F.broadcast(check)).drop("x_")
+    return out.drop("there_").join(F.broadcast(check)).filter("x_ = 0").drop("x_")
 
 
 def common_keys(tables: list[DataFrame], key: str) -> DataFrame:
@@ -82,7 +82,7 @@ def band_counts(df: DataFrame, key: str, x: str, y: str, dx: float = 5.0, dy: fl
 
 
 def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str, value: str) -> DataFrame:
-    return df.unpivot(keys, columns, name, value)
+    return df.unpivot([F.col(f"`{k}`") for k in keys], [F.col(f"`{c}`") for c in columns], name, value)
 
 
 def widen(df: DataFrame, keys: list[str], level: str, levels: list[str], values: list[str]) -> DataFrame:

@@ -76,7 +76,7 @@ def step(spark: SparkSession, config: Config, name: str, make, overwrite: bool =
 
 
 def problems(spark: SparkSession, config: Config) -> DataFrame:
-    out = cells.problem_rows(files.read_table(spark, config.metadata, config.sheet))
+    out = cells.problem_rows(files.read_table(spark, config.metadata, config.sheet), config.groups)
     return files.in_id_range(out, config.ids) if config.ids else out
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,9 +50,24 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     """All columns as text (or by ``schema``), names trimmed, a byte-order mark dropped; rows of the wrong length are an error."""
     encoding, sep, header = sniff(first_bytes(spark, path))
     kinds = schema or ", ".join(f"`{h}` string" for h in header)
+    if encoding not in ("utf-8", "utf-8-sig"):
+        return _decoded(spark, path, encoding, sep, kinds)
     return spark.read.csv(path, schema=kinds, header=True, sep=sep, encoding="utf-8" if encoding == "utf-8-sig" else encoding, mode="FAILFAST", enforceSchema=True, multiLine=True, escape='"')
 
 
+def _decoded(spark: SparkSession, path: str, encoding: str, sep: str, kinds: str) -> DataFrame:
+    """For an encoding that Spark's CSV reader doesn't take; a dataset file is some thousand rows."""
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for content in part["content"]:
+                table = pd.read_csv(io.BytesIO(content), sep=sep, encoding=encoding, dtype=str, skipinitialspace=True)
+                yield table.rename(columns=str.strip)
+
+    text = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, kinds)
+    return text
+
+
 def read_table(spark: SparkSession, path: str, sheet: str | int | None = None) -> DataFrame:
     """By suffix: csv, xlsx or xlsm, json, parquet."""
     kind = path.rsplit(".", 1)[-1].lower()
