@@ -114,7 +114,7 @@ def test_leaks(spark, docs):
             at = rng.randint(0, len(w))
             w[at:at] = [x.upper() for x in leak]
         rows.append((i, " ".join(w)))
-    rows += [(100, None), (101, ""), (None, items[3][1]), (102, "da " * 30), (1, rows[1][1])]
+    rows += [(1000, None), (1001, ""), (None, items[3][1]), (1002, "da " * 30), (1, rows[1][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaked(docs(rows), bench).collect()}
     expected = leak_brute(rows, items)
