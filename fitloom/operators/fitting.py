@@ -1,14 +1,14 @@
 """Least-squares fits of formulas to groups of rows.
 
-Formulas that are linear in their parameters are fitted with one pass of sums (plain aggregates). All others go through a grouped
-Arrow function: the rows of one (id, group) are sent once, and every formula of the id is fitted to them there. Groups are the
-datasets of a problem, thousands of rows each; formulas come as a small table broadcast under a checked bound.
+Formulas that are linear in their parameters are fitted with one pass of sums (plain aggregates); one nonlinear formula on groups of
+any size by rounds of such passes (``fit_by_sums``). Many formulas on datasets of thousands of rows go through a grouped Arrow
+function: the rows of one (id, group) are sent once, and every formula of the id is fitted to them there. Formulas come as a small table broadcast under a checked bound.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from fitloom.functions import compile as comp
 from fitloom.functions.expr import CONSTANTS, FormulaError, Node, names, natural_key, parse, protect_powers, show, substitute
 from fitloom.functions.scalars import ERROR_MSE, ERROR_R2
+from fitloom.operators import metrics
+from fitloom.sources import sinks
 
 #: Formulas that may be sent to every task.
 MOST_FORMULAS = 100_000
@@ -244,6 +246,61 @@ def linear_fit(rows: DataFrame, keys: list[str], text: str, parameters: list[str
     return agg.select(*keys, "n", *(solve(c).alias(p) for c, p in enumerate(parameters)))
 
 
+def fit_by_sums(rows: DataFrame, keys: list[str], text: str, initial: dict[str, float], variables: dict[str, Column], y: str, rounds: int = 30, tolerance: float = 1e-10) -> DataFrame:
+    """(keys, parameters, n, mse, r2, ok): a nonlinear fit of groups of any size by damped Gauss-Newton steps.
+
+    Each round is one aggregate: the derivatives are columns, and a group's normal equations are sums of their products, added up
+    before the shuffle. What goes through Python is one row a group, where the step is solved; rows stay in the JVM. A step that
+    doesn't lower the sum of squares is taken back and damped more. The table of groups is written between rounds.
+    """
+    names_, k = list(initial), len(initial)
+    tree = parse(text)
+    slopes = [comp.derivative(tree, p) for p in names_]
+    if any(d is None for d in slopes) or not k:
+        raise FormulaError("a formula with derivatives by at least one parameter is needed")
+    at = {p: F.col(f"try_{p}") for p in names_}
+    r = comp.to_column(tree, variables, at) - F.col(y)
+    j = [comp.to_column(d, variables, at) for d in slopes]
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+    kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields if f.name in keys]
+    numbers = [*names_, *(f"try_{p}" for p in names_), "sse", "damping"]
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in kinds), *(f"`{n}` double" for n in numbers), "n long", "sst double", "settled boolean"])
+    state = rows.select(*keys).distinct().select(*keys, *(F.lit(initial[p]).alias(p) for p in names_), *(F.lit(initial[p]).alias(f"try_{p}") for p in names_), F.lit(float("inf")).alias("sse"), F.lit(1e-3).alias("damping"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("sst"), F.lit(False).alias("settled"))
+
+    def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i, row in enumerate(part.to_dict("records")):
+                new = row["new_sse"]
+                if np.isfinite(new) and new <= row["sse"]:
+                    gain = row["sse"] - new
+                    best = [row[f"try_{p}"] for p in names_]
+                    a = np.empty((k, k))
+                    for x, z in pairs:
+                        a[x, z] = a[z, x] = row[f"a{x}_{z}"]
+                    scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+                    damping = max(row["damping"] / 6, 1e-12)
+                    stop = bool(gain <= tolerance * new) or new == 0
+                    g = np.array([row[f"b{x}"] for x in range(k)])
+                    delta = np.linalg.lstsq(a / np.outer(scale, scale) + damping * np.eye(k), -g / scale, rcond=None)[0] / scale if np.all(np.isfinite(a)) and np.all(np.isfinite(g)) else np.zeros(k)
+                    changes = {"sse": new, "settled": stop or not delta.any()} | dict(zip(names_, best)) | {f"try_{p}": b + d for p, b, d in zip(names_, best, delta)}
+                else:  # back, and half the way
+                    damping = row["damping"] * 10
+                    changes = {"settled": damping > 1e12} | {f"try_{p}": (row[p] + row[f"try_{p}"]) / 2 for p in names_}
+                for name, value in ({"damping": damping, "n": row["new_n"], "sst": row["new_sst"]} | changes).items():
+                    part.at[part.index[i], name] = value
+            yield part[[n for n, _ in kinds] + numbers + ["n", "sst", "settled"]]
+
+    for _ in range(rounds):
+        state = sinks.between(state)
+        open_ = state.filter("not settled")
+        if not open_.take(1):
+            break
+        sums = rows.join(open_, keys).groupBy(*keys).agg(F.sum(r * r).alias("new_sse"), F.count("*").alias("new_n"), metrics.sst(F.col(y)).alias("new_sst"), *(F.sum(j[a] * j[b]).alias(f"a{a}_{b}") for a, b in pairs), *(F.sum(j[a] * r).alias(f"b{a}") for a in range(k)))
+        state = open_.join(sums, keys).mapInPandas(step, schema).unionByName(state.filter("settled"))
+    done = F.col("sse") < float("inf")
+    return state.select(*keys, *(F.when(done, F.col(p)).alias(p) for p in names_), "n", F.when(done, F.col("sse") / F.col("n")).alias("mse"), F.when(done, metrics.r2_of(F.col("sse"), F.col("sst"))).alias("r2"), done.alias("ok"))
+
+
 def score_with(rows: DataFrame, text: str, variables: dict[str, Column], parameters: dict[str, Column | float] | None = None, constants: dict[str, float] | None = None, protected: bool = False) -> DataFrame:
     """``rows`` with ``fitted``; a formula without free parameters needs no more than this."""
     tree = parse(text)

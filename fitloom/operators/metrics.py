@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitloom.functions.scalars import ERROR_MSE, ERROR_R2, FAILED, finite, masked
+from fitloom.operators.ordering import running
 
 #: SSE up to which a constant target counts as met.
 EXACT = 1e-24
@@ -136,13 +137,10 @@ def equal_width(df: DataFrame, value: str, bins: int, lo: float | None = None, h
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """``df`` with the ranks of ``column``, equals sharing their mean rank.
 
-    Counts of distinct values are summed before they are ordered; only one row a distinct value reaches the ordered window.
+    Equal values are counted first; the distinct ones are numbered by ranges, so no task orders all of them.
     """
-    from pyspark.sql import Window as W
-
-    counts = df.groupBy(column).agg(F.count("*").alias("c_"))
-    upto = F.sum("c_").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, 0))
-    ranks = counts.select(F.col(column).alias("v_"), (upto - (F.col("c_") - 1) / 2.0).alias(name))
+    counts = running(df.groupBy(column).agg(F.count("*").alias("c_")), [column], "upto_", "c_")
+    ranks = counts.select(F.col(column).alias("v_"), (F.col("upto_") - (F.col("c_") - 1) / 2.0).alias(name))
     return df.join(ranks, df[column].eqNullSafe(F.col("v_"))).drop("v_")
 
 

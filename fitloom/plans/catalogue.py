@@ -12,6 +12,7 @@ from fitloom.functions import cells, compile as comp, scalars
 from fitloom.functions.expr import generalise, parse, show
 from fitloom.functions.scalars import rounded
 from fitloom.operators import dedup, fitting, generate, metrics, ranking, relational, report, search
+from fitloom.operators.ordering import running
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -492,7 +493,7 @@ def q_to_number(spark, sf_dir):
 select doc_id, eq_id, case when k = '' or min(eq_id) over (partition by k) = eq_id then 0 else min(eq_id) over (partition by k) end as redundant from t""")
 def q_dedup_pointer(spark, sf_dir):
     keyed = dedup.with_text_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    ids = keyed.withColumn("eq_id", F.row_number().over(W.orderBy("doc_id")).cast("long"))
+    ids = running(keyed, ["doc_id"], "eq_id")
     first = ids.groupBy("text_key").agg(F.min("eq_id").alias("first"))
     return ids.join(first, "text_key").select("doc_id", "eq_id", F.when((F.col("text_key") == "") | (F.col("first") == F.col("eq_id")), 0).otherwise(F.col("first")).cast("long").alias("redundant"))
 
@@ -578,6 +579,12 @@ def q_nonlinear_fit(spark, sf_dir):
     return fitting.fit_groups(_samples(spark, sf_dir), _formulas(spark), ["q", "d"], order="row_idx")
 
 
+@query()
+def q_fit_by_sums(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / 1000.0).alias("y"))
+    return fitting.fit_by_sums(rows, LINE, "p0*q**p1", {"p0": 1.0, "p1": 1.0}, {"q": F.col("q")}, "y", tolerance=1e-8)
+
+
 @query()
 def q_multistart(spark, sf_dir):
     bad = spark.createDataFrame([("P01", "log", "p0*log(p1*q)", ["p0", "p1"], [1.0, -1.0])], "id string, formula_id string, formula string, para_list array<string>, orgpara_list array<double>")

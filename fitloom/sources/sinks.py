@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -75,3 +76,17 @@ def compatible(df: DataFrame, mse: list[str], r2: list[str]) -> DataFrame:
     from fitloom.functions.scalars import ERROR_MSE, ERROR_R2
 
     return df.fillna({**{c: ERROR_MSE for c in mse}, **{c: ERROR_R2 for c in r2}})
+
+
+def between(df: DataFrame) -> DataFrame:
+    """``df`` written beside the checkpoints and read again: a short lineage between rounds of an iteration, and no loss with an executor."""
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="fitloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/between-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

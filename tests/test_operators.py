@@ -128,6 +128,23 @@ def test_linear_fit_is_least_squares(spark):
         fitting.linear_fit(df, ["grp"], "exp(a*x)", ["a"], {"x": F.col("x")}, "y")
 
 
+def test_fit_by_sums_is_the_grouped_fit(spark):
+    rows = samples(spark)
+    out = {r["grp"]: r for r in fitting.fit_by_sums(rows, ["grp"], "p0*exp(p1*x) + p2", {"p0": 1.0, "p1": 0.1, "p2": 0.0}, {"x": F.col("x")}, "y").collect()}
+    assert np.allclose([out[0][p] for p in ("p0", "p1", "p2")], [2.0, 0.5, 1.0], rtol=1e-4) and np.allclose([out[1][p] for p in ("p0", "p1", "p2")], [3.0, -0.25, 1.0], rtol=1e-3)
+    assert all(r["ok"] and r["n"] == 200 and r["r2"] > 1 - 1e-8 for r in out.values())
+
+
+def test_running_order(spark):
+    rng = np.random.default_rng(2)
+    values = rng.permutation(500).tolist()
+    from fitloom.operators.ordering import running
+
+    out = running(spark.createDataFrame([(v, v % 3) for v in values], "v long, c long"), ["v"], "n", "c").collect()
+    total = np.cumsum(np.arange(500) % 3)
+    assert all(r["n"] == total[r["v"]] for r in out)
+
+
 def test_marks(spark):
     texts = ["p0*x + p1", "p1 + x*p0", "sin(x)", "y = p0 * x + p1", "", "", "not ( a formula", "not ( a  formula"]
     df = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "file string, row_idx int, para_eq string")
