@@ -38,7 +38,6 @@ class Settings:
     population: int = 40
     max_size: int = 50
     parsimony: float = 0.001
-    most_rows: int = 2000
     exponent_size: int = 1
     seed: int = 0
 
@@ -177,7 +176,7 @@ FRONT = "id string, dataset int, island int, complexity int, loss double, equati
 def search_dataset(samples: DataFrame, variables: list[str], dataset: int, settings: Settings, seeds: dict[str, list[str]] | None = None) -> DataFrame:
     """(id, dataset, island, complexity, loss, equation) of all islands. ``samples``: id, the variables, y, for one dataset.
 
-    An island reads at most ``most_rows`` rows of its dataset, taken by a hash of the row.
+    Every island reads its whole dataset.
     """
     start = {k: list(v) for k, v in (seeds or {}).items()}
     cut = samples.select("id", *variables, "y").withColumn("o_", F.xxhash64(*variables, "y"))
@@ -185,7 +184,7 @@ def search_dataset(samples: DataFrame, variables: list[str], dataset: int, setti
 
     def evolve(part: pd.DataFrame) -> pd.DataFrame:
         problem, island = part["id"].iloc[0], int(part["island"].iloc[0])
-        part = part.sort_values(["o_", "y"], kind="stable").head(settings.most_rows)
+        part = part.sort_values(["o_", "y"], kind="stable")
         digest = hashlib.sha256(f"{settings.seed}|{problem}|{dataset}|{island}".encode()).digest()
         isle = Island(variables, part[variables].to_numpy(float).T, part["y"].to_numpy(float), settings, np.random.default_rng(int.from_bytes(digest[:8], "little")))
         isle.run([parse(t) for t in start.get(problem, [])])
