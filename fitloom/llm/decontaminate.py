@@ -150,3 +150,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The query's columns: doc_id, item_id, similarity."""
     return contaminated(keyed(docs, "doc_id", "text"), items).select(F.col("id").alias("doc_id"), "item_id", "similarity")
+
+
+#: Brute force in DuckDB's SQL: every window around every shared shingle.
+SQL = r"""
+with d as (select distinct doc_id, coalesce(text, '') as t from documents),
+dw as (select doc_id, t, list_filter(regexp_split_to_array(lower(t), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from d),
+ds as (select doc_id, t, len(w) as n, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] as g from (select *, unnest(range(1, greatest(len(w) - 3, 1))) as i from dw)),
+iw as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from benchmark),
+it as (select item_id, len(w) as m, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] as g from (select *, unnest(range(1, greatest(len(w) - 3, 1))) as i from iw)),
+ic as (select item_id, m, g, count(*) as c from it group by all),
+hits as (select distinct doc_id, t, item_id, m, unnest(range(greatest(1, i + 5 - m), least(i, n - m + 1) + 1)) as s from ds join ic on ds.g = ic.g),
+win as (select h.doc_id, h.t, h.item_id, h.m, h.s, ds.g, count(*) as c from hits h join ds on ds.doc_id is not distinct from h.doc_id and ds.t = h.t and ds.i between h.s and h.s + h.m - 5 group by all),
+shared as (select win.doc_id, win.t, win.item_id, win.m, win.s, sum(least(win.c, ic.c))::BIGINT as b from win join ic on ic.item_id = win.item_id and ic.g = win.g group by all)
+select doc_id, item_id, max(b::DOUBLE / (2 * (m - 4) - b)) as similarity from shared where b::DOUBLE / (2 * (m - 4) - b) >= 0.8 group by doc_id, t, item_id"""

@@ -30,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.sql(), "op6_line_dedup": line_dedup.SQL, "op10_quality_rules": quality.sql()}
+    return {"op1_url_filter": url_filter.sql(), "op6_line_dedup": line_dedup.SQL, "op8_decontaminate": decontaminate.SQL, "op10_quality_rules": quality.sql()}
