@@ -25,7 +25,8 @@ BOILERPLATE = (
 )
 SYMBOLS = r"[#*$%&|<>]"
 NAVIGATION = r"[|»›•]"
-CLOSING = r"""[.!?…:;。！？"'”’»)\]]\s*$"""
+#: The end of a sentence, anywhere in the line.
+CLOSING = r"""[.!?…:;。！？]["'”’»)\]]*(?:[\x20\x09-\x0D]|$)"""
 
 
 @dataclass(frozen=True)
