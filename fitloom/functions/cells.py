@@ -202,6 +202,17 @@ def right_side(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"^[^=]*=", ""))
 
 
+def shifted_rows(sheet, label: str, groups: int = 8):
+    """The problems with the parameter vectors and variable ranges of one shift label (columns ``paraValue_WASS_K``, ``varRange_WASS_K``)."""
+    from fitloom.operators.relational import require_columns
+
+    vector, area = f"paraValue_WASS_{label}", f"varRange_WASS_{label}"
+    require_columns(sheet, [vector, area], "the sheet")
+    base = problem_rows(sheet.withColumn("paraValue", F.col(vector)).withColumn("varRange", F.col(area)), groups)
+    shape = F.forall("var_ranges", lambda g: (F.size(g) == F.size("variables")) & F.forall(g, lambda r: r["lo"] < r["hi"])) & (F.size("var_ranges") == groups) & (F.size("para_values") == groups)
+    return base.withColumn("var_ranges", must(shape, F.col("var_ranges"), "shifted ranges don't fit:", F.col("id")))
+
+
 def problem_rows(sheet, groups: int = 8):
     """A metadata sheet as typed rows, one struct a problem; vectors are checked against the names."""
     from fitloom.operators.relational import require_columns

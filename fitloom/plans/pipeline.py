@@ -149,8 +149,15 @@ def merge(spark: SparkSession, config: Config) -> DataFrame:
     return step(spark, config, "top_formulas", make)
 
 
+def refit(rows: DataFrame, top: DataFrame, variables: list[str], specs: DataFrame, config: Config, level: str) -> DataFrame:
+    """Bounded fits of the best formulas to one condition; one failed group marks the whole."""
+    fits = fitting.fit_groups(rows, top, variables, bounded=True, protected=True, retries=0, seed=config.seed, order="row_idx", constants=constants_of(specs), strict=False)
+    means = (metrics.undiluted(F.col(m), F.col("ok"), e).alias(m) for m, e in (("mse", 1e100), ("nmse", 1e100), ("r2", -1e100)))
+    return fits.groupBy("id").agg(*means).withColumn("level", F.lit(level))
+
+
 def robustness(spark: SparkSession, config: Config) -> DataFrame:
-    """The best formula of each problem refitted to noisy targets, level 0 included: (id, level, mse, nmse, r2)."""
+    """The best formula of each problem refitted to shifted ranges (where the sheet has them) and to noisy targets, level 0 included: (id, level, mse, nmse, r2)."""
 
     def make() -> DataFrame:
         from functools import reduce
@@ -161,11 +168,14 @@ def robustness(spark: SparkSession, config: Config) -> DataFrame:
         base = spark.read.parquet(config.path("samples"))
         last = max(cells.index_spec(config.datasets))
         parts = []
+        sheet = files.read_table(spark, config.metadata, config.sheet)
+        for label in filter(None, config.wass.split(",")):
+            if f"paraValue_WASS_{label}" in sheet.columns:
+                moved = generate.generate(cells.shifted_rows(sheet, label, last + 1), config.samples, "shift", config.seed, variant=f"wass_{label}")
+                parts.append(refit(wide(moved, variables).fillna(0.0, variables), top, variables, specs, config, f"WASS_{label}"))
         for level in cells.noise_levels(config.noise):
             noisy = generate.add_noise(base, level, config.noise_mode, config.seed, last + 1, 2 * last + 1) if config.groups > last + 1 else generate.add_noise(base, level, config.noise_mode, config.seed)
-            fits = fitting.fit_groups(wide(noisy, variables).fillna(0.0, variables), top, variables, bounded=True, protected=True, retries=0, seed=config.seed, order="row_idx", constants=constants_of(specs), strict=False)
-            ok = F.col("ok")
-            parts.append(fits.groupBy("id").agg(*(metrics.undiluted(F.col(m), ok, e).alias(m) for m, e in (("mse", 1e100), ("nmse", 1e100), ("r2", -1e100)))).withColumn("level", F.lit(f"noise_{cells.noise_folder(level)}")))
+            parts.append(refit(wide(noisy, variables).fillna(0.0, variables), top, variables, specs, config, f"noise_{cells.noise_folder(level)}"))
         return reduce(DataFrame.unionByName, parts)
 
     return step(spark, config, "robustness", make)
@@ -174,7 +184,7 @@ def robustness(spark: SparkSession, config: Config) -> DataFrame:
 def report_tables(spark: SparkSession, config: Config) -> DataFrame:
     def make() -> DataFrame:
         rows = spark.read.parquet(config.path("robustness"))
-        levels = [f"noise_{cells.noise_folder(x)}" for x in cells.noise_levels(config.noise)]
+        levels = sorted(r["level"] for r in rows.select("level").distinct().collect())  # a label a condition
         table = widen(rows.withColumnRenamed("id", "ID"), ["ID"], "level", levels, ["mse", "nmse", "r2"])
         return report.level_statistics(table, {lv: f"{lv}_R2" for lv in levels})
 

@@ -6,6 +6,8 @@ import csv
 import io
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,24 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return spark.read.csv(path, schema=kinds, header=True, sep=sep, encoding="utf-8" if encoding == "utf-8-sig" else encoding, mode="FAILFAST", enforceSchema=True, multiLine=True, escape='"')
 
 
+def read_document(spark: SparkSession, path: str, formula: str = "para_eq") -> DataFrame:
+    """A summary with all its columns as text and ``row_idx``: short rows are padded, blank rows dropped, rows that are too long an error.
+
+    Marks of an earlier run (``eq_id``, ``redundant``), where there are any, must be whole numbers of at least 0.
+    """
+    encoding, sep, header = sniff(first_bytes(spark, path))
+    require = [n for n in (formula,) if n not in header]
+    if require:
+        raise ValueError(f"{path} lacks the column {formula}")
+    kinds = ", ".join(f"`{h}` string" for h in [*header, "too_long_"])
+    rows = spark.read.csv(path, schema=kinds, header=True, sep=sep, encoding="utf-8" if encoding == "utf-8-sig" else encoding, mode="PERMISSIVE", multiLine=True, escape='"')
+    long = F.when(F.col("too_long_").isNotNull(), F.raise_error(F.lit("a row has more cells than the header")).cast("boolean")).otherwise(F.lit(True))
+    bad = [F.col(c).isNotNull() & ~F.col(c).rlike(r"^\d+(\.0*)?$") for c in ("eq_id", "redundant") if c in header]
+    marks = F.when(reduce(or_, bad), F.raise_error(F.lit("a mark is no whole number")).cast("boolean")).otherwise(F.lit(True)) if bad else F.lit(True)
+    numbered = rows.withColumn("row_idx", F.monotonically_increasing_id())
+    return numbered.filter(long).filter(marks).filter(F.coalesce(*(F.nullif(F.trim(F.col(f"`{h}`")), F.lit("")) for h in header)).isNotNull()).drop("too_long_")
+
+
 def _decoded(spark: SparkSession, path: str, encoding: str, sep: str, kinds: str) -> DataFrame:
     """For an encoding that Spark's CSV reader doesn't take; a dataset file is some thousand rows."""
 

@@ -7,10 +7,10 @@ from fitloom.sources import files, sinks, xlsx
 from fitloom.streaming.resume import RunState, evaluate_arrivals
 
 SHEET = [
-    ["ID", "ModelName", "OriginalFormula", "GenerationFormula", "simpFormula", "Target", "IndependentVars", "ParameterRange", "FixedConstantValues", "paraValue", "varRange", "targetRange"],
-    ["P01", "line", "y = a*x + b", "y = a*x + b", "a*x + b", "y", "x", "a=[1,4], b=[0.5,2]", "(none)", "[[2,1],[3,0.5]]", "[[[0.5,5]],[[0.5,5]]]", "[[-100,100],[-100,100]]"],
-    ["P02", "product", "y = c*a*x", "y = c*a*x", "a*x", "y", "x", "a=[1,4]", "c=1.5", "[[2],[3]]", "[[[0.5,5]],[[0.5,5]]]", "[[-100,100],[-100,100]]"],
-    [None, "a row without an ID", None, None, None, None, None, None, None, None, None, None],
+    ["ID", "ModelName", "OriginalFormula", "GenerationFormula", "simpFormula", "Target", "IndependentVars", "ParameterRange", "FixedConstantValues", "paraValue", "varRange", "targetRange", "paraValue_WASS_025", "varRange_WASS_025"],
+    ["P01", "line", "y = a*x + b", "y = a*x + b", "a*x + b", "y", "x", "a=[1,4], b=[0.5,2]", "(none)", "[[2,1],[3,0.5]]", "[[[0.5,5]],[[0.5,5]]]", "[[-100,100],[-100,100]]", "[[2.5,1],[3,1]]", "[[[1,6]],[[1,6]]]"],
+    ["P02", "product", "y = c*a*x", "y = c*a*x", "a*x", "y", "x", "a=[1,4]", "c=1.5", "[[2],[3]]", "[[[0.5,5]],[[0.5,5]]]", "[[-100,100],[-100,100]]", "[[2.5],[3]]", "[[[1,6]],[[1,6]]]"],
+    [None, "a row without an ID", *[None] * 12],
 ]
 
 
@@ -44,6 +44,19 @@ def test_csv_dialects(spark, tmp_path, encoding, sep):
     assert files.read_samples(spark, str(path), ["x"], "速度").collect()[0]["速度"] == 2.0 and files.read_samples(spark, str(path), ["x"], "速度").count() == 1
 
 
+def test_documents(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text("ID,para_eq,redundant\nP1,a*x,0\n,,\nP2\n", encoding="utf-8-sig")
+    rows = files.read_document(spark, str(path)).orderBy("row_idx").collect()
+    assert [(r["ID"], r["para_eq"]) for r in rows] == [("P1", "a*x"), ("P2", None)]
+    path.write_text("ID,para_eq\nP1,a*x,extra\n")
+    with pytest.raises(Exception, match="more cells"):
+        files.read_document(spark, str(path)).collect()
+    path.write_text("ID,para_eq,redundant\nP1,a*x,half\n")
+    with pytest.raises(Exception, match="whole number"):
+        files.read_document(spark, str(path)).collect()
+
+
 def test_double_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,x\n1,2\n")
     with pytest.raises(ValueError):
@@ -102,7 +115,7 @@ def test_all_stages(spark, book, tmp_path):
     assert pipeline.execute(spark, "all", config) == list(pipeline.STAGES)
     top = spark.read.parquet(config.path("top_formulas"))
     assert {"ID", "TopRank", "para_eq"} <= set(top.columns) and top.filter("TopRank = 1").count() >= 1
-    assert spark.read.parquet(config.path("report")).count() == 2
+    assert {r["level"] for r in spark.read.parquet(config.path("report")).collect()} == {"WASS_025", "noise_0", "noise_001"}
     before = spark.read.parquet(config.path("samples")).count()
     assert pipeline.execute(spark, "core", config) == list(pipeline.CORE) and spark.read.parquet(config.path("samples")).count() == before == 240
     assert pipeline.unfinished(spark, config).count() >= 0
