@@ -30,10 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``clean`` deletes."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete what this driver's operators have left in the shared folder. Results that aren't saved yet may read it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a compressed table in the shared folder: computed once, safe against lost executors, with a short lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import partitions, shared_dir, written
+from fitloom.llm.common import partitions, scratch, written
 
 MAGIC = b"FLT1"
 HEAD = struct.Struct("<4sBqqQq")
@@ -268,7 +268,7 @@ def default_tokenizer() -> str:
 def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, shards: int | None = None) -> tuple[str, DataFrame]:
     """Write the shards; returns their folder and (shard, n_docs, n_ids, base), base being the number of ids in the shards before."""
     spark = docs.sparkSession
-    path, folder = tokenizer or default_tokenizer(), f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path, folder = tokenizer or default_tokenizer(), scratch(spark, "tokens")
     files, at = open_fs(folder)
     files.create_dir(at)
 

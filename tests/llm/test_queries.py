@@ -55,3 +55,12 @@ def test_pipeline_of_nothing(spark, tmp_path):
         out = stage(spark, docs, SF)
         assert out.count() == 0
         docs = docs if out.columns != docs.columns else spark.createDataFrame([], out.schema)
+
+
+def test_clean_deletes_what_was_left(spark):
+    from fitloom.llm.common import clean, written
+
+    path = written(spark.range(3), "probe").inputFiles()[0]
+    assert spark.read.parquet(path).count() > 0 and clean(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path).count()
