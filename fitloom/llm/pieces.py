@@ -31,7 +31,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Chunks that a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

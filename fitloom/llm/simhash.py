@@ -24,9 +24,9 @@ from fitloom.llm.common import fresh, partitions, text_key, written
 from fitloom.llm.components import components
 
 #: Groups of a key above this many members are searched breadth first, smaller ones pair by pair, all groups of a batch at once.
-LARGE = 512
+LARGE = 128
 #: Pairs looked at in one numpy step.
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def shingle_hashes(text: bytes, size: int, seed: int = 42) -> list[int]:
@@ -158,18 +158,22 @@ def search(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
 
 def pair_up(ring: Ring, keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges between the nodes of rows that share a key; ``keys`` is sorted and holds whole groups."""
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.array([], np.int64)
+    if not len(keys):
+        return nodes, nodes
+    # Rows alike in fingerprint are linked to the first of them, which alone goes on.
+    order = np.lexsort((fps, keys))
+    keys, fps, nodes, plain = keys[order], fps[order], nodes[order], plain[order]
+    new = np.r_[True, (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])]
+    first = np.flatnonzero(new)
+    us, vs = [nodes], [nodes[first[np.cumsum(new) - 1]]]
+    keys, fps, nodes, plain = keys[first], fps[first], nodes[first], plain[first]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
-    whole = np.add.reduceat(plain.astype(np.int64), starts) if len(starts) else sizes
-    us, vs = [], []
+    whole = np.add.reduceat(plain.astype(np.int64), starts)
     for s, n in zip(starts[(whole > 0) & (sizes > LARGE)], sizes[(whole > 0) & (sizes > LARGE)]):
-        some, at, which = np.unique(fps[s : s + n], return_index=True, return_inverse=True)
-        first = nodes[s : s + n][at]
-        us += [nodes[s : s + n]]  # alike in fingerprint
-        vs += [first[which]]
-        u, v = search(some, ring.radius)
-        us += [first[np.searchsorted(some, np.array(u, np.uint64))]]
-        vs += [first[np.searchsorted(some, np.array(v, np.uint64))]]
+        u, v = search(fps[s : s + n], ring.radius)
+        for out, x in ((us, u), (vs, v)):
+            out.append(nodes[s : s + n][np.searchsorted(fps[s : s + n], np.array(x, np.uint64))])
     use = (whole > 0) & (sizes > 1) & (sizes <= LARGE)
     starts, sizes = starts[use], sizes[use]
     # Each unchanged row against every row of its group.
@@ -190,9 +194,9 @@ def pair_up(ring: Ring, keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, pl
         us.append(nodes[a[ok]])
         vs.append(nodes[b[ok]])
         at = end
-    empty = np.array([], np.uint64)
-    u, v = np.concatenate(us or [empty]), np.concatenate(vs or [empty])
-    return forest(u, v) if len(u) else (u, v)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    some = u != v
+    return forest(u[some], v[some]) if some.any() else (u[:0], v[:0])
 
 
 def links(prints: DataFrame, ring: Ring) -> DataFrame:
