@@ -11,7 +11,6 @@ SAMPLES = "variant string, id string, grp int, row_idx long, x map<string,double
 CANDIDATES = "id string, dataset int, complexity int, loss double, score double, equation string, para_eq string, para_list array<string>, orgpara_list array<double>, feature_name_map map<string,string>, src_row long"
 FITS = "id string, formula_id string, variant string, grp int, ok boolean, mse double, nmse double, r2 double, params array<double>, attempts int, retry_used boolean, error string"
 SHARED_METRICS = ("mse", "mse_hmean", "mse_rms", "r2", "r2_hmean", "r2_rms")
-EQUATIONS = "complexity int, loss double, equation string, score double, sympy_format string, lambda_format string"
 RANKING = (
     "ID", "TopRank", "ModelName", "OriginalFormula", "GenerationFormula", "Target", "IndependentVars", "ParameterRange", "FixedConstantValues", "simpFormula", "para_eq",
     "orgpara_list", "para_list", "shared_fit_mse_0_7", "shared_fit_mse_hmean_0_7", "shared_fit_r2_0_7", "complexity", "loss", "score", "dataset", "fromdataset", "SourceFolder",
