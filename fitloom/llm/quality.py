@@ -116,7 +116,8 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: LineRules = RULES)
     """``docs`` with the counts, ``base_failed``, ``clean_text`` and ``kept`` as the fields of one new struct column ``quality_rules_``."""
     name = fresh(docs, "quality_rules_")
     raw = fresh(docs, "quality_raw_")
-    out = docs.withColumn(raw, measure(F.col(f"`{text}`"), rules))
+    # The array of one row keeps a filter on the verdict from being pushed below, where all would be measured again.
+    out = docs.select("*", F.explode(F.array(measure(F.col(f"`{text}`"), rules))).alias(raw))
     m = F.col(raw)
     n, again = m["w"]["n_words"], m["w"]["n_repeat_words"]
     failed = (n < 50) | (100 * again > 50 * n)
