@@ -342,7 +342,7 @@ def trimmed(docs: DataFrame, length: int = LENGTH, coarse: int = 17, fine: int =
     texts = rows.filter(F.col("n_bytes") >= length).select("d1", "d2", "text")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     density = lambda c: len(c.residues) / c.v
-    first = one_round(texts, rounds, 0, int(total * density(rounds.coarse)), 6)
+    first = written(one_round(texts, rounds, 0, int(total * density(rounds.coarse)), 6), "ranks")
     one = written(texts.join(first, ["d1", "d2"]).mapInArrow(once, "d1 long, d2 long, text string, bits1 binary"), "suspects")
     left = one.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     second = written(one_round(one, rounds, 1, int(2 * left * density(rounds.fine)), 8), "fine")
@@ -385,7 +385,9 @@ def deduped(docs: DataFrame, length: int = LENGTH, coarse: int = 17, fine: int =
     cut = trimmed(docs, length, coarse, fine, wide)
     cut = cut.dropDuplicates(["d1", "d2"]) if with_text else cut.select("d1", "d2", "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha")).distinct()
     gone = F.col("copies").isNotNull()
-    out = rows.join(copies, ["d1", "d2"], "left").join(cut, ["d1", "d2"], "left")
+    # One row a text, as a table: the join below reads two plain exchanges, and copies of one text in any number can be split.
+    found = written(copies.join(cut, ["d1", "d2"], "full"), "found")
+    out = rows.join(found, ["d1", "d2"], "left")
     sha = F.sha2("kept", 256) if with_text else F.col("cut_sha")
     columns = [
         F.col("doc_id"), F.col("n_bytes"), F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
