@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import WORD, fresh, let, text_key
+from fitloom.llm.common import WORD, fresh, let, text_key, written
 
 WINDOW = 3
 
@@ -44,7 +44,8 @@ def later_windows(docs: DataFrame) -> DataFrame:
     every = windows(docs)
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key", "pos")
     first = every.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
-    repeated = every.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    # A table of its own: the join reads two plain exchanges, and the places of a very common window can be split.
+    repeated = every.join(written(first, "windows"), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
     return repeated.groupBy("id", "key").agg(F.collect_set("pos").alias("found"))
 
 
@@ -66,7 +67,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     found = found.select(F.col("id").alias("found_id_"), F.col("key").alias("found_key_"), F.col("found").alias("found_pos_"))
     joined = rows.join(found, rows[doc_id].eqNullSafe(F.col("found_id_")) & (F.col(key) == F.col("found_key_")), "left")
     kept = let(split_lines(rows[text]), lambda lines: let(kept_lines(lines, F.col("found_pos_")), lambda k: F.struct(F.size(lines).alias("n"), (F.size(lines) - F.size(k)).alias("r"), F.when(rows[text].isNotNull(), F.array_join(k, "\n")).alias("t"))))
-    out = joined.select(*(rows[c] for c in docs.columns), kept.alias("line_kept_"))
+    # The array of one row keeps filters on the result from being pushed below, where lines would be cut again.
+    out = joined.select(*(rows[c] for c in docs.columns), F.explode(F.array(kept)).alias("line_kept_"))
     return out.select(*docs.columns, F.col("line_kept_.t").alias("kept_text_"), F.col("line_kept_.n").cast("bigint").alias("n_lines_"), F.col("line_kept_.r").cast("bigint").alias("n_removed_"))
 
 
