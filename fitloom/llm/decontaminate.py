@@ -105,13 +105,13 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     before = F.transform("all", lambda x, i: F.struct(x["h"].alias("h"), F.aggregate(F.slice("all", 1, i), F.lit(0).cast("long"), lambda s, y: s + y["c"]).alias("before")))
     seeds = ranked.select("m", F.explode(F.filter(before, lambda x: x["before"] <= F.col("size") * (1 - SHARED))).alias("s")).select("m", "s.h").groupBy("h").agg(F.collect_set("m").alias("lengths"))
 
-    texts = docs.select("id", "key", low_words(F.col("text")).alias("w"))
-    positions = texts.select("id", "key", F.posexplode(shingles(F.col("w"))).alias("p", "h"))
+    positions = docs.select("id", "key", F.posexplode(let(low_words(F.col("text")), shingles)).alias("p", "h"))
     small = seeds.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     hits = positions.join(F.broadcast(seeds) if small else seeds, "h")
     # One row a document: the windows' starts for each length, within the text.
     starts = hits.select("id", "key", "p", F.explode("lengths").alias("m")).groupBy("id", "key").agg(F.collect_set(F.struct("m", "p")).alias("hits"))
-    near = texts.join(starts.withColumnsRenamed({"id": "id2", "key": "key2"}), texts["id"].eqNullSafe(F.col("id2")) & (texts["key"] == F.col("key2")))
+    # Texts move as they are, not as arrays of words, and only those with a hit are split again.
+    near = docs.join(starts.withColumnsRenamed({"id": "id2", "key": "key2"}), docs["id"].eqNullSafe(F.col("id2")) & (docs["key"] == F.col("key2")))
 
     def windows(w: Column) -> Column:
         """m and start of each candidate in one long."""
@@ -122,7 +122,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         return F.array_distinct(F.flatten(F.transform("hits", around)))
 
-    found = near.select("id", "key", let(F.col("w"), lambda w: F.struct(windows(w).alias("at"), shingles(w).alias("sh"))).alias("x"))
+    found = near.select("id", "key", let(low_words(F.col("text")), lambda w: F.struct(windows(w).alias("at"), shingles(w).alias("sh"))).alias("x"))
     at = found.select("id", "key", "x.sh", F.explode("x.at").alias("at")).select("id", "key", "sh", F.shiftright("at", 32).cast("int").alias("m"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"))
     cut = written(at.select("id", "key", "m", "start", F.slice("sh", F.col("start") + 1, F.col("m") - (SHINGLE - 1)).alias("sh")), "windows")
 
