@@ -44,7 +44,7 @@ SEGMENT = 1 << 20
 BLOCK_BYTES = 4 << 20
 #: Counts are sent back in 32 bits.
 MOST = (1 << 32) - 1
-#: Keys that one bucket is to hold.
+#: Keys that one bucket is to hold, about; there are two buckets a task at least.
 BUCKET_KEYS = 1 << 20
 
 
@@ -219,7 +219,8 @@ def one_round(texts: DataFrame, rounds: Rounds, number: int, total: int, width:
     how they are to be put together again. Its name is a digest of what is in it, so a task that runs again sends the same.
     """
     names = [f"bits{k + 1}" for k in range(number)]
-    shift = np.uint64(64 - max(1, (total // BUCKET_KEYS).bit_length()))
+    n = partitions(texts.sparkSession)
+    shift = np.uint64(64 - min(32, max(total // BUCKET_KEYS, 2 * n).bit_length()))
     keep = width  # bytes of the first word that are sent
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +235,7 @@ def one_round(texts: DataFrame, rounds: Rounds, number: int, total: int, width:
             by_place = np.argsort(first)  # distinct keys in the order of the text
             nth = np.argsort(by_place)
             distinct, times = every[first[by_place]], times[by_place]
-            bucket = (distinct[:, 0] >> shift).astype(np.uint16)
+            bucket = (distinct[:, 0] >> shift).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
             found, begins = np.unique(bucket[order], return_index=True)
             data, times = distinct[order].view(np.uint8).reshape(len(order), -1), times[order].astype("<u4")
@@ -242,7 +243,7 @@ def one_round(texts: DataFrame, rounds: Rounds, number: int, total: int, width:
             rows = [data[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(begins, np.r_[begins[1:], len(order)])]
             head = np.array(digests, np.int64)
             block = hashlib.blake2b(head.tobytes(), digest_size=16).digest()
-            plan = pickle.dumps((head, np.array(counts), np.packbits(new), bucket.astype(np.uint8 if bucket.max() < 256 else np.uint16), nth[which[~new]].astype(np.uint32)))
+            plan = pickle.dumps((head, np.array(counts), np.packbits(new), bucket.astype(np.min_scalar_type(int(bucket.max()))), nth[which[~new]].astype(np.uint32)))
             return pa.RecordBatch.from_arrays([pa.array([*found.tolist(), -1 - int.from_bytes(block[:6], "big")], pa.int64()), pa.array([block] * (len(rows) + 1), pa.binary()), pa.array([*rows, plan], pa.binary())], ["bucket", "block", "data"])
 
         for batch in batches:
@@ -323,7 +324,6 @@ def one_round(texts: DataFrame, rounds: Rounds, number: int, total: int, width:
 
     spark, rows = texts.sparkSession, "bucket long, block binary, data binary"
     sent = texts.select("d1", "d2", "text", *names).mapInArrow(send, rows)
-    n = partitions(spark)
     ranked = sent.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, rows)
     back = ranked.repartition(n, "block").sortWithinPartitions("block", "bucket").mapInArrow(gather, "d1 long, d2 long, bits binary")
     # A text that several tasks hold comes back from each, with the same bits.
