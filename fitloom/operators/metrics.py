@@ -207,10 +207,11 @@ def survival(df: DataFrame, columns: list[str], steps: int = 400, keys: tuple[st
     from pyspark.sql import Window as W
 
     worst = F.least(*(F.coalesce(masked(F.col(c)), F.lit(float("-inf"))) for c in columns)) if len(columns) > 1 else F.coalesce(masked(F.col(columns[0])), F.lit(float("-inf")))
-    # The last threshold that the row reaches; -1 for none.
-    guess = F.when(worst >= 1.0, steps).when(worst < 0, -1).otherwise(F.floor(worst * steps))
-    at = F.when((guess < steps) & (worst >= (guess + 1) / F.lit(float(steps))), guess + 1).when((guess >= 0) & (worst < guess / F.lit(float(steps))), guess - 1).otherwise(guess).cast("long")
-    counted = df.groupBy(*keys, at.alias("step")).agg(F.count("*").alias("c_"))
+    # The last threshold that the row reaches; -1 for none. The array of one row keeps the worst column from being worked out for each use.
+    w, guess = F.col("worst_"), F.col("guess_")
+    at = F.when((guess < steps) & (w >= (guess + 1) / F.lit(float(steps))), guess + 1).when((guess >= 0) & (w < guess / F.lit(float(steps))), guess - 1).otherwise(guess).cast("long")
+    rows = df.select(*keys, F.explode(F.array(worst)).alias("worst_")).withColumn("guess_", F.when(w >= 1.0, steps).when(w < 0, -1).otherwise(F.floor(w * steps)))
+    counted = rows.groupBy(*keys, at.alias("step")).agg(F.count("*").alias("c_"))
     spine = df.sparkSession.range(-1, steps + 1).withColumnRenamed("id", "step")
     spine = df.select(*keys).distinct().join(F.broadcast(spine)) if keys else spine
     full = spine.join(counted, [*keys, "step"], "left").select(*keys, "step", F.coalesce("c_", F.lit(0)).alias("c_"))
