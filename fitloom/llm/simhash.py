@@ -114,7 +114,7 @@ class Ring:
 
 #: Whole fingerprints: four bits; each key has 20 to 22 bits.
 WHOLE = Ring(4, (11, 11, 11, 11, 10, 10), 2)
-#: Fingerprints of one class of shingles: two bits; each key has 21 or 22 bits.
+#: Two bits; each key has 21 or 22 bits.
 CLASS = Ring(2, (22, 21, 21), 1)
 
 
@@ -266,45 +266,156 @@ def little_endian(x: Column) -> Column:
     return F.unhex(F.concat(*(F.substring(F.lpad(F.hex(x), 16, "0"), 2 * k + 1, 2) for k in reversed(range(8)))))
 
 
-#: Shingles that a class of the stage's fingerprints has at least, on the average; a class of fewer than the other is left out.
-CLASS_SHINGLES, LEAST_SHINGLES = 12, 4
-#: Sizes of two near copies differ by this factor at most (a similarity of 0.8).
-SIZE_RATIO = 1.25
-
-
-def class_prints(hashes: list[int]) -> bytes:
-    """(scope, fingerprint) pairs: shingles are dealt by their hash to 2**level classes of at least 12 on the average, and each class has a
-    fingerprint. A copy with changes here and there leaves some class nearly as it was. A document whose near copy may be large enough
-    for one level more has that one, too."""
-    n = len(hashes)
-    level = lambda m: int(np.log2(max(1.0, m / CLASS_SHINGLES)))
-    all_ = np.array(hashes, np.uint64)
+#: Near copies share this part of their shingles at least (Jaccard, as a fraction of integers).
+SHARE, OF = 4, 5
+#: Sizes of two near copies differ by this factor at most.
+SIZE_RATIO = OF / SHARE
+#: Texts of up to so many shingles are dealt to classes of so many at most, on the average, and of over half of that.
+CLASS_SHINGLES = ((256, 4), (2048, 8), (1 << 62, 16))
+#: Bits in which whole fingerprints of near copies differ at most: 4.3 standard deviations beyond what a similarity of 0.8 gives.
+SKETCH = 22
+#: Groups of a class above this many members send a spanning tree of nearest neighbours, smaller ones all their pairs.
+PAIRS = 32
+
+
+def level(n: float) -> int:
+    """The logarithm of the number of classes for a text of ``n`` shingles."""
+    return max(0, int(np.ceil(np.log2(n / next(k for most, k in CLASS_SHINGLES if n <= most)))))
+
+
+def class_prints(hashes: list[int]) -> tuple[np.ndarray, int, int]:
+    """Keys of the classes of a text's shingles, the fingerprint of the whole, and how many distinct shingles there are.
+
+    Shingles are dealt by their hash to 2**level classes, and a key is made of the class and the fingerprint of its shingles. Two texts
+    of n shingles and a similarity of 0.8 or more differ in 2/9 n shingles of both together at most; with classes of 2 to 4 shingles
+    these can't touch all, with the larger ones of long texts many stay as they are by chance. A text whose near copy may be large
+    enough for another level has that one, too."""
+    all_ = np.unique(np.array(hashes, np.uint64))
+    n = len(all_)
+    if not n:
+        return np.zeros(1, np.uint64), 0, 0
+    bits = np.unpackbits(all_.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    whole = int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > n, bitorder="little").view(np.uint64)[0])
     out = []
     for at in {level(n), level(n * SIZE_RATIO)}:
         of = (all_ >> np.uint64(40)) & np.uint64((1 << at) - 1)
         order = np.argsort(of, kind="stable")
-        classes, begins = np.unique(of[order], return_index=True)
-        for c, a, b in zip(classes.tolist(), begins, np.r_[begins[1:], n]):
-            if at == 0 or b - a >= LEAST_SHINGLES:
-                out.append(((at << 20 | c & 0xFFFFF) & 0x1FFFFFF, simhash(all_[order[a:b]].tolist())))
-    return np.array(out or [(0, 0)], np.uint64).tobytes()
+        classes, begins, sizes = np.unique(of[order], return_index=True, return_counts=True)
+        ones = np.add.reduceat(bits[order], begins, axis=0, dtype=np.int32)
+        fps = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        scope = (np.uint64(at << 24) | classes) * np.uint64(0x9E3779B97F4A7C15)
+        # One shingle more or less may leave the majorities of a small class as they are; its size tells.
+        out.append(fps ^ (scope + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+    return np.concatenate(out), whole, n
+
+
+def tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prim's spanning tree by Hamming distance: edges (of, to) no longer than ``SKETCH``, with the runner-up of each node beside its
+    nearest. Of two members within the radius, every edge on the tree's path is as near as they are, or nearer."""
+    left = np.arange(1, len(fps))
+    best = np.bitwise_count(fps[left] ^ fps[0])
+    to, second = np.zeros(len(left), np.int64), np.full(len(left), -1)
+    us, vs = [], []
+    while len(left):
+        i = int(best.argmin())
+        at = int(left[i])
+        for t in (int(to[i]), int(second[i])):
+            if t >= 0 and int(fps[at] ^ fps[t]).bit_count() <= SKETCH:
+                us.append(at)
+                vs.append(t)
+        for x in (left, best, to, second):
+            x[i] = x[-1]
+        left, best, to, second = left[:-1], best[:-1], to[:-1], second[:-1]
+        d = np.bitwise_count(fps[left] ^ fps[at])
+        nearer = d <= best
+        second[nearer] = to[nearer]
+        to[nearer] = at
+        best[nearer] = d[nearer]
+    return np.array(us, np.int64), np.array(vs, np.int64)
+
+
+def near_pairs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (u, v), u < v, among rows that share a key; ``keys`` is sorted and holds whole groups."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    many = np.diff(np.r_[starts, len(keys)])
+    us, vs = [nodes[:0]], [nodes[:0]]
+    for s, n in zip(starts[many > PAIRS], many[many > PAIRS]):
+        u, v = tree(fps[s : s + n])
+        us.append(nodes[s : s + n][u])
+        vs.append(nodes[s : s + n][v])
+    use = (many > 1) & (many <= PAIRS)
+    starts, many = starts[use], many[use]
+    # Rows k places apart in their group, for each k.
+    rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts, many)
+    ends = np.repeat(starts + many, many)
+    for k in range(1, int(many.max(initial=1))):
+        a = rows[rows + k < ends]
+        b = a + k
+        ok = (np.bitwise_count(fps[a] ^ fps[b]) <= SKETCH) & (OF * np.minimum(sizes[a], sizes[b]) >= SHARE * np.maximum(sizes[a], sizes[b]))
+        us.append(nodes[a[ok]])
+        vs.append(nodes[b[ok]])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v) that may be near copies. ``prints``: node, fp, n, and ``keys`` as bytes."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, batch.num_rows, 1024):
+                rows = batch.slice(part, 1024)
+                data = rows.column("keys").to_pylist()
+                times = [len(d) // 8 for d in data]
+                each = [pa.array(np.repeat(rows.column(c).to_numpy(), times)) for c in ("fp", "n", "node")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), *each], ["k", "fp", "n", "node"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            u, v = near_pairs(*(np.concatenate([p[i] for p in parts]) for i in range(4)))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            k, fp, n, node = (batch.column(c).to_numpy() for c in ("k", "fp", "n", "node"))
+            if not len(k):
+                continue
+            fp = fp.view(np.uint64)
+            # The last group of a batch may go on in the next one.
+            cut = int(np.flatnonzero(np.r_[True, k[1:] != k[:-1]])[-1])
+            if cut:
+                yield out([*held, (k[:cut], fp[:cut], n[:cut], node[:cut])])
+                held = []
+            elif held and held[-1][0][-1] != k[0]:
+                yield out(held)
+                held = []
+            held.append((k[cut:], fp[cut:], n[cut:], node[cut:]))
+        if held:
+            yield out(held)
+
+    rows = prints.select("node", "fp", "n", "keys").mapInArrow(spread, "k long, fp long, n int, node long")
+    return rows.repartition(partitions(prints.sparkSession), "k").sortWithinPartitions("k").mapInArrow(meet, "u long, v long").distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(id, key, root) of every row of ``docs`` (id, key, text): texts of one root are near copies of each other, or linked by such.
 
-    Nodes are texts, by their key. Texts are linked if a fingerprint of one of their classes of shingles differs in at most two bits.
+    Nodes are texts, by their key. Texts are linked if a class of their shingles agrees and their whole fingerprints are near.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [class_prints(shingle_hashes(t.as_py() or b"", shingle)) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(fps, pa.binary())], ["id", "key", "fps"])
+            found = [class_prints(shingle_hashes(t.as_py() or b"", shingle)) for t in batch.column("text").cast(pa.binary())]
+            keys, fps, sizes = pa.array([k.tobytes() for k, _, _ in found], pa.binary()), np.array([f for _, f, _ in found], np.uint64), np.array([n for _, _, n in found], np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(fps.view(np.int64)), pa.array(sizes), keys], ["id", "key", "fp", "n", "keys"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    rows = written(docs.select("id", "key", "text").mapInArrow(of, f"id {kind}, key long, fps binary"), "prints")
-    nodes = rows.groupBy(F.col("key").alias("node")).agg(F.first("fps").alias("fps"))
-    roots = written(rooted(nodes.select("node"), links(nodes, CLASS)), "roots")
+    rows = written(docs.select("id", "key", "text").mapInArrow(of, f"id {kind}, key long, fp long, n int, keys binary"), "prints")
+    nodes = rows.groupBy(F.col("key").alias("node")).agg(F.first(F.struct("fp", "n", "keys")).alias("x")).select("node", "x.*")
+    edges = written(candidates(nodes), "pairs")
+    roots = written(rooted(nodes.select("node"), edges), "roots")
     return rows.select("id", "key").join(roots, F.col("key") == F.col("node")).select("id", "key", "root")
 
 
