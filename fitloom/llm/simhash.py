@@ -399,10 +399,40 @@ def candidates(prints: DataFrame) -> DataFrame:
     return rows.repartition(partitions(prints.sparkSession), "k").sortWithinPartitions("k").mapInArrow(meet, "u long, v long").distinct()
 
 
+def jaccard_reached(a: bytes, b: bytes) -> bool:
+    """Whether two sets of hashes (sorted, as bytes) have a similarity of 0.8 or more; two empty ones have."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return OF * both >= SHARE * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The ``pairs`` (u, v) of keys whose texts in ``docs`` (key, text) have a Jaccard similarity of 0.8 or more, by all their shingles."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.array(shingle_hashes(t.as_py() or b"", shingle), np.uint64)).tobytes() for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], ["key", "shingles"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [jaccard_reached(a.as_py(), b.as_py()) for a, b in zip(batch.column("a"), batch.column("b"))]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    ends = pairs.select(F.col("u").alias("end")).unionByName(pairs.select(F.col("v").alias("end"))).distinct()
+    texts = docs.select("key", "text").join(ends, F.col("key") == F.col("end"), "left_semi").dropDuplicates(["key"])
+    # A table of its own, so that the joins read plain exchanges and a text in very many pairs can be split.
+    of = written(texts.mapInArrow(sets, "key long, shingles binary"), "shingles")
+    left = pairs.join(of.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u")
+    both = left.join(of.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(judge, "u long, v long")
+
+
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(id, key, root) of every row of ``docs`` (id, key, text): texts of one root are near copies of each other, or linked by such.
 
-    Nodes are texts, by their key. Texts are linked if a class of their shingles agrees and their whole fingerprints are near.
+    Nodes are texts, by their key. Texts are linked if their shingles have a Jaccard similarity of 0.8 or more; candidates are those with a class of
+    shingles alike.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,7 +445,7 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     rows = written(docs.select("id", "key", "text").mapInArrow(of, f"id {kind}, key long, fp long, n int, keys binary"), "prints")
     nodes = rows.groupBy(F.col("key").alias("node")).agg(F.first(F.struct("fp", "n", "keys")).alias("x")).select("node", "x.*")
     edges = written(candidates(nodes), "pairs")
-    roots = written(rooted(nodes.select("node"), edges), "roots")
+    roots = written(rooted(nodes.select("node"), verified(edges, docs, shingle)), "roots")
     return rows.select("id", "key").join(roots, F.col("key") == F.col("node")).select("id", "key", "root")
 
 

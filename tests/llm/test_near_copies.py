@@ -37,3 +37,38 @@ def test_near_copies_of_short_texts_meet(docs, length, times):
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(changed(rng, w, times)))]
     assert all(jaccard(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.8 for i in range(40))
     assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(rows)).collect()) == list(range(0, 80, 2))
+
+
+def test_half_alike_long_texts_stay(docs):
+    """Texts that share a block and little else, at similarities of 0.43 to 0.6."""
+    rng = random.Random(4)
+    rows = []
+    for i, (n, share) in enumerate([(10_000, 0.7), (10_000, 0.6), (10_000, 0.75), (3_000, 0.7), (3_000, 0.75), (300, 0.75)]):
+        block = words(rng, int(n * share))
+        rows += [(2 * i + k, " ".join(block + words(rng, n - len(block)))) for k in (0, 1)]
+        assert jaccard(rows[-1][1], rows[-2][1]) < 0.61
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs(rows)).collect()) == list(range(len(rows)))
+
+
+def test_components_are_those_of_the_exact_similarity(docs):
+    """Families of copies of copies around 0.8, one of them above ``PAIRS``."""
+    rng = random.Random(8)
+    texts = []
+    for size, length in [(80, 120), (12, 60), (8, 400), (8, 30)]:
+        base = words(rng, length)
+        texts += [" ".join(changed(rng, base, rng.randint(0, max(1, length // 45)))) for _ in range(size)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    least = {find(i) for i in range(len(texts))}
+    assert 4 <= len(least) < len(texts)
+    assert {r["doc_id"] for r in simhash.one_of_each(docs(list(enumerate(texts)))).collect()} == least
