@@ -2,11 +2,12 @@
 
 For each benchmark item of m words the windows of m words of every document are looked at. A document is contaminated by an item
 if the weighted Jaccard similarity of their five-word shingles (shingles counted as often as they occur) is at least 0.8 for some
-window.
+window. A document of fewer than m words is one window.
 
 1. Seeds. Window and item have equally many shingles, so at 0.8 they share at least eight ninths of them, and of any ninth of an
    item's shingles plus one at least one is shared. Each item gives its rarest ones (over the whole benchmark) as seeds; where one
-   stands in a document, each window of m words around it is a candidate.
+   stands in a document, each window of m words around it is a candidate. A shorter document may lack a fifth of an item's shingles,
+   so there the rarest fifth plus one are seeds.
 2. SimHash. Candidate windows get a 64-bit fingerprint of their shingles, from sums of single bits.
 3. Multi-index Hamming blocks. A fingerprint within ``radius`` bits of an item's has at least one of radius + 1 blocks equal to the
    item's; windows and items of the same m meet by an equi-join on (m, block, value), then by their whole Hamming distance.
@@ -32,6 +33,8 @@ SIMILARITY = 0.8
 RADIUS = 20
 #: The part of its shingles that an item shares at least with a window as similar as ``SIMILARITY``.
 SHARED = 2 * SIMILARITY / (1 + SIMILARITY)
+#: A document shorter than an item has no shingles but shared ones at best, so it shares this part at least.
+SHARED_SHORT = (4, 5)
 #: The benchmark side is broadcast only up to this many seeds; beyond, the join shuffles.
 MOST_BROADCAST = 200_000
 
@@ -101,15 +104,20 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     counts = places.groupBy("item_id", "m", "size", "h").agg(F.count("*").alias("c"))
     everywhere = counts.groupBy("h").agg(F.sum("c").alias("seen"))
     ranked = counts.join(everywhere, "h").groupBy("item_id", "m", "size").agg(F.sort_array(F.collect_list(F.struct("seen", "h", "c"))).alias("all"))
-    # The rarest shingles until their occurrences are more than an item may lack.
+    # The rarest shingles until their occurrences are more than an item may lack; ``short`` ones count in shorter documents only.
     before = F.transform("all", lambda x, i: F.struct(x["h"].alias("h"), F.aggregate(F.slice("all", 1, i), F.lit(0).cast("long"), lambda s, y: s + y["c"]).alias("before")))
-    seeds = ranked.select("m", F.explode(F.filter(before, lambda x: x["before"] <= F.col("size") * (1 - SHARED))).alias("s")).select("m", "s.h").groupBy("h").agg(F.collect_set("m").alias("lengths"))
+    shared, of = SHARED_SHORT
+    chosen = ranked.select("m", "size", F.explode(F.filter(before, lambda x: of * x["before"] <= F.col("size") * (of - shared))).alias("s"))
+    short = F.col("s.before") > F.col("size") * (1 - SHARED)
+    seeds = chosen.select("s.h", F.struct("m", short.alias("short")).alias("length")).groupBy("h").agg(F.collect_set("length").alias("lengths"))
 
-    positions = docs.select("id", "key", F.posexplode(let(low_words(F.col("text")), shingles)).alias("p", "h"))
+    hashed = docs.select("id", "key", let(low_words(F.col("text")), shingles).alias("sh"))
+    positions = hashed.select("id", "key", (F.size("sh") + (SHINGLE - 1)).alias("n"), F.posexplode("sh").alias("p", "h"))
     small = seeds.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     hits = positions.join(F.broadcast(seeds) if small else seeds, "h")
     # One row a document: the windows' starts for each length, within the text.
-    starts = hits.select("id", "key", "p", F.explode("lengths").alias("m")).groupBy("id", "key").agg(F.collect_set(F.struct("m", "p")).alias("hits"))
+    for_length = hits.select("id", "key", "n", "p", F.inline("lengths")).filter(~F.col("short") | (F.col("n") < F.col("m")))
+    starts = for_length.groupBy("id", "key").agg(F.collect_set(F.struct("m", "p")).alias("hits"))
     # Texts move as they are, not as arrays of words, and only those with a hit are split again.
     near = docs.join(starts.withColumnsRenamed({"id": "id2", "key": "key2"}), docs["id"].eqNullSafe(F.col("id2")) & (docs["key"] == F.col("key2")))
 
@@ -117,7 +125,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         """m and start of each candidate in one long."""
 
         def around(hit: Column) -> Column:
-            first, last = F.greatest(F.lit(0), hit["p"] + SHINGLE - hit["m"]), F.least(hit["p"], F.size(w) - hit["m"])
+            first, last = F.greatest(F.lit(0), hit["p"] + SHINGLE - hit["m"]), F.least(hit["p"], F.greatest(F.lit(0), F.size(w) - hit["m"]))
             return F.when(first <= last, F.transform(F.sequence(first, last), lambda s: F.shiftleft(hit["m"].cast("long"), 32).bitwiseOR(s.cast("long")))).otherwise(F.array().cast("array<bigint>"))
 
         return F.array_distinct(F.flatten(F.transform("hits", around)))
