@@ -31,10 +31,9 @@ from fitloom.llm.common import fresh, let, text_key, words, written
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 20
-#: The part of its shingles that an item shares at least with a window as similar as ``SIMILARITY``.
-SHARED = 2 * SIMILARITY / (1 + SIMILARITY)
-#: A document shorter than an item has no shingles but shared ones at best, so it shares this part at least.
-SHARED_SHORT = (4, 5)
+#: The part of its shingles that an item may lack at most in a window as similar as ``SIMILARITY``: one in nine, and one in five of a
+#: document that is shorter than the item and has no others. Integers, as 1 - 2 * 0.8 / 1.8 is less than a ninth in floating point.
+LACKS, LACKS_SHORT = 9, 5
 #: The benchmark side is broadcast only up to this many seeds; beyond, the join shuffles.
 MOST_BROADCAST = 200_000
 
@@ -106,9 +105,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     ranked = counts.join(everywhere, "h").groupBy("item_id", "m", "size").agg(F.sort_array(F.collect_list(F.struct("seen", "h", "c"))).alias("all"))
     # The rarest shingles until their occurrences are more than an item may lack; ``short`` ones count in shorter documents only.
     before = F.transform("all", lambda x, i: F.struct(x["h"].alias("h"), F.aggregate(F.slice("all", 1, i), F.lit(0).cast("long"), lambda s, y: s + y["c"]).alias("before")))
-    shared, of = SHARED_SHORT
-    chosen = ranked.select("m", "size", F.explode(F.filter(before, lambda x: of * x["before"] <= F.col("size") * (of - shared))).alias("s"))
-    short = F.col("s.before") > F.col("size") * (1 - SHARED)
+    chosen = ranked.select("m", "size", F.explode(F.filter(before, lambda x: LACKS_SHORT * x["before"] <= F.col("size"))).alias("s"))
+    short = LACKS * F.col("s.before") > F.col("size")
     seeds = chosen.select("s.h", F.struct("m", short.alias("short")).alias("length")).groupBy("h").agg(F.collect_set("length").alias("lengths"))
 
     hashed = docs.select("id", "key", let(low_words(F.col("text")), shingles).alias("sh"))

@@ -31,3 +31,16 @@ def test_documents_shorter_than_the_item(spark, docs):
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-12 for k in got)
     kept = decontaminate.decontaminate(docs(rows), bench(spark, items))
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - {d for d, _ in expected}
+
+
+def test_windows_of_exactly_the_similarity(spark, docs):
+    """Items of 9 and 18 shingles that lack one and two at their edges: 8 / 10 and 16 / 20."""
+    rng = random.Random(6)
+    items = [words(rng, n) for n in (13, 22) for _ in range(40)]
+    rows = []
+    for i, w in enumerate(items):
+        for k, (a, b) in enumerate([(1, 0), (0, 1)] if len(w) == 13 else [(1, 1), (2, 0), (0, 2)]):
+            text = words(rng, 20) + words(rng, a) + w[a : len(w) - b] + words(rng, b) + words(rng, 20)
+            rows.append((10 * i + k, " ".join(text)))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaked(docs(rows), bench(spark, items)).collect()}
+    assert got == {(d, d // 10): 0.8 for d, _ in rows}
