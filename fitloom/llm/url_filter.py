@@ -3,13 +3,15 @@
 All glob rules are packed, one bit a pattern position, into the words of one mask (Shift-And). ``?`` is any byte, ``*`` any run
 without ``/``, ``**`` any run. A star keeps the position before it alive on the bytes it may swallow, so no empty moves are
 needed: for each byte c, state = ((state << 1) & step[c]) | (state & stay[c]). Whole batches of URLs advance together, sorted by
-length so that ended ones drop off the end.
+length so that ended ones drop off the end. It reads a canonical form of host and path (``canonical``); the columns host and path
+are as they stand in the URL.
 
 Null url, or one without ``://``: host and path are empty. Every row gives one row; ids may be null or repeated.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,6 +99,18 @@ class UrlRules:
         return [g for _, host, path in self.host_rules for g in (f"{host}{path}**", f"*.{host}{path}**")] + list(self.block_globs)
 
 
+def canonical(host: str, path: str) -> str:
+    """Host and path without user part and port, with unreserved characters decoded, the host's A-Z in lower case, and ``/`` for an empty path."""
+
+    def plain(text: str) -> str:
+        return re.sub("%(2[DdEe]|3[0-9]|[46][1-9A-Fa-f]|[57][0-9Aa]|5[Ff]|7[Ee])", lambda m: chr(int(m[1], 16)), text)
+
+    if not host and not path:
+        return ""
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), plain(re.sub(r":[0-9]*\Z", "", host.rpartition("@")[2])))
+    return host + (plain(path) or "/")
+
+
 def url_filter(urls: DataFrame, key: str, url: str = "url", rules: UrlRules = UrlRules()) -> DataFrame:
     """(key, host, path, rule, verdict, globs) of each row; ``globs`` names the block globs that match.
 
@@ -117,7 +131,7 @@ def url_filter(urls: DataFrame, key: str, url: str = "url", rules: UrlRules = Ur
         automaton = Automaton(rules.globs())
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            hit = automaton.matches([(h + p).encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths)])
+            hit = automaton.matches([canonical(h, p).encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths)])
             rule, verdict = [None] * len(hosts), ["block" if x else "allow" for x in hit[:, n:].any(axis=1)]
             for i in reversed(ranked):
                 for r in np.flatnonzero(hit[:, 2 * i] | hit[:, 2 * i + 1]):
