@@ -5,7 +5,8 @@ Lines without a word are left where they are and are no part of a window. Each t
 that several windows cover go once.
 
 Null text and texts of fewer than three worded lines have no window and stay. Rows alike in id and text are one document and get
-the same result. A null id comes last in the order. Extra columns are carried along.
+the same result. A null id comes last in the order; of different texts that share an id the one with the smaller 64-bit hash comes
+first. Extra columns are carried along, whatever their names. A text of any length is cut in one pass over its lines.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import WORD, fresh, let, text_key, written
+from fitloom.llm.common import WORD, fresh, let, quoted, text_key, written
 
 WINDOW = 3
 
@@ -60,16 +61,20 @@ def kept_lines(lines: Column, found: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the new columns ``kept_text_`` (null where the text is null), ``n_lines_`` and ``n_removed_``."""
-    key = fresh(docs, "line_key_")
-    rows = docs.withColumn(key, text_key(F.col(f"`{text}`")))
-    found = later_windows(rows.select(F.col(f"`{doc_id}`").alias("id"), F.col(key).alias("key"), F.col(f"`{text}`").alias("text")))
-    found = found.select(F.col("id").alias("found_id_"), F.col("key").alias("found_key_"), F.col("found").alias("found_pos_"))
-    joined = rows.join(found, rows[doc_id].eqNullSafe(F.col("found_id_")) & (F.col(key) == F.col("found_key_")), "left")
-    kept = let(split_lines(rows[text]), lambda lines: let(kept_lines(lines, F.col("found_pos_")), lambda k: F.struct(F.size(lines).alias("n"), (F.size(lines) - F.size(k)).alias("r"), F.when(rows[text].isNotNull(), F.array_join(k, "\n")).alias("t"))))
+    """``docs`` with the new columns ``kept_text_`` (null where the text is null), ``n_lines_`` and ``n_removed_``; each name is made longer
+    while ``docs`` has it. The last three columns of the result are these, in this order."""
+    inner = lambda name: fresh(docs, name)
+    key, found_id, found_key, found_pos, cut = (inner(n) for n in ("line_key_", "found_id_", "found_key_", "found_pos_", "line_kept_"))
+    source = F.col(quoted(text))
+    rows = docs.withColumn(key, text_key(source))
+    found = later_windows(rows.select(F.col(quoted(doc_id)).alias("id"), F.col(key).alias("key"), source.alias("text")))
+    found = found.select(F.col("id").alias(found_id), F.col("key").alias(found_key), F.col("found").alias(found_pos))
+    # The positions are hashed and the texts stream past them: no text is sorted.
+    joined = rows.join(found.hint("shuffle_hash"), F.col(quoted(doc_id)).eqNullSafe(F.col(found_id)) & (F.col(key) == F.col(found_key)), "left")
+    kept = let(split_lines(source), lambda lines: let(kept_lines(lines, F.col(found_pos)), lambda k: F.struct(F.size(lines).alias("n"), (F.size(lines) - F.size(k)).alias("r"), F.when(source.isNotNull(), F.array_join(k, "\n")).alias("t"))))
     # The array of one row keeps filters on the result from being pushed below, where lines would be cut again.
-    out = joined.select(*(rows[c] for c in docs.columns), F.explode(F.array(kept)).alias("line_kept_"))
-    return out.select(*docs.columns, F.col("line_kept_.t").alias("kept_text_"), F.col("line_kept_.n").cast("bigint").alias("n_lines_"), F.col("line_kept_.r").cast("bigint").alias("n_removed_"))
+    out = joined.select(*map(quoted, docs.columns), F.explode(F.array(kept)).alias(cut))
+    return out.select(*map(quoted, docs.columns), F.col(f"{cut}.t").alias(inner("kept_text_")), F.col(f"{cut}.n").cast("bigint").alias(inner("n_lines_")), F.col(f"{cut}.r").cast("bigint").alias(inner("n_removed_")))
 
 
 def deduped(docs: DataFrame) -> DataFrame:
