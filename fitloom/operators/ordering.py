@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fitloom.sources import sinks
+
 
 def running(df: DataFrame, order: list[str], name: str, value: str | None = None) -> DataFrame:
     """``df`` with the running count (or sum of ``value``) in the order of ``order``, which should be unique.
 
-    The number of ranges is fixed, so the exchange is one and the same for rows and totals and is reused; what meets in one task for
-    the shift is one row a range.
+    Rows are dealt to ranges and written with their range's number, so that rows and totals are sure to have the same ranges: the limits
+    are sampled, and a second exchange would sample others. What meets in one task for the shift is one row a range.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *(F.col(f"`{c}`") for c in order)).withColumn("range_", F.spark_partition_id())
+    placed = sinks.between(df.repartitionByRange(n, *(F.col(f"`{c}`") for c in order)).withColumn("range_", F.spark_partition_id()))
     part = F.lit(1).cast("long") if value is None else F.col(value)
     totals = placed.groupBy("range_").agg(F.sum(part).alias("total_"))
     shift = totals.select("range_", F.coalesce(F.sum("total_").over(W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("shift_"))
