@@ -6,13 +6,14 @@ import ast
 import math
 from decimal import Decimal, InvalidOperation
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fitloom.functions import expr
 
 # Cells that mean "nothing", and the patterns of names, numbers and ranges.
-NOTHING = ("", "none", "(none)", "null", "nan", "n/a", "-", "—")
+NOTHING = ("", "none", "(none)", "nan")
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
 RANGE = rf"([A-Za-z_]\w*)\s*(?:=|in\s)\s*\[\s*({NUMBER})\s*,\s*({NUMBER})\s*\]"
@@ -126,6 +127,21 @@ def initial_values(text: str | None, symbols: bool = True) -> list[float]:
     return out
 
 
+def initial_column(c: Column, symbols: bool = True) -> Column:
+    """``initial_values`` of each row."""
+
+    @F.pandas_udf("array<double>")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: initial_values(t, symbols))
+
+    return of(c)
+
+
+def named_values(names_: Column, values: Column) -> Column:
+    """A map of names and the vector that belongs to them; they must be equally many."""
+    return must(F.size(names_) == F.size(values), F.map_from_arrays(names_, values), "names and values don't fit:", F.size(names_), F.size(values))
+
+
 def literal_cell(text: str) -> list:
     """A list written as JSON or as a Python literal, on the driver."""
     value = ast.literal_eval(text)

@@ -83,6 +83,12 @@ def clipped(x: Column, lo: float, hi: float, failed: float = 0.0) -> Column:
     return F.coalesce(F.least(F.greatest(masked(x), F.lit(lo)), F.lit(hi)), F.lit(failed))
 
 
+def clock(seconds: float) -> str:
+    """Seconds as h:mm:ss, on the driver."""
+    s = int(seconds)
+    return f"{s // 3600}:{s % 3600 // 60:02d}:{s % 60:02d}"
+
+
 def duration(seconds: Column) -> Column:
     """Seconds as h:mm:ss."""
     s = F.floor(seconds)

@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fitloom.functions import canonical
-from fitloom.functions.expr import FormulaError, parse
+from fitloom.functions.expr import parse
 
-KEYS = "text_key string, symbol_key string, exact_key string, parsed boolean"
+KEYS = "text_key string, symbol_key string, exact_key string, probe_key string, parsed boolean"
 
 
 def with_text_key(df: DataFrame, formula: str) -> DataFrame:
@@ -22,12 +22,12 @@ def with_text_key(df: DataFrame, formula: str) -> DataFrame:
 
 
 def formula_keys(formulas: DataFrame, formula: str) -> DataFrame:
-    """(text_key, symbol_key, exact_key, parsed) of the distinct texts of all files together."""
+    """(text_key, symbol_key, exact_key, probe_key, parsed) of the distinct texts of all files together."""
 
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = [canonical.keys(t) for t in part["text_key"]]
-            yield pd.DataFrame({"text_key": part["text_key"], "symbol_key": [k[0] for k in found], "exact_key": [k[1] for k in found], "parsed": [k[2] for k in found]})
+            yield pd.DataFrame({"text_key": part["text_key"], "symbol_key": [k[0] for k in found], "exact_key": [k[1] for k in found], "probe_key": [k[2] for k in found], "parsed": [k[3] for k in found]})
 
     return with_text_key(formulas, formula).filter("text_key <> ''").select("text_key").distinct().mapInPandas(of, KEYS)
 
@@ -35,37 +35,34 @@ def formula_keys(formulas: DataFrame, formula: str) -> DataFrame:
 def mark(formulas: DataFrame, formula: str, file: str = "file", row: str = "row_idx", compare: bool = True) -> DataFrame:
     """``formulas`` with ``eq_id`` (1.. in row order of each file) and ``redundant`` (0, or the eq_id of the first equivalent row).
 
-    An empty formula stands for itself. Rows with one exact key are one class by an aggregate. With ``compare`` the classes of one file
-    and symbol set are also compared in pairs by probes: classes, not rows, are what is sent to a grouped function.
+    An empty formula stands for itself. Rows with one exact key are one class by an aggregate. With ``compare`` classes of one file, symbol
+    set and probe key are verified by their probes, each worked out once; all others are settled by their keys.
     """
     numbered = with_text_key(formulas, formula).withColumn("eq_id", F.row_number().over(W.partitionBy(file).orderBy(row)).cast("long"))
     keyed = numbered.join(formula_keys(formulas, formula), "text_key", "left")
     own = F.when(F.col("text_key") == "", F.concat(F.lit("row: "), F.col("eq_id").cast("string"))).otherwise(F.col("exact_key"))
-    keyed = keyed.withColumn("exact_key", own)
-    first = keyed.groupBy(file, "symbol_key", "exact_key").agg(F.min("eq_id").alias("first"), F.min_by("text_key", "eq_id").alias("text"), F.max(F.coalesce("parsed", F.lit(False))).alias("parsed"))
+    keyed = keyed.withColumn("exact_key", own).fillna("", ["symbol_key", "probe_key"])
+    block, klass = [file, "symbol_key", "probe_key"], [file, "symbol_key", "exact_key"]
+    first = keyed.groupBy(*block, "exact_key").agg(F.min("eq_id").alias("first"), F.min_by("text_key", "eq_id").alias("text"), F.max(F.coalesce("parsed", F.lit(False))).alias("parsed"))
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("first")
-        trees, out = [], []
-        for key, at, text, parsed in zip(part["exact_key"], part["first"], part["text"], part["parsed"]):
-            found = at
-            try:
-                tree = parse(text) if parsed else None
-            except (FormulaError, RecursionError):
-                tree = None
-            if tree is not None:
-                found = next((i for t, i in trees if canonical.equivalent(t, tree)), at)
-                if found == at:
-                    trees.append((tree, at))
-            out.append((part[file].iloc[0], key, found))
-        return pd.DataFrame(out, columns=[file, "exact_key", "leader"])
+        probes, out = [], []
+        for key, at, text in part.sort_values("first")[["exact_key", "first", "text"]].itertuples(index=False):
+            p = canonical.probe(parse(text))
+            found = next((i for q, i in probes if canonical.agree(q, p)), at)
+            if found == at:
+                probes.append((p, at))
+            out.append((part[file].iloc[0], part["symbol_key"].iloc[0], key, found))
+        return pd.DataFrame(out, columns=[*klass, "leader"])
 
     if compare:
-        kinds = f"{file} {formulas.schema[file].dataType.simpleString()}, exact_key string, leader long"
-        classes = first.groupBy(file, "symbol_key").applyInPandas(merge, kinds)
+        kinds = f"{file} {formulas.schema[file].dataType.simpleString()}, symbol_key string, exact_key string, leader long"
+        counted = first.withColumn("n", F.count("*").over(W.partitionBy(*block))).withColumn("some", F.col("parsed") & (F.col("n") > 1))
+        merged = counted.filter("some").groupBy(*block).applyInPandas(merge, kinds)
+        classes = merged.unionByName(counted.filter("not some").select(*klass, F.col("first").alias("leader")))
     else:
-        classes = first.select(file, "exact_key", F.col("first").alias("leader"))
-    out = keyed.join(classes, [file, "exact_key"], "left")
+        classes = first.select(*klass, F.col("first").alias("leader"))
+    out = keyed.join(classes, klass, "left")
     return out.select(*formulas.columns, "eq_id", F.when(F.col("leader") == F.col("eq_id"), 0).otherwise(F.coalesce("leader", F.lit(0))).cast("long").alias("redundant"))
 
 
