@@ -2,7 +2,7 @@
 
 Formulas that are linear in their parameters are fitted with one pass of sums (plain aggregates); one nonlinear formula on groups of
 any size by rounds of such passes (``fit_by_sums``). Many formulas on datasets of thousands of rows go through a grouped Arrow
-function: the rows of one (id, group) are sent once, and every formula of the id is fitted to them there. Formulas come as a small table broadcast under a checked bound.
+function: the rows of one (id, group) are sent once and meet all formulas of the id there, so there may be any number of formulas.
 """
 
 from __future__ import annotations
@@ -22,9 +22,6 @@ from fitloom.functions.scalars import ERROR_MSE, ERROR_R2
 from fitloom.operators import metrics
 from fitloom.sources import sinks
 
-#: Formulas that may be sent to every task.
-MOST_FORMULAS = 100_000
-
 
 @dataclass(frozen=True)
 class Prepared:
@@ -84,7 +81,8 @@ def marquardt(residual: Callable, jacobian: Callable, start: np.ndarray, lower:
     """Damped Gauss-Newton with scaled columns; steps are projected into the bounds. Returns the best finite point that was visited and its cost."""
     p = np.clip(start, lower, upper)
     r = residual(p)
-    cost = float(r @ r)
+    with np.errstate(over="ignore", invalid="ignore"):
+        cost = float(r @ r)
     best, best_cost = p, cost if np.isfinite(cost) else np.inf
     damping, quiet = 1e-3, 0
     for _ in range(most):
@@ -104,7 +102,8 @@ def marquardt(residual: Callable, jacobian: Callable, start: np.ndarray, lower:
                 continue
             q = np.clip(p + step, lower, upper)
             s = residual(q)
-            new = float(s @ s)
+            with np.errstate(over="ignore", invalid="ignore"):
+                new = float(s @ s)
             if np.isfinite(new) and new < best_cost:
                 moved = True
                 break
@@ -182,41 +181,52 @@ def fit_one(f: Prepared, x: dict[str, np.ndarray], y: np.ndarray, retries: int =
 FIT_SCHEMA = "id string, formula_id string, grp int, ok boolean, mse double, nmse double, r2 double, params array<double>, attempts int, retry_used boolean, error string"
 
 
+def formula_groups(formulas: DataFrame, groups: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """Every formula of a problem with every dataset of that problem."""
+    return groups.select(*keys, group).distinct().join(formulas, keys)
+
+
 def fit_groups(samples: DataFrame, formulas: DataFrame, variables: list[str], y: str = "y", constants: dict[str, float] | None = None, ranges: dict[str, tuple[float, float]] | None = None, bounded: bool = False, protected: bool = False, retries: int = 2, seed: int = 0, order: str | None = None, strict: bool = True) -> DataFrame:
     """Every formula of an id on every group of that id.
 
-    ``samples``: id, grp, the variables, y. ``formulas``: id, formula_id, formula, para_list, orgpara_list. A formula that can't be
-    prepared fails in its own row; the job goes on.
+    ``samples``: id, grp, the variables, y. ``formulas``: id, formula_id, formula, para_list, orgpara_list, and, where problems differ in
+    them, ``variables`` (array), ``constants`` (map) and ``ranges`` (array of name, lo, hi), which stand before the arguments. Rows of
+    which the target or one of the problem's own variables isn't finite are left out. A formula that can't be prepared fails in its own
+    row; the job goes on.
     """
-    rows = formulas.select("id", "formula_id", "formula", "para_list", "orgpara_list").limit(MOST_FORMULAS + 1).collect()
-    if len(rows) > MOST_FORMULAS:
-        raise ValueError(f"more than {MOST_FORMULAS} formulas; fit them in parts")
-    by_id: dict[str, list] = {}
-    for r in rows:
-        by_id.setdefault(r["id"], []).append((r["formula_id"], r["formula"], list(r["para_list"] or []), list(r["orgpara_list"] or [])))
-    shared = samples.sparkSession.sparkContext.broadcast(by_id)
-
-    def fit_all(part: pd.DataFrame) -> pd.DataFrame:
-        gid, grp = part["id"].iloc[0], int(part["grp"].iloc[0])
-        if order:
-            part = part.sort_values(order, kind="stable")
-        data = {v: part[v].to_numpy(float) for v in variables}
-        target = part[y].to_numpy(float)
-        good = np.isfinite(target) & np.logical_and.reduce([np.isfinite(a) for a in data.values()] or [np.ones(len(target), bool)])
-        data, target = {v: a[good] for v, a in data.items()}, target[good]
+    there = lambda c, value, kind: value if c in formulas.columns else F.lit(None).cast(kind)
+    pair = lambda c, part, kind: there(c, F.col(f"{c}.{part}"), kind)
+    listed = formulas.select(
+        "id", "formula_id", "formula", "para_list", "orgpara_list", there("variables", F.col("variables"), "array<string>").alias("own_"),
+        there("constants", F.map_keys("constants"), "array<string>").alias("c_name_"), there("constants", F.map_values("constants"), "array<double>").alias("c_value_"),
+        pair("ranges", "name", "array<string>").alias("r_name_"), pair("ranges", "lo", "array<double>").alias("r_lo_"), pair("ranges", "hi", "array<double>").alias("r_hi_"),
+    )
+    given = lambda x: [] if x is None else list(x)
+
+    def fit_all(rows: pd.DataFrame, work: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for fid, text, parameters, initial in shared.value.get(gid, []):
+        if order:
+            rows = rows.sort_values(order, kind="stable")
+        target = rows[y].to_numpy(float)
+        for f in work.sort_values("formula_id", kind="stable").itertuples(index=False) if len(rows) else ():
+            gid, grp, fid = f.gid, int(f.ggrp), f.formula_id
+            mine = given(f.own_) if f.own_ is not None else variables
+            data = {v: rows[v].to_numpy(float) for v in mine}
+            good = np.logical_and.reduce([np.isfinite(target), *(np.isfinite(a) for a in data.values())])
+            own = constants if f.c_name_ is None else dict(zip(given(f.c_name_), given(f.c_value_)))
+            bounds = ranges if f.r_name_ is None else dict(zip(given(f.r_name_), zip(given(f.r_lo_), given(f.r_hi_))))
             try:
-                prepared = prepare(text, variables, parameters, initial, constants, ranges, protected, strict)
-                r = fit_one(prepared, data, target, retries, seed, f"{gid}|{grp}|{fid}", bounded)
+                prepared = prepare(f.formula, mine, given(f.para_list), given(f.orgpara_list), own, bounds, protected, strict)
+                r = fit_one(prepared, {v: a[good] for v, a in data.items()}, target[good], retries, seed, f"{gid}|{grp}|{fid}", bounded)
             except FormulaError as e:
                 r = Fit(False, np.array([]), ERROR_MSE, ERROR_MSE, ERROR_R2, 0, False, str(e))
             out.append((gid, fid, grp, r.ok, r.mse, r.nmse, r.r2, [float(v) for v in r.params], r.attempts, r.retry_used, r.error))
         return pd.DataFrame(out, columns=["id", "formula_id", "grp", "ok", "mse", "nmse", "r2", "params", "attempts", "retry_used", "error"])
 
     keep = ["id", "grp", *variables, y, *([order] if order and order not in variables else [])]
-    with_formulas = samples.select(*keep).filter(F.col("id").isin(list(by_id)) if len(by_id) <= 1000 else F.lit(True))
-    return with_formulas.groupBy("id", "grp").applyInPandas(fit_all, FIT_SCHEMA)
+    rows = samples.select(*keep).join(formulas.select("id").distinct(), "id", "left_semi")
+    work = formula_groups(listed, samples, ["id"], "grp").withColumnsRenamed({"id": "gid", "grp": "ggrp"})
+    return rows.groupBy("id", "grp").cogroup(work.groupBy("gid", "ggrp")).applyInPandas(fit_all, FIT_SCHEMA)
 
 
 def linear_fit(rows: DataFrame, keys: list[str], text: str, parameters: list[str], variables: dict[str, Column], y: str) -> DataFrame:
@@ -308,9 +318,9 @@ def score_with(rows: DataFrame, text: str, variables: dict[str, Column], paramet
 
 
 def baseline(samples: DataFrame, specs: DataFrame, variables: list[str], **options) -> DataFrame:
-    """The bounded fit of each problem's true formula: what a perfect search could reach."""
-    formulas = specs.select("id", F.lit("true").alias("formula_id"), F.col("generation_formula").alias("formula"), F.col("params.name").alias("para_list"), F.transform("params", lambda p: (p["lo"] + p["hi"]) / 2).alias("orgpara_list"))
-    return fit_groups(samples, formulas, variables, bounded=True, protected=True, **options)
+    """The bounded fit of each problem's true formula, its parameters within their ranges: what a perfect search could reach."""
+    formulas = specs.select("id", F.lit("true").alias("formula_id"), F.col("generation_formula").alias("formula"), F.array().cast("array<string>").alias("para_list"), F.array().cast("array<double>").alias("orgpara_list"), "variables", "constants", F.col("params").alias("ranges"))
+    return fit_groups(samples, formulas, variables, bounded=True, protected=True, strict=False, **options)
 
 
 def with_values(text: str, values: dict[str, float]) -> str:

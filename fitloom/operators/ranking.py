@@ -57,17 +57,26 @@ def completed_prefix(marks: DataFrame, keys: list[str], at: str = "dataset", don
 
 def natural_order(name: Column) -> list[Column]:
     """P2 before P10: the letters, then the number, then the text."""
-    return [F.regexp_extract(name, r"^(\D*)", 1), F.expr(f"try_cast(regexp_extract({_sql(name)}, '(\\\\d+)', 1) as bigint)"), name]
-
-
-def _sql(name: Column) -> str:
-    return name._jc.toString() if hasattr(name, "_jc") else str(name)
+    return [F.regexp_extract(name, r"^(\D*)", 1), F.regexp_extract(name, r"(\d+)", 1).try_cast("bigint"), name]
 
 
 def by_id_and_rank(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("ID").cast("string"), "TopRank")
 
 
+def ranked_rows(rows: DataFrame, rank: int = 1, column: str = "TopRank") -> DataFrame:
+    """The rows of one rank; it is an error if there are none."""
+    chosen = rows.filter(F.col(column) == rank)
+    if not chosen.take(1):
+        raise ValueError(f"no row has {column} {rank}")
+    return chosen
+
+
+def heavier_first(work: DataFrame, weight: str, first: str) -> DataFrame:
+    """``place`` 1, 2, ...: the heaviest work first, equals by ``first`` (for a table of problems)."""
+    return work.withColumn("place", F.row_number().over(W.orderBy(F.desc(weight), first)).cast("long"))
+
+
 def chunks(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     """``chunk`` 0..n-1: contiguous runs of nearly equal length, in order (for a table of IDs)."""
     return df.withColumn("chunk", F.ntile(n).over(W.orderBy(*order)) - 1)

@@ -67,6 +67,13 @@ def worst_case_survival(long: DataFrame, steps: int = 400) -> DataFrame:
     return metrics.survival(worst.withColumn("worst", F.when(F.col("worst") > float("-inf"), F.col("worst"))), ["worst"], steps, ("train_noise",))
 
 
+def coverage(df: DataFrame, columns: dict[float, str]) -> DataFrame:
+    """(test_noise, valid, tasks, q25, median, q75): the noise profile of one method, failed evaluations left out of the quantiles."""
+    long = unpivot(df.select("ID", *(scalars.masked(F.col(c)).alias(str(level)) for level, c in columns.items())), ["ID"], [str(level) for level in columns], "t_", "r2")
+    r = F.col("r2")
+    return long.groupBy(F.col("t_").cast("double").alias("test_noise")).agg(F.count(r).alias("valid"), F.count("*").alias("tasks"), *(F.percentile(r, s).alias(n) for s, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))))
+
+
 def profile(summary: DataFrame) -> DataFrame:
     return summary.select("train_noise", "test_noise", "median_r2", "q25_r2", "q75_r2", "high_accuracy_rate", "positive_r2_rate")
 
@@ -123,6 +130,28 @@ def complexity_points(df: DataFrame, r2: str) -> DataFrame:
     return df.select("ID", "complexity", scalars.masked(F.col(r2)).alias("r2")).withColumn("outlier", F.coalesce(F.col("r2") < 0, F.lit(False)))
 
 
+def least_r2(df: DataFrame, r2: str) -> DataFrame:
+    """The least valid R2, which sets the panel of outliers; one row."""
+    return df.agg(F.min(scalars.masked(F.col(r2))).alias("least"), F.count_if(scalars.masked(F.col(r2)) < 0).alias("negative"))
+
+
+def overview(df: DataFrame, score: str, noise: dict[str, str], shifts: dict[str, str], tasks: int = TASKS) -> DataFrame:
+    """(statistic, level, value): the key numbers of a benchmark run, medians of structure and of R2 by condition, and successes of all tasks."""
+    from functools import reduce
+
+    s = F.when(scalars.finite(F.col(score)) & (F.col(score) >= 0), F.col(score))
+    facts = [
+        df.select(F.lit("tasks").alias("statistic"), F.lit("").alias("level"), F.lit(float(tasks)).alias("value")).limit(1),
+        df.agg(F.count_if(s >= 80).cast("double").alias("value")).select(F.lit("similarity of 80 or more").alias("statistic"), F.lit("").alias("level"), "value"),
+        df.agg(F.median(s).alias("value")).select(F.lit("median similarity").alias("statistic"), F.lit("").alias("level"), "value"),
+    ]
+    for kind, columns in (("noise", noise), ("shift", shifts)):
+        if columns:
+            by = level_statistics(df, columns)
+            facts += [by.select(F.lit(f"{kind} median R2").alias("statistic"), "level", F.col("median").alias("value")), by.select(F.lit(f"{kind} success percent").alias("statistic"), "level", F.col("success_90").alias("value"))]
+    return reduce(DataFrame.unionByName, facts)
+
+
 def success_comparison(tables: dict[str, DataFrame], r2: str, tasks: int = TASKS) -> DataFrame:
     from functools import reduce
 

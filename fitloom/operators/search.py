@@ -21,6 +21,7 @@ from fitloom.functions.compile import to_numpy
 from fitloom.functions.expr import FormulaError, Name, Node, Num, Op, complexity, generalise, parse, show, substitute, walk
 from fitloom.operators.fitting import Prepared, fit_one
 from fitloom.operators.ranking import lowest_loss, scored_front
+from fitloom.sources import sinks
 
 # Operators of the search, and how often which function may stand inside which.
 BINARY = ("+", "-", "*", "/", "**")
@@ -131,7 +132,7 @@ class Island:
     def tuned(self, node: Node) -> Node:
         """The same structure with its numbers fitted."""
         tree, parameters, initial = generalise(node)
-        if not parameters or len(parameters) > 8:
+        if not parameters:
             return node
         used = tuple(v for v in self.variables if any(isinstance(n, Name) and n.id == v for n in walk(tree)))
         m = len(parameters)
@@ -213,13 +214,31 @@ def generalised(equations: DataFrame, formula: str = "equation") -> DataFrame:
     return equations.mapInPandas(of, kinds)
 
 
-def discover(samples: DataFrame, variables: list[str], datasets: list[int], settings: Settings = Settings(), parameters: dict[str, dict[int, dict[str, float]]] | None = None, done: DataFrame | None = None, top: int = 10) -> DataFrame:
+def complexities(formulas: DataFrame, formula: str) -> DataFrame:
+    """``formulas`` with the weighted number of nodes as ``complexity``; null for a text that is no formula."""
+    kinds = T.StructType([*formulas.schema.fields, T.StructField("complexity", T.LongType())])
+
+    def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def size(text: str) -> int | None:
+            try:
+                return complexity(parse(text))
+            except FormulaError:
+                return None
+
+        for part in parts:
+            yield part.assign(complexity=pd.array([size(t) for t in part[formula]], "Int64"))
+
+    return formulas.mapInPandas(of, kinds)
+
+
+def discover(samples: DataFrame, variables: list[str], datasets: list[int], settings: Settings = Settings(), parameters: dict[str, dict[int, dict[str, float]]] | None = None, done: DataFrame | None = None, top: int = 10, seeds: dict[str, list[str]] | None = None) -> DataFrame:
     """The summary of all datasets: for each the lowest losses of its front, generalised.
 
     ``samples``: id, grp, the variables, y. ``parameters`` (id, dataset, name to value) turns on the mode with parameter features.
-    ``done`` (id, dataset) is skipped. The loop over datasets is serial, as each starts from the front of the one before.
+    ``done`` (id, dataset) is skipped. The loop over datasets is serial, as each starts from the front of the one before, the first
+    one from ``seeds`` (id to equations).
     """
-    out, seeds = None, {}
+    out, seeds = None, dict(seeds or {})
     for d in datasets:
         rows = samples.filter(F.col("grp") == d)
         if done is not None:
@@ -231,7 +250,8 @@ def discover(samples: DataFrame, variables: list[str], datasets: list[int], sett
                 value = F.create_map(*(F.lit(v) for k, by in parameters.items() if d in by and n in by[d] for v in (k, by[d][n])))
                 rows = rows.withColumn(n, F.element_at(value, F.col("id")))
             features += names
-        found = front(search_dataset(rows, features, d, replace(settings, seed=settings.seed + d), seeds)).cache()
+        # Found once: the front is read for the next dataset's start and for the summary.
+        found = sinks.between(front(search_dataset(rows, features, d, replace(settings, seed=settings.seed + d), seeds)))
         seeds = {r["id"]: list(r["e"]) for r in found.groupBy("id").agg(F.collect_list("equation").alias("e")).collect()}  # a front a problem
         best = generalised(lowest_loss(found, ["id", "dataset"], top, first="complexity").drop("rank"))
         out = best if out is None else out.unionByName(best)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,44 +11,18 @@ from fitloom.functions.expr import generalise, parse, show
 from fitloom.functions.scalars import rounded
 from fitloom.operators import dedup, fitting, generate, metrics, ranking, relational, report, search
 from fitloom.operators.ordering import running
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL where there is one."""
-
-    def add(fn: Query) -> Query:
-        _QUERIES[fn.__name__] = fn
-        if sql:
-            _SQL[fn.__name__] = sql
-        return fn
-
-    return add
+from fitloom.plans.registry import QUERIES, SQL, Query, query, r, rounded_all, table
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from fitloom.plans import cell_queries, fit_queries, report_queries, source_queries  # noqa: F401  (they register theirs)
 
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(QUERIES)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r(sql: str, places: int = 4) -> str:
-    """The rounding helper in SQL."""
-    p = f"1e{places}::DOUBLE"
-    return f"(floor(({sql}) * {p} + 0.5) / {p})"
-
-
-def rounded_all(df: DataFrame, places: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: rounded(F.col(c), places) for c in columns})
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(SQL)
 
 
 LINE = ["l_returnflag", "l_linestatus"]
@@ -157,7 +129,7 @@ def q_argmin_global(spark, sf_dir):
 
 @query(f"select l_returnflag, {r('corr(l_quantity, l_extendedprice)', 8)} as r from lineitem group by 1")
 def q_pearson(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(rounded(F.corr("l_quantity", "l_extendedprice"), 8).alias("r"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(rounded(metrics.correlation("l_quantity", "l_extendedprice"), 8).alias("r"))
 
 
 @query(f"""with r as (select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0::DOUBLE as a, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0::DOUBLE as b, l_quantity as x, l_extendedprice as y from lineitem)
@@ -286,9 +258,10 @@ def q_right_join_validated(spark, sf_dir):
     return relational.attach_master(table(spark, sf_dir, "customer").withColumn("k", F.col("c_nationkey")), master, "k").select("c_custkey", "c_nationkey", "c_name", "n_name")
 
 
-@query("select distinct c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select distinct c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def q_unmatched(spark, sf_dir):
-    return relational.unmatched(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return relational.unmatched(table(spark, sf_dir, "customer"), urgent, "c_custkey")
 
 
 @query(f"select n_nationkey, {r('coalesce(b, -1e9)', 2)} as best, b is null as filled from nation left join (select s_nationkey, max(s_acctbal) as b from supplier where s_acctbal > 5000 group by 1) on n_nationkey = s_nationkey")
@@ -312,11 +285,11 @@ def q_band_self_join(spark, sf_dir):
     return relational.band_counts(points, "p_partkey", "x", "y", 5.0, 0.01)
 
 
-@query("select n_nationkey, s_suppkey, c_custkey from nation join supplier on s_nationkey = n_nationkey join customer on c_nationkey = n_nationkey where c_acctbal > 9000")
+@query("select s_nationkey as n_nationkey, s_suppkey, c_custkey from supplier join customer on c_nationkey = s_nationkey")
 def q_formula_group_cross(spark, sf_dir):
     formulas = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
-    groups = table(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
-    return table(spark, sf_dir, "nation").select("n_nationkey").join(formulas, "n_nationkey").join(groups, "n_nationkey")
+    groups = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
+    return fitting.formula_groups(formulas, groups, ["n_nationkey"], "c_custkey")
 
 
 @query("select o_orderkey as k, o_totalprice as a, null::DOUBLE as b from orders where o_orderstatus = 'F' union all by name select l_orderkey as k, l_tax as b, null::DOUBLE as a from lineitem where l_tax > 0.07")
@@ -469,7 +442,7 @@ def q_list_parse(spark, sf_dir):
 
 @query("select event_id, json_extract_string(props, '$.' || json_keys(props)[1]) as first from events")
 def q_json_props(spark, sf_dir):
-    m = F.from_json("props", "map<string,string>")
+    m = cells.json_cell(F.col("props"), "map<string,string>")
     return table(spark, sf_dir, "events").select("event_id", F.get(F.map_values(m), F.lit(0)).alias("first"))
 
 
@@ -598,7 +571,10 @@ def q_bounded_fit(spark, sf_dir):
     return fitting.fit_groups(_samples(spark, sf_dir), free, ["q", "d"], ranges={"k": (0.1, 5.0), "m": (0.5, 1.5)}, bounded=True, protected=True, retries=0, order="row_idx", strict=False)
 
 
-@query()
+@query("""with p as (select p_brand as file, p_partkey as row_idx, p_partkey % 4 as k, p_size::VARCHAR as n from part),
+t as (select file, row_idx, k, n, case k when 0 then n || '*x + x*y' when 1 then 'x*(y + ' || n || ')' when 2 then 'sin(x)*cos(y)*2 + 0*' || n else 'sin(x + y) + sin(x - y)' end as para_eq, row_number() over (partition by file order by row_idx) as eq_id from p),
+f as (select *, min(eq_id) over (partition by file, case when k < 2 then n else 'wave' end) as first from t)
+select file, row_idx, para_eq, eq_id, case when first = eq_id then 0 else first end as redundant from f""")
 def q_canonical_equiv(spark, sf_dir):
     n = F.col("p_size").cast("string")
     shapes = F.element_at(F.array(F.concat(n, F.lit("*x + x*y")), F.concat(F.lit("x*(y + "), n, F.lit(")")), F.concat(F.lit("sin(x)*cos(y)*2 + 0*"), n), F.lit("sin(x + y) + sin(x - y)")), (F.col("p_partkey") % 4 + 1).cast("int"))
@@ -606,10 +582,13 @@ def q_canonical_equiv(spark, sf_dir):
     return dedup.mark(rows, "para_eq")
 
 
-@query()
+@query(f"""select p_partkey, p_size || '*x**2 - ' || p_retailprice || '*sin(x) + ' || p_size as equation, case when p_size = 2 then 'p0*x**p0 + p1*(p2*sin(x)) + p0' else 'p0*x**p1 + p2*(p3*sin(x)) + p0' end as para_eq,
+case when p_size = 2 then 'p0,p1,p2' else 'p0,p1,p2,p3' end as para_list, {r('p_size + case when p_size = 2 then 0 else 2 end - 1 + p_retailprice', 3)} as total from part""")
 def q_generalise(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("*x**2 - "), F.col("p_retailprice").cast("string"), F.lit("*sin(x) + "), F.col("p_size").cast("string")).alias("equation"))
-    return search.generalised(rows)
+    out = search.generalised(rows)
+    total = F.aggregate("orgpara_list", F.lit(0.0), lambda a, x: a + x)
+    return out.select("p_partkey", "equation", "para_eq", F.array_join("para_list", ",").alias("para_list"), rounded(total, 3).alias("total"))
 
 
 @query()

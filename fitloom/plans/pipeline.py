@@ -6,6 +6,7 @@ from __future__ import annotations
 import argparse
 import sys
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +16,30 @@ from fitloom.functions import cells
 from fitloom.operators import dedup, fitting, generate, metrics, ranking, report, search
 from fitloom.operators.relational import attach_master, incomplete, pending, require_columns, widen
 from fitloom.sources import files, sinks
+from fitloom.sources.specs import spec_errors
 from fitloom.streaming.resume import RunState
 
 CORE = ("prepare", "discover", "evaluate", "merge")
-STAGES = (*CORE, "robustness", "report")
+STAGES = (*CORE, "robustness", "baseline", "report")
 WASS = ("0", "025", "04")
 
 
 @dataclass(frozen=True)
 class Config:
-    """Paths, budgets and limits of a run. Numbers must be positive."""
+    """Paths, budgets and limits of a run. Numbers must be positive.
+
+    ``metadata`` is the sheet of problems; ``master`` (published columns of the ranking), ``shifts`` (shifted ranges) and ``structure``
+    (similarity scores) are workbooks of their own, the first two by default the sheet itself. ``trained``: roots of runs on noisy
+    training data, as ``0.01=/data/run_001,0.03=/data/run_003``.
+    """
 
     root: str
     metadata: str = ""
+    master: str = ""
+    shifts: str = ""
+    structure: str = ""
+    trained: str = ""
+    formula_column: str = "GenerationFormula"
     sheet: str = "Sampling design"
     groups: int = 16
     datasets: str = "0-7"
@@ -42,6 +54,8 @@ class Config:
     candidates: int = 30
     retries: int = 2
     ranked: int = 5
+    top_rank: int = 1
+    tasks: int = 59
     wass: str = ",".join(WASS)
     noise: str = "0,0.01,0.03,0.05,0.1"
     noise_mode: str = "relative"
@@ -56,10 +70,17 @@ class Config:
                 raise ValueError(f"{f.name} must be positive")
         if not self.root:
             raise ValueError("root is missing")
+        if self.formula_column not in ("GenerationFormula", "OriginalFormula"):
+            raise ValueError("formula_column is GenerationFormula or OriginalFormula")
 
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
+    @property
+    def summary(self) -> str:
+        """Each mode has a summary of its own."""
+        return self.path("summary_with_params" if self.with_params else "summary")
+
 
 def there(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -95,35 +116,53 @@ def prepare(spark: SparkSession, config: Config) -> DataFrame:
 
 
 def discover(spark: SparkSession, config: Config) -> DataFrame:
-    """Per problem, as variables differ; marks keep what is done."""
+    """All problems of one dataset in one job, dataset after dataset, as each starts from the front of the one before.
+
+    Problems are grouped by their variables, which are the columns of a job. The summary of a dataset is written whole before its mark,
+    so a run goes on behind the last dataset that is done; what was written without a mark is made again. A front that was found over
+    other features than now asked for counts as not done.
+    """
     specs, state = problems(spark, config), RunState(spark, config.path("run_state"))
     datasets = cells.index_spec(config.datasets)
     settings = search.Settings(config.iterations, config.islands, config.population, config.max_size, seed=config.seed)
     samples = spark.read.parquet(config.path("samples"))
+    by_variables: dict[tuple[str, ...], list] = {}
     for spec in specs.collect():  # one row a problem
-        variables, work = list(spec["variables"]), spark.createDataFrame([(spec["id"], d) for d in datasets], "id string, dataset int")
-        if not config.force and not state.remaining(work).take(1):
-            continue
-        rows = wide(samples.filter((F.col("id") == spec["id"]) & F.col("grp").isin(datasets)), variables)
-        parameters = {spec["id"]: {d: {p["name"]: v for p, v in zip(spec["params"], spec["para_values"][d])} for d in datasets}} if config.with_params else None
-        found = search.discover(rows, variables, datasets, settings, parameters, top=config.top)
-        found.withColumn("src_row", F.col("dataset") * 1000 + F.col("complexity")).write.mode("overwrite").parquet(config.path(f"summary/id={spec['id']}"))
-        state.mark(work)
-    return spark.read.parquet(config.path("summary"))
+        by_variables.setdefault(tuple(spec["variables"]), []).append(spec)
+    for variables, group in sorted(by_variables.items()):
+        ids = sorted(s["id"] for s in group)
+        parameters = {s["id"]: {d: {p["name"]: v for p, v in zip(s["params"], s["para_values"][d])} for d in datasets} for s in group} if config.with_params else None
+        features = "+".join([*variables, *sorted({n for by in (parameters or {}).values() for v in by.values() for n in v})])
+        seeds: dict[str, list[str]] = {}
+        for d in datasets:
+            path = f"{config.summary}/features={sinks.safe_folder(features)}/dataset={d}"
+            work = spark.createDataFrame([(f"{i}/{features}", d) for i in ids], "id string, dataset int")
+            if config.force or state.remaining(work).take(1) or not there(spark, path):
+                rows = files.finite_rows(wide(samples.filter(F.col("id").isin(ids) & (F.col("grp") == d)), list(variables)), [*variables, "y"])
+                found = search.discover(rows, list(variables), [d], settings, parameters, top=config.top, seeds=seeds)
+                found.withColumn("src_row", F.col("dataset") * 1000 + F.col("complexity")).drop("dataset").write.mode("overwrite").parquet(path)
+                state.mark(work)
+            seeds = {r["id"]: list(r["e"]) for r in spark.read.parquet(path).groupBy("id").agg(F.sort_array(F.collect_list("equation")).alias("e")).collect()}  # a front a problem
+    return spark.read.parquet(config.summary)
+
+
+def with_problem(formulas: DataFrame, specs: DataFrame) -> DataFrame:
+    """Each formula with the variables, constants and parameter ranges of its own problem."""
+    return formulas.join(specs.select("id", "variables", "constants", F.col("params").alias("ranges")), "id")
 
 
 def evaluate(spark: SparkSession, config: Config) -> DataFrame:
     """Candidates, without equivalent ones, fitted to all datasets; all-or-nothing metrics."""
 
     def make() -> DataFrame:
-        summary = spark.read.parquet(config.path("summary")).withColumn("redundant", F.lit(0).cast("long"))
+        summary = spark.read.parquet(config.summary).withColumn("redundant", F.lit(0).cast("long"))
         chosen = ranking.candidates(summary, ["id"], config.candidates).drop("rank")
         marked = dedup.mark_candidates(chosen, "para_eq", ["id"], "src_row")
         leaders = marked.filter("redundant = 0").select("id", F.concat_ws("-", "dataset", "complexity").alias("formula_id"), F.col("para_eq").alias("formula"), "para_list", "orgpara_list")
         specs = problems(spark, config)
         variables = variables_of(specs)
         samples = spark.read.parquet(config.path("samples")).filter(F.col("grp").isin(cells.index_spec(config.datasets)))
-        fits = fitting.fit_groups(wide(samples, variables).fillna(0.0, variables), leaders, variables, retries=config.retries, seed=config.seed, order="row_idx", constants=constants_of(specs))
+        fits = fitting.fit_groups(wide(samples, variables), with_problem(leaders, specs), variables, retries=config.retries, seed=config.seed, order="row_idx")
         shared = metrics.all_or_nothing(fits, ["id", "formula_id"])
         named = shared.withColumnsRenamed({"mse": "shared_fit_mse_0_7", "r2": "shared_fit_r2_0_7", "mse_hmean": "shared_fit_mse_hmean_0_7", "mse_rms": "shared_fit_mse_rms_0_7", "r2_hmean": "shared_fit_r2_hmean_0_7", "r2_rms": "shared_fit_r2_rms_0_7"})
         return marked.withColumn("formula_id", F.concat_ws("-", "dataset", "complexity")).join(named, ["id", "formula_id"], "left")
@@ -131,67 +170,144 @@ def evaluate(spark: SparkSession, config: Config) -> DataFrame:
     return step(spark, config, "evaluated", make)
 
 
-def constants_of(specs: DataFrame) -> dict[str, float]:
-    out: dict[str, float] = {}
-    for r in specs.select("constants").collect():  # one row a problem
-        out |= dict(r["constants"] or {})
-    return out
-
-
 def merge(spark: SparkSession, config: Config) -> DataFrame:
     def make() -> DataFrame:
         rows = spark.read.parquet(config.path("evaluated")).withColumnRenamed("id", "ID").withColumn("fromdataset", F.col("dataset"))
         top = ranking.top_formulas(rows, config.ranked)
-        master = problems(spark, config).select(F.col("id").alias("ID"), F.col("model_name").alias("ModelName"), F.col("original_formula").alias("OriginalFormula"), F.col("generation_formula").alias("GenerationFormula"), F.col("target").alias("Target"), F.col("simp_formula").alias("simpFormula"))
+        sheet = files.read_table(spark, config.master or config.metadata, config.sheet)
+        published = {"ModelName", "OriginalFormula", "GenerationFormula", "Target", "IndependentVars", "ParameterRange", "FixedConstantValues", "simpFormula"}
+        master = sheet.select(cells.normal_id(F.col("ID")).alias("ID"), *(c for c in sheet.columns if c in published))
+        if config.formula_column == "OriginalFormula":
+            master = master.drop("GenerationFormula")
         out = attach_master(top, master, "ID")
         return out.select(*(c for c in schemas.RANKING if c in out.columns))
 
     return step(spark, config, "top_formulas", make)
 
 
-def refit(rows: DataFrame, top: DataFrame, variables: list[str], specs: DataFrame, config: Config, level: str) -> DataFrame:
-    """Bounded fits of the best formulas to one condition; one failed group marks the whole."""
-    fits = fitting.fit_groups(rows, top, variables, bounded=True, protected=True, retries=0, seed=config.seed, order="row_idx", constants=constants_of(specs), strict=False)
+def refit(rows: DataFrame, formulas: DataFrame, variables: list[str], config: Config, level: str) -> DataFrame:
+    """Bounded fits of formulas to one condition; one failed group marks the whole."""
+    fits = fitting.fit_groups(rows, formulas, variables, bounded=True, protected=True, retries=0, seed=config.seed, order="row_idx", strict=False)
     means = (metrics.undiluted(F.col(m), F.col("ok"), e).alias(m) for m, e in (("mse", 1e100), ("nmse", 1e100), ("r2", -1e100)))
     return fits.groupBy("id").agg(*means).withColumn("level", F.lit(level))
 
 
+def conditions(spark: SparkSession, config: Config) -> list[tuple[str, DataFrame]]:
+    """(level, samples) of each condition: shifted ranges, where the sheet has them, and noisy targets, level 0 included."""
+    base = spark.read.parquet(config.path("samples"))
+    last = max(cells.index_spec(config.datasets))
+    out = []
+    sheet = files.read_table(spark, config.shifts or config.metadata, config.sheet)
+    for label in filter(None, config.wass.split(",")):
+        if f"paraValue_WASS_{label}" in sheet.columns:
+            out.append((f"WASS_{label}", generate.generate(cells.shifted_rows(sheet, label, last + 1), config.samples, "shift", config.seed, variant=f"wass_{label}")))
+    for level in cells.noise_levels(config.noise):
+        noisy = generate.add_noise(base, level, config.noise_mode, config.seed, last + 1, 2 * last + 1) if config.groups > last + 1 else generate.add_noise(base, level, config.noise_mode, config.seed)
+        out.append((f"noise_{cells.noise_folder(level)}", noisy))
+    return out
+
+
 def robustness(spark: SparkSession, config: Config) -> DataFrame:
-    """The best formula of each problem refitted to shifted ranges (where the sheet has them) and to noisy targets, level 0 included: (id, level, mse, nmse, r2)."""
+    """(id, level, mse, nmse, r2): the formula of the rank asked for, of each problem, refitted to every condition."""
 
     def make() -> DataFrame:
-        from functools import reduce
-
         specs = problems(spark, config)
         variables = variables_of(specs)
-        top = spark.read.parquet(config.path("top_formulas")).filter("TopRank = 1").select(F.col("ID").alias("id"), F.lit("1").alias("formula_id"), F.col("para_eq").alias("formula"), "para_list", "orgpara_list")
-        base = spark.read.parquet(config.path("samples"))
-        last = max(cells.index_spec(config.datasets))
+        top = ranking.ranked_rows(spark.read.parquet(config.path("top_formulas")), config.top_rank)
+        chosen = with_problem(top.select(F.col("ID").alias("id"), F.lit("1").alias("formula_id"), F.col("para_eq").alias("formula"), "para_list", "orgpara_list"), specs)
+        return reduce(DataFrame.unionByName, [refit(wide(rows, variables), chosen, variables, config, level) for level, rows in conditions(spark, config)])
+
+    return step(spark, config, "robustness", make)
+
+
+def baseline(spark: SparkSession, config: Config) -> DataFrame:
+    """The same table for the true formulas: what a perfect search could reach."""
+
+    def make() -> DataFrame:
+        specs = problems(spark, config).withColumn("generation_formula", F.col("original_formula" if config.formula_column == "OriginalFormula" else "generation_formula"))
+        variables = variables_of(specs)
         parts = []
-        sheet = files.read_table(spark, config.metadata, config.sheet)
-        for label in filter(None, config.wass.split(",")):
-            if f"paraValue_WASS_{label}" in sheet.columns:
-                moved = generate.generate(cells.shifted_rows(sheet, label, last + 1), config.samples, "shift", config.seed, variant=f"wass_{label}")
-                parts.append(refit(wide(moved, variables).fillna(0.0, variables), top, variables, specs, config, f"WASS_{label}"))
-        for level in cells.noise_levels(config.noise):
-            noisy = generate.add_noise(base, level, config.noise_mode, config.seed, last + 1, 2 * last + 1) if config.groups > last + 1 else generate.add_noise(base, level, config.noise_mode, config.seed)
-            parts.append(refit(wide(noisy, variables).fillna(0.0, variables), top, variables, specs, config, f"noise_{cells.noise_folder(level)}"))
+        for level, rows in conditions(spark, config):
+            fits = fitting.baseline(wide(rows, variables), specs, variables, retries=0, seed=config.seed, order="row_idx")
+            parts.append(fits.groupBy("id").agg(metrics.undiluted(F.col("mse"), F.col("ok"), 1e100).alias("mse"), metrics.undiluted(F.col("nmse"), F.col("ok"), 1e100).alias("nmse"), metrics.undiluted(F.col("r2"), F.col("ok"), -1e100).alias("r2")).withColumn("level", F.lit(level)))
         return reduce(DataFrame.unionByName, parts)
 
-    return step(spark, config, "robustness", make)
+    return step(spark, config, "baseline", make)
+
+
+def by_level(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """A table of conditions as one row a problem, with the columns LEVEL_MSE, LEVEL_NMSE and LEVEL_R2; and its levels."""
+    rows = spark.read.parquet(path)
+    levels = sorted(r["level"] for r in rows.select("level").distinct().collect())  # a label a condition
+    return widen(rows.withColumnRenamed("id", "ID"), ["ID"], "level", levels, ["mse", "nmse", "r2"]), levels
+
+
+def noise_columns(levels: list[str]) -> dict[float, str]:
+    """Test level to column, of the levels of noise."""
+    value = lambda lv: float(f"{lv[0]}.{lv[1:]}") if len(lv) > 1 else float(lv)
+    return {value(lv.removeprefix("noise_")): f"{lv}_R2" for lv in levels if lv.startswith("noise_")}
+
+
+def figure_tables(spark: SparkSession, config: Config) -> dict[str, DataFrame]:
+    """All tables that figures and reports are made of, by name; those whose inputs aren't there are left out."""
+    table, levels = by_level(spark, config.path("robustness"))
+    columns, noise = {lv: f"{lv}_R2" for lv in levels}, noise_columns(levels)
+    shifts = {lv: c for lv, c in columns.items() if lv.startswith("WASS_")}
+    best = spark.read.parquet(config.path("top_formulas")).filter(F.col("TopRank") == config.top_rank)
+    shared = best.select("ID", F.col("shared_fit_r2_0_7").cast("double").alias("shared_r2"), F.col("complexity").cast("double").alias("complexity"))
+    whole = table.join(shared, "ID", "full")
+    out = {
+        "level_statistics": report.level_statistics(table, columns), "column_means": report.column_means(table, list(columns.values())), "noise_profile": report.coverage(table, noise),
+        "heatmap": report.heatmap(whole, [*columns.values(), "shared_r2"], config.tasks), "dot_plot": report.dot_plot(table, list((shifts or columns).values())), "r2_levels": report.r2_levels(whole, "shared_r2"),
+        "complexity_points": report.complexity_points(whole, "shared_r2"), "least_r2": report.least_r2(whole, "shared_r2"),
+    }
+    if noise:
+        trained = {0.0: table}
+        for part in filter(None, (p.strip() for p in config.trained.split(","))):
+            level, _, root = part.partition("=")
+            trained[float(level)] = by_level(spark, f"{root.rstrip('/')}/robustness")[0]
+        long = report.long_robustness(trained, noise)
+        summary = report.robustness_summary(long, config.tasks)
+        out |= {"robustness_summary": summary, "profile": report.profile(summary), "worst_case_survival": report.worst_case_survival(long)}
+        if len(trained) > 1:
+            out |= {"paired_delta_summary": report.paired_summary(long), "paired_points": report.paired_points(long)}
+    methods = {"search": whole}
+    if there(spark, config.path("baseline")):
+        perfect, found = by_level(spark, config.path("baseline"))
+        if noise_columns(found):
+            out["perfect_summary"] = report.perfect_summary(perfect, noise_columns(found))
+        clean = noise_columns(found).get(0.0)
+        methods |= {"true formulas": perfect.withColumn("shared_r2", F.col(f"`{clean}`"))} if clean else {}
+    out["success_comparison"] = report.success_comparison(methods, "shared_r2", config.tasks)
+    out["distribution_comparison"] = reduce(DataFrame.unionByName, [report.r2_levels(df, "shared_r2").withColumn("method", F.lit(name)) for name, df in methods.items()])
+    if config.structure:
+        names = {"structure_similarity_score": "similarity", "SimilarityScore": "similarity"}
+        scores = files.read_table(spark, config.structure, "Sheet1")
+        scored = scores.withColumnsRenamed({c: n for c, n in names.items() if c in scores.columns}).select(cells.normal_id(F.col("ID")).alias("ID"), F.col("similarity").try_cast("double").alias("similarity"))
+        both = whole.join(scored, "ID", "full")
+        reports = report.metric_report(both, "ID", "similarity", "shared_r2")
+        out |= {"structure_levels": report.structure_levels(scored, "similarity"), "density": report.density(both, "ID", "similarity", "shared_r2"), "overview": report.overview(both, "similarity", {k: v for k, v in columns.items() if k.startswith("noise_")}, shifts, config.tasks)}
+        out |= {f"metric_{name}": df for name, df in reports.items()}
+    return out
 
 
 def report_tables(spark: SparkSession, config: Config) -> DataFrame:
-    def make() -> DataFrame:
-        rows = spark.read.parquet(config.path("robustness"))
-        levels = sorted(r["level"] for r in rows.select("level").distinct().collect())  # a label a condition
-        table = widen(rows.withColumnRenamed("id", "ID"), ["ID"], "level", levels, ["mse", "nmse", "r2"])
-        return report.level_statistics(table, {lv: f"{lv}_R2" for lv in levels})
+    """Every table under ``report/``; returns the statistics by level."""
+    for name, df in figure_tables(spark, config).items():
+        step(spark, config, f"report/{name}", lambda df=df: df)
+    return spark.read.parquet(config.path("report/level_statistics"))
+
 
-    return step(spark, config, "report", make)
+def validate(spark: SparkSession, config: Config) -> DataFrame:
+    """Only look at the sheet: an error names the rows that can't be used, nothing is written."""
+    found = spec_errors(files.read_table(spark, config.metadata, config.sheet), min(config.groups, max(cells.index_spec(config.datasets)) + 1))
+    rows = found.orderBy("row").limit(50).collect()
+    if rows:
+        raise ValueError("; ".join(f"row {r['row']}: {r['problem']}" for r in rows))
+    return found
 
 
-RUN = {"prepare": prepare, "discover": discover, "evaluate": evaluate, "merge": merge, "robustness": robustness, "report": report_tables}
+RUN = {"validate": validate, "prepare": prepare, "discover": discover, "evaluate": evaluate, "merge": merge, "robustness": robustness, "baseline": baseline, "report": report_tables}
 
 
 def execute(spark: SparkSession, stage: str, config: Config) -> list[str]:
@@ -215,7 +331,7 @@ def todo(work: DataFrame, done: DataFrame) -> DataFrame:
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="fitloom")
-    out.add_argument("stage", choices=(*STAGES, "core", "all"))
+    out.add_argument("stage", choices=("validate", *STAGES, "core", "all"))
     for f in fields(Config):
         name = "--" + f.name.replace("_", "-")
         if f.type == "bool":

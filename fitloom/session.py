@@ -17,3 +17,10 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     return b.config(map=settings | conf).getOrCreate()
+
+
+def worker_count(spark: SparkSession, tasks: int, wanted: int | None = None) -> int:
+    """How many tasks run side by side: as wanted, else the cores that there are; never more than there is work, and at least one."""
+    if wanted is not None and wanted < 1:
+        raise ValueError("workers must be positive")
+    return max(1, min(tasks, wanted or spark.sparkContext.defaultParallelism))

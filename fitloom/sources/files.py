@@ -5,7 +5,8 @@ from __future__ import annotations
 import csv
 import io
 import re
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
 
@@ -13,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fitloom.functions.cells import normal_id
 from fitloom.functions.expr import natural_key
 from fitloom.functions.scalars import finite
 from fitloom.operators.relational import require_columns
@@ -88,25 +90,32 @@ def _decoded(spark: SparkSession, path: str, encoding: str, sep: str, kinds: str
     return text
 
 
-def read_table(spark: SparkSession, path: str, sheet: str | int | None = None) -> DataFrame:
-    """By suffix: csv, xlsx or xlsm, json, parquet."""
+def read_table(spark: SparkSession, path: str, sheet: str | int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """By suffix: csv, xlsx or xlsm, json, parquet. With ``columns`` only these; of a workbook no other cell is kept."""
     kind = path.rsplit(".", 1)[-1].lower()
+    if kind in ("xlsx", "xlsm"):
+        return xlsx.read(spark, path, sheet, columns=columns)
+    if columns is not None:
+        return require_columns(read_table(spark, path, sheet), columns, path).select(*(f"`{c}`" for c in columns))
     if kind == "csv":
         return read_csv(spark, path)
-    if kind in ("xlsx", "xlsm"):
-        return xlsx.read(spark, path, sheet)
     if kind == "json":
         return spark.read.json(path)
     return spark.read.parquet(path)
 
 
-def read_master(spark: SparkSession, path: str, columns: list[str], key: str = "ID") -> DataFrame:
-    """The metadata of all problems: names trimmed, the formula's other name accepted, only the columns asked for."""
+def read_master(spark: SparkSession, path: str, columns: list[str], key: str = "ID", warn: Callable[[str], object] = warnings.warn) -> DataFrame:
+    """The metadata of all problems: names trimmed, the formula's other name accepted, only the columns asked for. The key is normalised
+    for joins; keys that occur twice are named in a warning."""
     df = read_table(spark, path)
     df = df.toDF(*(c.strip() for c in df.columns))
     if "GenerationFormula" not in df.columns and "TransformedFormula" in df.columns:
         df = df.withColumnRenamed("TransformedFormula", "GenerationFormula")
-    return require_columns(df, [key, *columns], path).select(key, *(c for c in columns if c != key))
+    out = require_columns(df, [key, *columns], path).select(normal_id(F.col(key)).alias(key), *(c for c in columns if c != key))
+    twice = [r[key] for r in out.groupBy(key).count().filter("count > 1").orderBy(key).limit(20).collect()]
+    if twice:
+        warn(f"{path}: repeated keys, such as {', '.join(twice)}")
+    return out
 
 
 def read_samples(spark: SparkSession, path: str, variables: list[str], target: str) -> DataFrame:
@@ -145,13 +154,18 @@ def target_column(columns: list[str], wanted: str | None = None, numeric: list[s
     return (numeric or columns)[-1]
 
 
-def bind_variables(columns: list[str], symbols: list[str]) -> dict[str, str]:
-    """The column of each symbol, by exact name only, or all by x0, x1, ... in their natural order."""
+def bind_variables(columns: list[str], symbols: list[str], numeric: list[str] | None = None, target: str | None = None) -> dict[str, str]:
+    """The column of each symbol: all by their exact names, else all by x0, x1, ... in the symbols' natural order, else the first
+    ``numeric`` columns (where they are given) that aren't the target, in the same order."""
     if all(s in columns for s in symbols):
         return {s: s for s in symbols}
+    order = sorted(symbols, key=natural_key)
     by_number = [f"x{i}" for i in range(len(symbols))]
     if all(n in columns for n in by_number):
-        return dict(zip(sorted(symbols, key=natural_key), by_number))
+        return dict(zip(order, by_number))
+    others = [c for c in numeric or [] if c != target]
+    if len(others) >= len(symbols):
+        return dict(zip(order, others))
     raise ValueError(f"no columns for {', '.join(s for s in symbols if s not in columns)}")
 
 
@@ -162,6 +176,20 @@ def dataset_files(spark: SparkSession, root: str, pattern: str = "*.csv") -> Dat
     return files.select("path", part(1).alias("id"), part(2).try_cast("int").alias("grp")).filter(F.col("grp").isNotNull() & ~F.col("path").rlike(r"/\.[^/]*/"))
 
 
+def with_metadata(found: DataFrame, metadata: DataFrame, key: str = "id", strict: bool = False, warn: Callable[[str], object] = warnings.warn) -> DataFrame:
+    """Files of known problems, with their metadata: an id without metadata is an error. Problems without any file are an error if
+    ``strict``, else they are named in a warning."""
+    strange = [r[key] for r in found.join(metadata, key, "left_anti").select(key).distinct().orderBy(key).limit(20).collect()]
+    if strange:
+        raise ValueError(f"no metadata for {', '.join(strange)}")
+    missing = [r[key] for r in metadata.join(found, key, "left_anti").select(key).distinct().orderBy(key).limit(20).collect()]
+    if missing and strict:
+        raise FileNotFoundError(f"no files for {', '.join(missing)}")
+    if missing:
+        warn(f"no files for {', '.join(missing)}")
+    return found.join(metadata, key)
+
+
 def one_file_each(files: DataFrame) -> DataFrame:
     """A group found in several places is an error; a direct child of the id's folder stands before deeper ones by its shorter path."""
     from pyspark.sql import Window as W
@@ -211,3 +239,11 @@ def task_rows(df: DataFrame, key: str = "ID") -> DataFrame:
 
 def repaired_header(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({c: aliases.get(c.strip(), c.strip()) for c in df.columns})
+
+
+def renamed_values(df: DataFrame, column: str, aliases: dict[str, str]) -> DataFrame:
+    """Values by their aliases, trimmed; all others as they are."""
+    value = F.trim(F.col(f"`{column}`"))
+    for old, new in aliases.items():
+        value = F.when(F.trim(F.col(f"`{column}`")) == old, F.lit(new)).otherwise(value)
+    return df.withColumn(column, value)

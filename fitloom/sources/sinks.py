@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,15 +13,40 @@ from pyspark.sql import functions as F
 from fitloom.functions.cells import noise_folder
 
 
-def write_groups(samples: DataFrame, path: str, overwrite: bool = False, digits: int = 12) -> None:
-    """id=.../grp=... folders of CSV with ``digits`` significant digits; without ``overwrite`` an existing target is an error."""
-    shown = F.format_string(f"%.{digits - 1}e", "y")
-    out = samples.select("id", "grp", "row_idx", F.to_json("x").alias("x"), F.when(F.col("y").isNotNull(), shown.cast("double")).alias("y"))
-    out.repartition("id", "grp").sortWithinPartitions("row_idx").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("id", "grp").csv(path, header=True)
-
-
-def write_noisy(samples: DataFrame, root: str, level: str, overwrite: bool = False) -> None:
-    write_groups(samples, f"{root}/{noise_folder(level)}", overwrite, 17)
+def write_groups(samples: DataFrame, specs: DataFrame, path: str, overwrite: bool = False, digits: int = 12, sep: str = ",") -> None:
+    """``<id>/<grp>.csv``: a header of the problem's variables and its target, then the rows, with ``digits`` significant digits. A null
+    target is an empty cell. Without ``overwrite`` it is an error if ``path`` exists.
+
+    ``samples``: id, grp, row_idx, x (map), y; ``specs``: id, variables, target. Lines are made as columns, as problems differ in their
+    variables; each file is written whole by one task, under ``path`` + ``.lines``, and moved to its name at the end.
+    """
+    spark = samples.sparkSession
+    shown = lambda c: F.when(c.isNotNull(), F.format_string(f"%.{digits - 1}e", c).cast("double").cast("string")).otherwise("")
+    named = samples.join(F.broadcast(specs.select("id", "variables", "target")), "id")  # a row a problem
+    line = F.concat_ws(sep, F.transform("variables", lambda v: shown(F.col("x")[v])), shown(F.col("y")))
+    head = samples.select("id", "grp").distinct().join(F.broadcast(specs.select("id", "variables", "target")), "id")
+    rows = head.select("id", "grp", F.lit(-1).cast("long").alias("row_idx"), F.concat_ws(sep, "variables", "target").alias("line")).unionByName(named.select("id", "grp", "row_idx", line.alias("line")))
+    lines = f"{path.rstrip('/')}.lines"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to_path = jvm.org.apache.hadoop.fs.Path
+    fs = to_path(path).getFileSystem(conf)
+    if fs.exists(to_path(path)) and not overwrite:
+        raise FileExistsError(path)
+    rows.repartition("id", "grp").sortWithinPartitions("id", "grp", "row_idx").select("id", "grp", "line").write.mode("overwrite").partitionBy("id", "grp").text(lines)
+    fs.delete(to_path(path), True)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(lines).select("path")
+    for r in files.collect():  # one file a dataset
+        problem, grp = re.search(r"/id=([^/]*)/grp=([^/]*)/", r["path"]).groups()
+        target = to_path(f"{path.rstrip('/')}/{unquote(problem)}/{grp}.csv")
+        fs.mkdirs(target.getParent())
+        if not fs.rename(to_path(r["path"]), target):
+            raise OSError(f"cannot write {target}")
+    fs.delete(to_path(lines), True)
+
+
+def write_noisy(samples: DataFrame, specs: DataFrame, root: str, level: str, overwrite: bool = False, sep: str = ",") -> None:
+    """With all digits, under the folder of the level."""
+    write_groups(samples, specs, f"{root}/{noise_folder(level)}", overwrite, 17, sep)
 
 
 def write_table(df: DataFrame, path: str, overwrite: bool = True) -> None:
@@ -40,14 +66,20 @@ def staged(df: DataFrame, path: str) -> str:
 
 
 def promote(spark, staging: str, path: str) -> None:
-    """The staged table takes the place of ``path``."""
+    """The staged table takes the place of ``path``: the old one goes aside first, so that a move that fails can be taken back."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     source, target = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
     fs = source.getFileSystem(conf)
-    if fs.exists(target):
-        fs.delete(target, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"cannot move {path} aside")
     if not fs.rename(source, target):
+        if had:
+            fs.rename(aside, target)
         raise OSError(f"cannot move {staging} to {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def with_marks(df: DataFrame, formula: str) -> DataFrame:
@@ -63,6 +95,12 @@ def with_metrics(table: DataFrame, metrics: DataFrame, keys: list[str]) -> DataF
     return table.drop(*new).join(metrics, keys, "left")
 
 
+def update_table(spark, path: str, metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """The table at ``path`` with the metric columns, written beside it and moved into its place."""
+    promote(spark, staged(with_metrics(spark.read.parquet(path), metrics, keys), path), path)
+    return spark.read.parquet(path)
+
+
 def safe_folder(name: str) -> str:
     return re.sub(r'[<>:"/\\|?*\s]+', "_", name).strip("._") or "_"
 
@@ -78,15 +116,28 @@ def compatible(df: DataFrame, mse: list[str], r2: list[str]) -> DataFrame:
     return df.fillna({**{c: ERROR_MSE for c in mse}, **{c: ERROR_R2 for c in r2}})
 
 
-def between(df: DataFrame) -> DataFrame:
-    """``df`` written beside the checkpoints and read again: a short lineage between rounds of an iteration, and no loss with an executor."""
-    spark = df.sparkSession
+def scratch(spark, name: str) -> str:
+    """A new path beside the checkpoints, which all executors share."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fitloom-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/between-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def put(spark, path: str, data: bytes) -> str:
+    """A small file of the driver's, such as a workbook; returns its path."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(to, True)
+    out.write(data)
+    out.close()
+    return path
+
+
+def between(df: DataFrame) -> DataFrame:
+    """``df`` written beside the checkpoints and read again: a short lineage between rounds of an iteration, and no loss with an executor."""
+    path = scratch(df.sparkSession, "between")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -50,9 +50,9 @@ def sheet_rows(data: bytes, sheet: str | int | None = None) -> list[list[str | N
     return out
 
 
-def read(spark: SparkSession, path: str, sheet: str | int | None = "Sampling design", required: bool = False, tries: int = 15, wait: float = 2.0, snapshot: str | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, sheet: str | int | None = "Sampling design", required: bool = False, tries: int = 15, wait: float = 2.0, snapshot: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """First row: trimmed headers; rows with a blank first cell are skipped. A file that can't be read whole is tried again, then the last
-    good ``snapshot`` (Parquet) is taken."""
+    good ``snapshot`` (Parquet) is taken. With ``columns`` only their cells are kept."""
     error: Exception | None = None
     for attempt in range(tries):
         try:
@@ -71,6 +71,11 @@ def read(spark: SparkSession, path: str, sheet: str | int | None = "Sampling des
         raise ValueError(f"{path}: the sheet is empty")
     header = [(h or "").strip() or f"column{i}" for i, h in enumerate(rows[0])]
     body = [[*r, *[None] * (len(header) - len(r))][: len(header)] for r in rows[1:] if r and (r[0] or "").strip()]
+    if columns is not None:
+        if missing := [c for c in columns if c not in header]:
+            raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+        at = [header.index(c) for c in columns]
+        header, body = list(columns), [[r[i] for i in at] for r in body]
     out = spark.createDataFrame(body, ", ".join(f"`{h}` string" for h in header))
     if snapshot:
         out.write.mode("overwrite").parquet(snapshot)

@@ -145,6 +145,44 @@ def test_running_order(spark):
     assert all(r["n"] == total[r["v"]] for r in out)
 
 
+def test_running_order_of_more_rows_than_a_sample_holds(spark):
+    """Ranges come from a sample: rows and totals must have the same ones."""
+    from fitloom.operators.ordering import running
+
+    n = 60_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("v")).repartition(6)
+    out = running(rows, ["v"], "n")
+    assert out.filter(F.col("n") != F.col("v") + 1).count() == 0 and out.count() == n
+
+
+def test_problems_keep_their_own_names_and_rows(spark):
+    """Constants of one name differ by problem; one has the name of the other's variable; a row without a value is left out."""
+    rows = [("A", 0, i, float(i), None, 2.0 * i + 10) for i in range(1, 20)] + [("A", 0, 99, None, None, 1e6)] + [("B", 0, i, None, float(i), 3.0 * i + 20 + 7) for i in range(1, 20)] + [("B", 0, 99, None, float("nan"), 1.0)]
+    samples = spark.createDataFrame(rows, "id string, grp int, row_idx long, x double, z double, y double")
+    formulas = spark.createDataFrame([("A", "f", "p0*x + k", ["p0"], [1.0], ["x"], {"k": 10.0}), ("B", "f", "p0*z + k + x", ["p0"], [1.0], ["z"], {"k": 20.0, "x": 7.0})], FORMULA + ", variables array<string>, constants map<string,double>")
+    out = {r["id"]: r for r in fitting.fit_groups(samples, formulas, ["x", "z"], order="row_idx").collect()}
+    assert math.isclose(out["A"]["params"][0], 2.0, rel_tol=1e-9) and math.isclose(out["B"]["params"][0], 3.0, rel_tol=1e-9) and all(r["r2"] > 1 - 1e-12 for r in out.values())
+
+
+def test_ranges_of_a_problem(spark):
+    ranges = F.array(F.struct(F.lit("k").alias("name"), F.lit(0.1).alias("lo"), F.lit(2.5).alias("hi")), F.struct(F.lit("m").alias("name"), F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi")))
+    formulas = spark.createDataFrame([("P", "f", "k*exp(m*x) + 1", [], [])], FORMULA).withColumn("ranges", ranges)
+    by = {r["grp"]: r for r in fitting.fit_groups(samples(spark), formulas, ["x"], bounded=True, protected=True, retries=0, strict=False, order="row_idx").collect()}
+    assert np.allclose(by[0]["params"], [2.0, 0.5], rtol=1e-5) and by[1]["params"][0] <= 2.5
+
+
+def test_rank_that_is_not_there(spark):
+    df = spark.createDataFrame([("P1", 1)], "ID string, TopRank long")
+    assert ranking.ranked_rows(df, 1).count() == 1
+    with pytest.raises(ValueError, match="TopRank 2"):
+        ranking.ranked_rows(df, 2)
+
+
+def test_classes_of_one_exact_key_differ_by_their_symbols(spark):
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(["x/x", "y/y", "1", "x/x"])], "file string, row_idx int, para_eq string")
+    assert [r["redundant"] for r in dedup.mark(df, "para_eq").orderBy("row_idx").collect()] == [0, 0, 0, 1]
+
+
 def test_marks(spark):
     texts = ["p0*x + p1", "p1 + x*p0", "sin(x)", "y = p0 * x + p1", "", "", "not ( a formula", "not ( a  formula"]
     df = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "file string, row_idx int, para_eq string")

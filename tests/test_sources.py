@@ -2,8 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from fitloom.functions import cells
+from fitloom.operators import generate
 from fitloom.plans import pipeline
+from fitloom.session import worker_count
 from fitloom.sources import files, sinks, xlsx
+from fitloom.sources.specs import spec_errors
+from fitloom.streaming.progress import Progress, Reporter, progress
 from fitloom.streaming.resume import RunState, evaluate_arrivals
 
 SHEET = [
@@ -78,8 +82,11 @@ def test_group_files(spark, tmp_path):
 
 def test_names_and_ranges(spark):
     assert files.target_column(["a", "Target"], "z") == "Target" and files.target_column(["a", "b"]) == "b" and files.bind_variables(["x0", "x1", "y"], ["v10", "v2"]) == {"v2": "x0", "v10": "x1"}
+    assert files.bind_variables(["a", "t", "c"], ["v10", "v2"], ["a", "t", "c"], "t") == {"v2": "a", "v10": "c"}
     with pytest.raises(ValueError):
         files.bind_variables(["a"], ["b"])
+    with pytest.raises(ValueError):
+        files.bind_variables(["a", "y"], ["p", "q"], ["a", "y"], "y")
     ids = spark.createDataFrame([("P2",), ("P10",), ("P21",), ("Q5",)], "id string")
     assert sorted(r["id"] for r in files.in_id_range(ids, "P2-P10").collect()) == ["P10", "P2"]
     assert sinks.safe_folder('a/b: "c"') == "a_b_c" and sinks.compact_name("t.csv", "WASS_0") == "t_WASS_0.csv"
@@ -115,15 +122,103 @@ def test_all_stages(spark, book, tmp_path):
     assert pipeline.execute(spark, "all", config) == list(pipeline.STAGES)
     top = spark.read.parquet(config.path("top_formulas"))
     assert {"ID", "TopRank", "para_eq"} <= set(top.columns) and top.filter("TopRank = 1").count() >= 1
-    assert {r["level"] for r in spark.read.parquet(config.path("report")).collect()} == {"WASS_025", "noise_0", "noise_001"}
+    assert {r["level"] for r in spark.read.parquet(config.path("report/level_statistics")).collect()} == {"WASS_025", "noise_0", "noise_001"}
+    assert spark.read.parquet(config.path("baseline")).filter("level in ('noise_0', 'WASS_025') and r2 < 0.999999").count() == 0
+    tables = sorted(p.name for p in (tmp_path / "run" / "report").iterdir())
+    assert {"robustness_summary", "profile", "worst_case_survival", "perfect_summary", "success_comparison", "distribution_comparison", "heatmap", "dot_plot", "r2_levels", "complexity_points", "noise_profile", "least_r2"} <= set(tables)
+    assert spark.read.parquet(config.path("report/heatmap")).count() == 59 and "density" not in tables
+    scores = tmp_path / "scores.csv"
+    scores.write_text("ID,SimilarityScore\nP01,95\nP02,40\nP03,\n")
+    more = pipeline.figure_tables(spark, pipeline.Config(**{**vars(config), "structure": str(scores), "trained": f"0.01={config.root}"}))
+    assert {"structure_levels", "density", "overview", "metric_association", "paired_delta_summary", "paired_points"} <= set(more) and all(df.count() >= 0 for df in more.values())
+    assert {r["bin"]: r["n"] for r in more["structure_levels"].collect()} == {0: 1, 1: 1, 2: 0, 3: 0, 4: 1}
+    with pytest.raises(ValueError, match="TopRank 9"):
+        pipeline.robustness(spark, pipeline.Config(**{**vars(config), "top_rank": 9, "force": True}))
     before = spark.read.parquet(config.path("samples")).count()
     assert pipeline.execute(spark, "core", config) == list(pipeline.CORE) and spark.read.parquet(config.path("samples")).count() == before == 240
     assert pipeline.unfinished(spark, config).count() >= 0
 
 
+def test_validation(spark, tmp_path, book):
+    config = pipeline.Config(root=str(tmp_path / "run"), metadata=book, groups=2, datasets="0-1")
+    assert pipeline.validate(spark, config).count() == 0 and not (tmp_path / "run").exists()
+    bad = [list(r) for r in SHEET[:3]] + [["P01", *SHEET[1][1:]], ["a/b", *SHEET[1][1:]], [*SHEET[2][:6], "x,x", *SHEET[2][7:]], *([[f"Q{i}", *SHEET[1][1:]] for i in range(5)])]
+    bad[5][0], bad[6][3], bad[7][8], bad[8][9], bad[9][10], bad[10][7] = "P05", "y = nope*x", "a=1", "[[1],[2]]", "[[[5,0.5]],[[0.5,5]]]", "a=[4,1], b=[0,1]"
+    path = tmp_path / "bad.xlsx"
+    path.write_bytes(xlsx.write(bad))
+    found = {r["row"]: r["problem"] for r in spec_errors(xlsx.read(spark, str(path)), 2).collect()}
+    assert sorted(found) == [4, 5, 6, 7, 8, 9, 10, 11] and "twice" in found[4] and "folder" in found[5] and "distinct" in found[6] and "nope" in found[7] and "two of" in found[8] and "paraValue" in found[9] and "varRange" in found[10] and "empty" in found[11]
+    assert pipeline.main(["validate", "--root", str(tmp_path / "run"), "--metadata", str(path), "--groups", "2", "--datasets", "0-1"]) == 2
+
+
+def test_dataset_folders(spark, tmp_path, book):
+    specs = cells.problem_rows(xlsx.read(spark, book), 2)
+    rows = generate.generate(specs, 30)
+    root = str(tmp_path / "data")
+    sinks.write_groups(rows, specs, root)
+    head, first = (tmp_path / "data" / "P01" / "0.csv").read_text().splitlines()[:2]
+    assert head == "x,y" and len(first.split(",")) == 2
+    back = files.load_groups(spark, root, ["x"], "y")
+    assert back.count() == 4 * 30
+    far = back.join(rows.select("id", "grp", "row_idx", F.col("y").alias("y0")), ["id", "grp"]).groupBy("id", "grp", "y").agg(F.min(F.abs(F.col("y") - F.col("y0"))).alias("d"))
+    assert far.filter("d > 1e-8").count() == 0
+    with pytest.raises(FileExistsError):
+        sinks.write_groups(rows, specs, root)
+    sinks.write_groups(rows.limit(0), specs, root, overwrite=True)
+    holes = rows.withColumn("y", F.when(F.col("row_idx") > 0, F.col("y")))
+    sinks.write_noisy(holes, specs, str(tmp_path / "noisy"), "0.01", sep=";")
+    lines = (tmp_path / "noisy" / "001" / "P02" / "1.csv").read_text().splitlines()
+    assert lines[0] == "x;y" and lines[1].endswith(";") and len(lines) == 31
+
+
+def test_files_and_metadata(spark, tmp_path):
+    found = spark.createDataFrame([("a", "P1"), ("b", "P2")], "path string, id string")
+    told = []
+    known = spark.createDataFrame([("P1",), ("P2",), ("P3",)], "id string")
+    assert files.with_metadata(found, known, warn=told.append).count() == 2 and "P3" in told[0]
+    with pytest.raises(FileNotFoundError):
+        files.with_metadata(found, known, strict=True)
+    with pytest.raises(ValueError, match="P2"):
+        files.with_metadata(found, known.filter("id <> 'P2'"))
+    (tmp_path / "m.csv").write_text("ID,Target\n1.0,a\n 1 ,b\n2,c\n")
+    told.clear()
+    assert {r["ID"] for r in files.read_master(spark, str(tmp_path / "m.csv"), ["Target"], warn=told.append).collect()} == {"1", "2"} and "repeated" in told[0]
+
+
+def test_progress_and_workers(spark):
+    assert worker_count(spark, 100) == 4 and worker_count(spark, 2) == 2 and worker_count(spark, 0) == 1 and worker_count(spark, 9, 3) == 3
+    with pytest.raises(ValueError):
+        worker_count(spark, 1, 0)
+    said = []
+    with Reporter(spark, said.append, 0.05):
+        spark.range(200_000).repartition(8).selectExpr("sum(sqrt(id))").collect()
+    assert progress(spark, 0.0).total == 0 and str(Progress(1, 0, 4, 60.0)) == "1 of 4 tasks, 0 failed, 0:01:00, 0:03:00 to go" and all("tasks" in s for s in said)
+
+
+def test_resume_goes_on_behind_the_last_mark(spark, book, tmp_path):
+    config = pipeline.Config(root=str(tmp_path / "run"), metadata=book, groups=2, datasets="0-1", samples=40, iterations=1, islands=2, population=12, noise="0")
+    pipeline.prepare(spark, config)
+    pipeline.discover(spark, config)
+    files_of = lambda d: sorted(str(p) for p in (tmp_path / "run" / "summary").rglob(f"dataset={d}/part-*"))
+    first, second = files_of(0), files_of(1)
+    assert first and second
+    state = spark.read.parquet(config.path("run_state"))
+    kept = state.filter("dataset = 0").collect()
+    import shutil
+
+    shutil.rmtree(tmp_path / "run" / "run_state")
+    spark.createDataFrame(kept, state.schema).write.parquet(config.path("run_state"))
+    pipeline.discover(spark, config)
+    assert files_of(0) == first and files_of(1) != second
+
+
 def test_command_line(tmp_path):
     args = pipeline.parser().parse_args(["core", "--root", "r", "--samples", "7", "--with-params", "--dry-run"])
     assert args.samples == 7 and args.with_params and args.dry_run
+    config = pipeline.Config(**{k: v for k, v in vars(pipeline.parser().parse_args(["all", "--root", "/data/run", "--iterations", "400", "--islands", "3", "--formula-column", "OriginalFormula", "--top-rank", "2"])).items() if k != "stage"})
+    assert config.iterations == 400 and config.islands == 3 and config.path("summary") == "/data/run/summary" and config.formula_column == "OriginalFormula" and config.top_rank == 2
+    with pytest.raises(ValueError):
+        pipeline.Config(root="r", formula_column="other")
     with pytest.raises(ValueError):
         pipeline.Config(root="r", samples=0)
     assert pipeline.main(["core", "--root", str(tmp_path), "--top", "0"]) == 2
