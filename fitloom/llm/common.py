@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
@@ -44,13 +44,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def clean(spark: SparkSession) -> int:
-    """Delete what this driver's operators have left in the shared folder. Results that aren't saved yet may read it."""
+def made() -> int:
+    """How many paths there are so far: a mark for ``clean``."""
+    return len(_made)
+
+
+def clean(spark: SparkSession, since: int = 0, keep: Collection[str] = ()) -> int:
+    """Delete what this driver's operators have left in the shared folder since the mark. Results that aren't saved yet may read it."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+    for name in [p for p in _made[since:] if p not in keep]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
+        _made.remove(name)
     return n
 
 
@@ -71,9 +77,9 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
-def text_key(text: Column) -> Column:
+def text_key(text: Column, seed: int | None = None) -> Column:
     """Beside the document's id it tells rows apart that share an id; rows alike in both are one document."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return F.xxhash64(*([] if seed is None else [F.lit(seed)]), F.coalesce(text, F.lit("")))
 
 
 def partitions(spark: SparkSession) -> int:

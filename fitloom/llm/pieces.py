@@ -1,21 +1,25 @@
 """Operator 7: SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file gives three machines. N, the normaliser, maps blanks to U+2581, puts one in front and copies the rest. P, the piece
-machine, is a trie whose final states put out a piece id; a character that no piece covers leaves it through byte fallback. B is
-the merge machine of byte-pair models: its states are the last piece, and it lets one piece follow another only if merging the two
-texts afresh gives the two pieces back. (A segmentation in which every neighbouring pair does so is the one that the merges give,
-so at most one path has finite weight.) For unigram models B has one state and an arc weighs minus the piece's score. Encoding
-composes N, P and B with the input lazily and takes the path of least weight in the tropical semiring; of equal paths, the one
-whose last pieces are longest.
+The model file gives three machines. N, the normaliser, replaces the longest prefix that its rules know (none in a model without rules),
+squeezes blanks where the model says so, maps them to U+2581 and puts one in front. P, the piece machine, is a trie whose final states
+put out a piece id at the piece's weight; a character that no piece covers leaves it through byte fallback. B, the machine of
+byte-pair models, has the last piece as its state and lets another follow only if merging their two texts afresh gives the two pieces
+back; for unigram models it has one state. A piece weighs minus its score: its rank among the merges, or minus its log probability.
+
+Encoding composes N, P and B with the input and takes the path of least weight in the tropical semiring: from the front, each place
+keeps the least sum of weights over the arcs that reach it. A segmentation in which every neighbouring pair is let by B is the one that
+the merges give, so with B each place is reached by one finite path, that of the merges of all before it, and it is one state.
 
 No piece has U+2581 behind another character, so the lattice falls apart at each such place; chunks are solved alone and
 remembered. Where a model has such pieces, a text is one chunk.
 
-Null text: encoded as an empty text, no ids, decoded as an empty text. Each row gives one row.
+Null text: encoded as an empty text, no ids, decoded as an empty text. Each row gives one row. Extra columns are not looked at. A long
+text is cut into chunks in one row; its work is linear in its characters.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -60,6 +64,51 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+class Rules:
+    """The normaliser's replacement rules: a double-array trie of byte strings, each with the place of what replaces it.
+
+    Of a unit of the trie, 8 bits are the label, bit 8 says that a string ends here, the rest is the way on.
+    """
+
+    def __init__(self, data: bytes):
+        size = int.from_bytes(data[:4], "little")
+        self.units = np.frombuffer(data, "<u4", size // 4, 4).tolist()
+        self.texts = data[4 + size :]
+        self.known: dict[str, tuple[int, str] | None] = {}
+
+    @staticmethod
+    def way(unit: int) -> int:
+        return (unit >> 10) << ((unit & 512) >> 6)
+
+    def match(self, data: bytes, at: int) -> tuple[int, str] | None:
+        """(length in bytes, replacement) of the longest rule that fits ``data`` from ``at`` on."""
+        units, found = self.units, None
+        place = self.way(units[0])
+        for n, byte in enumerate(data[at : at + 64], 1):
+            place ^= byte
+            unit = units[place]
+            if unit & 0x800000FF != byte:
+                break
+            place ^= self.way(unit)
+            if unit >> 8 & 1:
+                begin = units[place] & 0x7FFFFFFF
+                found = n, self.texts[begin : self.texts.index(0, begin)].decode()
+        return found
+
+    def apply(self, text: str) -> str:
+        data, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(data):
+            found = self.match(data, at)
+            if found:
+                out.append(found[1])
+                at += found[0]
+            else:
+                n = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+                out.append(data[at : at + n].decode())
+                at += n
+        return "".join(out)
+
+
 class Transducer:
     """The machines of one model file, and what they have solved so far."""
 
@@ -82,8 +131,7 @@ class Transducer:
                 spec = dict(fields(value))
                 charsmap = spec.get(2, b"")
                 self.prefix, self.squeeze, self.escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
-        if charsmap:
-            raise ValueError("only models whose normaliser is the identity are supported")
+        self.rules = Rules(charsmap) if charsmap else None
         if self.model_type not in (UNIGRAM, BPE):
             raise ValueError("only unigram and byte-pair models are supported")
         self.unknown = self.kinds.index(UNKNOWN)
@@ -99,102 +147,137 @@ class Transducer:
                     node = node.setdefault(c, {})
                 node[""] = i
         self.split = all(MARK not in t.lstrip(MARK) for t in self.ids)
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.solved: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, list[int]] = {}
         self.together = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
+        if self.model_type == BPE:
+            self.compile_merges()
 
     def merged(self, text: str) -> list[str]:
         """What the model's merges leave of a short text: the best-scored neighbours first, the leftmost of equals."""
         parts = list(text)
         while len(parts) > 1:
-            ranked = [(-self.scores[self.ids[parts[k] + parts[k + 1]]], k) for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in self.ids]
-            if not ranked:
+            k = self.next_merge(parts)
+            if k is None:
                 break
-            k = min(ranked)[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
+    def next_merge(self, parts: list[str]) -> int | None:
+        ranked = [(-self.scores[self.ids[parts[k] + parts[k + 1]]], k) for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in self.ids]
+        return min(ranked)[1] if ranked else None
+
+    def compile_merges(self) -> None:
+        """The tables of B: each piece's last merge (-1: a character) and its rank, and the rank of each pair that can merge."""
+        n, ids = len(self.texts), self.ids
+        self.left, self.right, self.rank = [-1] * n, [-1] * n, [-1.0] * n
+        self.joins: dict[int, float] = {}
+        seen: dict[float, int] = {}
+        for text, i in ids.items():
+            if len(text) == 1:
+                continue
+            seen[self.scores[i]] = seen.get(self.scores[i], 0) + 1
+            self.rank[i] = -self.scores[i]
+            for k in range(1, len(text)):
+                if text[:k] in ids and text[k:] in ids:
+                    self.joins[ids[text[:k]] * n + ids[text[k:]]] = -self.scores[i]
+            parts = list(text)
+            while len(parts) > 2:
+                k = self.next_merge(parts)
+                if k is None:
+                    break
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            if len(parts) == 2 and all(p in ids for p in parts):
+                self.left[i], self.right[i] = ids[parts[0]], ids[parts[1]]
+        #: Pieces whose rank is another's, too, or isn't above that of their parts: pairs with them are merged to see.
+        self.odd = {i for t, i in ids.items() if len(t) > 1 and (seen[self.scores[i]] > 1 or self.left[i] < 0 or self.rank[i] <= max(self.rank[self.left[i]], self.rank[self.right[i]]))}
+        for t, i in sorted(ids.items(), key=lambda x: len(x[0])):
+            if len(t) > 1 and (self.left[i] in self.odd or self.right[i] in self.odd):
+                self.odd.add(i)
+
     def may_follow(self, left: int, right: int) -> bool:
-        """The arc of B from piece ``left`` to piece ``right``; -1 is the start or a fallback character, which never merge."""
-        if left < 0 or right < 0 or self.model_type == UNIGRAM:
-            return True
-        found = self.follows.get((left, right))
-        if found is None:
+        """The arc of B from piece ``left`` to piece ``right``.
+
+        Merges are undone from the last one back, on the right edge of ``left`` and the left edge of ``right``. The two pieces that stand
+        at the edge between two undone merges would merge with each other if their pair ranks before the merge undone last, or, as the
+        leftmost of equals goes first, as high as one undone on the right.
+        """
+        n = len(self.texts)
+        key = left * n + right
+        found = self.follows.get(key)
+        if found is not None:
+            return found
+        if len(self.follows) >= REMEMBERED * 4:
+            self.follows.clear()
+        if left in self.odd or right in self.odd:
             a, b = self.texts[left], self.texts[right]
-            if len(self.follows) >= REMEMBERED:
-                self.follows.clear()
-            found = self.follows[left, right] = self.merged(a + b) == [a, b]
+            found = self.merged(a + b) == [a, b]
+        else:
+            joins, rank, x, y, before = self.joins, self.rank, left, right, float("inf")
+            found = True
+            while True:
+                if joins.get(x * n + y, before) < before:
+                    found = False
+                    break
+                if rank[x] >= rank[y]:
+                    if rank[x] < 0:
+                        break
+                    before, x = rank[x], self.right[x]
+                else:
+                    before, y = min(before, math.nextafter(rank[y], math.inf)), self.left[y]
+        self.follows[key] = found
         return found
 
     def normalise(self, text: str) -> str:
+        if self.rules:
+            text = self.rules.apply(text)
         if self.squeeze:
             text = " ".join(x for x in text.split(" ") if x)
         if self.prefix and text:
             text = " " + text
         return text.replace(" ", MARK) if self.escape else text
 
-    def arcs(self, chunk: str, at: int) -> list[tuple[int, int]]:
-        """(end, piece) of the ways through P from ``at``, shortest first; -1 for a character that only byte fallback takes."""
-        out, end = [], at
-        node = self.trie
-        while end < len(chunk):
-            node = node.get(chunk[end])
-            if node is None:
-                break
-            end += 1
-            if "" in node:
-                out.append((end, node[""]))
-        return out if out and out[0][0] == at + 1 else [(at + 1, -1), *out]
-
     def shortest(self, chunk: str) -> list[int]:
         """The ids along the path of least weight through the composition with ``chunk``."""
-        found = self.only_path(chunk) if self.model_type == BPE else self.best_path(chunk)
-        out: list[int] = []
-        for begin, end, piece in found:
-            out += [piece] if piece >= 0 else self.spelled(chunk[begin:end])
-        return out
-
-    def only_path(self, chunk: str) -> list[tuple[int, int, int]]:
-        """With B's arcs: what is reached at a place by valid neighbours is the merges' segmentation of all before it, so a place is one
-        state, and one that leads nowhere need not be reached again. States are made as the search, longest arcs first, gets to them."""
-        stack: list[tuple[int, int, int, list[tuple[int, int]]]] = []
-        dead: set[int] = set()
-        at, last, n = 0, -1, len(chunk)
-        arcs = self.arcs(chunk, 0)
-        while at < n:
-            while arcs:
-                end, piece = arcs.pop()
-                if end not in dead and self.may_follow(last, piece):
-                    stack.append((at, end, last, arcs))
-                    at, last, arcs = end, piece, self.arcs(chunk, end) if end < n else []
+        n, inf = len(chunk), float("inf")
+        weight, back, last = [0.0] + [inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        root, scores, bound = self.trie, self.scores, self.model_type == BPE
+        follows, may_follow, size = self.follows, self.may_follow, len(self.texts)
+        for at in range(n):
+            so_far, piece_before = weight[at], last[at]
+            if so_far == inf:
+                continue
+            end, node = at, root
+            covered = False
+            while end < n:
+                node = node.get(chunk[end])
+                if node is None:
                     break
-            else:
-                dead.add(at)
-                if not stack:  # merges of equal score can leave no path: take what the merges leave
-                    out, at = [], 0
-                    for text in self.merged(chunk):
-                        out.append((at, at + len(text), self.ids.get(text, -1)))
-                        at += len(text)
-                    return out
-                at, _, last, arcs = stack.pop()
-        pieces = [s[2] for s in stack[1:]] + [last]
-        return [(s[0], s[1], piece) for s, piece in zip(stack, pieces)]
-
-    def best_path(self, chunk: str) -> list[tuple[int, int, int]]:
-        """With B's single state: the least weight to each place, from the front."""
-        ways: list[tuple[float, int, int]] = [(0.0, 0, -1)] + [(float("inf"), 0, -1)] * len(chunk)
-        for at in range(len(chunk)):
-            for end, piece in reversed(self.arcs(chunk, at)):
-                weight = ways[at][0] + (-self.scores[piece] if piece >= 0 else self.fallback * len(chunk[at].encode("utf-8", "surrogatepass")))
-                if weight < ways[end][0]:
-                    ways[end] = (weight, at, piece)
-        out, at = [], len(chunk)
+                end += 1
+                piece = node.get("")
+                if piece is None:
+                    continue
+                covered = covered or end == at + 1
+                total = so_far - scores[piece]
+                if total < weight[end]:
+                    if bound and piece_before >= 0:
+                        ok = follows.get(piece_before * size + piece)
+                        if not (may_follow(piece_before, piece) if ok is None else ok):
+                            continue
+                    weight[end], back[end], last[end] = total, at, piece
+            if not covered:  # byte fallback; such a character merges with nothing
+                total = so_far + self.fallback * len(chunk[at].encode("utf-8", "surrogatepass"))
+                if total < weight[at + 1]:
+                    weight[at + 1], back[at + 1], last[at + 1] = total, at, -1
+        if weight[n] == inf:
+            raise ValueError("no path: merges of equal rank decide here, which this machine does not cover")
+        out: list[list[int]] = []
+        at = n
         while at:
-            _, before, piece = ways[at]
-            out.append((before, at, piece))
-            at = before
-        return out[::-1]
+            out.append([last[at]] if last[at] >= 0 else self.spelled(chunk[back[at] : at]))
+            at = back[at]
+        return [i for ids in reversed(out) for i in ids]
 
     def solve(self, chunk: str) -> tuple[int, ...]:
         """A chunk falls apart between characters that stand together in no piece; the parts are remembered, too."""
@@ -287,21 +370,29 @@ def decode(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", model: str
     return encoded.select(F.col(f"`{key}`").alias("k"), F.col(f"`{ids}`").alias("ids")).mapInArrow(of, f"k {kind}, text string").withColumnRenamed("k", key)
 
 
-def encoded(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """The query's columns: doc_id, n_tokens, ids_crc32 (ids as little-endian 32-bit integers), and whether decoding the ids gives the text back."""
+def encoded(docs: DataFrame, model: str | None = None, with_ids: bool = False) -> DataFrame:
+    """The query's columns: doc_id, n_tokens, ids_crc32 (ids as little-endian 32-bit integers), and whether decoding the ids gives the text
+    back; ``with_ids`` adds ``ids`` and ``text``, what they decode to."""
     path = model or default_model()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            n, crc, same = [], [], []
-            for t in batch.column("text"):
-                text = t.as_py() or ""
-                ids = machine.encode(text)
-                n.append(len(ids))
-                crc.append(zlib.crc32(np.array(ids, "<u4").tobytes()))
-                same.append(machine.decode(ids) == text)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+            for part in range(0, batch.num_rows, 256):
+                rows = batch.slice(part, 256)
+                arrays, texts, same = [], [], []
+                for t in rows.column("text"):
+                    text = t.as_py() or ""
+                    ids = machine.encode(text)
+                    arrays.append(np.array(ids, "<i4"))
+                    texts.append(machine.decode(ids))
+                    same.append(texts[-1] == text)
+                columns = [rows.column("doc_id"), pa.array([len(a) for a in arrays], pa.int64()), pa.array([zlib.crc32(a.tobytes()) for a in arrays], pa.int64()), pa.array(same, pa.bool_())]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+                    columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.int32), *arrays]))), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean")
+    names = ["doc_id", "n_tokens", "ids_crc32", "round_trip", *(["ids", "text"] if with_ids else [])]
+    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id {kind}, n_tokens long, ids_crc32 long, round_trip boolean" + (", ids array<int>, text string" if with_ids else ""))

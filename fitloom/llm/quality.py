@@ -4,7 +4,8 @@ Every line is judged alone (symbols, navigation, shouting, boilerplate, closing
 document goes when too little of its text is left. A few whole-document base rules come first.
 
 Null text: a text without words; ``n_words`` is 0 and ``base_failed`` true. Every input row gives one output row, so repeated
-rows and null ids come through as they are. Extra columns are not looked at.
+rows and null ids come through as they are. Extra columns are carried along by ``quality_rules``, whatever their names; a column
+``quality_rules_`` of the table makes the new one's name longer. A text of any length is measured in one row.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import WORD, fresh, let, words
+from fitloom.llm.common import WORD, fresh, let, quoted, words
 
 # Phrases of page furniture and notices.
 BOILERPLATE = (
@@ -117,7 +118,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: LineRules = RULES)
     name = fresh(docs, "quality_rules_")
     raw = fresh(docs, "quality_raw_")
     # The array of one row keeps a filter on the verdict from being pushed below, where all would be measured again.
-    out = docs.select("*", F.explode(F.array(measure(F.col(f"`{text}`"), rules))).alias(raw))
+    out = docs.select("*", F.explode(F.array(measure(F.col(quoted(text)), rules))).alias(raw))
     m = F.col(raw)
     n, again = m["w"]["n_words"], m["w"]["n_repeat_words"]
     failed = (n < 50) | (100 * again > 50 * n)

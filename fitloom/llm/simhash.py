@@ -5,25 +5,31 @@ Fingerprints of 64 bits that differ in at most 4 are linked; ``Ring`` finds them
 Only distinct fingerprints are compared, and each group of a key gives at most as many edges as it has members (a forest of what is
 linked in it), so large groups of copies stay linear in what is sent on. Components are found by rounds of joins.
 
+A key of the ring has 25 or 26 bits, so n distinct fingerprints meet about n / 2**25 others under each of their 70 keys: 300 at 10**10.
+``Ring`` with ``keyed=3`` has keys of 38 or 39 bits at 1,370 keys a fingerprint, for more.
+
 Null text is an empty text: fingerprint zero, linked like any other. Rows with one id each get a row. A null id gets a fingerprint
-and the component of the others; a component without any id has a null component_id. Extra columns are not looked at.
+and the component of the others; a component without any id has a null component_id. Extra columns are not looked at by ``grouped``;
+``one_of_each`` carries them along, whatever their names. A long text is one row of one task; its work is linear in its words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import fresh, partitions, text_key, written
+from fitloom.llm.common import fresh, partitions, quoted, text_key, written
 from fitloom.llm.components import components
 
-#: Groups of a key above this many members are searched breadth first, smaller ones pair by pair, all groups of a batch at once.
+#: Groups of a key above this many members are searched along the chain of one segment more, smaller ones pair by pair, all groups of a
+#: batch at once. Both find the same links.
 LARGE = 128
 #: Pairs looked at in one numpy step.
 STEP = 1 << 18
@@ -71,18 +77,17 @@ class Ring:
     """Pigeonring filtering of 64-bit fingerprints within ``radius``.
 
     The bits are a ring of segments. Of two fingerprints within the radius, from some segment on every chain of n consecutive segments
-    differs in at most floor(radius n / segments) bits. The first ``keyed`` segments of such a chain make an equi-join key (where a
-    budget allows a bit in the second one, one side sends each such change); longer chains prune what meets under a key.
+    differs in at most floor(radius n / segments) bits. The first ``keyed`` segments of such a chain make an equi-join key, one side
+    sending each change that the budgets allow in those behind the first; longer chains prune what meets under a key.
     """
 
     def __init__(self, radius: int, widths: tuple[int, ...], keyed: int):
-        self.radius, self.widths, self.parts = radius, widths, len(widths)
+        self.radius, self.widths, self.parts, self.keyed = radius, widths, len(widths), keyed
         self.shifts = [sum(widths[:i]) for i in range(self.parts)]
         self.budgets = [radius * (n + 1) // self.parts for n in range(self.parts)]
-        if sum(widths) != 64 or self.budgets[0] or keyed not in (1, 2) or keyed == 2 and self.budgets[1] != 1:
-            raise ValueError("keys need an equal first segment and at most one bit in a second one")
-        self.keyed = keyed
-        self.low = max(w + (widths[(i + 1) % self.parts] if keyed == 2 else 0) for i, w in enumerate(widths))
+        if sum(widths) != 64 or self.budgets[0] or not 1 <= keyed < self.parts <= 8:
+            raise ValueError("keys need an equal first segment, and at most eight segments")
+        self.low = max(sum(widths[(i + k) % self.parts] for k in range(keyed)) for i in range(self.parts))
         self.masks = np.array([[self.mask(i, n + 1) for n in range(self.parts)] for i in range(self.parts)], np.uint64)
 
     def mask(self, first: int, length: int) -> int:
@@ -91,31 +96,40 @@ class Ring:
     def segment(self, fps: np.ndarray, i: int) -> np.ndarray:
         return (fps >> np.uint64(self.shifts[i])) & np.uint64((1 << self.widths[i]) - 1)
 
+    def changes(self, first: int) -> list[int]:
+        """What may be changed in the key from segment ``first`` on: at most ``budgets[n]`` bits in its first n + 1 segments."""
+        out = [(0, 0)]
+        for n in range(1, self.keyed):
+            width = self.widths[(first + n) % self.parts]
+            out = [(x << width | sum(1 << b for b in bits), d + len(bits)) for x, d in out for k in range(self.budgets[n] - d + 1) for bits in combinations(range(width), k)]
+        return [x for x, _ in out]
+
     def keys(self, fps: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
-        """For each segment the key as it is (True), then those with one bit of the second keyed segment changed. Keys have ``low`` + 3 bits."""
+        """For each segment the key as it is (True), then those with changes. Keys have ``low`` + 3 bits."""
         for i in range(self.parts):
-            key = self.segment(fps, i)
-            j = (i + 1) % self.parts
-            if self.keyed == 2:
+            key = np.zeros(len(fps), np.uint64)
+            for n in range(self.keyed):
+                j = (i + n) % self.parts
                 key = (key << np.uint64(self.widths[j])) | self.segment(fps, j)
             key |= np.uint64(i << self.low)
-            yield key, True
-            for bit in range(self.widths[j] if self.keyed == 2 else 0):
-                yield key ^ np.uint64(1 << bit), False
+            for x in self.changes(i):
+                yield key ^ np.uint64(x), x == 0
+
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        """The segment that each key begins with."""
+        return ((keys >> np.uint64(self.low)) & np.uint64(7)).astype(np.int64)
 
     def linked(self, x: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Whether the differences ``x`` of pairs that meet under ``keys`` keep to the budgets of all chains from there."""
-        first = ((keys >> np.uint64(self.low)) & np.uint64(7)).astype(np.int64)
+        first = self.first(keys)
         ok = np.ones(len(x), bool)
         for n, most in enumerate(self.budgets):
             ok &= np.bitwise_count(x & self.masks[first, n]) <= most
         return ok
 
 
-#: Whole fingerprints: four bits; each key has 20 to 22 bits.
-WHOLE = Ring(4, (11, 11, 11, 11, 10, 10), 2)
-#: Two bits; each key has 21 or 22 bits.
-CLASS = Ring(2, (22, 21, 21), 1)
+#: Four bits in five segments; each key has 25 or 26 bits.
+WHOLE = Ring(4, (13, 13, 13, 13, 12), 2)
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,21 +153,44 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def search(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Edges of a forest over distinct fingerprints: breadth first, each found one against those not yet found."""
-    u, v, left = [], [], fps
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
+def search(ring: Ring, first: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v) of a forest over distinct fingerprints that share a key from segment ``first`` on.
+
+    The chain of one segment more tells which values of the next segment a link can have; members are kept by that value. Each member
+    that is reached looks there for those that aren't yet, so a group of near copies is linear.
+    """
+    n = ring.keyed
+    part = ring.segment(fps, (first + n) % ring.parts)
+    width = ring.widths[(first + n) % ring.parts]
+    changes = [sum(1 << b for b in bits) for k in range(ring.budgets[n] + 1) for bits in combinations(range(width), k)]
+    order = np.argsort(part, kind="stable")
+    values, begins = np.unique(part[order], return_index=True)
+    left = dict(zip(values.tolist(), np.split(order, begins[1:])))
+    alive, at_part = np.ones(len(fps), bool), part.tolist()
+    us, vs = [order[:0]], [order[:0]]
+    for start in range(len(fps)):
+        queue = [start] if alive[start] else []
+        alive[start] = False
+        while queue:
             at = queue.pop()
-            near = np.bitwise_count(left ^ at) <= radius
-            if near.any():
-                found = left[near]
-                left = left[~near]
-                u += [int(at)] * len(found)
-                v += found.tolist()
-                queue += list(found)
-    return u, v
+            for value in (at_part[at] ^ c for c in changes):
+                members = left.get(value)
+                if members is None:
+                    continue
+                members = members[alive[members]]
+                near = np.bitwise_count(fps[members] ^ fps[at]) <= ring.radius
+                found = members[near]
+                if len(found):
+                    alive[found] = False
+                    us.append(np.full(len(found), at))
+                    vs.append(found)
+                    queue += found.tolist()
+                    members = members[~near]
+                if len(members):
+                    left[value] = members
+                else:
+                    del left[value]
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def pair_up(ring: Ring, keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +208,9 @@ def pair_up(ring: Ring, keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, pl
     sizes = np.diff(np.r_[starts, len(keys)])
     whole = np.add.reduceat(plain.astype(np.int64), starts)
     for s, n in zip(starts[(whole > 0) & (sizes > LARGE)], sizes[(whole > 0) & (sizes > LARGE)]):
-        u, v = search(fps[s : s + n], ring.radius)
-        for out, x in ((us, u), (vs, v)):
-            out.append(nodes[s : s + n][np.searchsorted(fps[s : s + n], np.array(x, np.uint64))])
+        u, v = search(ring, int(ring.first(keys[s : s + 1])[0]), fps[s : s + n])
+        us.append(nodes[s + u])
+        vs.append(nodes[s + v])
     use = (whole > 0) & (sizes > 1) & (sizes <= LARGE)
     starts, sizes = starts[use], sizes[use]
     # Each unchanged row against every row of its group.
@@ -199,48 +236,42 @@ def pair_up(ring: Ring, keys: np.ndarray, fps: np.ndarray, nodes: np.ndarray, pl
     return forest(u[some], v[some]) if some.any() else (u[:0], v[:0])
 
 
-def links(prints: DataFrame, ring: Ring) -> DataFrame:
-    """Edges (u, v) that keep together all nodes with linked fingerprints. ``prints``: node, and ``fps``, pairs of (scope, fingerprint) as
-    bytes; only fingerprints of one scope (of 25 bits) are compared."""
-    shift = np.uint64(ring.low + 3)
+def links(prints: DataFrame, ring: Ring = WHOLE) -> DataFrame:
+    """Edges (u, v) that keep together all linked fingerprints of ``prints`` (fp), which are distinct and are their own nodes."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 1024):
-                rows = batch.slice(part, 1024)
-                data = rows.column("fps").to_pylist()
-                flat = np.frombuffer(b"".join(data), np.uint64).reshape(-1, 2)
-                nodes = pa.array(np.repeat(rows.column("node").to_numpy(), [len(d) // 16 for d in data]))
-                fps = np.ascontiguousarray(flat[:, 1])
-                for key, plain in ring.keys(fps):
-                    key = key | (flat[:, 0] << shift)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps.view(np.int64)), nodes, pa.array(np.full(len(fps), plain))], ["k", "fp", "node", "plain"])
+            for part in range(0, batch.num_rows, 4096):
+                fps = batch.column("fp").slice(part, 4096)
+                for key, plain in ring.keys(fps.to_numpy().view(np.uint64)):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), fps, pa.array(np.full(len(fps), plain))], ["k", "fp", "plain"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            u, v = pair_up(ring, *(np.concatenate([p[i] for p in parts]) for i in range(4)))
+            k, fp, plain = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            u, v = pair_up(ring, k, fp, fp, plain)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         for batch in batches:
-            k, fp, node = (batch.column(c).to_numpy().view(np.uint64) for c in ("k", "fp", "node"))
+            k, fp = (batch.column(c).to_numpy().view(np.uint64) for c in ("k", "fp"))
             plain = batch.column("plain").to_numpy(zero_copy_only=False)
             if not len(k):
                 continue
             # The last group of a batch may go on in the next one.
             cut = int(np.flatnonzero(np.r_[True, k[1:] != k[:-1]])[-1])
             if cut:
-                yield out([*held, (k[:cut], fp[:cut], node[:cut], plain[:cut])])
+                yield out([*held, (k[:cut], fp[:cut], plain[:cut])])
                 held = []
             elif held and held[-1][0][-1] != k[0]:
                 yield out(held)
                 held = []
-            held.append((k[cut:], fp[cut:], node[cut:], plain[cut:]))
+            held.append((k[cut:], fp[cut:], plain[cut:]))
         if held:
             yield out(held)
 
-    rows = prints.select("node", "fps").mapInArrow(spread, "k long, fp long, node long, plain boolean")
+    rows = prints.select("fp").mapInArrow(spread, "k long, fp long, plain boolean")
     return rows.repartition(partitions(prints.sparkSession), "k").sortWithinPartitions("k").mapInArrow(meet, "u long, v long")
 
 
@@ -253,19 +284,15 @@ def rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """The query's columns: doc_id, fingerprint, component_id."""
     rows = written(fingerprints(docs.select("doc_id", "text"), shingle, ["doc_id"]), "prints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    scope = F.lit(bytes(8))
-    pairs = distinct.select(F.col("fp").alias("node"), F.concat(scope, little_endian(F.col("fp"))).alias("fps"))
-    of_print = distinct.join(rooted(distinct.select(F.col("fp").alias("node")), links(pairs, WHOLE)), F.col("fp") == F.col("node"))
-    least = of_print.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = written(of_print.join(least, "root").select("fp", "component_id"), "roots")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = rooted(distinct.select(F.col("fp").alias("node")), links(distinct))
+    # Tables of their own: the joins read two plain exchanges, and the prints of a large component, or copies of one print, can be split.
+    of_print = written(distinct.join(roots, F.col("fp") == F.col("node")).select("fp", "first", "root"), "roots")
+    least = written(of_print.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    by_print = written(of_print.join(least, "root").select("fp", "component_id"), "by_print")
     return rows.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def little_endian(x: Column) -> Column:
-    return F.unhex(F.concat(*(F.substring(F.lpad(F.hex(x), 16, "0"), 2 * k + 1, 2) for k in reversed(range(8)))))
-
-
 #: Near copies share this part of their shingles at least (Jaccard, as a fraction of integers).
 SHARE, OF = 4, 5
 #: Sizes of two near copies differ by this factor at most.
@@ -274,8 +301,8 @@ SIZE_RATIO = OF / SHARE
 CLASS_SHINGLES = ((256, 4), (2048, 8), (1 << 62, 16))
 #: Bits in which whole fingerprints of near copies differ at most: 4.3 standard deviations beyond what a similarity of 0.8 gives.
 SKETCH = 22
-#: Groups of a class above this many members send a spanning tree of nearest neighbours, smaller ones all their pairs.
-PAIRS = 32
+#: Members of a group of a class are compared with so many that come behind them: all pairs of up to this many and one.
+WINDOW = 32
 
 
 def level(n: float) -> int:
@@ -309,58 +336,36 @@ def class_prints(hashes: list[int]) -> tuple[np.ndarray, int, int]:
     return np.concatenate(out), whole, n
 
 
-def tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prim's spanning tree by Hamming distance: edges (of, to) no longer than ``SKETCH``, with the runner-up of each node beside its
-    nearest. Of two members within the radius, every edge on the tree's path is as near as they are, or nearer."""
-    left = np.arange(1, len(fps))
-    best = np.bitwise_count(fps[left] ^ fps[0])
-    to, second = np.zeros(len(left), np.int64), np.full(len(left), -1)
-    us, vs = [], []
-    while len(left):
-        i = int(best.argmin())
-        at = int(left[i])
-        for t in (int(to[i]), int(second[i])):
-            if t >= 0 and int(fps[at] ^ fps[t]).bit_count() <= SKETCH:
-                us.append(at)
-                vs.append(t)
-        for x in (left, best, to, second):
-            x[i] = x[-1]
-        left, best, to, second = left[:-1], best[:-1], to[:-1], second[:-1]
-        d = np.bitwise_count(fps[left] ^ fps[at])
-        nearer = d <= best
-        second[nearer] = to[nearer]
-        to[nearer] = at
-        best[nearer] = d[nearer]
-    return np.array(us, np.int64), np.array(vs, np.int64)
+def turned(fps: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The whole fingerprints, turned by as many bits as the key says: each class puts its members in another order."""
+    by = keys.view(np.uint64) & np.uint64(63)
+    return (fps << by) | (fps >> ((np.uint64(64) - by) & np.uint64(63)))
 
 
 def near_pairs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates (u, v), u < v, among rows that share a key; ``keys`` is sorted and holds whole groups."""
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    many = np.diff(np.r_[starts, len(keys)])
+    """Candidates (u, v), u < v, among rows that share a key; rows of a key stand together, in order of their ``turned`` fingerprints."""
     us, vs = [nodes[:0]], [nodes[:0]]
-    for s, n in zip(starts[many > PAIRS], many[many > PAIRS]):
-        u, v = tree(fps[s : s + n])
-        us.append(nodes[s : s + n][u])
-        vs.append(nodes[s : s + n][v])
-    use = (many > 1) & (many <= PAIRS)
-    starts, many = starts[use], many[use]
-    # Rows k places apart in their group, for each k.
-    rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts, many)
-    ends = np.repeat(starts + many, many)
-    for k in range(1, int(many.max(initial=1))):
-        a = rows[rows + k < ends]
-        b = a + k
-        ok = (np.bitwise_count(fps[a] ^ fps[b]) <= SKETCH) & (OF * np.minimum(sizes[a], sizes[b]) >= SHARE * np.maximum(sizes[a], sizes[b]))
-        us.append(nodes[a[ok]])
-        vs.append(nodes[b[ok]])
+    for k in range(1, min(WINDOW, len(keys) - 1) + 1):
+        a, b = slice(None, -k), slice(k, None)
+        same = np.flatnonzero(keys[a] == keys[b])
+        if not len(same):
+            break
+        x, y = same, same + k
+        ok = (np.bitwise_count(fps[x] ^ fps[y]) <= SKETCH) & (OF * np.minimum(sizes[x], sizes[y]) >= SHARE * np.maximum(sizes[x], sizes[y]))
+        us.append(nodes[x[ok]])
+        vs.append(nodes[y[ok]])
     u, v = np.concatenate(us), np.concatenate(vs)
     both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
     return both[:, 0], both[:, 1]
 
 
 def candidates(prints: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) that may be near copies. ``prints``: node, fp, n, and ``keys`` as bytes."""
+    """Distinct pairs (u, v) that may be near copies. ``prints``: node, fp, n, and ``keys`` as bytes.
+
+    A task streams its groups: it holds a batch and the ``WINDOW`` rows before it, however large a group is. All pairs of a group of up
+    to 33 meet. In a larger one, a passage that very many texts share, each text meets the 32 behind it, in an order that differs from
+    class to class; its near copies share other classes with it, most of them small.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,35 +373,22 @@ def candidates(prints: DataFrame) -> DataFrame:
                 rows = batch.slice(part, 1024)
                 data = rows.column("keys").to_pylist()
                 times = [len(d) // 8 for d in data]
-                each = [pa.array(np.repeat(rows.column(c).to_numpy(), times)) for c in ("fp", "n", "node")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), *each], ["k", "fp", "n", "node"])
+                fp, n, node = (np.repeat(rows.column(c).to_numpy(), times) for c in ("fp", "n", "node"))
+                keys = np.frombuffer(b"".join(data), np.int64)
+                order = turned(fp.view(np.uint64), keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, order, n, node)], ["k", "o", "n", "node"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            u, v = near_pairs(*(np.concatenate([p[i] for p in parts]) for i in range(4)))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
+        held = [np.array([], t) for t in (np.int64, np.int64, np.int32, np.int64)]
         for batch in batches:
-            k, fp, n, node = (batch.column(c).to_numpy() for c in ("k", "fp", "n", "node"))
-            if not len(k):
-                continue
-            fp = fp.view(np.uint64)
-            # The last group of a batch may go on in the next one.
-            cut = int(np.flatnonzero(np.r_[True, k[1:] != k[:-1]])[-1])
-            if cut:
-                yield out([*held, (k[:cut], fp[:cut], n[:cut], node[:cut])])
-                held = []
-            elif held and held[-1][0][-1] != k[0]:
-                yield out(held)
-                held = []
-            held.append((k[cut:], fp[cut:], n[cut:], node[cut:]))
-        if held:
-            yield out(held)
+            rows = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("k", "o", "n", "node"))]
+            # All fingerprints of a key are turned alike, so they differ as they did.
+            u, v = near_pairs(rows[0], rows[1].view(np.uint64), rows[2], rows[3])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            held = [x[-WINDOW:] for x in rows]
 
-    rows = prints.select("node", "fp", "n", "keys").mapInArrow(spread, "k long, fp long, n int, node long")
-    return rows.repartition(partitions(prints.sparkSession), "k").sortWithinPartitions("k").mapInArrow(meet, "u long, v long").distinct()
+    rows = prints.select("node", "fp", "n", "keys").mapInArrow(spread, "k long, o long, n int, node long")
+    return rows.repartition(partitions(prints.sparkSession), "k").sortWithinPartitions("k", "o").mapInArrow(meet, "u long, v long").distinct()
 
 
 def jaccard_reached(a: bytes, b: bytes) -> bool:
@@ -429,33 +421,40 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(id, key, root) of every row of ``docs`` (id, key, text): texts of one root are near copies of each other, or linked by such.
+    """(id, key, key2, root, clash) of every row of ``docs`` (id, key, key2, text): texts of one root are near copies of each other, or
+    linked by such.
 
-    Nodes are texts, by their key. Texts are linked if their shingles have a Jaccard similarity of 0.8 or more; candidates are those with a class of
-    shingles alike.
+    Nodes are texts, by their key. Texts are linked if their shingles have a Jaccard similarity of 0.8 or more; candidates are those with a
+    class of shingles alike. Different texts can have one key of 64 bits; ``key2`` tells them apart, and ``clash`` says that a key has
+    several.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [class_prints(shingle_hashes(t.as_py() or b"", shingle)) for t in batch.column("text").cast(pa.binary())]
-            keys, fps, sizes = pa.array([k.tobytes() for k, _, _ in found], pa.binary()), np.array([f for _, f, _ in found], np.uint64), np.array([n for _, _, n in found], np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(fps.view(np.int64)), pa.array(sizes), keys], ["id", "key", "fp", "n", "keys"])
+            for part in range(0, batch.num_rows, 512):
+                rows = batch.slice(part, 512)
+                found = [class_prints(shingle_hashes(t.as_py() or b"", shingle)) for t in rows.column("text").cast(pa.binary())]
+                keys, fps, sizes = pa.array([k.tobytes() for k, _, _ in found], pa.binary()), np.array([f for _, f, _ in found], np.uint64), np.array([n for _, _, n in found], np.int32)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("id", "key", "key2")), pa.array(fps.view(np.int64)), pa.array(sizes), keys], ["id", "key", "key2", "fp", "n", "keys"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    rows = written(docs.select("id", "key", "text").mapInArrow(of, f"id {kind}, key long, fp long, n int, keys binary"), "prints")
-    nodes = rows.groupBy(F.col("key").alias("node")).agg(F.first(F.struct("fp", "n", "keys")).alias("x")).select("node", "x.*")
+    rows = written(docs.select("id", "key", "key2", "text").mapInArrow(of, f"id {kind}, key long, key2 long, fp long, n int, keys binary"), "prints")
+    nodes = rows.groupBy(F.col("key").alias("node")).agg(F.first(F.struct("fp", "n", "keys")).alias("x"), (F.min("key2") != F.max("key2")).alias("clash")).select("node", "x.*", "clash")
     edges = written(candidates(nodes), "pairs")
-    roots = written(rooted(nodes.select("node"), verified(edges, docs, shingle)), "roots")
-    return rows.select("id", "key").join(roots, F.col("key") == F.col("node")).select("id", "key", "root")
+    roots = written(rooted(nodes.select("node"), verified(edges, docs, shingle)).join(nodes.select("node", "clash"), "node"), "roots")
+    return rows.select("id", "key", "key2").join(roots, F.col("key") == F.col("node")).select("id", "key", "key2", "root", "clash")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near copies: the least id (a null id comes last)."""
-    key, nth = fresh(docs, "near_key_"), fresh(docs, "near_nth_")
-    rows = docs.withColumn(key, text_key(F.col(f"`{text}`")))
-    found = near_copies(rows.select(F.col(f"`{doc_id}`").alias("id"), F.col(key).alias("key"), F.col(f"`{text}`").alias("text")), shingle)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("k")).select(F.col("k.id").alias("keep_id_"), F.col("k.key").alias("keep_key_"))
-    out = rows.join(kept, rows[doc_id].eqNullSafe(F.col("keep_id_")) & (F.col(key) == F.col("keep_key_")), "left_semi")
+    key, key2, nth, keep_id, keep_key, keep_key2 = (fresh(docs, n) for n in ("near_key_", "near_key2_", "near_nth_", "keep_id_", "keep_key_", "keep_key2_"))
+    source = F.col(quoted(text))
+    rows = docs.withColumns({key: text_key(source), key2: text_key(source, 1)})
+    found = near_copies(rows.select(F.col(quoted(doc_id)).alias("id"), F.col(key).alias("key"), F.col(key2).alias("key2"), source.alias("text")), shingle)
+    # Texts that clash in a key are groups of their own, as none may go for the other.
+    group = found.groupBy("root", F.when(F.col("clash"), F.col("key2")).alias("own"))
+    kept = group.agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "key2")).alias("k")).select(F.col("k.id").alias(keep_id), F.col("k.key").alias(keep_key), F.col("k.key2").alias(keep_key2))
+    out = rows.join(kept, F.col(quoted(doc_id)).eqNullSafe(F.col(keep_id)) & (F.col(key) == F.col(keep_key)) & (F.col(key2) == F.col(keep_key2)), "left_semi")
     # Rows alike in id and text: one stays.
-    numbered = out.withColumn(nth, F.row_number().over(W.partitionBy(f"`{doc_id}`", key).orderBy(key)))
-    return numbered.filter(F.col(nth) == 1).select(*docs.columns)
+    numbered = out.withColumn(nth, F.row_number().over(W.partitionBy(quoted(doc_id), key, key2).orderBy(key)))
+    return numbered.filter(F.col(nth) == 1).select(*map(quoted, docs.columns))

@@ -18,11 +18,11 @@ Ranks go back as counts. Between rounds a document is known by a 128-bit digest
 all copies of 400 bytes or more go whole. Equal keys of a block of documents are sent once, with their number, so a bucket gets at
 most one row a block of any string, however often it occurs.
 
-Equal hashes are taken as equal strings: for n strings sorted in rounds 2 and 3 the chance of one false tie is about n * n / 2**65.
-``wide=True`` compares 128 bits there, for inputs beyond some 10**9 such strings.
+Equal hashes of 128 bits are taken as equal strings in rounds 2 and 3: for n strings sorted there the chance of one false tie is about
+n * n / 2**129. ``wide=False`` compares 64 bits, for inputs of up to some 10**9 such strings.
 
 Null text: an empty text; texts under ``LENGTH`` bytes lose nothing unless all are read with a smaller ``LENGTH``. Repeated rows are
-exact copies. Null ids come through. Extra columns are not looked at.
+exact copies. Null ids come through. Extra columns are not looked at. A long text is hashed in segments, in the row of one task.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from fitloom.llm.common import partitions, written
 LENGTH = 400
 SEGMENT = 1 << 20
 BLOCK_BYTES = 4 << 20
-#: Counts are sent back in 32 bits.
+#: Counts are sent back in 32 bits; one that reaches the limit settles nothing.
 MOST = (1 << 32) - 1
 #: Keys that one bucket is to hold, about; there are two buckets a task at least.
 BUCKET_KEYS = 1 << 20
@@ -135,7 +135,7 @@ def within(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class Rounds:
     """What each round looks at in a document, as a rule of its text and of the bits that the rounds before gave."""
 
-    def __init__(self, length: int = LENGTH, coarse: int = 17, fine: int = 7, wide: bool = False):
+    def __init__(self, length: int = LENGTH, coarse: int = 17, fine: int = 7, wide: bool = True):
         self.length, self.wide = length, wide
         self.coarse, self.fine = Cover(coarse, length), Cover(fine, length)
         self.words = 1 + wide
@@ -185,7 +185,8 @@ class Rounds:
         if number != 1:
             return counts > 1
         core, span = counts.reshape(2, -1)
-        return np.concatenate([(core > 1) & (span == core), (core > 1) & (span != core)])
+        sure = (core > 1) & (span == core) & (core < MOST)
+        return np.concatenate([sure, (core > 1) & ~sure])
 
     def starts(self, n: int, bits: list[bytes]) -> np.ndarray:
         """Whether the string from each place on occurs elsewhere."""
@@ -335,7 +336,7 @@ def digested(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"), F.octet_length(text).cast("long").alias("n_bytes"))
 
 
-def trimmed(docs: DataFrame, length: int = LENGTH, coarse: int = 17, fine: int = 7, wide: bool = False) -> DataFrame:
+def trimmed(docs: DataFrame, length: int = LENGTH, coarse: int = 17, fine: int = 7, wide: bool = True) -> DataFrame:
     """(d1, d2, n_removed, n_spans, kept) of each text that loses something, exact copies aside; ``kept`` is what is left, as bytes."""
     rounds = Rounds(length, coarse, fine, wide)
     rows = digested(docs)
@@ -378,7 +379,7 @@ def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(new, pa.int64()))
 
 
-def deduped(docs: DataFrame, length: int = LENGTH, coarse: int = 17, fine: int = 7, wide: bool = False, with_text: bool = False) -> DataFrame:
+def deduped(docs: DataFrame, length: int = LENGTH, coarse: int = 17, fine: int = 7, wide: bool = True, with_text: bool = False) -> DataFrame:
     """The query's columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` adds ``kept``, null where nothing went."""
     rows = digested(docs).select("doc_id", "d1", "d2", "n_bytes", F.sha2("text", 256).alias("sha"))
     copies = rows.filter(F.col("n_bytes") >= length).groupBy("d1", "d2").agg(F.count("*").alias("copies")).filter("copies > 1")

@@ -3,16 +3,22 @@
 Documents are dealt by ranges of their id; each range becomes one shard of two files in the shared folder:
 
 ``NNNNN.bin``  the ids of all its documents, one after the other, little-endian, 2 or 4 bytes each (as the vocabulary needs), raw.
-``NNNNN.idx``  ``FLT1``, the id width, the numbers of documents and ids, the hash seed; then per bucket of the hash a displacement,
-               per slot a fingerprint, an offset and a length (in ids), and the document keys in order.
+``NNNNN.idx``  ``FLT2``, the id width, the numbers of documents and ids, the hash seed and the number of buckets; then per bucket of the
+               hash a displacement, per slot a record of fingerprint, offset and length (in ids), and the document keys in order.
 
 The index is a minimal perfect hash (hash and displace): a key's bucket gives a displacement, key and displacement give its slot,
-and every slot is used. A key that is not in the shard meets a fingerprint that differs, but for one in 2**32. A lookup reads one
-displacement and one slot, however many keys there are.
+and every slot is used. A key that is not in the shard meets a fingerprint that differs, but for one in 2**32. A lookup (``find``) seeks
+one displacement and one record, however many keys there are; only the head is read when a shard is opened. ``whole`` reads all keys
+and records at once, and ``payloads`` the ids of all documents in ranges of some megabytes.
+
+There are as many shards as keep each under ``SHARD_BYTES`` of text and ``SHARD_ROWS`` documents on the average, and at least as many as
+shuffle partitions; the memory of a task goes by these two, not by the table. Ranges are of the id and the first characters of the
+text, so rows that share an id, or have none, spread over several shards.
 
 Files are written under a name of the attempt and renamed, so a repeated or lost task leaves whole files. Null text: an empty text
-(only the end id). Null ids come first in the order. Rows that share an id are told apart by their number among them, in order of
-text; both parts make the key. Extra columns are not looked at.
+(only the end id). Null ids come first in the order. Ids are integers; another kind must be castable to long, or the job ends with a
+cast error. Rows that share an id are told apart by their number among them in their shard, in order of text; both parts make the key.
+Extra columns are not looked at. A long text is encoded whole in one row.
 """
 
 from __future__ import annotations
@@ -34,10 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import partitions, scratch, written
+from fitloom.llm.common import partitions, quoted, scratch, written
 
-MAGIC = b"FLT1"
+MAGIC = b"FLT2"
 HEAD = struct.Struct("<4sBqqQq")
+SLOT = np.dtype([("print", "<u4"), ("offset", "<i8"), ("length", "<i8")])
+#: What a shard holds at most, on the average.
+SHARD_BYTES, SHARD_ROWS = 256 << 20, 4_000_000
+#: Bytes that are read at once of a payload.
+READ_BYTES = 8 << 20
 KEYS_A_BUCKET = 4
 #: Words that a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
@@ -75,7 +86,7 @@ class MinimalPerfectHash:
         if len(np.unique(h)) < n:
             return None
         m = max(1, -(-n // KEYS_A_BUCKET))
-        bucket = ((h >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
+        bucket = cls.bucket(h, m)
         order = np.argsort(bucket, kind="stable")
         sizes = np.bincount(bucket, minlength=m)
         starts = np.cumsum(sizes) - sizes
@@ -100,8 +111,16 @@ class MinimalPerfectHash:
         return cls(n, out)
 
     def slots(self, h: np.ndarray) -> np.ndarray:
-        d = self.displacements[((h >> np.uint64(32)) % np.uint64(len(self.displacements))).astype(np.int64)]
-        return np.where(d < 0, -d - 1, self.spread(h, np.maximum(d, 0), self.n))
+        return self.slot(h, self.displacements[self.bucket(h, len(self.displacements))], self.n)
+
+    @staticmethod
+    def bucket(h: np.ndarray, m: int) -> np.ndarray:
+        return ((h >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
+
+    @classmethod
+    def slot(cls, h: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+        """By the displacements ``d`` of their buckets."""
+        return np.where(d < 0, -d - 1, cls.spread(h, np.maximum(d, 0), n))
 
 
 class Shard:
@@ -109,36 +128,57 @@ class Shard:
 
     def __init__(self, folder: str, name: str):
         files, path = open_fs(folder)
-        with files.open_input_stream(f"{path}/{name}.idx") as f:
-            data = f.read()
-        magic, self.width, n, self.n_ids, self.seed, m = HEAD.unpack_from(data)
+        self.index, self.payload = files.open_input_file(f"{path}/{name}.idx"), files.open_input_file(f"{path}/{name}.bin")
+        magic, self.width, self.n, self.n_ids, self.seed, self.buckets = HEAD.unpack(self.index.read_at(HEAD.size, 0))
         if magic != MAGIC:
             raise ValueError("not an index of this format")
-        at = HEAD.size
+        self.slots_at = HEAD.size + 8 * self.buckets
+        self.keys_at = self.slots_at + SLOT.itemsize * self.n
 
-        def take(kind: str, count: int) -> np.ndarray:
+    def find(self, ids: np.ndarray, nth: np.ndarray | None = None, nulls: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(found, offset, length) of each key, by two seeks a key."""
+        ids = np.asarray(ids, np.int64)
+        h = key_hash(ids, np.zeros(len(ids), bool) if nulls is None else nulls, np.zeros(len(ids), np.int64) if nth is None else nth, self.seed)
+        bucket = MinimalPerfectHash.bucket(h, self.buckets)
+        displacements = np.frombuffer(b"".join(self.index.read_at(8, HEAD.size + 8 * b) for b in bucket.tolist()), "<i8")
+        slots = MinimalPerfectHash.slot(h, displacements, self.n)
+        records = np.frombuffer(b"".join(self.index.read_at(SLOT.itemsize, self.slots_at + SLOT.itemsize * s) for s in slots.tolist()), SLOT)
+        return records["print"] == print_of(h), records["offset"], records["length"]
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, nulls, offsets, lengths) of all documents in order, each looked up by its key in the index."""
+        data = self.index.read_at(self.index.size() - HEAD.size, HEAD.size)
+        at = 0
+
+        def take(kind: str | np.dtype, count: int) -> np.ndarray:
             nonlocal at
             out = np.frombuffer(data, kind, count, at)
             at += out.nbytes
             return out
 
-        self.mph = MinimalPerfectHash(n, take("<i8", m))
-        self.prints, self.offsets, self.lengths = take("<u4", n), take("<i8", n), take("<i8", n)
-        self.ids, self.nth, self.nulls = take("<i8", n), take("<i8", n), take("?", n)
-        self.payload = files.open_input_file(f"{path}/{name}.bin")
-
-    def find(self, ids: np.ndarray, nth: np.ndarray | None = None, nulls: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(found, offset, length) of each key."""
-        ids = np.asarray(ids, np.int64)
-        nth = np.zeros(len(ids), np.int64) if nth is None else nth
-        nulls = np.zeros(len(ids), bool) if nulls is None else nulls
+        displacements, records = take("<i8", self.buckets), take(SLOT, self.n)
+        ids, nth, nulls = take("<i8", self.n), take("<i8", self.n), take("?", self.n)
         h = key_hash(ids, nulls, nth, self.seed)
-        slots = self.mph.slots(h)
-        return self.prints[slots] == print_of(h), self.offsets[slots], self.lengths[slots]
+        found = records[MinimalPerfectHash.slot(h, displacements[MinimalPerfectHash.bucket(h, self.buckets)], self.n)]
+        if not (found["print"] == print_of(h)).all():
+            raise ValueError("the index does not find its own keys")
+        return ids, nulls, found["offset"], found["length"]
 
     def read(self, offset: int, length: int) -> np.ndarray:
         return np.frombuffer(self.payload.read_at(length * self.width, offset * self.width), f"<u{self.width}")
 
+    def payloads(self, offsets: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+        """The ids of each document; ``offsets`` ascend. Neighbours are read together."""
+        ends = offsets + lengths
+        done, most = 0, READ_BYTES // self.width
+        while done < len(offsets):
+            first = int(offsets[done])
+            upto = max(done + 1, int(np.searchsorted(ends, first + most, "right")))
+            data = self.read(first, int(ends[upto - 1]) - first)
+            for o, n in zip((offsets[done:upto] - first).tolist(), lengths[done:upto].tolist()):
+                yield data[o : o + n]
+            done = upto
+
 
 def print_of(h: np.ndarray) -> np.ndarray:
     return (mix(h, 11) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -156,10 +196,10 @@ def build_index(ids: np.ndarray, nth: np.ndarray, nulls: np.ndarray, lengths: np
         seed += mph is None
     slots = mph.slots(h)
     n = len(ids)
-    prints, offsets, sizes = np.empty(n, "<u4"), np.empty(n, "<i8"), np.empty(n, "<i8")
-    prints[slots], offsets[slots], sizes[slots] = print_of(h), np.cumsum(lengths) - lengths, lengths
+    records = np.empty(n, SLOT)
+    records["print"][slots], records["offset"][slots], records["length"][slots] = print_of(h), np.cumsum(lengths) - lengths, lengths
     head = HEAD.pack(MAGIC, width, n, int(lengths.sum()), seed, len(mph.displacements))
-    return b"".join([head, *(np.ascontiguousarray(x).tobytes() for x in (mph.displacements, prints, offsets, sizes, ids, nth, nulls))])
+    return b"".join([head, *(np.ascontiguousarray(x).tobytes() for x in (mph.displacements, records, ids, nth, nulls))])
 
 
 class WordTokenizer:
@@ -268,6 +308,9 @@ def default_tokenizer() -> str:
 def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, shards: int | None = None) -> tuple[str, DataFrame]:
     """Write the shards; returns their folder and (shard, n_docs, n_ids, base), base being the number of ids in the shards before."""
     spark = docs.sparkSession
+    if shards is None:
+        size = docs.agg(F.sum(F.octet_length(quoted(text)).cast("long")).alias("bytes"), F.count("*").alias("rows")).first()
+        shards = max(partitions(spark), -(-(size["bytes"] or 0) // SHARD_BYTES), -(-size["rows"] // SHARD_ROWS))
     path, folder = tokenizer or default_tokenizer(), scratch(spark, "tokens")
     files, at = open_fs(folder)
     files.create_dir(at)
@@ -301,8 +344,8 @@ def write_store(docs: DataFrame, key: str = "doc_id", text: str = "text", tokeni
             files.move(f"{at}/{attempt}.{end}", f"{at}/{name}.{end}")
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "n_docs": [len(ids)], "n_ids": [int(lengths.sum())]})
 
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
-    dealt = rows.repartitionByRange(shards or partitions(spark), "k").sortWithinPartitions("k", "t")
+    rows = docs.select(F.col(quoted(key)).cast("long").alias("k"), F.col(quoted(text)).alias("t"))
+    dealt = rows.repartitionByRange(shards, F.col("k"), F.substring("t", 1, 64)).sortWithinPartitions("k", "t")
     manifest = written(dealt.mapInArrow(write, "shard long, n_docs long, n_ids long"), "manifest")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row a shard
     return folder, manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
@@ -321,11 +364,9 @@ def read_store(folder: str, manifest: DataFrame, of: Callable[[Shard, int], pa.R
 
 def read_back(shard: Shard, base: int) -> pa.RecordBatch:
     """The query's columns of one shard, each document looked up by its key."""
-    found, offsets, lengths = shard.find(shard.ids, shard.nth, shard.nulls)
-    if not found.all():
-        raise ValueError("the index does not find its own keys")
-    crcs = [zlib.crc32(shard.read(o, n).astype("<u4").tobytes()) for o, n in zip(offsets.tolist(), lengths.tolist())]
-    return pa.RecordBatch.from_arrays([pa.array(shard.ids, mask=shard.nulls), pa.array(base + offsets), pa.array(lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    ids, nulls, offsets, lengths = shard.whole()
+    crcs = [zlib.crc32(x.astype("<u4").tobytes()) for x in shard.payloads(offsets, lengths)]
+    return pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(base + offsets), pa.array(lengths.astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def stored(docs: DataFrame) -> DataFrame:

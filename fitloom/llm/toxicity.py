@@ -1,14 +1,21 @@
 """Operator 5: toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over hashed words and word beginnings is trained in numpy from confirmed toxic documents (P) and documents whose
-label is not looked at (U). With the class prior p, the risk is p R_P(+) + max(0, R_U(-) - p R_P(-)); where the second part turns
-negative it is the reverse of its gradient that is followed, so that the classifier does not fit U's hidden toxic documents as clean.
-
-The fit reads a bounded sample of labelled rows (``Settings.most_positive`` and ``most_unlabelled``, taken by a hash of the id); every
-document is scored. Only rows whose crc32 of the id is not 0 modulo 5 lend labels.
-
-Null or empty text has no features and gets the score of the bias. Null ids are scored, have no label and are not held out. If a
-document has several labels, one toxic label makes it toxic. Without any toxic label all scores are 0. Extra columns are not looked at.
+A linear classifier over hashed words and word beginnings is trained in numpy from confirmed toxic documents (P) and unlabelled text
+(U). U is drawn from all documents outside the held-out fold, labelled or not; no label of it is looked at. With the class prior p, the
+risk is p R_P(+) + max(0, R_U(-) - p R_P(-)); where the second part turns negative it is the reverse of its gradient that is followed,
+so that the classifier does not fit U's hidden toxic documents as clean.
+
+The prior is the share of toxic ones among the labelled documents of the training folds. That is right where labels were given to
+documents without regard to their text, as in ``labels``; where they were not, ``Settings.prior`` states it.
+
+The fit reads a bounded sample (``Settings.most_positive`` and ``most_unlabelled`` documents, taken by a hash of the id) and at most
+``Settings.features`` features, which are chosen by an aggregate over the sample, so the driver holds at most rows times features
+counts; every document is scored. Only rows whose crc32 of the id is not 0 modulo 5 lend labels or text.
+
+Null or empty text has no features and gets the score of the bias. A feature must stand in three confirmed documents, or in all if
+there are fewer; without any feature all scores are that of the prior. Null ids are scored, have no label, are not held out and not in
+U. If a document has several labels, one toxic label makes it toxic. Without any toxic label all scores are 0. Extra columns are not
+looked at. A long text is one row of one task, linear in its words.
 """
 
 from __future__ import annotations
@@ -22,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fitloom.llm.common import written
+
 FOLDS = 5
 
 
@@ -35,6 +44,7 @@ class Settings:
     steps: int = 300
     rate: float = 0.05
     decay: float = 1e-4
+    prior: float | None = None
 
 
 SETTINGS = Settings()
@@ -75,7 +85,7 @@ class Model:
     bias: float
 
     def score(self, logit: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30)))) if self.weights else 0.0
+        return float(1 / (1 + np.exp(-np.clip(logit, -30, 30)))) if logit > -np.inf else 0.0
 
 
 def nnpu_gradient(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
@@ -94,68 +104,76 @@ def nnpu_gradient(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarr
 
 @dataclass
 class Sample:
-    """Feature counts of documents, one after the other: ``sizes[i]`` entries of ``features`` and ``counts`` for row i."""
+    """Counts of the chosen features in documents: ``counts[i]`` of feature number ``columns[i]`` in document number ``rows[i]``."""
 
     positive: np.ndarray
-    sizes: np.ndarray
-    features: np.ndarray
+    rows: np.ndarray
+    columns: np.ndarray
     counts: np.ndarray
 
-    @classmethod
-    def of(cls, rows: list[tuple[bool, dict[int, int]]]) -> Sample:
-        flat = [x for _, c in rows for x in c.items()]
-        return cls(np.array([p for p, _ in rows], bool), np.array([len(c) for _, c in rows], np.int64), np.array([f for f, _ in flat], np.int32), np.array([n for _, n in flat], np.int32))
-
 
-def fit(sample: Sample, prior: float, settings: Settings = SETTINGS) -> Model:
+def fit(sample: Sample, chosen: list[int], prior: float, settings: Settings = SETTINGS) -> Model:
     """Rows that aren't confirmed toxic are the unlabelled ones."""
     positive = sample.positive
     if not positive.any():
-        return Model(settings, {}, 0.0)
-    row = np.repeat(np.arange(len(positive)), sample.sizes)
-    n_p, n_u = positive.sum(), max(1, (~positive).sum())
-    names, seen = np.unique(sample.features[positive[row]], return_counts=True)
-    names, seen = names[seen >= 3], seen[seen >= 3]
-    others, times = np.unique(sample.features[~positive[row]], return_counts=True)
-    at = np.minimum(np.searchsorted(others, names), max(0, len(others) - 1))
-    usual = np.where(others[at] == names, times[at], 0) if len(others) else np.zeros(len(names))
-    lift = (seen / n_p - usual / n_u) / np.sqrt((seen + usual) / (n_p + n_u))
-    chosen = np.sort(names[np.lexsort((names, -lift))][: settings.features])
+        return Model(settings, {}, -np.inf)
     x = np.zeros((len(positive), len(chosen) + 1), np.float32)
     x[:, -1] = 1
-    column = np.minimum(np.searchsorted(chosen, sample.features), max(0, len(chosen) - 1))
-    use = chosen[column] == sample.features if len(chosen) else np.zeros(len(column), bool)
-    x[row[use], column[use]] = np.log1p(sample.counts[use])
+    x[sample.rows, sample.columns] = np.log1p(sample.counts)
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     w[-1] = np.log(prior / (1 - prior))
-    for t in range(1, settings.steps + 1):
+    for t in range(1, settings.steps + 1 if chosen else 1):
         g = x.T @ nnpu_gradient(x @ w.astype(np.float32), positive, prior).astype(np.float32) + settings.decay * np.r_[w[:-1], 0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= settings.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(settings, dict(zip(chosen.tolist(), w[:-1].tolist())), float(w[-1]))
+    return Model(settings, dict(zip(chosen, w[:-1].tolist())), float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> Model:
-    """Fit on the training folds of ``labels`` (doc_id, toxic); ``docs`` has doc_id and text."""
+def sampled(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFrame, float]:
+    """(doc_id, confirmed, text) of P and U, as a table, and the prior. A document may stand in both."""
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = known.agg(F.avg("toxic")).first()[0]
-    prior = min(0.9, max(1e-3, share or 0.0))
+    share = known.agg(F.avg("toxic")).first()[0] if settings.prior is None else settings.prior
     by_hash = F.xxhash64("doc_id", F.lit(5))
-    take = lambda df, n, confirmed: df.orderBy(by_hash, "doc_id").limit(n).select("doc_id", F.lit(confirmed).alias("confirmed"))
-    sample = take(known.filter("toxic = 1"), settings.most_positive, True).unionByName(take(known, settings.most_unlabelled, False))
+    take = lambda df, n, confirmed: df.select("doc_id").orderBy(by_hash, "doc_id").limit(n).distinct().withColumn("confirmed", F.lit(confirmed))
+    outside = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = take(known.filter("toxic = 1"), settings.most_positive, True).unionByName(take(outside, settings.most_unlabelled, False))
+    # At most most_positive + most_unlabelled ids. Of rows that share an id the least text is taken.
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "confirmed").agg(F.min("text").alias("text"))
+    return written(found, "sample"), min(0.9, max(1e-3, share or 0.0))
+
+
+def train(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> Model:
+    """Fit on the training folds of ``labels`` (doc_id, toxic); ``docs`` has doc_id and text."""
+    sample, prior = sampled(docs, labels, settings)
+    sizes = {r["confirmed"]: r["n"] for r in sample.groupBy("confirmed").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = sizes.get(True, 0), max(1, sizes.get(False, 0))
+    if not n_p:
+        return Model(settings, {}, -np.inf)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, tuple[int, ...]] = {}
+        for batch in batches:
+            for confirmed, text in zip(batch.column("confirmed").to_pylist(), batch.column("text")):
+                found = np.fromiter(counted(text.as_py() or "", words, settings), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), confirmed))], ["f", "confirmed"])
+
+    seen, usual = F.col("seen"), F.col("usual")
+    every = sample.select("confirmed", "text").mapInArrow(features, "f int, confirmed boolean").groupBy("f").agg(F.count_if("confirmed").alias("seen"), F.count_if(~F.col("confirmed")).alias("usual"))
+    lift = (seen / F.lit(float(n_p)) - usual / F.lit(float(n_u))) / F.sqrt((seen + usual) / F.lit(float(n_p + n_u)))
+    chosen = sorted(r["f"] for r in every.filter(seen >= min(3, n_p)).orderBy(F.desc(lift), "f").limit(settings.features).collect())
+    place = {f: i for i, f in enumerate(chosen)}
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             for key, confirmed, text in zip(batch.column("doc_id"), batch.column("confirmed"), batch.column("text")):
-                counts = counted(text.as_py() or "", words, settings)
-                yield pa.RecordBatch.from_arrays([pa.array([str(key)]), pa.array([confirmed.as_py()]), pa.array([np.fromiter(counts, "<i4").tobytes()]), pa.array([np.fromiter(counts.values(), "<i4").tobytes()])], ["id", "confirmed", "f", "c"])
+                found = {place[f]: n for f, n in counted(text.as_py() or "", words, settings).items() if f in place}
+                yield pa.RecordBatch.from_arrays([pa.array([str(key)]), pa.array([confirmed.as_py()]), pa.array([np.fromiter(found, "<i4").tobytes()]), pa.array([np.fromiter(found.values(), "<i4").tobytes()])], ["id", "confirmed", "f", "c"])
 
-    # The sample has at most most_positive + most_unlabelled rows.
-    read = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "confirmed", "text").mapInArrow(features, "id string, confirmed boolean, f binary, c binary")
-    rows = sorted(((r["id"], r["confirmed"], r["f"], r["c"]) for r in read.toLocalIterator()), key=lambda r: r[:3])
+    read = sample.mapInArrow(counts, "id string, confirmed boolean, f binary, c binary")
+    rows = sorted((r["id"], r["confirmed"], bytes(r["f"]), bytes(r["c"])) for r in read.toLocalIterator())
     flat = lambda i: np.frombuffer(b"".join(r[i] for r in rows), "<i4")
-    return fit(Sample(np.array([r[1] for r in rows], bool), np.array([len(r[2]) // 4 for r in rows], np.int64), flat(2), flat(3)), prior, settings)
+    return fit(Sample(np.array([r[1] for r in rows], bool), np.repeat(np.arange(len(rows)), [len(r[2]) // 4 for r in rows]), flat(2), flat(3)), chosen, prior, settings)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -3,10 +3,11 @@
 All glob rules are packed, one bit a pattern position, into the words of one mask (Shift-And). ``?`` is any byte, ``*`` any run
 without ``/``, ``**`` any run. A star keeps the position before it alive on the bytes it may swallow, so no empty moves are
 needed: for each byte c, state = ((state << 1) & step[c]) | (state & stay[c]). Whole batches of URLs advance together, sorted by
-length so that ended ones drop off the end. It reads a canonical form of host and path (``canonical``); the columns host and path
-are as they stand in the URL.
+length so that ended ones drop off the end; a very long URL is walked alone, linear in its bytes. Host rules read host and path as they
+stand in the URL, block globs read their canonical form (``canonical``).
 
-Null url, or one without ``://``: host and path are empty. Every row gives one row; ids may be null or repeated.
+Null url, or one without ``://``: host and path are empty. Every row gives one row; ids may be null or repeated. Extra columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,10 @@ HOST_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("all
 BLOCK_GLOBS = ("*spam*/**", "*cheap-pills*/**", "*casino*/**", "ads.*/**", "**/wp-login*", "**/*.exe")
 
 
+#: Texts of more bytes are walked alone.
+LONG = 4096
+
+
 class Automaton:
     """Globs in one multiword mask."""
 
@@ -64,8 +70,26 @@ class Automaton:
             self.stay[ord("/"), state >> 6] |= np.uint64(1 << (state & 63))
         self.ends = np.array(ends, np.int64)
 
+    def walk(self, text: bytes) -> np.ndarray:
+        """One text alone, its state a single number of all words: a long URL holds up no batch."""
+        step, stay = self.numbers
+        state = sum(int(w) << 64 * i for i, w in enumerate(self.start))
+        for c in text:
+            state = (state << 1 & step[c]) | (state & stay[c])
+        return np.array([state >> int(e) & 1 for e in self.ends], bool)
+
+    @cached_property
+    def numbers(self) -> tuple[list[int], list[int]]:
+        return tuple([sum(int(w) << 64 * i for i, w in enumerate(row)) for row in table] for table in (self.step, self.stay))
+
     def matches(self, texts: list[bytes]) -> np.ndarray:
         """A row of booleans a text, a column a glob."""
+        long = [i for i, t in enumerate(texts) if len(t) > LONG]
+        if long:
+            out = self.matches([b"" if len(t) > LONG else t for t in texts])
+            for i in long:
+                out[i] = self.walk(texts[i])
+            return out
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         order = np.argsort(-lengths, kind="stable")
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -94,13 +118,35 @@ class UrlRules:
     host_rules: tuple[tuple[str, str, str], ...] = HOST_RULES
     block_globs: tuple[str, ...] = BLOCK_GLOBS
 
+    @classmethod
+    def of(cls, host_rules: DataFrame | None = None, block_globs: DataFrame | None = None) -> UrlRules:
+        """From tables (verdict, host, path) and (glob); rules go to every task, so there should be some thousands at most."""
+        hosts = HOST_RULES if host_rules is None else tuple((r["verdict"], r["host"], r["path"]) for r in host_rules.select("verdict", "host", "path").distinct().orderBy("host", "path").collect())
+        return cls(hosts, BLOCK_GLOBS if block_globs is None else tuple(r["glob"] for r in block_globs.select("glob").distinct().orderBy("glob").collect()))
+
     def globs(self) -> list[str]:
         """Two globs a host rule, the host itself and its subdomains, then the block globs."""
         return [g for _, host, path in self.host_rules for g in (f"{host}{path}**", f"*.{host}{path}**")] + list(self.block_globs)
 
 
+def without_dots(path: str) -> str:
+    """``path`` without ``.`` and ``..`` segments."""
+    out: list[str] = []
+    parts = path.split("/")
+    for i, part in enumerate(parts):
+        if part in (".", ".."):
+            if part == ".." and len(out) > 1:
+                out.pop()
+            if i == len(parts) - 1:
+                out.append("")
+        else:
+            out.append(part)
+    return "/".join(out)
+
+
 def canonical(host: str, path: str) -> str:
-    """Host and path without user part and port, with unreserved characters decoded, the host's A-Z in lower case, and ``/`` for an empty path."""
+    """Host and path without user part, port and dot segments, with unreserved characters decoded, the host's A-Z in lower case, and ``/``
+    for an empty path."""
 
     def plain(text: str) -> str:
         return re.sub("%(2[DdEe]|3[0-9]|[46][1-9A-Fa-f]|[57][0-9Aa]|5[Ff]|7[Ee])", lambda m: chr(int(m[1], 16)), text)
@@ -108,7 +154,8 @@ def canonical(host: str, path: str) -> str:
     if not host and not path:
         return ""
     host = re.sub("[A-Z]", lambda m: m[0].lower(), plain(re.sub(r":[0-9]*\Z", "", host.rpartition("@")[2])))
-    return host + (plain(path) or "/")
+    path = plain(path) or "/"
+    return host + (without_dots(path) if "/." in path else path)
 
 
 def url_filter(urls: DataFrame, key: str, url: str = "url", rules: UrlRules = UrlRules()) -> DataFrame:
@@ -131,7 +178,11 @@ def url_filter(urls: DataFrame, key: str, url: str = "url", rules: UrlRules = Ur
         automaton = Automaton(rules.globs())
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            hit = automaton.matches([canonical(h, p).encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths)])
+            plain, forms = [h + p for h, p in zip(hosts, paths)], [canonical(h, p) for h, p in zip(hosts, paths)]
+            hit = automaton.matches([x.encode("utf-8", "surrogatepass") for x in forms])
+            other = [r for r, (a, b) in enumerate(zip(plain, forms)) if a != b]
+            if other:  # host rules read these as they stand
+                hit[other, :n] = automaton.matches([plain[r].encode("utf-8", "surrogatepass") for r in other])[:, :n]
             rule, verdict = [None] * len(hosts), ["block" if x else "allow" for x in hit[:, n:].any(axis=1)]
             for i in reversed(ranked):
                 for r in np.flatnonzero(hit[:, 2 * i] | hit[:, 2 * i + 1]):
@@ -164,7 +215,8 @@ def sql(rules: UrlRules = UrlRules()) -> str:
     fits = [(f"(host = '{q(h)}' or ends_with(host, '.{q(h)}')) and starts_with(path, '{q(p)}')", h + p, v) for v, h, p in ranked]
     rule = " ".join(f"when {f} then '{q(name)}'" for f, name, _ in fits)
     verdict = " ".join(f"when {f} then '{v}'" for f, _, v in fits)
-    globs = " or ".join(f"regexp_matches(host || path, '{q(as_regex(g))}')" for g in rules.block_globs) or "false"
+    plain = r"regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') || case when path = '' and host <> '' then '/' else path end"
+    globs = " or ".join(f"regexp_matches({plain}, '{q(as_regex(g))}')" for g in rules.block_globs) or "false"
     return f"""
     with r as (select page_id, case when contains(coalesce(url, ''), '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
     p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from r)

@@ -119,7 +119,7 @@ def test_simhash_groups(docs, seed):
     assert {d: r["component_id"] for d, r in out.items()} == {d: find(d) for d in fp} and len({find(d) for d in fp}) < len(fp)
 
 
-@pytest.mark.parametrize("ring", [simhash.WHOLE, simhash.CLASS])
+@pytest.mark.parametrize("ring", [simhash.WHOLE, simhash.Ring(2, (22, 21, 21), 1), simhash.Ring(4, (11, 11, 11, 11, 10, 10), 2)])
 @pytest.mark.parametrize("large", [2, 1000])
 def test_ring_loses_no_pair(ring, large, monkeypatch):
     monkeypatch.setattr(simhash, "LARGE", large)

@@ -23,8 +23,11 @@ def der(tag, *parts):
 
 RSA = der(0x30, der(2, b"\0"), *(der(2, bytes([1]) + bytes(range(1, 65))) for _ in range(8)))
 PKCS8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48"), der(5)), der(4, RSA))
+ED25519 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2b\x65\x70")), der(4, der(4, bytes(range(32)))))
+SEALED = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")), der(0x30, der(4, b"salt" * 2), der(2, b"\x08\0"))), der(4, bytes(range(48))))
+string = lambda b: len(b).to_bytes(4, "big") + b
 EC = der(0x30, der(2, b"\1"), der(4, bytes(32)), der(0xA0, der(6, b"\x2b")))
-SSH = b"openssh-key-v1\0" + b"\0\0\0\4none" + b"\0\0\0\4none" + b"\0\0\0\0" + b"\0\0\0\1" + bytes(40)
+SSH = b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + b"\0\0\0\1" + string(string(b"ssh-ed25519") + string(bytes(32))) + string(b"abcdabcd" + string(b"ssh-ed25519") + bytes(17))
 b64 = lambda b: base64.b64encode(b).decode()
 url64 = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
 JWT = f"{url64({'alg': 'HS256', 'typ': 'JWT'})}.{url64({'sub': 1})}.abc-_"
