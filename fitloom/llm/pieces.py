@@ -23,8 +23,11 @@ import math
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +37,10 @@ MARK = "▁"
 # The piece types and model types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: An arc of the piece machine is a length and, in so many bits, a piece; all of them set: byte fallback.
+WIDTH = 24
+FALLBACK = (1 << WIDTH) - 1
+INFINITE = float("inf")
 #: Chunks that a worker remembers before it starts afresh.
 REMEMBERED = 300_000
 
@@ -64,6 +71,25 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+class Memory:
+    """Paths that were solved. When there are ``REMEMBERED`` new ones they become the old ones, of which those still in use come back."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
+
+    def get(self, key: str) -> list[int] | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, ids: list[int]) -> None:
+        if len(self.new) >= REMEMBERED:
+            self.old, self.new = self.new, {}
+        self.new[key] = ids
+
+
 class Rules:
     """The normaliser's replacement rules: a double-array trie of byte strings, each with the place of what replaces it.
 
@@ -148,8 +174,8 @@ class Transducer:
                 node[""] = i
         self.split = all(MARK not in t.lstrip(MARK) for t in self.ids)
         self.follows: dict[int, bool] = {}
-        self.solved: dict[str, tuple[int, ...]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.solved, self.parts = Memory(), Memory()
+        self.compiled: tuple[dict, ahocorasick.Automaton, frozenset[str]] | None = None
         self.together = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
         if self.model_type == BPE:
             self.compile_merges()
@@ -238,48 +264,59 @@ class Transducer:
             text = " " + text
         return text.replace(" ", MARK) if self.escape else text
 
+    def machine(self) -> tuple[dict, ahocorasick.Automaton, frozenset[str]]:
+        """P as an automaton that gives the arcs into each place, longest first, their length and piece in one number; and the characters
+        that are pieces."""
+        found, nodes = ahocorasick.Automaton(), [("", self.trie)]
+        while nodes:
+            text, node = nodes.pop()
+            for c, then in node.items():
+                if c == "":
+                    found.add_word(text, len(text) << WIDTH | then)
+                else:
+                    nodes.append((text + c, then))
+        found.make_automaton()
+        return self.trie, found, frozenset(c for c, then in self.trie.items() if "" in then)
+
     def shortest(self, chunk: str) -> list[int]:
         """The ids along the path of least weight through the composition with ``chunk``."""
-        n, inf = len(chunk), float("inf")
-        weight, back, last = [0.0] + [inf] * n, [0] * (n + 1), [-1] * (n + 1)
-        root, scores, bound = self.trie, self.scores, self.model_type == BPE
-        follows, may_follow, size = self.follows, self.may_follow, len(self.texts)
-        for at in range(n):
-            so_far, piece_before = weight[at], last[at]
-            if so_far == inf:
+        if self.compiled is None or self.compiled[0] is not self.trie:
+            self.compiled = self.machine()
+        _, automaton, alone = self.compiled
+        arcs = automaton.iter(chunk)
+        if fallback := not alone.issuperset(chunk):  # the arcs of characters that no piece covers, in order of the places they reach
+            arcs = sorted([*arcs, *((i, 1 << WIDTH | FALLBACK) for i, c in enumerate(chunk) if c not in alone)], key=itemgetter(0))
+        n = len(chunk)
+        weight, last, start = [0.0] + [INFINITE] * n, [-1] * (n + 1), [0] * (n + 1)
+        scores, bound, known, size = self.scores, self.model_type == BPE, self.follows.get, len(self.texts)
+        for end, arc in arcs:
+            end += 1
+            if bound and weight[end] != INFINITE:  # its one path is found
                 continue
-            end, node = at, root
-            covered = False
-            while end < n:
-                node = node.get(chunk[end])
-                if node is None:
-                    break
-                end += 1
-                piece = node.get("")
-                if piece is None:
-                    continue
-                covered = covered or end == at + 1
-                total = so_far - scores[piece]
-                if total < weight[end]:
-                    if bound and piece_before >= 0:
-                        ok = follows.get(piece_before * size + piece)
-                        if not (may_follow(piece_before, piece) if ok is None else ok):
-                            continue
-                    weight[end], back[end], last[end] = total, at, piece
-            if not covered:  # byte fallback; such a character merges with nothing
-                total = so_far + self.fallback * len(chunk[at].encode("utf-8", "surrogatepass"))
-                if total < weight[at + 1]:
-                    weight[at + 1], back[at + 1], last[at + 1] = total, at, -1
-        if weight[n] == inf:
+            at, piece = end - (arc >> WIDTH), arc & FALLBACK
+            if fallback and piece == FALLBACK:  # such a character merges with nothing
+                total, piece = weight[at] + self.fallback * len(chunk[at].encode("utf-8", "surrogatepass")), -1
+            else:
+                total = weight[at] - scores[piece]
+                if bound and (before := last[at]) >= 0:
+                    ok = known(before * size + piece)
+                    if not (self.may_follow(before, piece) if ok is None else ok):
+                        continue
+            if total < weight[end]:
+                weight[end], last[end], start[end] = total, piece, at
+        if weight[n] == INFINITE:
             raise ValueError("no path: merges of equal rank decide here, which this machine does not cover")
-        out: list[list[int]] = []
-        at = n
+        out, at = [], n
         while at:
-            out.append([last[at]] if last[at] >= 0 else self.spelled(chunk[back[at] : at]))
-            at = back[at]
-        return [i for ids in reversed(out) for i in ids]
+            if last[at] >= 0:
+                out.append(last[at])
+            else:
+                out += reversed(self.spelled(chunk[start[at] : at]))
+            at = start[at]
+        out.reverse()
+        return out
 
-    def solve(self, chunk: str) -> tuple[int, ...]:
+    def solve(self, chunk: str) -> list[int]:
         """A chunk falls apart between characters that stand together in no piece; the parts are remembered, too."""
         out: list[int] = []
         begin = 0
@@ -288,14 +325,12 @@ class Transducer:
                 part = chunk[begin:at]
                 ids = self.parts.get(part)
                 if ids is None:
-                    if len(self.parts) >= REMEMBERED:
-                        self.parts.clear()
                     ids = self.shortest(part)
                     if len(part) <= 64:
-                        self.parts[part] = ids
+                        self.parts.put(part, ids)
                 out += ids
                 begin = at
-        return tuple(out)
+        return out
 
     def spelled(self, text: str) -> list[int]:
         return [self.bytes.get(b, self.unknown) for b in text.encode("utf-8", "surrogatepass")]
@@ -304,14 +339,13 @@ class Transducer:
         normal = self.normalise(text)
         chunks = CHUNK.findall(normal) if self.split else [normal]
         solved, out = self.solved, []
+        known, recall = solved.new.get, solved.get
         for chunk in chunks:
-            ids = solved.get(chunk)
+            ids = known(chunk) or recall(chunk)
             if ids is None:
-                if len(solved) >= REMEMBERED:
-                    solved.clear()
                 ids = self.solve(chunk)
                 if len(chunk) <= 64:
-                    solved[chunk] = ids
+                    solved.put(chunk, ids)
             out += ids
         return out
 
@@ -384,13 +418,13 @@ def encoded(docs: DataFrame, model: str | None = None, with_ids: bool = False) -
                 for t in rows.column("text"):
                     text = t.as_py() or ""
                     ids = machine.encode(text)
-                    arrays.append(np.array(ids, "<i4"))
+                    arrays.append(array("i", ids))
                     texts.append(machine.decode(ids))
                     same.append(texts[-1] == text)
-                columns = [rows.column("doc_id"), pa.array([len(a) for a in arrays], pa.int64()), pa.array([zlib.crc32(a.tobytes()) for a in arrays], pa.int64()), pa.array(same, pa.bool_())]
+                columns = [rows.column("doc_id"), pa.array([len(a) for a in arrays], pa.int64()), pa.array([zlib.crc32(a) for a in arrays], pa.int64()), pa.array(same, pa.bool_())]
                 if with_ids:
                     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-                    columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.int32), *arrays]))), pa.array(texts, pa.string())]
+                    columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.int32), *(np.frombuffer(a, np.int32) for a in arrays if a)]))), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()

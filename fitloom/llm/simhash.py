@@ -303,6 +303,10 @@ CLASS_SHINGLES = ((256, 4), (2048, 8), (1 << 62, 16))
 SKETCH = 22
 #: Members of a group of a class are compared with so many that come behind them: all pairs of up to this many and one.
 WINDOW = 32
+#: Of these, each member of a larger group sends the nearest, so many.
+NEAREST = 2
+#: Larger groups are put in order by the whole fingerprints, turned in so many ways.
+TURNS = 4
 
 
 def level(n: float) -> int:
@@ -337,24 +341,43 @@ def class_prints(hashes: list[int]) -> tuple[np.ndarray, int, int]:
 
 
 def turned(fps: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The whole fingerprints, turned by as many bits as the key says: each class puts its members in another order."""
-    by = keys.view(np.uint64) & np.uint64(63)
+    """The whole fingerprints, turned as the key says: classes put their members in one of ``TURNS`` orders."""
+    by = keys.view(np.uint64) % np.uint64(TURNS) * np.uint64(64 // TURNS)
     return (fps << by) | (fps >> ((np.uint64(64) - by) & np.uint64(63)))
 
 
 def near_pairs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidates (u, v), u < v, among rows that share a key; rows of a key stand together, in order of their ``turned`` fingerprints."""
-    us, vs = [nodes[:0]], [nodes[:0]]
-    for k in range(1, min(WINDOW, len(keys) - 1) + 1):
-        a, b = slice(None, -k), slice(k, None)
-        same = np.flatnonzero(keys[a] == keys[b])
-        if not len(same):
+    n = len(keys)
+    if not n:
+        return nodes, nodes
+    begins = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    many = np.diff(np.r_[begins, n])
+    large = np.repeat(many > WINDOW + 1, many)
+    us, vs = [], []
+    best, to = np.full((NEAREST, n), 65), np.zeros((NEAREST, n), np.int64)
+    for k in range(1, min(WINDOW, n - 1) + 1):
+        x = np.flatnonzero(keys[:-k] == keys[k:])
+        if not len(x):
             break
-        x, y = same, same + k
-        ok = (np.bitwise_count(fps[x] ^ fps[y]) <= SKETCH) & (OF * np.minimum(sizes[x], sizes[y]) >= SHARE * np.maximum(sizes[x], sizes[y]))
-        us.append(nodes[x[ok]])
-        vs.append(nodes[y[ok]])
-    u, v = np.concatenate(us), np.concatenate(vs)
+        y = x + k
+        d = np.bitwise_count(fps[x] ^ fps[y]).astype(np.int64)
+        ok = (d <= SKETCH) & (OF * np.minimum(sizes[x], sizes[y]) >= SHARE * np.maximum(sizes[x], sizes[y]))
+        x, y, d = x[ok], y[ok], d[ok]
+        us.append(x[~large[x]])
+        vs.append(y[~large[x]])
+        x, y, d = (a[large[x]] for a in (x, y, d))
+        for i in range(NEAREST):  # each takes the place of the first that is farther, which moves on
+            nearer = d < best[i, x]
+            at = x[nearer]
+            moved = best[i, at].copy(), to[i, at].copy()
+            best[i, at], to[i, at] = d[nearer], y[nearer]
+            d[nearer], y[nearer] = moved
+    for i in range(NEAREST):
+        x = np.flatnonzero(best[i] <= SKETCH)
+        us.append(x)
+        vs.append(to[i, x])
+    u, v = nodes[np.concatenate(us)], nodes[np.concatenate(vs)]
     both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
     return both[:, 0], both[:, 1]
 
@@ -363,8 +386,9 @@ def candidates(prints: DataFrame) -> DataFrame:
     """Distinct pairs (u, v) that may be near copies. ``prints``: node, fp, n, and ``keys`` as bytes.
 
     A task streams its groups: it holds a batch and the ``WINDOW`` rows before it, however large a group is. All pairs of a group of up
-    to 33 meet. In a larger one, a passage that very many texts share, each text meets the 32 behind it, in an order that differs from
-    class to class; its near copies share other classes with it, most of them small.
+    to 33 meet. In a larger one, many near copies of one text or a passage that very many texts share, each text is compared with the 32
+    behind it, in one of four orders, and meets the two nearest, so what is sent on is linear. Its near copies share other classes with
+    it, too, in other orders or in groups of up to 33.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
