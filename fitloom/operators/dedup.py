@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from fitloom.functions import canonical
 from fitloom.functions.expr import parse
+from fitloom.operators.ordering import running
+from fitloom.sources import sinks
 
 KEYS = "text_key string, symbol_key string, exact_key string, probe_key string, parsed boolean"
 
@@ -32,6 +34,17 @@ def formula_keys(formulas: DataFrame, formula: str) -> DataFrame:
     return with_text_key(formulas, formula).filter("text_key <> ''").select("text_key").distinct().mapInPandas(of, KEYS)
 
 
+def exact_pointers(df: DataFrame, order: str, formula: str) -> DataFrame:
+    """(order, eq_id, redundant) over one large file: eq_id counts the whole table in its order, redundant points to the first row of the
+    same cheap key. Texts are known by 128 bits of hash, so no text is shuffled; rows without a formula stand for themselves."""
+    text = F.col("text_key")
+    keyed = with_text_key(df.select(order, formula), formula).select(order, (text == "").alias("none_"), F.xxhash64(text).alias("h1_"), F.xxhash64(F.lit(1), text).alias("h2_"))
+    ids = sinks.between(running(keyed, [order], "eq_id"))
+    first = ids.filter("not none_").groupBy("h1_", "h2_").agg(F.min("eq_id").alias("first_"))
+    some = ids.filter("not none_").join(first, ["h1_", "h2_"]).select(order, "eq_id", F.when(F.col("first_") == F.col("eq_id"), 0).otherwise(F.col("first_")).cast("long").alias("redundant"))
+    return some.unionByName(ids.filter("none_").select(order, "eq_id", F.lit(0).cast("long").alias("redundant")))
+
+
 def mark(formulas: DataFrame, formula: str, file: str = "file", row: str = "row_idx", compare: bool = True) -> DataFrame:
     """``formulas`` with ``eq_id`` (1.. in row order of each file) and ``redundant`` (0, or the eq_id of the first equivalent row).
 

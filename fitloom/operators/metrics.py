@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fitloom.functions.scalars import ERROR_MSE, ERROR_R2, FAILED, finite, masked
 from fitloom.operators.ordering import running
+from fitloom.sources import sinks
 
 #: SSE up to which a constant target counts as met.
 EXACT = 1e-24
@@ -94,6 +95,28 @@ def quantiles(values: Column, shares: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75,
     return [F.percentile(values, s).alias(f"q{round(100 * s):02d}") for s in shares]
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
+    """(keys, q10, q25, ...): the same numbers as ``quantiles``, for groups of any number of distinct values.
+
+    Values are counted, the counts are summed up by ranges of (keys, value), and the rows that hold the ranks asked for are picked; no
+    task holds a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("c_"))
+    upto = sinks.between(running(counts, [*keys, "v_"], "upto_", "c_"))
+    sizes = upto.groupBy(*keys).agg(F.sum("c_").alias("n_"), F.min(F.col("upto_") - F.col("c_")).alias("before_"))
+    ranked = upto.join(sizes, keys)
+    end = F.col("upto_") - F.col("before_")
+    at = lambda rank: F.max(F.when((end > rank) & (end - F.col("c_") <= rank), F.col("v_")))
+    picked, out = [F.max("n_").alias("n_")], []
+    for s in shares:
+        place = F.lit(s) * (F.col("n_") - 1)
+        name = f"q{round(100 * s):02d}"
+        picked += [at(F.floor(place)).alias(f"lo_{name}"), at(F.ceil(place)).alias(f"hi_{name}")]
+        lo, hi = F.col(f"lo_{name}"), F.col(f"hi_{name}")
+        out.append((lo + (hi - lo) * (place - F.floor(place))).alias(name))
+    return ranked.groupBy(*keys).agg(*picked).select(*keys, *out)
+
+
 def arg_max(df: DataFrame, keys: list[str], by: str, first: str) -> DataFrame:
     """The row of each group where ``by`` is largest; of equals, the one with the least ``first``. An aggregate, so no group is sorted."""
     rest = [c for c in df.columns if c not in keys]

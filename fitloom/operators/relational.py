@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fitloom.functions.scalars import masked
+from fitloom.operators.ordering import running
+from fitloom.sources import sinks
 
 
 def require_columns(df: DataFrame, names: list[str], what: str = "table") -> DataFrame:
@@ -66,17 +68,37 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
 
 
 def band_counts(df: DataFrame, key: str, x: str, y: str, dx: float = 5.0, dy: float = 1.0) -> DataFrame:
-    """(key, near): how many other rows lie within dx of x and dy of y (both inclusive).
+    """(key, near): how many other rows lie within dx of x and dy of y (both inclusive; limits are x - dx, x + dx and so on).
 
-    Rows go to cells of dx by dy and meet the rows of the nine cells around, by an equi-join on the cell. Rows alike in (x, y) are
-    counted once with their number, so equal points are never paired one by one.
+    No pairs are made. Distinct x are numbered, and a run of numbers is a few nodes of a binary tree over them; a point stands in the
+    node of each level, a band asks at the two ends of its y in each node that it is made of. One running count over (node, y) answers
+    all of them, so the work is that of n log n rows, however dense the points are.
     """
-    points = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
-    cell = lambda c, d: F.floor(F.col(c) / F.lit(float(d)))
-    around = lambda c, d: F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda o: cell(c, d) + o))
-    left = points.select("x", "y", around("x", dx).alias("cx"), cell("y", dy).alias("cy0")).select("x", "y", "cx", F.explode(F.array(F.col("cy0") - 1, F.col("cy0"), F.col("cy0") + 1)).alias("cy"))
-    right = points.select(F.col("x").alias("x2"), F.col("y").alias("y2"), "c", cell("x", dx).alias("cx"), cell("y", dy).alias("cy"))
-    near = left.join(right, ["cx", "cy"]).filter((F.abs(F.col("x") - F.col("x2")) <= dx) & (F.abs(F.col("y") - F.col("y2")) <= dy)).groupBy("x", "y").agg(F.sum("c").alias("n"))
+    points = sinks.between(df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c")).filter(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    columns = points.select("x").distinct()
+    limit = lambda at, kind: columns.select((F.col("x") + at).alias("v"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("c"), "x")
+    # Of each x: how many distinct ones lie before its band, and up to the band's end.
+    numbered = running(limit(0.0, 1).withColumn("c", F.lit(1).cast("long")).unionByName(limit(-dx, 0)).unionByName(limit(dx, 2)), ["v", "kind"], "n", "c")
+    when = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("n")))
+    places = sinks.between(numbered.groupBy("x").agg((when(1) - 1).alias("place"), when(0).alias("first"), when(2).alias("end")))
+    levels = max(1, places.count().bit_length())
+    node = lambda k, n: F.shiftleft(k.cast("long"), 48).bitwiseOR(n)
+    level = F.sequence(F.lit(0), F.lit(levels))
+    up = lambda c, k: F.call_function("shiftright", c, k)
+
+    def parts(k: Column) -> Column:
+        """The nodes of level k that the run [first, end) is made of: at most one at each side."""
+        lo, hi = -up(-F.col("first"), k), up(F.col("end"), k)
+        some = lo < hi
+        return F.array(F.when(some & (lo % 2 == 1), node(k, lo)), F.when(some & (hi % 2 == 1), node(k, hi - 1)))
+
+    placed = points.join(places, "x")
+    held = placed.select(F.explode(F.transform(level, lambda k: node(k, up(F.col("place"), k)))).alias("node"), F.col("y").alias("v"), F.lit(1).alias("kind"), "c", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    asked = placed.select("x", "y", F.explode(F.filter(F.flatten(F.transform(level, parts)), lambda n: n.isNotNull())).alias("node"))
+    ends = asked.select("node", F.explode(F.array(F.struct((F.col("y") - dy).alias("v"), F.lit(0).alias("kind")), F.struct((F.col("y") + dy).alias("v"), F.lit(2).alias("kind")))).alias("e"), "x", "y")
+    events = held.unionByName(ends.select("node", "e.v", "e.kind", F.lit(0).cast("long").alias("c"), "x", "y"))
+    counted = running(events, ["node", "v", "kind"], "n", "c").filter("kind <> 1")
+    near = counted.groupBy("x", "y").agg(F.sum(F.when(F.col("kind") == 2, F.col("n")).otherwise(-F.col("n"))).alias("n"))
     rows = df.select(key, F.col(x).alias("x"), F.col(y).alias("y"))
     return rows.join(near, ["x", "y"]).select(key, (F.col("n") - 1).alias("near"))
 

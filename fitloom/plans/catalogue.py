@@ -113,7 +113,7 @@ def q_threshold_rates(spark, sf_dir):
 
 @query("select event_type, " + ", ".join(f"{r(f'quantile_cont(value::DOUBLE, {s})', 6)} as q{round(100 * s):02d}" for s in (0.1, 0.25, 0.5, 0.75, 0.9)) + " from events group by 1")
 def q_exact_quantiles(spark, sf_dir):
-    out = table(spark, sf_dir, "events").groupBy("event_type").agg(*metrics.quantiles(F.col("value")))
+    out = metrics.exact_quantiles(table(spark, sf_dir, "events"), ["event_type"], "value")
     return rounded_all(out, 6, *[c for c in out.columns if c.startswith("q")])
 
 
@@ -279,10 +279,17 @@ def q_key_intersection(spark, sf_dir):
     return relational.common_keys(tables, "k")
 
 
-@query("""with p as (select p_partkey, p_size::DOUBLE as x, log10(p_retailprice) as y from part) select a.p_partkey, count(*) - 1 as near from p a join p b on abs(a.x - b.x) <= 5 and abs(a.y - b.y) <= 0.01 group by 1""")
+@query("""with p as (select p_partkey, p_size::DOUBLE as x, log10(p_retailprice) as y from part) select a.p_partkey, count(*) - 1 as near from p a join p b on abs(a.x - b.x) <= 5 and abs(a.y - b.y) <= 1 group by 1""")
 def q_band_self_join(spark, sf_dir):
     points = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.log10("p_retailprice").alias("y"))
-    return relational.band_counts(points, "p_partkey", "x", "y", 5.0, 0.01)
+    return relational.band_counts(points, "p_partkey", "x", "y")
+
+
+@query("""with p as (select c_custkey, c_nationkey::DOUBLE as x, c_acctbal / 100.0::DOUBLE as y from customer) select a.c_custkey, count(*) - 1 as near from p a join p b on abs(a.x - b.x) <= 2 and b.y between a.y - 0.5 and a.y + 0.5 group by 1""")
+def q_band_dense(spark, sf_dir):
+    """A narrower band over points that fill it."""
+    points = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("x"), (F.col("c_acctbal") / 100.0).alias("y"))
+    return relational.band_counts(points, "c_custkey", "x", "y", 2.0, 0.5)
 
 
 @query("select s_nationkey as n_nationkey, s_suppkey, c_custkey from supplier join customer on c_nationkey = s_nationkey")
@@ -465,10 +472,7 @@ def q_to_number(spark, sf_dir):
 @query("""with t as (select doc_id, replace(regexp_replace(regexp_replace(coalesce(text, ''), '^[^=]*=', ''), '\\s+', '', 'g'), '^', '**') as k, row_number() over (order by doc_id) as eq_id from documents)
 select doc_id, eq_id, case when k = '' or min(eq_id) over (partition by k) = eq_id then 0 else min(eq_id) over (partition by k) end as redundant from t""")
 def q_dedup_pointer(spark, sf_dir):
-    keyed = dedup.with_text_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
-    ids = running(keyed, ["doc_id"], "eq_id")
-    first = ids.groupBy("text_key").agg(F.min("eq_id").alias("first"))
-    return ids.join(first, "text_key").select("doc_id", "eq_id", F.when((F.col("text_key") == "") | (F.col("first") == F.col("eq_id")), 0).otherwise(F.col("first")).cast("long").alias("redundant"))
+    return dedup.exact_pointers(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 40)")
