@@ -6,9 +6,9 @@ put out a piece id at the piece's weight; a character that no piece covers leave
 byte-pair models, has the last piece as its state and lets another follow only if merging their two texts afresh gives the two pieces
 back; for unigram models it has one state. A piece weighs minus its score: its rank among the merges, or minus its log probability.
 
-Encoding composes N, P and B with the input and takes the path of least weight in the tropical semiring: from the front, each place
-keeps the least sum of weights over the arcs that reach it. A segmentation in which every neighbouring pair is let by B is the one that
-the merges give, so with B each place is reached by one finite path, that of the merges of all before it, and it is one state.
+Encoding composes N, P and B with the input as far as the search gets and takes the path of least weight in the tropical semiring: each
+place keeps the least sum of weights over the arcs that reach it. A segmentation in which every neighbouring pair is let by B is the one
+that the merges give, so with B each place is reached by one finite path, that of the merges of all before it, and it is one state.
 
 No piece has U+2581 behind another character, so the lattice falls apart at each such place; chunks are solved alone and
 remembered. Where a model has such pieces, a text is one chunk.
@@ -25,9 +25,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from operator import itemgetter
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,9 +35,6 @@ MARK = "▁"
 # The piece types and model types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: An arc of the piece machine is a length and, in so many bits, a piece; all of them set: byte fallback.
-WIDTH = 24
-FALLBACK = (1 << WIDTH) - 1
 INFINITE = float("inf")
 #: Chunks that a worker remembers before it starts afresh.
 REMEMBERED = 300_000
@@ -175,7 +170,6 @@ class Transducer:
         self.split = all(MARK not in t.lstrip(MARK) for t in self.ids)
         self.follows: dict[int, bool] = {}
         self.solved, self.parts = Memory(), Memory()
-        self.compiled: tuple[dict, ahocorasick.Automaton, frozenset[str]] | None = None
         self.together = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
         if self.model_type == BPE:
             self.compile_merges()
@@ -264,46 +258,53 @@ class Transducer:
             text = " " + text
         return text.replace(" ", MARK) if self.escape else text
 
-    def machine(self) -> tuple[dict, ahocorasick.Automaton, frozenset[str]]:
-        """P as an automaton that gives the arcs into each place, longest first, their length and piece in one number; and the characters
-        that are pieces."""
-        found, nodes = ahocorasick.Automaton(), [("", self.trie)]
-        while nodes:
-            text, node = nodes.pop()
-            for c, then in node.items():
-                if c == "":
-                    found.add_word(text, len(text) << WIDTH | then)
-                else:
-                    nodes.append((text + c, then))
-        found.make_automaton()
-        return self.trie, found, frozenset(c for c, then in self.trie.items() if "" in then)
+    def arcs(self, chunk: str, at: int) -> list[tuple[int, int]]:
+        """(end, piece) of the ways through P from ``at``, shortest first; -1 for a character that only byte fallback takes."""
+        out, node = [], self.trie
+        for place in range(at, len(chunk)):
+            node = node.get(chunk[place])
+            if node is None:
+                break
+            piece = node.get("")
+            if piece is not None:
+                out.append((place + 1, piece))
+        return out if out and out[0][0] == at + 1 else [(at + 1, -1), *out]
 
     def shortest(self, chunk: str) -> list[int]:
-        """The ids along the path of least weight through the composition with ``chunk``."""
-        if self.compiled is None or self.compiled[0] is not self.trie:
-            self.compiled = self.machine()
-        _, automaton, alone = self.compiled
-        arcs = automaton.iter(chunk)
-        if fallback := not alone.issuperset(chunk):  # the arcs of characters that no piece covers, in order of the places they reach
-            arcs = sorted([*arcs, *((i, 1 << WIDTH | FALLBACK) for i, c in enumerate(chunk) if c not in alone)], key=itemgetter(0))
+        """The ids along the path of least weight through the composition with ``chunk``.
+
+        Single-source shortest distances: an arc from a place is relaxed if it lowers the weight of the place that it reaches. Without B,
+        places are taken in order. With B a place has one finite weight, so any order gives it and the first one is the least; the last
+        place that was reached goes on first, and places are made as they are reached.
+        """
         n = len(chunk)
-        weight, last, start = [0.0] + [INFINITE] * n, [-1] * (n + 1), [0] * (n + 1)
-        scores, bound, known, size = self.scores, self.model_type == BPE, self.follows.get, len(self.texts)
-        for end, arc in arcs:
-            end += 1
-            if bound and weight[end] != INFINITE:  # its one path is found
-                continue
-            at, piece = end - (arc >> WIDTH), arc & FALLBACK
-            if fallback and piece == FALLBACK:  # such a character merges with nothing
-                total, piece = weight[at] + self.fallback * len(chunk[at].encode("utf-8", "surrogatepass")), -1
-            else:
-                total = weight[at] - scores[piece]
-                if bound and (before := last[at]) >= 0:
-                    ok = known(before * size + piece)
-                    if not (self.may_follow(before, piece) if ok is None else ok):
+        weight, back, last = [0.0] + [INFINITE] * n, [0] * (n + 1), [-1] * (n + 1)
+        scores, known, size = self.scores, self.follows.get, len(self.texts)
+        if self.model_type == UNIGRAM:
+            for at in range(n):
+                for end, piece in self.arcs(chunk, at):
+                    total = weight[at] + (-scores[piece] if piece >= 0 else self.spelling(chunk[at]))
+                    if total < weight[end]:
+                        weight[end], back[end], last[end] = total, at, piece
+        else:
+            queue = [(0, self.arcs(chunk, 0))] if n else []
+            while queue and weight[n] == INFINITE:
+                at, arcs = queue[-1]
+                before = last[at]
+                while arcs:
+                    end, piece = arcs.pop()
+                    if weight[end] != INFINITE:
                         continue
-            if total < weight[end]:
-                weight[end], last[end], start[end] = total, piece, at
+                    if before >= 0 and piece >= 0:  # a character of byte fallback merges with nothing
+                        ok = known(before * size + piece)
+                        if not (self.may_follow(before, piece) if ok is None else ok):
+                            continue
+                    weight[end], back[end], last[end] = weight[at] + (-scores[piece] if piece >= 0 else self.spelling(chunk[at])), at, piece
+                    if end < n:
+                        queue.append((end, self.arcs(chunk, end)))
+                    break
+                else:
+                    queue.pop()
         if weight[n] == INFINITE:
             raise ValueError("no path: merges of equal rank decide here, which this machine does not cover")
         out, at = [], n
@@ -311,11 +312,15 @@ class Transducer:
             if last[at] >= 0:
                 out.append(last[at])
             else:
-                out += reversed(self.spelled(chunk[start[at] : at]))
-            at = start[at]
+                out += reversed(self.spelled(chunk[back[at] : at]))
+            at = back[at]
         out.reverse()
         return out
 
+    def spelling(self, character: str) -> float:
+        """The weight of byte fallback."""
+        return self.fallback * len(character.encode("utf-8", "surrogatepass"))
+
     def solve(self, chunk: str) -> list[int]:
         """A chunk falls apart between characters that stand together in no piece; the parts are remembered, too."""
         out: list[int] = []
