@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import decontaminate, line_dedup, pieces, quality, secret_scan, simhash, suffix_dedup, token_store, toxicity, url_filter
+from fitloom.llm import centroids, decontaminate, line_dedup, pieces, quality, secret_scan, simhash, suffix_dedup, token_store, toxicity, url_filter
 from fitloom.llm.common import table
 
 
@@ -26,8 +26,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": lambda spark, sf_dir: decontaminate.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op9_token_ids": _over("documents", token_store.stored),
         "op10_quality_rules": _over("documents", quality.judged),
+        "op11_centroids": _over("embeddings", centroids.assigned),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.sql(), "op6_line_dedup": line_dedup.SQL, "op8_decontaminate": decontaminate.SQL, "op10_quality_rules": quality.sql()}
+    return {"op1_url_filter": url_filter.sql(), "op6_line_dedup": line_dedup.SQL, "op8_decontaminate": decontaminate.SQL, "op10_quality_rules": quality.sql(), "op11_centroids": centroids.sql()}
