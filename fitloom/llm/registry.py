@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fitloom.llm import centroids, decontaminate, line_dedup, pieces, quality, secret_scan, simhash, suffix_dedup, token_store, toxicity, url_filter
+from fitloom.llm import centroids, chat, decontaminate, line_dedup, pieces, quality, secret_scan, simhash, source_audit, suffix_dedup, token_store, toxicity, url_filter
 from fitloom.llm.common import table
 
 
@@ -27,8 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_ids": _over("documents", token_store.stored),
         "op10_quality_rules": _over("documents", quality.judged),
         "op11_centroids": _over("embeddings", centroids.assigned),
+        "op12_chat": _over("conversations", chat.conversed),
+        "op13_source_audit": _over("documents", source_audit.audited),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.sql(), "op6_line_dedup": line_dedup.SQL, "op8_decontaminate": decontaminate.SQL, "op10_quality_rules": quality.sql(), "op11_centroids": centroids.sql()}
+    return {"op1_url_filter": url_filter.sql(), "op6_line_dedup": line_dedup.SQL, "op8_decontaminate": decontaminate.SQL, "op10_quality_rules": quality.sql(), "op11_centroids": centroids.sql(), "op12_chat": chat.SQL, "op13_source_audit": source_audit.SQL}
