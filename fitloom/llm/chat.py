@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fitloom.llm.common import clean, made, partitions, quoted, reader, scratch, written
+from fitloom.llm.common import partitions, quoted, written
 from fitloom.operators.ordering import running
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
@@ -72,45 +72,41 @@ def parsed(part: str) -> Iterator[tuple[str, str]]:
 
 def ways_up(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Of (tree, node, parent, score), tree and node unique: the tables (tree, node, up) of each round, up being the ancestor 2**k above, and
-    (tree, node, n, total) of the nodes that have a root: the length and the sum of scores of the path to it."""
-    spark, mark = nodes.sparkSession, made()
-
-    def put(df: DataFrame) -> tuple[DataFrame, str]:
-        path = scratch(spark, "ways")
-        df.write.option("compression", "zstd").parquet(path)
-        return reader(spark).schema(df.schema).parquet(path), path
-
+    (tree, node, n, total) of the nodes that have a root: the length and the sum of scores of the path to it. A round writes the rows
+    that have not met their root before it."""
     known = nodes.select(F.col("tree").alias("tree_"), F.col("node").alias("node_"))
     there = nodes.join(known, F.col("tree").eqNullSafe(F.col("tree_")) & (F.col("parent") == F.col("node_")), "left")
-    now, kept = put(there.select("tree", "node", F.col("node_").alias("up"), F.lit(1).cast("long").alias("n"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total")))
-    most, jumps, paths = now.count(), [], [kept]
-    while now.filter("up is not null").limit(1).count() and 1 << len(jumps) <= most:
-        jumps.append(now.filter("up is not null").select("tree", "node", "up"))
-        above = now.select(F.col("tree").alias("tree_"), F.col("node").alias("node_"), F.col("up").alias("up_"), F.col("n").alias("n_"), F.col("total").alias("total_"))
-        two = now.filter("up is not null").join(above, F.col("tree").eqNullSafe(F.col("tree_")) & F.col("up").eqNullSafe(F.col("node_")))
-        two = two.select("tree", "node", F.col("up_").alias("up"), (F.col("n") + F.col("n_")).alias("n"), (F.col("total") + F.col("total_")).alias("total"))
-        now, kept = put(now.filter("up is null").unionByName(two))
-        paths.append(kept)
-    clean(spark, mark, set(paths))
-    return jumps, now.filter("up is null").select("tree", "node", "n", "total")
+    now = written(there.select("tree", "node", F.col("node_").alias("up"), F.lit(1).cast("long").alias("n"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total")), "ways")
+    most, jumps, rooted = now.count(), [], now.filter("up is null")
+    while (open_ := now.filter("up is not null")).take(1) and 1 << len(jumps) <= most:
+        jumps.append(open_.select("tree", "node", "up"))
+        above = rooted.unionByName(open_).select(F.col("tree").alias("tree_"), F.col("node").alias("node_"), F.col("up").alias("up_"), F.col("n").alias("n_"), F.col("total").alias("total_"))
+        two = open_.join(above, F.col("tree").eqNullSafe(F.col("tree_")) & F.col("up").eqNullSafe(F.col("node_")))
+        now = written(two.select("tree", "node", F.col("up_").alias("up"), (F.col("n") + F.col("n_")).alias("n"), (F.col("total") + F.col("total_")).alias("total")), "ways")
+        rooted = rooted.unionByName(now.filter("up is null"))
+    return jumps, rooted.select("tree", "node", "n", "total")
 
 
 def branches_of(nodes: DataFrame, branches: int = 1) -> DataFrame:
-    """(tree, branch, position, node) along the paths of the best leaves of each tree; branch counts from 1, position from the root's 0."""
+    """(tree, branch, position, node) along the paths of the best leaves of each tree; branch counts from 1, position from the root's 0.
+
+    A path of n nodes begins with its leaf at the last table that reaches less than n nodes up, and doubles with each table before it.
+    """
     jumps, rooted = ways_up(nodes)
     if jumps:
         parents = jumps[0].select(F.col("tree").alias("tree_"), F.col("up").alias("up_")).distinct()
         rooted = rooted.join(parents, F.col("tree").eqNullSafe(F.col("tree_")) & F.col("node").eqNullSafe(F.col("up_")), "left_anti")
     best = W.partitionBy("tree").orderBy((F.col("total") / F.col("n")).desc(), F.col("n").desc(), "node")
-    found = rooted.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches).select("tree", "branch", "node", (F.col("n") - 1).alias("position"))
-    for k, jump in enumerate(jumps):
+    leaves = written(rooted.withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches).select("tree", "branch", "node", (F.col("n") - 1).alias("position")), "leaves")
+    found = leaves.filter("position < 0")
+    for k, jump in reversed(list(enumerate(jumps))):
+        begin = leaves.filter((F.col("position") >= 1 << k) & (F.col("position") < 2 << k))
         step = jump.select(F.col("tree").alias("tree_"), F.col("node").alias("node_"), "up")
         here = F.struct("node", "position")
         above = F.struct(F.col("up").alias("node"), (F.col("position") - (1 << k)).alias("position"))
-        both = F.when(F.col("node_").isNull() & F.col("up").isNull(), F.array(here)).otherwise(F.array(here, above))
-        met = found.join(step, F.col("tree").eqNullSafe(F.col("tree_")) & F.col("node").eqNullSafe(F.col("node_")), "left")
-        found = met.select("tree", "branch", F.explode(both).alias("p")).select("tree", "branch", "p.node", "p.position")
-    return found
+        met = found.unionByName(begin).join(step, F.col("tree").eqNullSafe(F.col("tree_")) & F.col("node").eqNullSafe(F.col("node_")), "left")
+        found = met.select("tree", "branch", F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, above))).alias("p")).select("tree", "branch", "p.node", "p.position")
+    return found.unionByName(leaves.filter("position = 0"))
 
 
 def unique(rows: DataFrame) -> DataFrame:
