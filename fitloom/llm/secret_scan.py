@@ -221,13 +221,13 @@ def tokens(text: str) -> Iterator[tuple[int, int]]:
 def is_pem_body(label: str, body: str) -> bool:
     """Whether what stands between the markers is a key. Line ends may be written out, as in a quoted string."""
     body = body.replace("\\r", "").replace("\\n", "\n").strip()
-    dek = None
-    while (cut := body.find("\n")) >= 0 and ":" in body[:cut]:
-        dek = dek or DEK_INFO.match(body[:cut].strip())
-        body = body[cut + 1 :]
-    if not PEM_BODY.fullmatch(body):
+    dek, at = None, 0
+    while (cut := body.find("\n", at)) >= 0 and body.find(":", at, cut) >= 0:  # header lines
+        dek = dek or DEK_INFO.match(body[at:cut].strip())
+        at = cut + 1
+    if not PEM_BODY.fullmatch(body, at):
         return False
-    data = unbase64("".join(body.split()))
+    data = unbase64("".join(body[at:].split()))
     if not data:
         return False
     if dek:

@@ -131,3 +131,9 @@ def test_a_long_url_holds_up_nothing():
 def test_blank_lines_behind_a_marker_take_no_time():
     began = time.time()
     assert secret_scan.confirmed_spans(("-----BEGIN PRIVATE KEY-----" + "\n" * 20_000) * 20) == [] and time.time() - began < 1
+
+
+def test_header_lines_of_a_key_take_no_time():
+    began = time.time()
+    text = "-----BEGIN RSA PRIVATE KEY-----\n" + "a:\n" * 160_000 + "-----END RSA PRIVATE KEY-----"
+    assert secret_scan.confirmed_spans(text) == [] and time.time() - began < 0.5
