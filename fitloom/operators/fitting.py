@@ -1,8 +1,8 @@
 """Least-squares fits of formulas to groups of rows.
 
 Formulas that are linear in their parameters are fitted with one pass of sums (plain aggregates); one nonlinear formula on groups of
-any size by rounds of such passes (``fit_by_sums``). Many formulas on datasets of thousands of rows go through a grouped Arrow
-function: the rows of one (id, group) are sent once and meet all formulas of the id there, so there may be any number of formulas.
+any size by rounds of such passes (``fit_by_sums``), many of them by ``sums.fit_sums``, as the stages do. Where datasets have thousands of rows
+``fit_groups`` gives the same in one job: the rows of one (id, group) are sent once and meet all formulas of the id in one task.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from fitloom.functions import compile as comp
 from fitloom.functions.expr import CONSTANTS, FormulaError, Node, names, natural_key, parse, protect_powers, show, substitute
 from fitloom.functions.scalars import ERROR_MSE, ERROR_R2
-from fitloom.operators import metrics
+from fitloom.operators import metrics, trust
 from fitloom.sources import sinks
 
 
@@ -77,9 +77,9 @@ def scores(y: np.ndarray, fitted: np.ndarray) -> tuple[float, float, float]:
     return sse / len(y), sse / sst, 1 - sse / sst
 
 
-def marquardt(residual: Callable, jacobian: Callable, start: np.ndarray, lower: np.ndarray, upper: np.ndarray, most: int = 200, tolerance: float = 1e-12) -> tuple[np.ndarray, float]:
-    """Damped Gauss-Newton with scaled columns; steps are projected into the bounds. Returns the best finite point that was visited and its cost."""
-    p = np.clip(start, lower, upper)
+def marquardt(residual: Callable, jacobian: Callable, start: np.ndarray, most: int = 200, tolerance: float = 1e-12) -> tuple[np.ndarray, float]:
+    """Damped Gauss-Newton with scaled columns. Returns the best finite point that was visited and its cost."""
+    p = start
     r = residual(p)
     with np.errstate(over="ignore", invalid="ignore"):
         cost = float(r @ r)
@@ -100,7 +100,7 @@ def marquardt(residual: Callable, jacobian: Callable, start: np.ndarray, lower:
             except np.linalg.LinAlgError:
                 damping *= 10
                 continue
-            q = np.clip(p + step, lower, upper)
+            q = p + step
             s = residual(q)
             with np.errstate(over="ignore", invalid="ignore"):
                 new = float(s @ s)
@@ -121,8 +121,8 @@ def marquardt(residual: Callable, jacobian: Callable, start: np.ndarray, lower:
 
 
 def fit_one(f: Prepared, x: dict[str, np.ndarray], y: np.ndarray, retries: int = 2, seed: int = 0, key: str = "", bounded: bool = False) -> Fit:
-    """Fit from the exact initial values. Unbounded: jittered starts only if that fails, the lowest MSE wins. Bounded: all starts are tried,
-    residuals that aren't finite are penalised, and the best finite point counts."""
+    """Fit from the exact initial values. Unbounded: jittered starts only if that fails, the lowest MSE wins. Bounded, by the reflective trust
+    region: all starts are tried, residuals that aren't finite are penalised, and the best finite point counts."""
     m = len(f.parameters)
     order = [*f.parameters, *f.variables]
     data = [np.asarray(x[v], float) for v in f.variables]
@@ -155,6 +155,12 @@ def fit_one(f: Prepared, x: dict[str, np.ndarray], y: np.ndarray, retries: int =
             out[:, k] = column
         return np.where(np.isfinite(out), out, 0.0) if bounded else out
 
+    def sums(p: np.ndarray) -> trust.Sums:
+        r = residual(p)
+        j = jacobian(p, r)
+        with np.errstate(all="ignore"):
+            return trust.Sums(float(r @ r), j.T @ j, j.T @ r)
+
     start = np.array(f.initial, float)
     lower, upper = (np.array(f.lower), np.array(f.upper)) if bounded else (np.full(m, -np.inf), np.full(m, np.inf))
     digest = hashlib.sha256(f"{seed}|{key}".encode()).digest()
@@ -167,7 +173,7 @@ def fit_one(f: Prepared, x: dict[str, np.ndarray], y: np.ndarray, retries: int =
             p = np.clip(start + rng.normal(0, 1, m) * 0.15 * (np.abs(start) + 1), lower, upper)
         else:
             p = start + rng.normal(0, 0.5, m) * np.maximum(np.abs(start), 1)
-        point, cost = marquardt(residual, jacobian, p, lower, upper)
+        point, cost = trust.minimum(sums, p, lower, upper) if bounded else marquardt(residual, jacobian, p)
         fitted = predict(point)
         if np.isfinite(cost) and np.all(np.isfinite(fitted)):
             found = Fit(True, point, *scores(y, fitted), attempt + 1, attempt > 0)
@@ -317,10 +323,11 @@ def score_with(rows: DataFrame, text: str, variables: dict[str, Column], paramet
     return rows.withColumn("fitted", comp.to_column(protect_powers(tree) if protected else tree, variables, parameters, constants))
 
 
-def baseline(samples: DataFrame, specs: DataFrame, variables: list[str], **options) -> DataFrame:
-    """The bounded fit of each problem's true formula, its parameters within their ranges: what a perfect search could reach."""
+def baseline(samples: DataFrame, specs: DataFrame, variables: list[str], fit: Callable[..., DataFrame] = fit_groups, **options) -> DataFrame:
+    """The bounded fit of each problem's true formula, its parameters within their ranges: what a perfect search could reach. ``fit`` is
+    ``fit_groups`` or ``sums.fit_sums``."""
     formulas = specs.select("id", F.lit("true").alias("formula_id"), F.col("generation_formula").alias("formula"), F.array().cast("array<string>").alias("para_list"), F.array().cast("array<double>").alias("orgpara_list"), "variables", "constants", F.col("params").alias("ranges"))
-    return fit_groups(samples, formulas, variables, bounded=True, protected=True, strict=False, **options)
+    return fit(samples, formulas, variables, bounded=True, protected=True, strict=False, **options)
 
 
 def with_values(text: str, values: dict[str, float]) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fitloom.functions.scalars import rounded
-from fitloom.operators import dedup, fitting, generate, metrics, ranking
+from fitloom.operators import dedup, fitting, generate, metrics, ranking, sums
 from fitloom.plans.registry import query, r, rounded_all, table
 from fitloom.schemas import PROBLEMS
 from fitloom.sources import sinks
@@ -21,11 +21,12 @@ def exact_samples(spark, sf_dir):
     return a.unionByName(b)
 
 
-@query("""select f.id, f.formula_id, g.grp::INT as grp, f.ok, case when f.formula_id = 'true' then (case f.id when 'A' then (g.grp + 2)::DOUBLE when 'B' then 5.0::DOUBLE end) end as p0, case when f.formula_id = 'true' then (case f.id when 'A' then 1.5::DOUBLE else round(-1.0::DOUBLE / (g.grp + 10), 4) end) end as p1,
-case when f.ok then 1.0::DOUBLE else -1e100::DOUBLE end as r2, f.error from (values ('A', 'true', true, ''), ('A', 'lost', false, 'unknown name z'), ('A', 'unused', false, 'parameters that don''t occur: p1'), ('B', 'true', true, ''), ('B', 'bad', false, 'a parenthesis is not closed')) f(id, formula_id, ok, error), (values (0), (1)) g(grp)""")
-def q_fit_recovers(spark, sf_dir):
-    """Nonlinear fits find the parameters that made the targets, each problem with its own variables and constants; formulas that can't be
-    prepared fail alone."""
+_RECOVERED = """select f.id, f.formula_id, g.grp::INT as grp, f.ok, case when f.formula_id = 'true' then (case f.id when 'A' then (g.grp + 2)::DOUBLE when 'B' then 5.0::DOUBLE end) end as p0, case when f.formula_id = 'true' then (case f.id when 'A' then 1.5::DOUBLE else round(-1.0::DOUBLE / (g.grp + 10), 4) end) end as p1,
+case when f.ok then 1.0::DOUBLE else -1e100::DOUBLE end as r2, f.error from (values ('A', 'true', true, ''), ('A', 'lost', false, 'unknown name z'), ('A', 'unused', false, 'parameters that don''t occur: p1'), ('B', 'true', true, ''), ('B', 'bad', false, 'a parenthesis is not closed')) f(id, formula_id, ok, error), (values (0), (1)) g(grp)"""
+
+
+def recovered(spark, sf_dir, fit):
+    """Formulas of two problems, each with its own variables and constants, some of which can't be prepared."""
     formulas = spark.createDataFrame(
         [
             ("A", "true", "p0*x**p1 + k", ["p0", "p1"], [1.0, 1.0]), ("A", "lost", "p0*z", ["p0"], [1.0]), ("A", "unused", "p0*x", ["p0", "p1"], [1.0, 1.0]),
@@ -34,11 +35,62 @@ def q_fit_recovers(spark, sf_dir):
     )
     own = F.when(F.col("id") == "A", F.array(F.lit("x"))).otherwise(F.array(F.lit("z")))
     constants = F.create_map(F.lit("k"), F.when(F.col("id") == "A", 3.0).otherwise(9.5))
-    out = fitting.fit_groups(exact_samples(spark, sf_dir), formulas.withColumn("variables", own).withColumn("constants", constants), ["x", "z"], order="row_idx")
+    out = fit(exact_samples(spark, sf_dir), formulas.withColumn("variables", own).withColumn("constants", constants), ["x", "z"])
     parameter = lambda i: F.when(F.col("ok"), rounded(F.get("params", F.lit(i)), 4)).alias(f"p{i}")
     return out.select("id", "formula_id", "grp", "ok", parameter(0), parameter(1), F.when(F.col("ok"), rounded(F.col("r2"), 6)).otherwise(F.col("r2")).alias("r2"), "error")
 
 
+@query(_RECOVERED)
+def q_fit_recovers(spark, sf_dir):
+    """Nonlinear fits find the parameters that made the targets; formulas that can't be prepared fail alone."""
+    return recovered(spark, sf_dir, lambda *a: fitting.fit_groups(*a, order="row_idx"))
+
+
+@query(_RECOVERED)
+def q_sums_recover(spark, sf_dir):
+    """The same by rounds of sums."""
+    return recovered(spark, sf_dir, sums.fit_sums)
+
+
+def line_samples(spark, sf_dir):
+    """All lines, each flag and status a problem of one dataset."""
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(F.concat("l_returnflag", F.lit("-"), "l_linestatus").alias("id"), F.lit(0).alias("grp"), F.col("l_quantity").alias("q"), (F.col("l_discount") * 100).alias("d"), (F.col("l_extendedprice") / 1000.0).alias("y"))
+
+
+def for_all(spark, samples, formulas):
+    """``formulas`` (formula_id, formula, names, initial values) of each problem of ``samples``."""
+    return samples.select("id").distinct().join(F.broadcast(spark.createDataFrame(formulas, "formula_id string, formula string, para_list array<string>, orgpara_list array<double>")))  # a row a formula
+
+
+@query(f"""with s as (select l_returnflag || '-' || l_linestatus as id, l_quantity as q, l_extendedprice / 1000.0::DOUBLE as y from lineitem),
+f as (select id, 'line' as formula_id, regr_slope(y, q) as p0, regr_intercept(y, q) as p1, regr_r2(y, q) as r2 from s group by id
+  union all select id, 'root', sum(sqrt(q) * y) / sum(q), null, 1 - (sum(y * y) - sum(sqrt(q) * y) * sum(sqrt(q) * y) / sum(q)) / (var_pop(y) * count(*)) from s group by id
+  union all select id, 'mean', avg(y), null, 0 from s group by id)
+select id, formula_id, 0 as grp, {r('p0', 4)} as p0, {r('p1', 4)} as p1, {r('r2', 5)} as r2, true as ok from f""")
+def q_sums_of_all_lines(spark, sf_dir):
+    """Three formulas on all lines of each problem by the same scans; closed forms are known."""
+    rows = line_samples(spark, sf_dir)
+    out = sums.fit_sums(rows, for_all(spark, rows, [("line", "p0*q + p1", ["p0", "p1"], [1.0, 0.0]), ("root", "p0*sqrt(q)", ["p0"], [1.0]), ("mean", "p0 + 0*q", ["p0"], [1.0])]), ["q"])
+    return out.select("id", "formula_id", "grp", *(rounded(F.get("params", F.lit(i)), 4).alias(f"p{i}") for i in (0, 1)), rounded(F.col("r2"), 5).alias("r2"), "ok")
+
+
+@query(f"""with s as (select l_returnflag || '-' || l_linestatus as id, l_quantity as q, l_discount * 100 as d, l_extendedprice / 1000.0::DOUBLE as y from lineitem),
+f as (select id, 'corner' as formula_id, 1.0::DOUBLE as k, 50.0::DOUBLE as m, avg(y - q - 50 * d) as c from s group by id
+  union all select id, 'edge', 1.0::DOUBLE, regr_slope(y - q, d), regr_intercept(y - q, d) from s group by id)
+select id, formula_id, {r('k', 4)} as k, {r('m', 4)} as m, {r('c', 3)} as c from f""")
+def q_fit_box(spark, sf_dir):
+    """Least squares whose optimum is a corner of the box, and one whose optimum lies along a face: the free parameters are those of the
+    problem with the others held at their bounds."""
+    rows = line_samples(spark, sf_dir)
+    box = lambda *x: F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for n, lo, hi in x))
+    corner, edge = box(("c", -500, 500), ("k", 1, 5), ("m", 50, 60)), box(("c", -500, 500), ("k", 1, 5), ("m", -50, 50))
+    formulas = for_all(spark, rows, [("corner", "k*q + m*d + c", [], []), ("edge", "k*q + m*d + c", [], [])])
+    out = sums.fit_sums(rows, formulas.withColumn("ranges", F.when(F.col("formula_id") == "corner", corner).otherwise(edge)), ["q", "d"], bounded=True, retries=1, strict=False)
+    c, k, m = (F.get("params", F.lit(i)) for i in range(3))
+    return out.select("id", "formula_id", rounded(k, 4).alias("k"), rounded(m, 4).alias("m"), rounded(c, 3).alias("c"))
+
+
 @query("""select 'A' as id, grp::INT as grp, least(grp + 2, 2.5)::DOUBLE as k, grp = 0 as exact from (values (0), (1)) g(grp)""")
 def q_fit_bounds(spark, sf_dir):
     """Names without a value become parameters within their ranges; where the best value lies outside, the bound is taken."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fitloom import schemas
 from fitloom.functions import cells
-from fitloom.operators import dedup, fitting, generate, metrics, ranking, report, search
+from fitloom.operators import dedup, fitting, generate, metrics, ranking, report, search, sums
 from fitloom.operators.relational import attach_master, incomplete, pending, require_columns, widen
 from fitloom.sources import files, sinks
 from fitloom.sources.specs import spec_errors
@@ -162,7 +162,7 @@ def evaluate(spark: SparkSession, config: Config) -> DataFrame:
         specs = problems(spark, config)
         variables = variables_of(specs)
         samples = spark.read.parquet(config.path("samples")).filter(F.col("grp").isin(cells.index_spec(config.datasets)))
-        fits = fitting.fit_groups(wide(samples, variables), with_problem(leaders, specs), variables, retries=config.retries, seed=config.seed, order="row_idx")
+        fits = sums.fit_sums(wide(samples, variables), with_problem(leaders, specs), variables, retries=config.retries, seed=config.seed)
         shared = metrics.all_or_nothing(fits, ["id", "formula_id"])
         named = shared.withColumnsRenamed({"mse": "shared_fit_mse_0_7", "r2": "shared_fit_r2_0_7", "mse_hmean": "shared_fit_mse_hmean_0_7", "mse_rms": "shared_fit_mse_rms_0_7", "r2_hmean": "shared_fit_r2_hmean_0_7", "r2_rms": "shared_fit_r2_rms_0_7"})
         return marked.withColumn("formula_id", F.concat_ws("-", "dataset", "complexity")).join(named, ["id", "formula_id"], "left")
@@ -187,7 +187,7 @@ def merge(spark: SparkSession, config: Config) -> DataFrame:
 
 def refit(rows: DataFrame, formulas: DataFrame, variables: list[str], config: Config, level: str) -> DataFrame:
     """Bounded fits of formulas to one condition; one failed group marks the whole."""
-    fits = fitting.fit_groups(rows, formulas, variables, bounded=True, protected=True, retries=0, seed=config.seed, order="row_idx", strict=False)
+    fits = sums.fit_sums(rows, formulas, variables, bounded=True, protected=True, retries=0, seed=config.seed, strict=False)
     means = (metrics.undiluted(F.col(m), F.col("ok"), e).alias(m) for m, e in (("mse", 1e100), ("nmse", 1e100), ("r2", -1e100)))
     return fits.groupBy("id").agg(*means).withColumn("level", F.lit(level))
 
@@ -228,7 +228,7 @@ def baseline(spark: SparkSession, config: Config) -> DataFrame:
         variables = variables_of(specs)
         parts = []
         for level, rows in conditions(spark, config):
-            fits = fitting.baseline(wide(rows, variables), specs, variables, retries=0, seed=config.seed, order="row_idx")
+            fits = fitting.baseline(wide(rows, variables), specs, variables, sums.fit_sums, retries=0, seed=config.seed)
             parts.append(fits.groupBy("id").agg(metrics.undiluted(F.col("mse"), F.col("ok"), 1e100).alias("mse"), metrics.undiluted(F.col("nmse"), F.col("ok"), 1e100).alias("nmse"), metrics.undiluted(F.col("r2"), F.col("ok"), -1e100).alias("r2")).withColumn("level", F.lit(level)))
         return reduce(DataFrame.unionByName, parts)
 
