@@ -6,9 +6,11 @@ put out a piece id at the piece's weight; a character that no piece covers leave
 byte-pair models, has the last piece as its state and lets another follow only if merging their two texts afresh gives the two pieces
 back; for unigram models it has one state. A piece weighs minus its score: its rank among the merges, or minus its log probability.
 
-Encoding composes N, P and B with the input as far as the search gets and takes the path of least weight in the tropical semiring: each
-place keeps the least sum of weights over the arcs that reach it. A segmentation in which every neighbouring pair is let by B is the one
-that the merges give, so with B each place is reached by one finite path, that of the merges of all before it, and it is one state.
+Encoding composes N, P and B with the input as far as the search gets and takes the path of least weight in the tropical semiring: the
+arcs out of a place are relaxed, so that each place keeps the least sum of weights over the arcs that reach it. A segmentation in which
+every neighbouring pair is let by B is the one that the merges give, so with B each place is reached by one finite path, that of the
+merges of all before it, and it is one state. That holds where no piece ranks before the pieces that it is merged of. A model that has
+such pieces has no machine B of pairs; it is encoded by its merges as they are (``Merges``).
 
 No piece has U+2581 behind another character, so the lattice falls apart at each such place; chunks are solved alone and
 remembered. Where a model has such pieces, a text is one chunk.
@@ -23,8 +25,9 @@ import math
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 INFINITE = float("inf")
-#: Chunks that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Chunks that a worker remembers before it starts afresh, and how long they may be.
+REMEMBERED, LONGEST = 700_000, 64
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -66,25 +69,6 @@ def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
-class Memory:
-    """Paths that were solved. When there are ``REMEMBERED`` new ones they become the old ones, of which those still in use come back."""
-
-    def __init__(self) -> None:
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-
-    def get(self, key: str) -> list[int] | None:
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
-
-    def put(self, key: str, ids: list[int]) -> None:
-        if len(self.new) >= REMEMBERED:
-            self.old, self.new = self.new, {}
-        self.new[key] = ids
-
-
 class Rules:
     """The normaliser's replacement rules: a double-array trie of byte strings, each with the place of what replaces it.
 
@@ -105,7 +89,8 @@ class Rules:
         """(length in bytes, replacement) of the longest rule that fits ``data`` from ``at`` on."""
         units, found = self.units, None
         place = self.way(units[0])
-        for n, byte in enumerate(data[at : at + 64], 1):
+        for n in range(1, len(data) - at + 1):
+            byte = data[at + n - 1]
             place ^= byte
             unit = units[place]
             if unit & 0x800000FF != byte:
@@ -160,20 +145,48 @@ class Transducer:
         self.bytes = {int(t[3:5], 16): i for i, (t, k) in enumerate(zip(self.texts, self.kinds)) if k == BYTE}
         self.out = [t.replace(MARK, " ").encode() if k in (NORMAL, USER) else bytes([int(t[3:5], 16)]) if k == BYTE else b"" for t, k in zip(self.texts, self.kinds)]
         self.fallback = max((-s for s in self.scores), default=0.0) + 10.0
+        #: The trie of P, compiled: a character leads to (the piece that ends there or -1, the way on or None).
         self.trie: dict = {}
         for text, i in self.ids.items():
             if self.model_type == UNIGRAM or self.merged(text) == [text]:
-                node = self.trie
-                for c in text:
-                    node = node.setdefault(c, {})
-                node[""] = i
+                node, so_far = self.trie, ()
+                for c in text[:-1]:
+                    so_far = node.setdefault(c, (-1, {}))
+                    if so_far[1] is None:
+                        so_far = node[c] = so_far[0], {}
+                    node = so_far[1]
+                node[text[-1]] = i, node.get(text[-1], (-1, None))[1]
         self.split = all(MARK not in t.lstrip(MARK) for t in self.ids)
-        self.follows: dict[int, bool] = {}
-        self.solved, self.parts = Memory(), Memory()
         self.together = {t[k : k + 2] for t in self.ids for k in range(len(t) - 1)}
+        #: Chunks end before each U+2581, and line feeds are chunks of their own where they stand in no piece with others.
+        alone = "" if any("\n" in pair for pair in self.together) else "\n"
+        self.chunk = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|{alone}" if alone else ""))
+        self.follows: dict[int, bool] = {}
+        self.reset()
+        self.by_merges = False
         if self.model_type == BPE:
             self.compile_merges()
 
+    def reset(self) -> None:
+        """Forget the chunks that were solved: their numbers, the ids of all of them, one after the other, and how often each was met."""
+        self.known: dict[str, int] = {}
+        self.flat, self.begin, self.size, self.met = np.array([], np.int32), np.array([], np.int64), np.array([], np.int64), np.array([], np.int64)
+
+    def forget(self) -> None:
+        """Keep the half of the chunks that was met most often."""
+        words, at = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        kept = np.flatnonzero(self.met[at] > np.partition(self.met[at], -REMEMBERED // 2)[-REMEMBERED // 2])
+        at = at[kept]
+        self.flat, self.size, self.met = self.gather(at), self.size[at], self.met[at] // 2
+        self.begin = np.cumsum(self.size) - self.size
+        self.known = dict(zip(map(words.__getitem__, kept.tolist()), range(len(kept))))
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of solved chunks, one after the other."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.begin[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
     def merged(self, text: str) -> list[str]:
         """What the model's merges leave of a short text: the best-scored neighbours first, the leftmost of equals."""
         parts = list(text)
@@ -210,6 +223,8 @@ class Transducer:
                 parts[k : k + 2] = [parts[k] + parts[k + 1]]
             if len(parts) == 2 and all(p in ids for p in parts):
                 self.left[i], self.right[i] = ids[parts[0]], ids[parts[1]]
+        reached = [i for t, i in ids.items() if len(t) > 1 and self.left[i] >= 0]
+        self.by_merges = any(self.rank[i] < max(self.rank[self.left[i]], self.rank[self.right[i]]) for i in reached)
         #: Pieces whose rank is another's, too, or isn't above that of their parts: pairs with them are merged to see.
         self.odd = {i for t, i in ids.items() if len(t) > 1 and (seen[self.scores[i]] > 1 or self.left[i] < 0 or self.rank[i] <= max(self.rank[self.left[i]], self.rank[self.right[i]]))}
         for t, i in sorted(ids.items(), key=lambda x: len(x[0])):
@@ -228,7 +243,7 @@ class Transducer:
         found = self.follows.get(key)
         if found is not None:
             return found
-        if len(self.follows) >= REMEMBERED * 4:
+        if len(self.follows) >= REMEMBERED:
             self.follows.clear()
         if left in self.odd or right in self.odd:
             a, b = self.texts[left], self.texts[right]
@@ -258,53 +273,45 @@ class Transducer:
             text = " " + text
         return text.replace(" ", MARK) if self.escape else text
 
-    def arcs(self, chunk: str, at: int) -> list[tuple[int, int]]:
-        """(end, piece) of the ways through P from ``at``, shortest first; -1 for a character that only byte fallback takes."""
-        out, node = [], self.trie
-        for place in range(at, len(chunk)):
-            node = node.get(chunk[place])
-            if node is None:
-                break
-            piece = node.get("")
-            if piece is not None:
-                out.append((place + 1, piece))
-        return out if out and out[0][0] == at + 1 else [(at + 1, -1), *out]
-
     def shortest(self, chunk: str) -> list[int]:
         """The ids along the path of least weight through the composition with ``chunk``.
 
-        Single-source shortest distances: an arc from a place is relaxed if it lowers the weight of the place that it reaches. Without B,
-        places are taken in order. With B a place has one finite weight, so any order gives it and the first one is the least; the last
-        place that was reached goes on first, and places are made as they are reached.
+        Single-source shortest distances: all arcs out of a place are relaxed, first by weight, then by B, and places whose weight falls are
+        taken again. Without B places are taken in order. With B the last one goes first: it has one finite path to each place, so the
+        search ends when the end has a weight.
         """
-        n = len(chunk)
+        n, size, scores, trie = len(chunk), len(self.texts), self.scores, self.trie
         weight, back, last = [0.0] + [INFINITE] * n, [0] * (n + 1), [-1] * (n + 1)
-        scores, known, size = self.scores, self.follows.get, len(self.texts)
-        if self.model_type == UNIGRAM:
-            for at in range(n):
-                for end, piece in self.arcs(chunk, at):
-                    total = weight[at] + (-scores[piece] if piece >= 0 else self.spelling(chunk[at]))
+        pairs = self.model_type == BPE
+        known, check = self.follows.get, self.may_follow
+        queue = [0] if pairs else list(range(n - 1, -1, -1))
+        while queue and (weight[n] == INFINITE or not pairs):
+            at = queue.pop()
+            here, before = weight[at], last[at]
+            left, node, end, alone = before * size, trie, at, False
+            while node is not None and end < n:
+                found = node.get(chunk[end])
+                if found is None:
+                    break
+                end += 1
+                piece, node = found
+                if piece >= 0:
+                    alone = alone or end == at + 1
+                    total = here - scores[piece]
                     if total < weight[end]:
+                        if pairs:
+                            if before >= 0:  # a character of byte fallback merges with nothing
+                                ok = known(left + piece)
+                                if not (check(before, piece) if ok is None else ok):
+                                    continue
+                            queue.append(end)
                         weight[end], back[end], last[end] = total, at, piece
-        else:
-            queue = [(0, self.arcs(chunk, 0))] if n else []
-            while queue and weight[n] == INFINITE:
-                at, arcs = queue[-1]
-                before = last[at]
-                while arcs:
-                    end, piece = arcs.pop()
-                    if weight[end] != INFINITE:
-                        continue
-                    if before >= 0 and piece >= 0:  # a character of byte fallback merges with nothing
-                        ok = known(before * size + piece)
-                        if not (self.may_follow(before, piece) if ok is None else ok):
-                            continue
-                    weight[end], back[end], last[end] = weight[at] + (-scores[piece] if piece >= 0 else self.spelling(chunk[at])), at, piece
-                    if end < n:
-                        queue.append((end, self.arcs(chunk, end)))
-                    break
-                else:
-                    queue.pop()
+            if not alone:
+                total = here + self.spelling(chunk[at])
+                if total < weight[at + 1]:
+                    weight[at + 1], back[at + 1], last[at + 1] = total, at, -1
+                    if pairs:
+                        queue.append(at + 1)
         if weight[n] == INFINITE:
             raise ValueError("no path: merges of equal rank decide here, which this machine does not cover")
         out, at = [], n
@@ -317,42 +324,89 @@ class Transducer:
         out.reverse()
         return out
 
+    def merge(self, chunk: str) -> list[int]:
+        """The ids that the merges leave of ``chunk``, whatever their order: the best pair of neighbours first, the leftmost of equals."""
+        parts: list[str | None] = list(chunk)
+        before, behind = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(k: int) -> None:
+            if 0 <= k and behind[k] < len(parts) and (piece := self.ids.get(parts[k] + parts[behind[k]])) is not None:
+                heappush(heap, (-self.scores[piece], k, parts[k] + parts[behind[k]]))
+
+        for k in range(len(parts) - 1):
+            offer(k)
+        while heap:
+            _, k, text = heappop(heap)
+            if parts[k] is None or behind[k] >= len(parts) or parts[k] + parts[behind[k]] != text:
+                continue  # one of the two has been merged meanwhile
+            gone = behind[k]
+            parts[k], parts[gone], behind[k] = text, None, behind[gone]
+            if behind[k] < len(parts):
+                before[behind[k]] = k
+            offer(before[k])
+            offer(k)
+        out: list[int] = []
+        for text in parts:
+            if text is not None:
+                out += [self.ids[text]] if text in self.ids else self.spelled(text)
+        return out
+
     def spelling(self, character: str) -> float:
         """The weight of byte fallback."""
         return self.fallback * len(character.encode("utf-8", "surrogatepass"))
 
-    def solve(self, chunk: str) -> list[int]:
-        """A chunk falls apart between characters that stand together in no piece; the parts are remembered, too."""
-        out: list[int] = []
-        begin = 0
-        for at in range(1, len(chunk) + 1):
-            if at == len(chunk) or chunk[at - 1 : at + 1] not in self.together:
-                part = chunk[begin:at]
-                ids = self.parts.get(part)
-                if ids is None:
-                    ids = self.shortest(part)
-                    if len(part) <= 64:
-                        self.parts.put(part, ids)
-                out += ids
-                begin = at
-        return out
-
     def spelled(self, text: str) -> list[int]:
         return [self.bytes.get(b, self.unknown) for b in text.encode("utf-8", "surrogatepass")]
 
     def encode(self, text: str) -> list[int]:
-        normal = self.normalise(text)
-        chunks = CHUNK.findall(normal) if self.split else [normal]
-        solved, out = self.solved, []
-        known, recall = solved.new.get, solved.get
-        for chunk in chunks:
-            ids = known(chunk) or recall(chunk)
-            if ids is None:
-                ids = self.solve(chunk)
-                if len(chunk) <= 64:
-                    solved.put(chunk, ids)
-            out += ids
-        return out
+        return self.encode_all([text])[0].tolist()
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; length of each)."""
+        if len(self.known) >= REMEMBERED:
+            self.forget()
+        known = self.known
+        chunks = [self.chunk.findall(normal) if self.split else [normal] for normal in map(self.normalise, texts)]
+        every = list(chain.from_iterable(chunks))
+        at = np.fromiter(map(known.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(at < 0).tolist()
+        new = list(dict.fromkeys(map(every.__getitem__, missing)))
+        if new:
+            ids, ends = self.solve(new)
+            known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            sizes = np.diff(ends)
+            self.begin = np.r_[self.begin, len(self.flat) + ends[:-1]]
+            self.size, self.flat, self.met = np.r_[self.size, sizes], np.r_[self.flat, np.array(ids, np.int32)], np.r_[self.met, np.zeros(len(new), np.int64)]
+            at[missing] = [known[every[i]] for i in missing]
+        self.met += np.bincount(at, minlength=len(self.met))
+        flat = self.gather(at)
+        upto = np.r_[0, np.cumsum(self.size[at])][np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))]
+        long = [c for c in new if len(c) > LONGEST]
+        for c in long:
+            del known[c]
+        if sum(map(len, long)) > REMEMBERED:  # their ids go with the next chunks that are forgotten, or now
+            self.reset()
+        return flat, np.diff(np.r_[0, upto])
+
+    def solve(self, chunks: list[str]) -> tuple[list[int], np.ndarray]:
+        """(ids of all chunks, one after the other; where each begins, and the end). What stands in no piece with its neighbour, as a full stop behind most
+        words, is solved alone: the rest may be known."""
+        one, known, together = self.merge if self.by_merges else self.shortest, self.known, self.together
+        ids: list[int] = []
+        ends = [0]
+        for c in chunks:
+            if len(c) > 1 and c[-2:] not in together:
+                stem = known.get(c[:-1])
+                if stem is None:
+                    ids += one(c[:-1])
+                else:
+                    begin = self.begin[stem]
+                    ids += self.flat[begin : begin + self.size[stem]].tolist()
+                c = c[-1]
+            ids += one(c)
+            ends.append(len(ids))
+        return ids, np.array(ends, np.int64)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the blank that N put in front is taken away again."""
@@ -360,7 +414,6 @@ class Transducer:
         return (data[1:] if self.prefix and data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _loaded: dict[str, Transducer] = {}
 
 
@@ -386,9 +439,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 rows = batch.slice(part, 256)
-                arrays = [np.array(machine.encode(t.as_py() or ""), np.int32) for t in rows.column("t")]
-                ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.int32), *arrays])))
+                flat, sizes = machine.encode_all([t or "" for t in rows.column("t").to_pylist()])
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([rows.column("k"), ids], ["k", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -419,17 +471,14 @@ def encoded(docs: DataFrame, model: str | None = None, with_ids: bool = False) -
         for batch in batches:
             for part in range(0, batch.num_rows, 256):
                 rows = batch.slice(part, 256)
-                arrays, texts, same = [], [], []
-                for t in rows.column("text"):
-                    text = t.as_py() or ""
-                    ids = machine.encode(text)
-                    arrays.append(array("i", ids))
-                    texts.append(machine.decode(ids))
-                    same.append(texts[-1] == text)
-                columns = [rows.column("doc_id"), pa.array([len(a) for a in arrays], pa.int64()), pa.array([zlib.crc32(a) for a in arrays], pa.int64()), pa.array(same, pa.bool_())]
+                given = [t or "" for t in rows.column("text").to_pylist()]
+                flat, sizes = machine.encode_all(given)
+                ends = np.r_[0, np.cumsum(sizes)]
+                each = [flat[b:e] for b, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                texts = [machine.decode(ids.tolist()) for ids in each]
+                columns = [rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([zlib.crc32(ids) for ids in each], pa.int64()), pa.array([a == b for a, b in zip(given, texts)], pa.bool_())]
                 if with_ids:
-                    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-                    columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.int32), *(np.frombuffer(a, np.int32) for a in arrays if a)]))), pa.array(texts, pa.string())]
+                    columns += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
