@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +13,11 @@ ERROR_MSE, ERROR_R2, FAILED = 1e100, -1e100, 1e99
 WHOLE = 1e-10
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def rounded(x: Column, places: int = 4) -> Column:
     """Half up, by a floor: unlike ``round`` it gives the same in all engines."""
     return F.floor(x * F.lit(10.0**places) + 0.5).cast("double") / F.lit(10.0**places)

@@ -1,10 +1,9 @@
-"""Datasets from problem specifications: sampling, shifted ranges, noise. Each (id, group) is made by one grouped call from a seed of
-its own, so the rows don't depend on the number of tasks."""
+"""Datasets from problem specifications: sampling, shifted ranges, noise. Samples of an (id, group) come from a seed of its own, noise from the
+row alone, so neither depends on the number of tasks."""
 
 from __future__ import annotations
 
 import hashlib
-import random
 import zlib
 from collections.abc import Iterator
 from decimal import Decimal
@@ -14,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fitloom.functions import counters
 from fitloom.functions.compile import to_numpy
 from fitloom.functions.expr import FormulaError, parse
 
@@ -88,25 +88,22 @@ def noise_key(level: str | float | Decimal) -> str:
 
 def add_noise(samples: DataFrame, level: str | float, mode: str = "relative", seed: int = 0, start: int | None = None, stop: int | None = None) -> DataFrame:
     """``samples`` with noisy y. ``relative``: y (1 + N(0, level)); ``absolute``: y + N(0, level); ``dataset-std``: the level times the
-    group's population deviation. Null targets pass through and draw nothing. With ``start`` only groups start..stop are taken, numbered
-    from 0. The stream of a group depends on seed, level, id and group only."""
+    group's population deviation (0 for a group of one). Null and NaN targets pass through. With ``start`` only groups start..stop are taken,
+    numbered from 0. The draw of a row depends on seed, level, id, group and row_idx only, so no group meets in a task for it; rows of a
+    group that share a row_idx share a draw."""
     if mode not in ("relative", "absolute", "dataset-std"):
         raise ValueError(f"unknown mode {mode}")
     key, amount = noise_key(level), float(Decimal(str(level)))
     taken = samples.filter(F.col("grp").between(start, stop if stop is not None else 1 << 30)) if start is not None else samples
-
-    def noisy(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("row_idx", kind="stable")
-        digest = hashlib.sha256(f"{seed}\0{key}\0{part['id'].iloc[0]}/{part['grp'].iloc[0]}.csv".encode()).digest()
-        rng = random.Random(int.from_bytes(digest[:16], "big"))
-        y = part["y"].tolist()
-        there = [v for v in y if v is not None and not np.isnan(v)]
-        scale = amount * (float(np.std(there)) if len(there) > 1 else 0.0) if mode == "dataset-std" else amount
-        out = [v if v is None or np.isnan(v) else v * (1.0 + rng.gauss(0.0, amount)) if mode == "relative" else v + rng.gauss(0.0, scale) for v in y]
-        return part.assign(y=out, variant=f"noise_{key}")
-
-    out = taken.groupBy("id", "grp").applyInPandas(noisy, SAMPLES)
-    return out.withColumn("grp", F.col("grp") - start) if start is not None else out
+    stream = F.concat_ws("|", F.lit(str(seed)), F.lit(key), F.col("id").cast("string"), F.col("grp").cast("string"))
+    drawn = counters.normals(taken, stream, F.col("row_idx"), "draw_")
+    there = F.col("y").isNotNull() & ~F.isnan("y")
+    if mode == "dataset-std":
+        spread = taken.filter(there).groupBy("id", "grp").agg(F.stddev_pop("y").alias("spread_"))
+        drawn = drawn.join(spread, ["id", "grp"], "left")
+    noise = {"relative": F.col("y") * (1.0 + amount * F.col("draw_")), "absolute": F.col("y") + amount * F.col("draw_"), "dataset-std": F.col("y") + amount * F.col("spread_") * F.col("draw_") if mode == "dataset-std" else None}[mode]
+    grp = (F.col("grp") - start).cast("int") if start is not None else F.col("grp")
+    return drawn.select(F.lit(f"noise_{key}").alias("variant"), "id", grp.alias("grp"), "row_idx", "x", F.when(there, noise).otherwise(F.col("y")).alias("y"))
 
 
 def hashed_noise(y: Column, level: float, *key: Column) -> Column:

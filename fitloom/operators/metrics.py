@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fitloom.functions.scalars import ERROR_MSE, ERROR_R2, FAILED, finite, masked
+from fitloom.functions.special import correlation_p
 from fitloom.operators.ordering import running
 from fitloom.sources import sinks
 
@@ -157,58 +161,35 @@ def equal_width(df: DataFrame, value: str, bins: int, lo: float | None = None, h
     return df.sparkSession.range(1, bins + 1).withColumnRenamed("id", "bin").join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """``df`` with the ranks of ``column``, equals sharing their mean rank.
+def average_ranks(df: DataFrame, column: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the ranks of ``column`` (in each group of ``keys``), equals sharing their mean rank.
 
-    Equal values are counted first; the distinct ones are numbered by ranges, so no task orders all of them.
+    Equal values are counted first; the distinct ones are numbered by ranges of (keys, value), so no task orders a group. A group's ranks
+    begin behind the count of the groups before it, which one aggregate gives.
     """
-    counts = running(df.groupBy(column).agg(F.count("*").alias("c_")), [column], "upto_", "c_")
-    ranks = counts.select(F.col(column).alias("v_"), (F.col("upto_") - (F.col("c_") - 1) / 2.0).alias(name))
-    return df.join(ranks, df[column].eqNullSafe(F.col("v_"))).drop("v_")
+    counts = running(df.groupBy(*keys, column).agg(F.count("*").alias("c_")), [*keys, column], "upto_", "c_")
+    if keys:
+        counts = sinks.between(counts)
+        first = counts.groupBy(*keys).agg(F.min(F.col("upto_") - F.col("c_")).alias("before_")).select(*(F.col(k).alias(f"{k}_b_") for k in keys), "before_")
+        counts = counts.join(first, reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_b_")) for k in keys))).withColumn("upto_", F.col("upto_") - F.col("before_"))
+    ranks = counts.select(*(F.col(k).alias(f"{k}_g_") for k in keys), F.col(column).alias("v_"), (F.col("upto_") - (F.col("c_") - 1) / 2.0).alias(name))
+    same = reduce(and_, (df[k].eqNullSafe(F.col(f"{k}_g_")) for k in keys), df[column].eqNullSafe(F.col("v_")))
+    return df.join(ranks, same).drop("v_", *(f"{k}_g_" for k in keys))
 
 
 def correlation(x: str, y: str) -> Column:
-    """Null where a column is constant."""
-    return F.when((F.var_pop(x) > 0) & (F.var_pop(y) > 0), F.corr(x, y))
-
-
-def association(df: DataFrame, x: str, y: str) -> DataFrame:
-    """n, Pearson's r and Spearman's rho of the rows where both are present."""
-    both = df.select(F.col(x).alias("x"), F.col(y).alias("y")).filter(finite(F.col("x")) & finite(F.col("y")))
-    ranked = average_ranks(average_ranks(both, "x", "rx"), "y", "ry")
-    return ranked.agg(F.count("*").alias("n"), correlation("x", "y").alias("pearson"), correlation("rx", "ry").alias("spearman"))
-
-
-def p_value(r: float, n: int) -> float:
-    """Two-sided, of a correlation: Student's t with n - 2 degrees of freedom, by the incomplete beta function."""
-    import math
-
-    if n < 3 or abs(r) >= 1:
-        return 0.0 if n >= 3 else float("nan")
-    df = n - 2
-    return incomplete_beta(df / 2, 0.5, df / (df + r * r * df / (1 - r * r))) if math.isfinite(r) else float("nan")
-
-
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised, by Lentz's continued fraction."""
-    import math
-
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d or tiny)
-    out = d
-    for m in range(1, 500):
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 / ((1 + top * d) or tiny)
-            c = (1 + top / c) or tiny
-            out *= c * d
-        if abs(c * d - 1) < 1e-15:
-            break
-    return front * out
+    """Pearson's; null where a column is constant. By its parts, as ``corr`` ends a job where a column is constant."""
+    size = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(size > 0, F.covar_pop(x, y) / F.when(size > 0, size))
+
+
+def association(df: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """n, Pearson's r and Spearman's rho of the rows where both are present, and the two-sided p-values of both; by the groups of ``keys``."""
+    both = df.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).filter(finite(F.col("x")) & finite(F.col("y")))
+    ranked = average_ranks(average_ranks(both, "x", "rx", keys), "y", "ry", keys)
+    measures = (F.count("*").alias("n"), correlation("x", "y").alias("pearson"), correlation("rx", "ry").alias("spearman"))
+    out = ranked.groupBy(*keys).agg(*measures) if keys else ranked.agg(*measures)
+    return out.withColumns({"pearson_p": correlation_p(F.col("pearson"), F.col("n")), "spearman_p": correlation_p(F.col("spearman"), F.col("n"))})
 
 
 def contingency(df: DataFrame, score: str, r2: str, high_score: float = 80.0, high_r2: float = 0.9) -> DataFrame:

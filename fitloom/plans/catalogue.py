@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fitloom.functions import cells, compile as comp, scalars
+from fitloom.functions import cells, compile as comp, counters, program, scalars
 from fitloom.functions.expr import generalise, parse, show
 from fitloom.functions.scalars import rounded
 from fitloom.operators import dedup, fitting, generate, metrics, ranking, relational, report, search
@@ -135,7 +135,25 @@ def q_pearson(spark, sf_dir):
 @query(f"""with r as (select rank() over (order by l_quantity) + (count(*) over (partition by l_quantity) - 1) / 2.0::DOUBLE as a, rank() over (order by l_extendedprice) + (count(*) over (partition by l_extendedprice) - 1) / 2.0::DOUBLE as b, l_quantity as x, l_extendedprice as y from lineitem)
 select count(*) as n, {r('corr(x, y)', 8)} as pearson, {r('corr(a, b)', 8)} as spearman from r""")
 def q_spearman(spark, sf_dir):
-    return rounded_all(metrics.association(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), 8, "pearson", "spearman")
+    return rounded_all(metrics.association(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice").drop("pearson_p", "spearman_p"), 8, "pearson", "spearman")
+
+
+def _p(rho: str) -> str:
+    """Student's two-sided probability in SQL, by its finite sums for even and odd degrees of freedom."""
+    even = f"1 - abs({rho}) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - 2 * k * ln(2)) * pow(1 - {rho} * {rho}, k)))"
+    odd = f"1 - 2 / pi() * (asin(abs({rho})) + abs({rho}) * coalesce(list_sum(list_transform(range(0, (n - 3) // 2), lambda k: exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(1 - {rho} * {rho}, k + 0.5::DOUBLE))), 0))"
+    return f"case when n % 2 = 0 then {even} else {odd} end"
+
+
+@query(f"""with v as (select c_nationkey, c_acctbal as x, (c_custkey % 17)::DOUBLE as y from customer),
+r as (select *, rank() over (partition by c_nationkey order by x) + (count(*) over (partition by c_nationkey, x) - 1) / 2.0::DOUBLE as a, rank() over (partition by c_nationkey order by y) + (count(*) over (partition by c_nationkey, y) - 1) / 2.0::DOUBLE as b from v),
+s as (select c_nationkey, count(*) as n, corr(x, y) as pearson, corr(a, b) as spearman from r group by 1 having count(*) > 3)
+select c_nationkey, n, {r('pearson', 8)} as pearson, {r('spearman', 8)} as spearman, {r(_p('pearson'), 7)} as pearson_p, {r(_p('spearman'), 7)} as spearman_p from s""")
+def q_association_by_group(spark, sf_dir):
+    """Both correlations of each nation's customers, with their probabilities."""
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 17).cast("double").alias("y"))
+    found = metrics.association(rows, "x", "y", ("c_nationkey",)).filter("n > 3")
+    return rounded_all(rounded_all(found, 8, "pearson", "spearman"), 7, "pearson_p", "spearman_p")
 
 
 @query(f"""with d as (select l_quantity * 2 as s, 1 - l_discount * 2 as r from lineitem), m as (select avg(s) as ms, avg(r) as mr from d)
@@ -374,6 +392,21 @@ def q_formula_eval(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(*KEY, rounded(comp.to_column(tree, line_variables())).alias("y"))
 
 
+_OF_PART = """case p_partkey % 6 when 0 then l_quantity * p_size + l_discount when 1 then sqrt(l_quantity) * p_size - l_extendedprice / 1000.0::DOUBLE when 2 then l_extendedprice / (l_quantity + p_size) when 3 then ln(l_quantity + p_size) * (1 - l_discount)
+  when 4 then atan(l_tax * p_size) + l_quantity ** 2 when 5 then null end"""
+
+
+@query(f"select {_KEY}, p_partkey, {r(_OF_PART)} as y from lineitem join part on p_partkey = l_partkey")
+def q_formula_programs(spark, sf_dir):
+    """Each part has a formula of its own, as text; all lines are put into their parts' formulas by one plan. Every sixth is no formula."""
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 6
+    text = F.when(k == 0, F.concat(F.lit("y = q*"), n, F.lit(" + d"))).when(k == 1, F.concat(F.lit("sqrt(q)*"), n, F.lit(" - p/1000"))).when(k == 2, F.concat(F.lit("p/(q + "), n, F.lit(")")))
+    text = text.when(k == 3, F.concat(F.lit("ln(q + "), n, F.lit(")*(1 - d)"))).when(k == 4, F.concat(F.lit("arctan(t*"), n, F.lit(") + q^2"))).otherwise("q*(")
+    parts = program.programs(table(spark, sf_dir, "part").select("p_partkey", text.alias("formula")), list(_VARIABLES))
+    lines = table(spark, sf_dir, "lineitem").select(*KEY, "l_partkey", F.array(*(F.col(c).cast("double") for c in _VARIABLES.values())).alias("values"))
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(*KEY, "p_partkey", rounded(program.value(F.col("program"), F.col("values"))).alias("y"))
+
+
 _FUNCTIONS = {
     "sqrt": "sqrt(q)", "exp": "exp(q/50)", "log": "log(q)", "log10": "log10(p)", "sin": "sin(q)", "cos": "cos(q)", "tan": "tan(t)", "asin": "asin(d)", "acos": "acos(d)", "atan": "atan(q)", "sinh": "sinh(q/10)",
     "cosh": "cosh(q/10)", "tanh": "tanh(q/10)", "asinh": "asinh(q)", "acosh": "acosh(q)", "atanh": "atanh(d)", "abs": "abs(q - 25)", "sign": "sign(q - 25)",
@@ -539,12 +572,12 @@ def q_metric_report(spark, sf_dir):
 # Not expressible in SQL: checked by tests
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _samples(spark: SparkSession, sf_dir: str, number: Column | None = None) -> DataFrame:
     """Lines as datasets of one problem: a group for each flag and status."""
     rows = table(spark, sf_dir, "lineitem")
     grp = F.dense_rank().over(W.orderBy(*LINE)) - 1
     groups = rows.select(*LINE).distinct().withColumn("grp", grp.cast("int"))
-    return rows.join(F.broadcast(groups), LINE).select(F.lit("P01").alias("id"), "grp", F.xxhash64(*KEY).alias("row_idx"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), (F.col("l_extendedprice") / 1000.0).alias("y"))
+    return rows.join(F.broadcast(groups), LINE).select(F.lit("P01").alias("id"), "grp", (F.xxhash64(*KEY) if number is None else number).alias("row_idx"), F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), (F.col("l_extendedprice") / 1000.0).alias("y"))
 
 
 def _formulas(spark: SparkSession) -> DataFrame:
@@ -602,10 +635,15 @@ def q_search(spark, sf_dir):
     return search.front(search.search_dataset(rows, ["q", "d"], 0, search.Settings(iterations=1, islands=2, population=20)))
 
 
-@query()
+_NOISE = "select l_returnflag, l_linestatus, l_orderkey * 8 + l_linenumber as row_idx, l_extendedprice / 1000.0::DOUBLE as y, (dense_rank() over (order by l_returnflag, l_linestatus) - 1)::INT as grp from lineitem"
+
+
+@query(f"""with z as ({counters.sql_normals(_NOISE, "'7|0.03|P01|' || grp", 'row_idx', 'draw')})
+select 'noise_0.03' as variant, 'P01' as id, grp, row_idx, {r('y + 0.03::DOUBLE * stddev_pop(y) over (partition by grp) * draw', 5)} as y from z""")
 def q_noise_streams(spark, sf_dir):
-    rows = _samples(spark, sf_dir).select(F.lit("base").alias("variant"), "id", "grp", "row_idx", F.create_map(F.lit("q"), "q").alias("x"), "y")
-    return generate.add_noise(rows, "0.03", "dataset-std", 7)
+    """Noise of a part of each group's deviation, each row's draw from its own counter."""
+    rows = _samples(spark, sf_dir, F.col("l_orderkey") * 8 + F.col("l_linenumber")).select(F.lit("base").alias("variant"), "id", "grp", "row_idx", F.create_map(F.lit("q"), "q").alias("x"), "y")
+    return generate.add_noise(rows, "0.03", "dataset-std", 7).select("variant", "id", "grp", "row_idx", rounded(F.col("y"), 5).alias("y"))
 
 
 def spec_rows(spark: SparkSession) -> DataFrame:

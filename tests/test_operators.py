@@ -33,8 +33,92 @@ def test_failed_prediction_fails_the_group(spark):
     assert not metrics.fit_metrics(df, ["k"]).first()["ok"]
 
 
-def test_p_value():
-    assert math.isclose(metrics.p_value(0.5, 20), 0.0247689, rel_tol=1e-4) and math.isclose(metrics.p_value(0.0, 10), 1.0)
+def exact_p(r, n):
+    """Student's two-sided probability by its finite sums."""
+    v, r = n - 2, abs(r)
+    rest, term = 1 - r * r, 1.0
+    if v % 2 == 0:
+        total = 0.0
+        for k in range(v // 2):
+            total += term
+            term *= (2 * k + 1) / (2 * k + 2) * rest
+        return 1 - r * total
+    total, term = 0.0, math.sqrt(rest)
+    for k in range((v - 1) // 2):
+        total += term
+        term *= (2 * k + 2) / (2 * k + 3) * rest
+    return 1 - 2 / math.pi * (math.asin(r) + r * total)
+
+
+def test_p_of_correlations(spark):
+    from fitloom.functions.special import correlation_p
+
+    rows = [(r, n) for r in (0.0, 0.01, -0.2, 0.5, 0.73, -0.9, 0.999) for n in (3, 4, 5, 8, 20, 101, 1000, 20_000)]
+    out = spark.createDataFrame(rows, "r double, n long").select("r", "n", correlation_p(F.col("r"), F.col("n")).alias("p")).collect()
+    assert all(math.isclose(x["p"], exact_p(x["r"], x["n"]), rel_tol=1e-7, abs_tol=1e-11) for x in out), [(x, exact_p(x["r"], x["n"])) for x in out if not math.isclose(x["p"], exact_p(x["r"], x["n"]), rel_tol=1e-7, abs_tol=1e-11)]
+    known = {(0.5, 20): 0.0247689}
+    assert all(math.isclose(x["p"], known[x["r"], x["n"]], rel_tol=1e-4) for x in out if (x["r"], x["n"]) in known)
+    odd = spark.createDataFrame([(1.0, 9), (-1.0, 4), (0.3, 2), (None, 9)], "r double, n long").select(correlation_p(F.col("r"), F.col("n")).alias("p")).collect()
+    assert [x["p"] for x in odd[:2]] == [0.0, 0.0] and math.isnan(odd[2]["p"]) and odd[3]["p"] is None
+    small = spark.createDataFrame([(0.9, 100)], "r double, n long").select(correlation_p(F.col("r"), F.col("n")).alias("p")).first()["p"]
+    assert 0 < small < 1e-30
+
+
+def test_association_by_group(spark):
+    rng = np.random.default_rng(2)
+    rows = [(["a", "b", None][i % 3], float(rng.integers(0, 9)), float(rng.normal()) if i % 7 else None) for i in range(200)] + [("one", 1.0, 2.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0)]
+    out = {r["k"]: r for r in metrics.association(spark.createDataFrame(rows, "k string, a double, b double"), "a", "b", ("k",)).collect()}
+    for k in ("a", "b", None):
+        x, y = np.array([r[1:] for r in rows if r[0] == k and r[2] is not None]).T
+        rank = lambda v: np.array([(v < e).sum() + ((v == e).sum() + 1) / 2 for e in v])
+        r, rho = np.corrcoef(x, y)[0, 1], np.corrcoef(rank(x), rank(y))[0, 1]
+        got = out[k]
+        assert got["n"] == len(x) and math.isclose(got["pearson"], r, rel_tol=1e-9) and math.isclose(got["spearman"], rho, rel_tol=1e-9)
+        assert math.isclose(got["pearson_p"], exact_p(r, len(x)), rel_tol=1e-7) and math.isclose(got["spearman_p"], exact_p(rho, len(x)), rel_tol=1e-7)
+    assert out["flat"]["pearson"] is None and out["flat"]["pearson_p"] is None and out["one"]["n"] == 1
+
+
+def test_threefry_gives_the_published_words(spark):
+    from fitloom.functions.counters import threefry
+
+    known = [((0, 0), (0, 0), (0x6B200159, 0x99BA4EFE)), ((0xFFFFFFFF,) * 2, (0xFFFFFFFF,) * 2, (0x1CB996FC, 0xBB002BE7)), ((0x13198A2E, 0x03707344), (0x243F6A88, 0x85A308D3), (0xC4923A9C, 0x483DF7A0))]
+    df = spark.createDataFrame([(i, *k, *c) for i, (k, c, _) in enumerate(known)], "i int, a long, b long, c long, d long")
+    out = df.select("i", threefry((F.col("a"), F.col("b")), (F.col("c"), F.col("d"))).alias("w")).orderBy("i").collect()
+    assert [tuple(r["w"]) for r in out] == [w for _, _, w in known]
+
+
+def test_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    from fitloom.functions.counters import normal_quantile, uniform
+
+    us = [1e-300, 1e-16, 1e-9, 1e-4, 0.01, 0.0749999, 0.075, 0.3, 0.5, 0.6, 0.925, 0.99, 1 - 1e-9]
+    out = spark.createDataFrame([(u,) for u in us], "u double").select("u", normal_quantile(F.col("u")).alias("z")).collect()
+    assert all(math.isclose(r["z"], NormalDist().inv_cdf(r["u"]), rel_tol=1e-9, abs_tol=1e-12) for r in out)
+    ends = spark.createDataFrame([(0, 0), (0xFFFFFFFF, 0xFFFFFFFF)], "a long, b long").select(uniform(F.col("a"), F.col("b")).alias("u")).collect()
+    assert 0 < ends[0]["u"] and ends[1]["u"] < 1
+
+
+def test_counter_draws_are_normal_in_the_tails(spark):
+    from statistics import NormalDist
+
+    from fitloom.functions.counters import normals
+
+    n = 1_500_000
+    z = normals(spark.range(n), F.lit("stream"), F.col("id"), "z")
+    got = z.agg(F.avg("z"), F.stddev_pop("z"), F.count_if(F.col("z") > 4), F.count_if(F.col("z") < -4), F.count_if(F.abs("z") > 4.5), F.countDistinct("z")).first()
+    tail = NormalDist().cdf(-4) * n
+    assert abs(got[0]) < 0.004 and abs(got[1] - 1) < 0.003 and abs(got[2] - tail) < 5 * tail**0.5 and abs(got[3] - tail) < 5 * tail**0.5 and got[4] >= 1 and got[5] > n - 20
+
+
+def test_noise_knows_no_partitions(spark):
+    base = spark.range(5000).select(F.lit("base").alias("variant"), F.lit("P01").alias("id"), (F.col("id") % 3).cast("int").alias("grp"), F.col("id").alias("row_idx"), F.create_map(F.lit("x"), F.lit(1.0)).alias("x"), (F.col("id") / 7).alias("y"))
+    for mode in ("relative", "absolute", "dataset-std"):
+        four, many = (sorted(map(tuple, generate.add_noise(base.repartition(p, "row_idx"), "0.05", mode, 9).select("grp", "row_idx", "y").collect())) for p in (4, 200))
+        assert four == many if mode != "dataset-std" else all(math.isclose(a[2], b[2], rel_tol=1e-9) for a, b in zip(four, many))
+        assert {r[1]: r[2] for r in four if r[1] < 100} != {r[1]: r[1] / 7 for r in four if r[1] < 100}
+        plan = generate.add_noise(base, "0.05", mode, 9)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan
 
 
 def test_histogram_has_empty_bins_and_a_failed_one(spark):
