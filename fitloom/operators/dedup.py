@@ -56,7 +56,8 @@ def mark(formulas: DataFrame, formula: str, file: str = "file", row: str = "row_
     own = F.when(F.col("text_key") == "", F.concat(F.lit("row: "), F.col("eq_id").cast("string"))).otherwise(F.col("exact_key"))
     keyed = keyed.withColumn("exact_key", own).fillna("", ["symbol_key", "probe_key"])
     block, klass = [file, "symbol_key", "probe_key"], [file, "symbol_key", "exact_key"]
-    first = keyed.groupBy(*block, "exact_key").agg(F.min("eq_id").alias("first"), F.min_by("text_key", "eq_id").alias("text"), F.max(F.coalesce("parsed", F.lit(False))).alias("parsed"))
+    # A class has the probes of its first row: a form may have several domains.
+    first = keyed.groupBy(*klass).agg(F.min("eq_id").alias("first"), F.min_by("text_key", "eq_id").alias("text"), F.min_by("probe_key", "eq_id").alias("probe_key"), F.max(F.coalesce("parsed", F.lit(False))).alias("parsed"))
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         probes, out = [], []

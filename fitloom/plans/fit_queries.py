@@ -212,6 +212,16 @@ def q_mark_exact(spark, sf_dir):
     return dedup.mark(shapes(spark, sf_dir), "para_eq", compare=False).select("file", "row_idx", "eq_id", "redundant")
 
 
+@query("""with t as (select p_brand as file, p_partkey as row_idx, case p_partkey % 7 when 3 then 'n' || (p_size + 1) when 4 then 'n' || (p_size + 1) when 5 then 'exp' when 6 then 'exp' else 'x' end as class, row_number() over (partition by p_brand order by p_partkey) as eq_id from part),
+f as (select *, min(eq_id) over (partition by file, class) as first from t) select file, row_idx, eq_id, case when first = eq_id then 0 else first end as redundant from f""")
+def q_mark_rewritten(spark, sf_dir):
+    """Formulas that are one after names cancel, squares of sines and cosines add up, roots and exponentials multiply."""
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 7
+    text = F.when(k == 0, "x + y - y").when(k == 1, F.concat(n, F.lit("*x/"), n)).when(k == 2, "sqrt(x)*sqrt(x)").when(k == 3, F.concat(F.lit("sin(y)^2 + cos(y)^2 + "), n)).when(k == 4, (F.col("p_size") + 1).cast("string")).when(k == 5, "exp(y)*exp(x)*exp(-y)").otherwise("exp(x)")
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("row_idx"), text.alias("para_eq"))
+    return dedup.mark(rows, "para_eq").select("file", "row_idx", "eq_id", "redundant")
+
+
 @query(_SHAPES + ", f as (select *, min(eq_id) over (partition by file, class) as first from t where row_idx % 11 <> 0) select file, row_idx, (case when row_idx % 11 = 0 then 1 else 0 end)::BIGINT as redundant from t where row_idx % 11 = 0 union all select file, row_idx, (case when first = eq_id then 0 else 1 end)::BIGINT from f")
 def q_mark_candidates(spark, sf_dir):
     """The flag inside a candidate set: rows that are marked already stay so and stand for nobody."""

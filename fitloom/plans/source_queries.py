@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fitloom.functions import cells, scalars
@@ -214,10 +215,47 @@ def q_compatible(spark, sf_dir):
     return sinks.compatible(rows, ["mse"], ["r2"])
 
 
-@query("select string_agg(c, ',' order by i) as columns from (values (1, 'ID'), (2, 'para_eq'), (3, 'eq_id'), (4, 'redundant'), (5, 'loss')) t(i, c)")
+def csv_lines(spark, path):
+    """Each line of a report as it stands in its file, with its own end."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("value").alias("line"))
+
+
+@query("select chr(65279) || 'n_nationkey;n_name;eq_id;redundant;n_regionkey' || chr(13) as line union all select n_nationkey || ';' || n_name || ';' || (n_nationkey + 1) || ';' || case when n_regionkey = 0 then 0 else n_nationkey end || ';' || n_regionkey || chr(13) from nation")
 def q_mark_columns(spark, sf_dir):
-    rows = spark.createDataFrame([("P1", "x", 0.1, 1, 0)], "ID string, para_eq string, loss double, redundant long, eq_id long")
-    return spark.createDataFrame([(",".join(sinks.with_marks(rows, "para_eq").columns),)], "columns string")
+    """A summary gets its marks right behind the formula and is written in the dialect that it had: separator, line ends, byte-order mark."""
+    rows = table(spark, sf_dir, "nation")
+    source, out = sinks.scratch(spark, "summary"), sinks.scratch(spark, "marked")
+    sinks.write_report(rows, source, "utf-8-sig", ";", "\r\n")
+    back = files.read_csv(spark, source)
+    key = F.col("n_nationkey").cast("long")
+    marked = back.withColumns({"eq_id": key + 1, "redundant": F.when(F.col("n_regionkey") == "0", 0).otherwise(key)})
+    sinks.rewrite_report(spark, source, sinks.with_marks(marked, "n_name"), out)
+    return csv_lines(spark, out)
+
+
+@query("select chr(65279) || 'r_regionkey,r_name' as line union all select r_regionkey || ',' || r_name from region")
+def q_report_mark(spark, sf_dir):
+    """A ranking file begins with a byte-order mark."""
+    path = sinks.scratch(spark, "ranking")
+    sinks.write_report(table(spark, sf_dir, "region"), path, "utf-8-sig")
+    return csv_lines(spark, path)
+
+
+@query("select o_orderkey, '漢字 ' || o_orderpriority as o_orderpriority, o_totalprice from orders")
+def q_csv_large(spark, sf_dir):
+    """A file in another encoding, read by ranges of its lines: all orders, from as many files as the writer has made."""
+    names = ["o_orderkey", "o_orderpriority", "o_totalprice"]
+    rows = table(spark, sf_dir, "orders").select(F.concat_ws(",", "o_orderkey", F.concat(F.lit("漢字 "), "o_orderpriority"), "o_totalprice").alias("line"))
+
+    def put(parts):
+        yield pd.DataFrame({"line": [",".join(names).encode()]})  # each task writes a file
+        for part in parts:
+            yield pd.DataFrame({"line": [line.encode("gb18030") for line in part["line"]]})
+
+    path = sinks.scratch(spark, "large")
+    rows.mapInPandas(put, "line binary").select(F.col("line").cast("string").alias("value")).write.text(path)
+    out = files.read_csv(spark, path)
+    return out.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice"))
 
 
 # Resume

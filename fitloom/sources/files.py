@@ -13,6 +13,7 @@ from operator import or_
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fitloom.functions.cells import normal_id
 from fitloom.functions.expr import natural_key
@@ -24,10 +25,30 @@ from fitloom.sources import xlsx
 ENCODINGS, SEPARATORS, TARGETS = ("utf-8-sig", "utf-8", "gb18030"), (",", ";", "\t", "|"), ("y", "Y", "target", "Target", "TARGET")
 
 
-def first_bytes(spark: SparkSession, path: str, n: int = 1 << 16) -> bytes:
-    """The head of the first file of ``path``, by Spark's own reader."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("c")).first()
-    return bytes(row["c"]) if row else b""
+HEAD = 1 << 16
+
+
+def first_bytes(spark: SparkSession, path: str, n: int = HEAD) -> bytes:
+    """The head of a file, or of the first file of a folder or pattern that has any bytes; no more is read."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path(path)
+    fs = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(name) or []
+    files = [f for s in found for f in (sorted(fs.listStatus(s.getPath()), key=lambda x: x.getPath().toString()) if s.isDirectory() else [s])]
+    for f in files:
+        if f.isFile() and f.getLen() and not f.getPath().getName().startswith(("_", ".")):
+            stream = fs.open(f.getPath())
+            try:
+                return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n)))
+            finally:
+                stream.close()
+    return b""
+
+
+def has_long_records(head: bytes) -> bool:
+    """Whether a quoted cell of the head goes on behind a line's end: some line has an odd number of quotes."""
+    lines = head.split(b"\n")
+    return any(line.count(b'"') % 2 for line in (lines[:-1] if len(head) >= HEAD else lines))
 
 
 def sniff(head: bytes) -> tuple[str, str, list[str]]:
@@ -37,7 +58,7 @@ def sniff(head: bytes) -> tuple[str, str, list[str]]:
             text = head.decode(encoding)
             break
         except UnicodeDecodeError as e:
-            if e.start > len(head) - 4 and len(head) >= 1 << 16:  # a character cut at the end
+            if e.start > len(head) - 4 and len(head) >= HEAD:  # a character cut at the end
                 text = head[: e.start].decode(encoding)
                 break
     else:
@@ -50,13 +71,20 @@ def sniff(head: bytes) -> tuple[str, str, list[str]]:
     return encoding, sep, header
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """All columns as text (or by ``schema``), names trimmed, a byte-order mark dropped; rows of the wrong length are an error."""
-    encoding, sep, header = sniff(first_bytes(spark, path))
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, long_records: bool | None = None) -> DataFrame:
+    """All columns as text (or by ``schema``), names trimmed, a byte-order mark dropped; rows of the wrong length are an error.
+
+    A file is read by ranges of its lines, in any of the encodings. Where the head shows line breaks inside quotes, or with
+    ``long_records``, a file can't be cut at lines and is read by one task; where only a later row has such a break, the job ends with an
+    error that says so in the row's wrong length, and ``long_records`` reads it.
+    """
+    head = first_bytes(spark, path)
+    encoding, sep, header = sniff(head)
     kinds = schema or ", ".join(f"`{h}` string" for h in header)
+    whole = has_long_records(head) if long_records is None else long_records
     if encoding not in ("utf-8", "utf-8-sig"):
-        return _decoded(spark, path, encoding, sep, kinds)
-    return spark.read.csv(path, schema=kinds, header=True, sep=sep, encoding="utf-8" if encoding == "utf-8-sig" else encoding, mode="FAILFAST", enforceSchema=True, multiLine=True, escape='"')
+        return _decoded(spark, path, encoding, sep, kinds) if whole else _decoded_lines(spark, path, encoding, sep, kinds)
+    return spark.read.csv(path, schema=kinds, header=True, sep=sep, encoding="utf-8", mode="FAILFAST", enforceSchema=True, multiLine=whole, escape='"')
 
 
 def read_document(spark: SparkSession, path: str, formula: str = "para_eq") -> DataFrame:
@@ -64,12 +92,13 @@ def read_document(spark: SparkSession, path: str, formula: str = "para_eq") -> D
 
     Marks of an earlier run (``eq_id``, ``redundant``), where there are any, must be whole numbers of at least 0.
     """
-    encoding, sep, header = sniff(first_bytes(spark, path))
+    head = first_bytes(spark, path)
+    encoding, sep, header = sniff(head)
     require = [n for n in (formula,) if n not in header]
     if require:
         raise ValueError(f"{path} lacks the column {formula}")
     kinds = ", ".join(f"`{h}` string" for h in [*header, "too_long_"])
-    rows = spark.read.csv(path, schema=kinds, header=True, sep=sep, encoding="utf-8" if encoding == "utf-8-sig" else encoding, mode="PERMISSIVE", multiLine=True, escape='"')
+    rows = spark.read.csv(path, schema=kinds, header=True, sep=sep, encoding="utf-8" if encoding == "utf-8-sig" else encoding, mode="PERMISSIVE", multiLine=has_long_records(head), escape='"')
     long = F.when(F.col("too_long_").isNotNull(), F.raise_error(F.lit("a row has more cells than the header")).cast("boolean")).otherwise(F.lit(True))
     bad = [F.col(c).isNotNull() & ~F.col(c).rlike(r"^\d+(\.0*)?$") for c in ("eq_id", "redundant") if c in header]
     marks = F.when(reduce(or_, bad), F.raise_error(F.lit("a mark is no whole number")).cast("boolean")).otherwise(F.lit(True)) if bad else F.lit(True)
@@ -77,8 +106,33 @@ def read_document(spark: SparkSession, path: str, formula: str = "para_eq") -> D
     return numbered.filter(long).filter(marks).filter(F.coalesce(*(F.nullif(F.trim(F.col(f"`{h}`")), F.lit("")) for h in header)).isNotNull()).drop("too_long_")
 
 
+def _decoded_lines(spark: SparkSession, path: str, encoding: str, sep: str, kinds: str) -> DataFrame:
+    """For an encoding that Spark's CSV reader doesn't take: lines are cut by Spark (a line feed is no part of another character in any of the
+    encodings) and decoded a batch at a time. The header is the first line of each file's first range."""
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, seen = None, set()
+        for part in parts:
+            lines = []
+            for data, start, file in zip(part["line"], part["start"], part["file"]):
+                if start == 0 and file not in seen:
+                    seen.add(file)
+                elif data.strip(b"\r"):
+                    lines.append(data.decode(encoding).rstrip("\r"))
+            names = names or [f.name for f in fields]
+            rows = [[c.strip() if c.strip() else None for c in row] for row in csv.reader(lines, delimiter=sep, skipinitialspace=True)]
+            if wrong := next((r for r in rows if len(r) != len(names)), None):
+                raise ValueError(f"a row has {len(wrong)} cells for {len(names)} columns: {wrong[:3]}")
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    fields = T._parse_datatype_string(kinds).fields
+    text = ", ".join(f"`{f.name}` string" for f in fields)
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_path").alias("file"))
+    return lines.mapInPandas(parse, text).select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields))
+
+
 def _decoded(spark: SparkSession, path: str, encoding: str, sep: str, kinds: str) -> DataFrame:
-    """For an encoding that Spark's CSV reader doesn't take; a dataset file is some thousand rows."""
+    """The same for files with line breaks inside cells, each whole in one task."""
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -53,9 +53,25 @@ def write_table(df: DataFrame, path: str, overwrite: bool = True) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
-def write_report(df: DataFrame, path: str, encoding: str = "utf-8") -> None:
-    """One CSV part; for summaries of some hundred rows."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True, encoding=encoding)
+MARK = "\ufeff"
+
+
+def write_report(df: DataFrame, path: str, encoding: str = "utf-8", sep: str = ",", newline: str = "\n") -> None:
+    """One CSV part; for summaries of some hundred rows. ``utf-8-sig`` puts a byte-order mark in front, as spreadsheets want it."""
+    marked = encoding == "utf-8-sig"
+    rows = df.withColumnRenamed(df.columns[0], MARK + df.columns[0]) if marked else df
+    rows.coalesce(1).write.mode("overwrite").csv(path, header=True, encoding="utf-8" if marked else encoding, sep=sep, lineSep=newline, escape='"')
+
+
+def rewrite_report(spark, source: str, df: DataFrame, path: str) -> None:
+    """``df`` as a report in the dialect of the CSV at ``source``: its separator, its line ends, and a mark where it has one."""
+    from fitloom.sources.files import first_bytes, sniff
+
+    head = first_bytes(spark, source)
+    encoding, sep, _ = sniff(head)
+    if encoding not in ("utf-8", "utf-8-sig"):
+        raise ValueError(f"reports are written in UTF-8; {source} is {encoding}")
+    write_report(df, path, "utf-8-sig" if head.startswith(MARK.encode()) else "utf-8", sep, "\r\n" if b"\r\n" in head else "\n")
 
 
 def staged(df: DataFrame, path: str) -> str:

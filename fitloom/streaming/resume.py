@@ -48,9 +48,22 @@ class RunState:
 
 
 def evaluate_arrivals(formulas: DataFrame, evaluate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Each batch of a stream of formulas is evaluated and appended, then the query ends; a restart takes what has come since."""
+    """Each batch of a stream of formulas is evaluated and written, then the query ends; a restart takes what has come since.
+
+    A batch has a folder of its own, ``out/batch=N``, which is overwritten: a batch that is run again after a failure, even one that came
+    behind the write, stands once. ``arrived`` reads them all. ``out`` belongs to one ``checkpoint``, which numbers the batches.
+    """
 
     def batch(df: DataFrame, epoch: int) -> None:
-        evaluate(df).write.mode("append").parquet(out)
+        evaluate(df).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={epoch}")
 
     return formulas.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def arrived(spark: SparkSession, out: str) -> DataFrame:
+    """What ``evaluate_arrivals`` has written; a folder without the mark of a whole write is left out."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    whole = [name for s in fs.listStatus(path) if (name := s.getPath().toString()).rsplit("/", 1)[-1].startswith("batch=") and fs.exists(at(f"{name}/_SUCCESS"))]
+    return spark.read.option("basePath", out).parquet(*whole).drop("batch")

@@ -8,7 +8,7 @@ from fitloom.session import worker_count
 from fitloom.sources import files, sinks, xlsx
 from fitloom.sources.specs import spec_errors
 from fitloom.streaming.progress import Progress, Reporter, progress
-from fitloom.streaming.resume import RunState, evaluate_arrivals
+from fitloom.streaming.resume import RunState, arrived, evaluate_arrivals
 
 SHEET = [
     ["ID", "ModelName", "OriginalFormula", "GenerationFormula", "simpFormula", "Target", "IndependentVars", "ParameterRange", "FixedConstantValues", "paraValue", "varRange", "targetRange", "paraValue_WASS_025", "varRange_WASS_025"],
@@ -107,7 +107,29 @@ def test_arrivals(spark, tmp_path):
     stream = spark.readStream.schema("formula string").parquet(str(tmp_path / "in"))
     for _ in range(2):  # the second run finds nothing new
         evaluate_arrivals(stream, lambda df: df.withColumn("n", F.length("formula")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert arrived(spark, str(tmp_path / "out")).columns == ["formula", "n"] and arrived(spark, str(tmp_path / "out")).count() == 2
+
+
+def test_a_batch_that_fails_behind_its_write_stands_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([("a",), ("b",)], "formula string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("formula string").parquet(str(tmp_path / "in"))
+    out, writer = str(tmp_path / "out"), type(spark.range(1).write)
+    write = writer.parquet
+
+    def lost(self, path, *a, **k):
+        write(self, path, *a, **k)
+        if "batch=" in path:
+            raise OSError("the driver is lost here")
+
+    monkeypatch.setattr(writer, "parquet", lost)
+    with pytest.raises(Exception, match="lost here"):
+        evaluate_arrivals(stream, lambda df: df, out, str(tmp_path / "cp")).awaitTermination(60)
+    monkeypatch.undo()
+    assert arrived(spark, out).count() == 2
+    spark.createDataFrame([("c",)], "formula string").write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        evaluate_arrivals(stream, lambda df: df, out, str(tmp_path / "cp")).awaitTermination(60)
+    assert sorted(r["formula"] for r in arrived(spark, out).collect()) == ["a", "b", "c"]
 
 
 def test_staged_table(spark, tmp_path):
@@ -222,3 +244,49 @@ def test_command_line(tmp_path):
     with pytest.raises(ValueError):
         pipeline.Config(root="r", samples=0)
     assert pipeline.main(["core", "--root", str(tmp_path), "--top", "0"]) == 2
+
+
+def put_lines(folder, name, text, encoding="utf-8"):
+    path = folder / name
+    path.write_bytes(text.encode(encoding))
+    return str(path)
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "gb18030"])
+def test_csv_is_read_by_ranges(spark, tmp_path, encoding):
+    """More than one task a file, and each row once."""
+    n = 30_000
+    path = put_lines(tmp_path, "a.csv", "k,名\r\n" + "".join(f"{i},值{i}\r\n" for i in range(n)), encoding)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = files.read_csv(spark, path)
+        assert df.columns == ["k", "名"] and df.rdd.getNumPartitions() > 3
+        got = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((int(r[0]), r[1]) for r in got) == [(i, f"值{i}") for i in range(n)]
+
+
+def test_line_breaks_in_cells(spark, tmp_path):
+    path = put_lines(tmp_path, "b.csv", 'k,v\n1,"two\nlines"\n2,x\n')
+    assert sorted(map(tuple, files.read_csv(spark, path).collect())) == [("1", "two\nlines"), ("2", "x")]
+    late = put_lines(tmp_path, "c.csv", "k,v\n" + "1,x\n" * 20_000 + '2,"two\nlines"\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        files.read_csv(spark, late).collect()
+    assert files.read_csv(spark, late, long_records=True).filter("k = '2'").first()["v"] == "two\nlines"
+    assert files.has_long_records(b'a,b\n"x\ny",1\n') and not files.has_long_records(b'a,"b"\n"x",1\n')
+
+
+def test_the_head_is_all_that_is_read_first(spark, tmp_path):
+    path = put_lines(tmp_path, "d.csv", "k,v\n" + "1,x\n" * 100_000)
+    assert len(files.first_bytes(spark, path)) == files.HEAD and files.first_bytes(spark, path, 3) == b"k,v"
+    assert files.first_bytes(spark, str(tmp_path / "none*.csv")) == b""
+    with pytest.raises(Exception, match="cells|wrong|2 columns"):
+        files.read_csv(spark, put_lines(tmp_path, "e.csv", "k,v\n1,名,3\n", "gb18030")).collect()
+
+
+def test_reports_keep_their_dialect(spark, tmp_path):
+    source = put_lines(tmp_path, "f.csv", "ID;y\r\n1;2\r\n", "utf-8-sig")
+    sinks.rewrite_report(spark, source, files.read_csv(spark, source), str(tmp_path / "out"))
+    written = next((tmp_path / "out").glob("part-*.csv")).read_bytes()
+    assert written == open(source, "rb").read()
