@@ -144,12 +144,8 @@ def test_shortest_path_of_a_unigram_model():
     machine.texts, machine.scores = list(scores), list(scores.values())
     machine.ids = {t: i for i, t in enumerate(machine.texts)}
     machine.kinds = [pieces.NORMAL] * len(scores)
-    machine.trie = {}
-    for t, i in machine.ids.items():
-        node = machine.trie
-        for c in t:
-            node = node.setdefault(c, {})
-        node[""] = i
+    end = lambda i, way: (i, way)
+    machine.trie = {"▁": end(3, {"a": end(1, {"b": end(0, None)})}), "a": end(4, {"b": end(5, None)}), "b": end(2, None)}
 
     def best(text):
         if not text:

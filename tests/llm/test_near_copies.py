@@ -72,3 +72,31 @@ def test_components_are_those_of_the_exact_similarity(docs):
     least = {find(i) for i in range(len(texts))}
     assert 4 <= len(least) < len(texts)
     assert {r["doc_id"] for r in simhash.one_of_each(docs(list(enumerate(texts)))).collect()} == least
+
+
+@pytest.mark.parametrize(("size", "length", "share"), [(800, 120, 0.62), (1500, 120, 0.62), (1500, 300, 0.7)])
+def test_pairs_in_large_groups_are_found(size, length, share):
+    """Very many texts share a passage, so groups of a class are far above 33; near copies that hide among them meet all the same."""
+    import numpy as np
+
+    rng = random.Random(size + length)
+    passage, texts, planted = words(rng, int(length * share)), [], []
+    for i in range(size):
+        own = passage + words(rng, length - len(passage))
+        texts.append(own)
+        if i % 15 == 0:
+            planted.append((len(texts) - 1, len(texts)))
+            texts.append(changed(rng, own, rng.randint(1, max(1, length // 55))))
+    assert all(jaccard(" ".join(texts[a]), " ".join(texts[b])) >= 0.8 for a, b in planted) and jaccard(" ".join(texts[0]), " ".join(texts[2])) < 0.75
+    prints = [simhash.class_prints(simhash.shingle_hashes(" ".join(t).encode(), 5)) for t in texts]
+    times = [len(k) for k, _, _ in prints]
+    keys = np.concatenate([k for k, _, _ in prints]).view(np.int64)
+    fps, sizes, nodes = (np.repeat(np.array(x), times) for x in ([f for _, f, _ in prints], [n for _, _, n in prints], range(len(texts))))
+    order = simhash.turned(fps.astype(np.uint64), keys)
+    at = np.lexsort((order.view(np.int64), keys))
+    u, v = simhash.near_pairs(keys[at], order[at], sizes[at].astype(np.int32), nodes[at].astype(np.int64))
+    assert max(np.unique(keys, return_counts=True)[1]) > 300
+    met = set(zip(u.tolist(), v.tolist()))
+    lost = [p for p in planted if p not in met]
+    print(f"{len(planted) - len(lost)} of {len(planted)} pairs met, {len(met)} candidates of {len(texts)} texts")
+    assert len(lost) <= 0.02 * len(planted)
