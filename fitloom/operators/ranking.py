@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fitloom.functions.scalars import finite
 from fitloom.operators.metrics import valid_metric
+from fitloom.operators.ordering import running
 
 
 def top_n(df: DataFrame, keys: list[str], by: str, n: int, first: list[str], rank: str = "rank") -> DataFrame:
@@ -73,8 +74,8 @@ def ranked_rows(rows: DataFrame, rank: int = 1, column: str = "TopRank") -> Data
 
 
 def heavier_first(work: DataFrame, weight: str, first: str) -> DataFrame:
-    """``place`` 1, 2, ...: the heaviest work first, equals by ``first`` (for a table of problems)."""
-    return work.withColumn("place", F.row_number().over(W.orderBy(F.desc(weight), first)).cast("long"))
+    """``place`` 1, 2, ...: the heaviest work first, without a weight last, equals by ``first``; numbered by ranges of the order."""
+    return running(work.withColumn("minus_", F.coalesce(-F.col(weight), F.lit(float("inf")))), ["minus_", first], "place").drop("minus_")
 
 
 def chunks(df: DataFrame, n: int, order: list[str]) -> DataFrame:

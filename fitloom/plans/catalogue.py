@@ -647,7 +647,7 @@ def q_noise_streams(spark, sf_dir):
 
 
 def spec_rows(spark: SparkSession) -> DataFrame:
-    """Two small problems."""
+    """Two small problems, for the tests."""
     from fitloom.schemas import PROBLEMS
 
     line = ("P01", "line", "y = a*x + b", "y = a*x + b", "a*x + b", "y", ["x"], [("a", 1.0, 4.0), ("b", 0.5, 2.0)], {}, [], [[2.0, 1.0], [3.0, 0.5]], [[(0.0, 5.0)]] * 2, [(-100.0, 100.0)] * 2)
@@ -655,15 +655,5 @@ def spec_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([line, root], PROBLEMS)
 
 
-@query()
-def q_generate(spark, sf_dir):
-    return generate.generate(spec_rows(spark), 500)
-
-
-@query()
-def q_generate_shifted(spark, sf_dir):
-    return generate.generate(spec_rows(spark), 500, "shift", 42, variant="wass_025")
-
-
 def generalise_text(text: str) -> str:
     return show(generalise(parse(text))[0])

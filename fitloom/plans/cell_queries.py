@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from fitloom.functions import cells, compile as comp, expr, scalars
 from fitloom.functions.scalars import rounded
 from fitloom.operators import ranking, search
+from fitloom.operators.ordering import running
 from fitloom.plans.registry import query, r, rounded_all, table
 from fitloom.sources import files, sinks
 
@@ -119,10 +121,22 @@ def q_index_spec(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("dataset")).join(F.broadcast(wanted), "dataset")
 
 
-@query("select * from (values ('0', '0', 0.0::DOUBLE), ('0.01', '001', 0.01), ('0.1', '01', 0.1), ('1.5', '15', 1.5)) t(level, folder, amount)")
+def of_cells(df, schema, f):
+    """``f`` of each row (as a tuple) gives rows of ``schema``: for what is worked out cell by cell."""
+
+    def run(parts):
+        for part in parts:
+            yield pd.DataFrame([r for row in part.itertuples(index=False, name=None) for r in f(*row)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return df.mapInPandas(run, schema)
+
+
+@query("""select n_nationkey, unnest(['0', '0.' || (n_nationkey + 10), '1.5']) as level, unnest(['0', case when n_nationkey = 10 then '02' else '0' || rtrim((n_nationkey + 10)::VARCHAR, '0') end, '15']) as folder from nation""".replace("'0.' || (n_nationkey + 10)", "'0.' || rtrim((n_nationkey + 10)::VARCHAR, '0')"))
 def q_noise_levels(spark, sf_dir):
-    rows = spark.createDataFrame([(x, cells.noise_folder(x)) for x in cells.noise_levels("n0=0, n1 = 0.010,1e-1, 1.50")], "level string, folder string")
-    return rows.withColumn("amount", F.col("level").cast("double"))
+    """The levels that a cell names, each once as its shortest decimal, and their folders."""
+    cell = text("n0=0, n1 = 0.", F.col("n_nationkey") + 10, "0,1.50")
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", cell.alias("cell"))
+    return of_cells(rows, "n_nationkey int, level string, folder string", lambda k, c: [(k, x, cells.noise_folder(x)) for x in cells.noise_levels(c)])
 
 
 @query("select n_nationkey, 'WASS_0' || n_nationkey as label from nation")
@@ -145,12 +159,12 @@ def q_number_text(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", (shown == "0").alias("is_zero"), shown.cast("double").alias("value"))
 
 
-@query("select p_partkey, row_number() over (order by case when p_partkey % 2 = 0 then 'x' else 'y' end, p_partkey) as place from part where p_partkey < 300")
+@query("select p_partkey, row_number() over (order by case when p_partkey % 2 = 0 then 'x' else 'y' end, p_partkey) as place from part")
 def q_natural_symbols(spark, sf_dir):
-    names = table(spark, sf_dir, "part").filter("p_partkey < 300").select("p_partkey", text(F.when(F.col("p_partkey") % 2 == 0, "x").otherwise("y"), F.col("p_partkey")).alias("symbol"))
-    from pyspark.sql import Window as W
-
-    return names.withColumn("place", F.row_number().over(W.orderBy(*ranking.natural_order(F.col("symbol")))).cast("long")).drop("symbol")
+    """x2 before x10, over the whole table by ranges of the order."""
+    names = table(spark, sf_dir, "part").select("p_partkey", text(F.when(F.col("p_partkey") % 2 == 0, "x").otherwise("y"), F.col("p_partkey")).alias("symbol"))
+    letters, number, whole = ranking.natural_order(F.col("symbol"))
+    return running(names.select("p_partkey", letters.alias("a_"), number.alias("b_"), whole.alias("c_")), ["a_", "b_", "c_"], "place").select("p_partkey", "place")
 
 
 @query("select c_custkey, ' c_acctbal*2 ' || c_custkey as body from customer")
@@ -174,9 +188,12 @@ def q_fit_seed(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", scalars.fit_seed(11, F.col("c_custkey"), F.col("c_nationkey")).cast("long").alias("seed"))
 
 
-@query("select * from (values ('P01', 493207915::BIGINT), ('P02', 2221707473), ('P59', 1858714908), ('', 0)) t(id, crc)")
+_CRC = "list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(c_name, ''), lambda c: [ord(c)::BIGINT] || list_transform(range(8), lambda i: -1::BIGINT))), lambda a, e: case when e >= 0 then xor(a, e) else xor(a >> 1, (a & 1) * 3988292384) end)"
+
+
+@query(f"select c_custkey, xor({_CRC}, 4294967295) as crc from customer")
 def q_id_crc(spark, sf_dir):
-    return spark.createDataFrame([("P01",), ("P02",), ("P59",), ("",)], "id string").select("id", scalars.id_crc(F.col("id")).alias("crc"))
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.id_crc(F.col("c_name")).alias("crc"))
 
 
 @query("select o_orderkey, (o_orderkey * 37 // 3600)::VARCHAR || ':' || lpad((o_orderkey * 37 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((o_orderkey * 37 % 60)::VARCHAR, 2, '0') as took from orders")
@@ -184,19 +201,25 @@ def q_duration(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", scalars.duration(F.col("o_orderkey") * 37 + 0.25).alias("took"))
 
 
-@query("select * from (values ('a/b: \"c\"', 'a_b_c', 't_WASS_0.csv'), ('..', '_', 't_WASS_0.csv'), ('P 01', 'P_01', 't_WASS_0.csv')) t(name, folder, file)")
+@query(r"""select n_nationkey, coalesce(nullif(trim(regexp_replace(case n_regionkey when 0 then '..' when 1 then n_name || '/ "' || n_nationkey || '"' else '<' || n_name || '> : ' || n_nationkey end, '[<>:"/\\|?*\s]+', '_', 'g'), '._'), ''), '_') as folder, n_name || '_WASS_0.csv' as file from nation""")
 def q_output_names(spark, sf_dir):
-    return spark.createDataFrame([(n, sinks.safe_folder(n), sinks.compact_name("t.csv", "WASS_0")) for n in ('a/b: "c"', "..", "P 01")], "name string, folder string, file string")
+    """Folders and files that carry names from cells, whatever characters are in them."""
+    k, region = F.col("n_nationkey"), F.col("n_regionkey")
+    cell = F.when(region == 0, "..").when(region == 1, text(F.col("n_name"), '/ "', k, '"')).otherwise(text("<", F.col("n_name"), "> : ", k))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", cell.alias("cell"), "n_name")
+    return of_cells(rows, "n_nationkey int, folder string, file string", lambda k, c, n: [(k, sinks.safe_folder(c), sinks.compact_name(f"{n}.csv", "WASS_0"))])
 
 
-@query("select * from (values ('xv_a', 'speed'), ('xv_b', 'time'), ('pv_a', 'k'), ('cv_a', 'g')) t(safe, name)")
+@query("select n_nationkey, unnest(['xv_a', 'xv_b', 'pv_a', 'cv_a']) as safe, unnest(['v ' || n_name, 'w' || n_regionkey, 'lambda', 'g' || n_nationkey]) as name from nation")
 def q_safe_names(spark, sf_dir):
-    return spark.createDataFrame(list(expr.safe_names(["speed", "time"], ["k"], ["g"]).items()), "safe string, name string")
+    """Names of cells as the search may use them, by kind, and what they stand for."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", text("v ", F.col("n_name")).alias("v"), text("w", F.col("n_regionkey")).alias("w"), text("g", F.col("n_nationkey")).alias("g"))
+    return of_cells(rows, "n_nationkey int, safe string, name string", lambda k, v, w, g: [(k, *pair) for pair in expr.safe_names([v, w], ["lambda"], [g]).items()])
 
 
-@query("select c_custkey, row_number() over (order by c_acctbal desc, c_custkey) as place from customer where c_nationkey = 3")
+@query("select c_custkey, row_number() over (order by c_acctbal desc, c_custkey) as place from customer")
 def q_heavier_first(spark, sf_dir):
-    work = table(spark, sf_dir, "customer").filter("c_nationkey = 3").select("c_custkey", "c_acctbal")
+    work = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     return ranking.heavier_first(work, "c_acctbal", "c_custkey").drop("c_acctbal")
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fitloom.functions.scalars import rounded
+from fitloom.functions import sql
+from fitloom.functions.scalars import ERROR_R2, rounded
 from fitloom.operators import dedup, fitting, generate, metrics, ranking, sums
+from fitloom.plans.cell_queries import text
 from fitloom.plans.registry import query, r, rounded_all, table
 from fitloom.schemas import PROBLEMS
 from fitloom.sources import sinks
@@ -108,41 +111,79 @@ def q_fit_without_parameters(spark, sf_dir):
     return out.select("id", "grp", rounded(F.col("mse"), 2).alias("mse"), rounded(F.col("r2"), 6).alias("r2"))
 
 
-def problems(spark, lo: float, hi: float):
-    """Two problems of two groups."""
-    a = ("P01", "line", "y = a*x + c", "y = a*x + c", "a*x", "y", ["x"], [("a", 1.0, 4.0)], {"c": 0.5}, ["c"], [[2.0], [3.0]], [[(lo, hi)]] * 2, [(-100.0, 100.0)] * 2)
-    b = ("P02", "product", "y = a*x*z", "y = a*x*z", "a*x*z", "y", ["x", "z"], [("a", 1.0, 4.0)], {}, [], [[1.5], [2.5]], [[(lo, hi), (2.0, 2.0)]] * 2, [(-100.0, 100.0)] * 2)
-    return spark.createDataFrame([a, b], PROBLEMS)
+def problems(spark, sf_dir, lo: float, hi: float):
+    """A problem of two groups for each nation: lines for even ones, products with a constant variable for odd ones."""
+    k, even = F.col("n_nationkey"), F.col("n_nationkey") % 2 == 0
+    pair = lambda a, b: F.struct(F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi"))
+    formula, own = F.when(even, "y = a*x + c").otherwise("y = a*x*z"), F.when(even, F.array(pair(lo, hi))).otherwise(F.array(pair(lo, hi), pair(2, 2)))
+    columns = {
+        "id": text("N", k), "model_name": F.col("n_name"), "original_formula": formula, "generation_formula": formula, "simp_formula": F.lit(""), "target": F.lit("y"),
+        "variables": F.when(even, F.array(F.lit("x"))).otherwise(F.array(F.lit("x"), F.lit("z"))), "params": F.array(F.struct(F.lit("a").alias("name"), F.lit(1.0).alias("lo"), F.lit(40.0).alias("hi"))),
+        "constants": F.map_filter(F.create_map(F.lit("c"), k * 0.5), lambda name, value: even), "constant_order": F.when(even, F.array(F.lit("c"))).otherwise(F.array().cast("array<string>")),
+        "para_values": F.array(F.array(k + F.lit(2.0)), F.array(k + F.lit(3.0))), "var_ranges": F.array(own, own), "target_ranges": F.array(pair(-1e6, 1e6), pair(-1e6, 1e6)),
+    }
+    kinds = {f.name: f.dataType for f in T._parse_datatype_string(PROBLEMS).fields}
+    return table(spark, sf_dir, "nation").select(*(c.cast(kinds[n]).alias(n) for n, c in columns.items()))
 
 
-@query("select id, grp::INT as grp, 40::BIGINT as n, 1.0::DOUBLE as r2, true as exact from (values ('P01'), ('P02')) i(id), (values (0), (1)) g(grp)")
+def true_value():
+    """What a nation's formula makes of its samples."""
+    k = F.substring("id", 2, 9).cast("int")
+    x = F.col("x")["x"]
+    return F.when(k % 2 == 0, (k + 2.0 + F.col("grp")) * x + k * 0.5).otherwise((k + 2.0 + F.col("grp")) * x * 2)
+
+
+_GROUPS = "(select 'N' || n_nationkey as id, n_nationkey as k from nation) n, (values (0), (1)) g(grp)"
+
+
+@query(f"select id, grp::INT as grp, 40::BIGINT as n, 1.0::DOUBLE as r2, true as exact from {_GROUPS}")
 def q_baseline(spark, sf_dir):
     """The true formulas fit the data that they generate."""
-    specs = problems(spark, 0.5, 3.0)
+    specs = problems(spark, sf_dir, 0.5, 3.0)
     rows = sinks.between(generate.generate(specs, 40))
     wide = rows.select("id", "grp", "row_idx", F.try_element_at("x", F.lit("x")).alias("x"), F.try_element_at("x", F.lit("z")).alias("z"), "y")
     out = fitting.baseline(wide, specs, ["x", "z"], retries=0, order="row_idx")
     return out.join(rows.groupBy("id", "grp").agg(F.count("*").alias("n")), ["id", "grp"]).select("id", "grp", "n", rounded(F.col("r2"), 6).alias("r2"), F.col("ok").alias("exact"))
 
 
-@query("select 'base' as variant, id, grp::INT as grp, i as row_idx, 1.25::DOUBLE as x, case id when 'P01' then (grp + 2) * 1.25 + 0.5 else (grp + 1.5) * 1.25 * 2 end::DOUBLE as y from (values ('P01'), ('P02')) t(id), (values (0), (1)) g(grp), range(0, 25) x(i)")
+@query(f"select 'base' as variant, id, grp::INT as grp, i as row_idx, 1.25::DOUBLE as x, (case when k % 2 = 0 then (k + 2 + grp) * 1.25 + k * 0.5 else (k + 2 + grp) * 1.25 * 2 end)::DOUBLE as y from {_GROUPS}, range(0, 25) x(i)")
 def q_generate_constant(spark, sf_dir):
     """Ranges of one value give constant columns, for all problems and groups."""
-    return generate.generate(problems(spark, 1.25, 1.25), 25).select("variant", "id", "grp", "row_idx", F.col("x")["x"].alias("x"), "y")
+    return generate.generate(problems(spark, sf_dir, 1.25, 1.25), 25).select("variant", "id", "grp", "row_idx", F.col("x")["x"].alias("x"), "y")
 
 
-@query("select id, grp::INT as grp, 200::BIGINT as n, true as inside, true as fits from (values ('P01'), ('P02')) t(id), (values (0), (1)) g(grp)")
+@query(f"select id, grp::INT as grp, 200::BIGINT as n, true as inside, true as fits from {_GROUPS}")
 def q_generate_checked(spark, sf_dir):
     """What rejection sampling draws lies in its ranges and fits its formula."""
-    rows = generate.generate(problems(spark, 0.5, 3.0), 200)
-    value = F.when(F.col("id") == "P01", (F.col("grp") + 2) * F.col("x")["x"] + 0.5).otherwise((F.col("grp") + 1.5) * F.col("x")["x"] * 2)
-    return rows.groupBy("id", "grp").agg(F.count("*").alias("n"), F.bool_and(F.col("x")["x"].between(0.5, 3.0)).alias("inside"), F.bool_and(F.abs(value - F.col("y")) < 1e-9).alias("fits"))
+    rows = generate.generate(problems(spark, sf_dir, 0.5, 3.0), 200)
+    return rows.groupBy("id", "grp").agg(F.count("*").alias("n"), F.bool_and(F.col("x")["x"].between(0.5, 3.0)).alias("inside"), F.bool_and(F.abs(true_value() - F.col("y")) < 1e-9).alias("fits"))
 
 
-@query("select id, grp::INT as grp, 50::BIGINT as n, true as inside from (values ('P01'), ('P02')) t(id), (values (0), (1)) g(grp)")
+@query(f"select id, grp::INT as grp, 50::BIGINT as n, true as inside, true as fits from {_GROUPS}")
 def q_generate_shift_checked(spark, sf_dir):
-    rows = generate.generate(problems(spark, 3.0, 5.0), 50, "shift", 7, variant="wass_04")
-    return rows.groupBy("id", "grp").agg(F.count("*").alias("n"), F.bool_and(F.col("x")["x"].between(3.0, 5.0)).alias("inside"))
+    rows = generate.generate(problems(spark, sf_dir, 3.0, 5.0), 50, "shift", 7, variant="wass_04")
+    return rows.groupBy("id", "grp").agg(F.count("*").alias("n"), F.bool_and(F.col("x")["x"].between(3.0, 5.0)).alias("inside"), F.bool_and(F.abs(true_value() - F.col("y")) < 1e-9).alias("fits"))
+
+
+@query(f"select n_nationkey, 300::BIGINT as n, true as inside, true as fits, (case when n_nationkey = 0 then {ERROR_R2!r} else 1 end)::DOUBLE as r2 from nation")
+def q_sql_sampler(spark, sf_dir):
+    """Samples and their scores by SQL alone: a table function beside each nation, and the rules of the fits over aggregates."""
+    sql.register(spark)
+    rows = table(spark, sf_dir, "nation")
+    return spark.sql("""
+        WITH s AS (SELECT n.n_nationkey AS k, t.* FROM {nations} n, LATERAL sample_formula(n.n_name, concat(n.n_nationkey, '*x + sqrt(x - 1)*0 + 2'), 0.5D, 3D, 300) t)
+        SELECT k AS n_nationkey, count(*) AS n, bool_and(x BETWEEN 1 AND 3) AS inside, bool_and(abs(y - (k * x + 2)) < 1e-9) AS fits,
+          r2_of(round(sum(pow(y - (k * x + if(k = 0, 1, 2)), 2)), 6), round(var_pop(y) * count(*), 6)) AS r2 FROM s GROUP BY k""", nations=rows)
+
+
+@query()
+def q_generate(spark, sf_dir):
+    return generate.generate(problems(spark, sf_dir, 0.5, 3.0), 500)
+
+
+@query()
+def q_generate_shifted(spark, sf_dir):
+    return generate.generate(problems(spark, sf_dir, 3.0, 5.0), 500, "shift", 42, variant="wass_025")
 
 
 @query("select 'N' || c_nationkey as id, (c_custkey % 4 - 1)::INT as grp, c_custkey as row_idx, case when c_custkey % 3 > 0 then c_acctbal end as y from customer where c_custkey % 4 between 1 and 2")

@@ -315,7 +315,9 @@ def execute(spark: SparkSession, stage: str, config: Config) -> list[str]:
     names = CORE if stage == "core" else STAGES if stage == "all" else (stage,)
     for name in names:
         if not config.dry_run:
+            mark = sinks.made()
             RUN[name](spark, config)
+            sinks.clean(spark, mark)  # a stage's table is written whole by now
     return list(names)
 
 

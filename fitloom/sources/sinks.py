@@ -132,15 +132,32 @@ def compatible(df: DataFrame, mse: list[str], r2: list[str]) -> DataFrame:
     return df.fillna({**{c: ERROR_MSE for c in mse}, **{c: ERROR_R2 for c in r2}})
 
 
+_made: list[str] = []
+
+
 def scratch(spark, name: str) -> str:
-    """A new path beside the checkpoints, which all executors share."""
+    """A new path beside the checkpoints, which all executors share; ``clean`` deletes it."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fitloom-")
         spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """How many paths there are so far: a mark for ``clean``."""
+    return len(_made)
+
+
+def clean(spark, since: int = 0) -> int:
+    """Delete what operators have left beside the checkpoints since the mark. Results that aren't saved yet may read it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found, _made[since:] = _made[since:], []
+    paths = [jvm.org.apache.hadoop.fs.Path(p) for p in found]
+    return sum(bool(p.getFileSystem(conf).delete(p, True)) for p in paths)
 
 
 def put(spark, path: str, data: bytes) -> str:

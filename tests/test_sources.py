@@ -290,3 +290,16 @@ def test_reports_keep_their_dialect(spark, tmp_path):
     sinks.rewrite_report(spark, source, files.read_csv(spark, source), str(tmp_path / "out"))
     written = next((tmp_path / "out").glob("part-*.csv")).read_bytes()
     assert written == open(source, "rb").read()
+
+
+def test_what_operators_leave_is_deleted(spark):
+    import os
+
+    from fitloom.operators.ordering import running
+
+    mark = sinks.made()
+    out = running(spark.range(20).withColumnRenamed("id", "k"), ["k"], "n")
+    assert out.count() == 20
+    left = [p for p in sinks._made[mark:]]
+    assert left and all(os.path.isdir(p) for p in left)
+    assert sinks.clean(spark, mark) == len(left) and not any(os.path.exists(p) for p in left) and sinks.made() == mark
