@@ -226,6 +226,16 @@ def q_heavier_first(spark, sf_dir):
 # The formula language
 
 
+@query(f"select p_partkey, 2.5::DOUBLE as fixed, case when p_size <= 25 then {r('sqrt(25 - p_size)', 6)} else 'nan'::DOUBLE end as root, case when p_size > 25 then {r('ln(p_size - 25)', 6)} when p_size = 25 then '-inf'::DOUBLE else 'nan'::DOUBLE end as logarithm, case when p_size = 7 then 'inf'::DOUBLE else {r('1 / abs(p_size - 7.0::DOUBLE)', 6)} end as pole from part")
+def q_ieee_values(spark, sf_dir):
+    """A formula without names has its value in each row; NaN where a complex number would come out, infinities at poles."""
+    rows, x = table(spark, sf_dir, "part"), {"x": F.col("p_size").cast("double")}
+    value = lambda formula: comp.to_column(expr.parse(formula), x)
+    odd = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    shown = lambda c: F.when(odd(c), c).otherwise(rounded(F.when(~odd(c), c), 6))
+    return rows.select("p_partkey", value("2.5*e/e").alias("fixed"), shown(value("sqrt(25 - x)")).alias("root"), shown(value("log(x - 25)")).alias("logarithm"), shown(value("1/abs(x - 7)")).alias("pole"))
+
+
 @query(f"select c_custkey, {r('3 * c_acctbal + c_nationkey', 4)} as y from customer")
 def q_keyword_symbols(spark, sf_dir):
     tree = expr.parse("y = 3*lambda + class")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fitloom.functions import cells, scalars
 from fitloom.operators import relational
 from fitloom.plans.registry import query, table
-from fitloom.sources import files, sinks, xlsx
+from fitloom.sources import files, sinks, specs, xlsx
 from fitloom.streaming.resume import RunState
 
 NATION = ["n_nationkey", "n_name", "n_regionkey"]
@@ -259,6 +259,25 @@ def q_csv_large(spark, sf_dir):
     return out.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderpriority", F.col("o_totalprice").cast("double").alias("o_totalprice"))
 
 
+# Checks of sheets
+
+
+_DEFECTS = (
+    ("ID", "'a/b' || c_custkey", "'ID is no folder name: ''a/b' || c_custkey || chr(39)"), ("IndependentVars", "'x, x'", "'IndependentVars is no list of distinct names'"), ("Target", "'2y'", "'Target is no name'"),
+    ("ParameterRange", "'a=[3,1]'", "'ParameterRange has an empty range'"), ("FixedConstantValues", "'c='", "'FixedConstantValues: ''c='' is no constant'"), ("paraValue", "'[[1.0]]'", "'paraValue is not 2 vectors of 1 numbers'"),
+    ("varRange", "'[[[2,1]],[[0,1]]]'", "'varRange has an empty range'"), ("GenerationFormula", "'y = a*z'", "'GenerationFormula: unknown names: z'"),
+)
+_SOUND = {"ID": "'P' || c_custkey", "GenerationFormula": "'y = a*x + c'", "Target": "'y'", "IndependentVars": "'x'", "ParameterRange": "'a=[1,4]'", "FixedConstantValues": "'c=0.5'", "paraValue": "'[[1.0],[2]]'", "varRange": "'[[[0,1]],[[0,1]]]'"}
+
+
+@query("select case c_custkey % 9 when 1 then 'a/b' || c_custkey else 'P' || c_custkey end as \"ID\", case c_custkey % 9 " + " ".join(f"when {i} then {said}" for i, (_, _, said) in enumerate(_DEFECTS, 1)) + " end as problem from customer where c_custkey % 9 > 0")
+def q_spec_errors(spark, sf_dir):
+    """A sheet with a problem for each customer, eight of nine with a defect of one kind each: what is wrong with which."""
+    bad = {column: f"case when c_custkey % 9 = {i} then {cell} else {_SOUND[column]} end" for i, (column, cell, _) in enumerate(_DEFECTS, 1)}
+    sheet = table(spark, sf_dir, "customer").select(*(F.expr(bad[name]).alias(name) for name in _SOUND))
+    return specs.spec_errors(sheet, 2).select("ID", "problem")
+
+
 # Resume
 
 
