@@ -17,7 +17,7 @@ from fitloom.operators import dedup, fitting, generate, metrics, ranking, report
 from fitloom.operators.relational import attach_master, incomplete, pending, require_columns, widen
 from fitloom.sources import files, sinks
 from fitloom.sources.specs import spec_errors
-from fitloom.streaming.resume import RunState
+from fitloom.streaming.resume import RunState, quarantine, rebuilt
 
 CORE = ("prepare", "discover", "evaluate", "merge")
 STAGES = (*CORE, "robustness", "baseline", "report")
@@ -119,10 +119,11 @@ def discover(spark: SparkSession, config: Config) -> DataFrame:
     """All problems of one dataset in one job, dataset after dataset, as each starts from the front of the one before.
 
     Problems are grouped by their variables, which are the columns of a job. The summary of a dataset is written whole before its mark,
-    so a run goes on behind the last dataset that is done; what was written without a mark is made again. A front that was found over
-    other features than now asked for counts as not done.
+    so a run goes on behind the last dataset that is done; what was written without a mark is made again, and what a run that broke off has
+    left is moved aside. A front that was found over other features than now asked for counts as not done.
     """
     specs, state = problems(spark, config), RunState(spark, config.path("run_state"))
+    quarantine(spark, config.summary)
     datasets = cells.index_spec(config.datasets)
     settings = search.Settings(config.iterations, config.islands, config.population, config.max_size, seed=config.seed)
     samples = spark.read.parquet(config.path("samples"))
@@ -143,7 +144,7 @@ def discover(spark: SparkSession, config: Config) -> DataFrame:
                 found.withColumn("src_row", F.col("dataset") * 1000 + F.col("complexity")).drop("dataset").write.mode("overwrite").parquet(path)
                 state.mark(work)
             seeds = {r["id"]: list(r["e"]) for r in spark.read.parquet(path).groupBy("id").agg(F.sort_array(F.collect_list("equation")).alias("e")).collect()}  # a front a problem
-    return spark.read.parquet(config.summary)
+    return rebuilt(spark, config.summary, state)
 
 
 def with_problem(formulas: DataFrame, specs: DataFrame) -> DataFrame:
@@ -155,7 +156,7 @@ def evaluate(spark: SparkSession, config: Config) -> DataFrame:
     """Candidates, without equivalent ones, fitted to all datasets; all-or-nothing metrics."""
 
     def make() -> DataFrame:
-        summary = spark.read.parquet(config.summary).withColumn("redundant", F.lit(0).cast("long"))
+        summary = rebuilt(spark, config.summary, RunState(spark, config.path("run_state"))).withColumn("redundant", F.lit(0).cast("long"))
         chosen = ranking.candidates(summary, ["id"], config.candidates).drop("rank")
         marked = dedup.mark_candidates(chosen, "para_eq", ["id"], "src_row")
         leaders = marked.filter("redundant = 0").select("id", F.concat_ws("-", "dataset", "complexity").alias("formula_id"), F.col("para_eq").alias("formula"), "para_list", "orgpara_list")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,3 +68,30 @@ def arrived(spark: SparkSession, out: str) -> DataFrame:
     at = lambda name: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     whole = [name for s in fs.listStatus(path) if (name := s.getPath().toString()).rsplit("/", 1)[-1].startswith("batch=") and fs.exists(at(f"{name}/_SUCCESS"))]
     return spark.read.option("basePath", out).parquet(*whole).drop("batch")
+
+
+def quarantine(spark: SparkSession, root: str) -> list[str]:
+    """Move aside the tables under ``root`` (``features=F/dataset=D``) that were not written to their end, to ``root.broken``; returns where they are now.
+
+    A run that broke off leaves files without the mark of a whole write. They are kept for a look, and no reader meets them.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs, out = path(root).getFileSystem(conf), []
+    for s in fs.globStatus(path(f"{root.rstrip('/')}/features=*/dataset=*")) or []:  # a folder a dataset
+        at = s.getPath()
+        if not fs.exists(path(at, "_SUCCESS")):
+            to = path(f"{root.rstrip('/')}.broken/{at.getParent().getName()}/{at.getName()}-{uuid.uuid4().hex[:8]}")
+            fs.mkdirs(to.getParent())
+            if not fs.rename(at, to):
+                raise OSError(f"cannot move {at} aside")
+            out.append(to.toString())
+    return out
+
+
+def rebuilt(spark: SparkSession, root: str, state: RunState) -> DataFrame:
+    """The summary of all tables under ``root`` from the marks: rows of problems and datasets that are marked as done, and no others."""
+    rows = spark.read.parquet(root)
+    done = state.read().filter("done").select(F.col("id").alias("mark_"), F.col("dataset").alias("dataset_")).distinct()
+    own = F.concat_ws("/", F.col("id"), F.col("features").cast("string"))
+    return rows.join(done, (own == F.col("mark_")) & (F.col("dataset") == F.col("dataset_")), "left_semi")

@@ -8,7 +8,7 @@ from fitloom.session import worker_count
 from fitloom.sources import files, sinks, xlsx
 from fitloom.sources.specs import spec_errors
 from fitloom.streaming.progress import Progress, Reporter, progress
-from fitloom.streaming.resume import RunState, arrived, evaluate_arrivals
+from fitloom.streaming.resume import RunState, arrived, evaluate_arrivals, quarantine, rebuilt
 
 SHEET = [
     ["ID", "ModelName", "OriginalFormula", "GenerationFormula", "simpFormula", "Target", "IndependentVars", "ParameterRange", "FixedConstantValues", "paraValue", "varRange", "targetRange", "paraValue_WASS_025", "varRange_WASS_025"],
@@ -303,3 +303,15 @@ def test_what_operators_leave_is_deleted(spark):
     left = [p for p in sinks._made[mark:]]
     assert left and all(os.path.isdir(p) for p in left)
     assert sinks.clean(spark, mark) == len(left) and not any(os.path.exists(p) for p in left) and sinks.made() == mark
+
+
+def test_broken_runs_are_moved_aside_and_the_summary_is_of_marks(spark, tmp_path):
+    root, state = str(tmp_path / "summary"), RunState(spark, str(tmp_path / "marks"))
+    for d in range(3):
+        spark.createDataFrame([("P1", d * 1.0), ("P2", d * 2.0)], "id string, loss double").write.parquet(f"{root}/features=x+z/dataset={d}")
+    (tmp_path / "summary/features=x+z/dataset=2/_SUCCESS").unlink()
+    state.mark(spark.createDataFrame([("P1/x+z", 0), ("P2/x+z", 0), ("P1/x+z", 1), ("P1/x+z", 2), ("P9/x", 0)], "id string, dataset int"))
+    moved = quarantine(spark, root)
+    assert len(moved) == 1 and "summary.broken/features=x+z/dataset=2-" in moved[0] and quarantine(spark, root) == []
+    assert spark.read.parquet(moved[0]).count() == 2 and quarantine(spark, str(tmp_path / "none")) == []
+    assert sorted((r["id"], r["dataset"]) for r in rebuilt(spark, root, state).collect()) == [("P1", 0), ("P1", 1), ("P2", 0)]
