@@ -262,9 +262,10 @@ def test_rank_that_is_not_there(spark):
         ranking.ranked_rows(df, 2)
 
 
-def test_classes_of_one_exact_key_differ_by_their_symbols(spark):
-    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(["x/x", "y/y", "1", "x/x"])], "file string, row_idx int, para_eq string")
-    assert [r["redundant"] for r in dedup.mark(df, "para_eq").orderBy("row_idx").collect()] == [0, 0, 0, 1]
+def test_names_that_cancel_keep_no_classes_apart(spark):
+    """What is left after simplification decides, as names that cancel are no symbols of a formula."""
+    df = spark.createDataFrame([("f", i, t) for i, t in enumerate(["x/x", "y/y", "1", "x/x", "x", "x + y - y", "sqrt(x)*sqrt(x)", "y"])], "file string, row_idx int, para_eq string")
+    assert [r["redundant"] for r in dedup.mark(df, "para_eq").orderBy("row_idx").collect()] == [0, 1, 1, 1, 0, 5, 5, 0]
 
 
 def test_marks(spark):
