@@ -118,7 +118,8 @@ def without_sentinels(df: DataFrame, columns: list[str], limit: float = -1e50) -
 
 
 def all_negative(columns: list[str]):
-    return reduce(lambda a, b: a & b, [F.coalesce(F.col(c) < 0, F.lit(False)) for c in columns])
+    """Whether all values are there and below 0; a failure's sentinel is no value."""
+    return reduce(lambda a, b: a & b, [F.coalesce(masked(F.col(c)) < 0, F.lit(False)) for c in columns])
 
 
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
