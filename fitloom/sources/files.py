@@ -71,6 +71,17 @@ def sniff(head: bytes) -> tuple[str, str, list[str]]:
     return encoding, sep, header
 
 
+def dialect(spark: SparkSession, path: str) -> tuple[bytes, str, str, list[str]]:
+    """(head, encoding, separator, header) of all that is at ``path``. The head of the first file may be a header only, or have no character
+    that tells the encodings apart, so UTF-8 holds only if all lines are valid in it; the last of the encodings takes what isn't."""
+    head = first_bytes(spark, path)
+    encoding, sep, header = sniff(head)
+    if encoding != ENCODINGS[-1] and spark.read.text(path).filter(~F.is_valid_utf8("value")).take(1):
+        encoding = ENCODINGS[-1]
+        header = [h.strip() for h in next(csv.reader(io.StringIO(head.split(b"\n", 1)[0].decode(encoding).rstrip("\r")), delimiter=sep))]
+    return head, encoding, sep, header
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, long_records: bool | None = None) -> DataFrame:
     """All columns as text (or by ``schema``), names trimmed, a byte-order mark dropped; rows of the wrong length are an error.
 
@@ -78,8 +89,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, long_rec
     ``long_records``, a file can't be cut at lines and is read by one task; where only a later row has such a break, the job ends with an
     error that says so in the row's wrong length, and ``long_records`` reads it.
     """
-    head = first_bytes(spark, path)
-    encoding, sep, header = sniff(head)
+    head, encoding, sep, header = dialect(spark, path)
     kinds = schema or ", ".join(f"`{h}` string" for h in header)
     whole = has_long_records(head) if long_records is None else long_records
     if encoding not in ("utf-8", "utf-8-sig"):
@@ -92,8 +102,7 @@ def read_document(spark: SparkSession, path: str, formula: str = "para_eq") -> D
 
     Marks of an earlier run (``eq_id``, ``redundant``), where there are any, must be whole numbers of at least 0.
     """
-    head = first_bytes(spark, path)
-    encoding, sep, header = sniff(head)
+    head, encoding, sep, header = dialect(spark, path)
     require = [n for n in (formula,) if n not in header]
     if require:
         raise ValueError(f"{path} lacks the column {formula}")
