@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from fitloom.functions.cells import IDENTIFIER, NOTHING, NUMBER, RANGE, literal_cell, normal_id
 from fitloom.functions.expr import FormulaError, parse
 from fitloom.operators.relational import require_columns
+from fitloom.sources import sinks
 
 COLUMNS = ("ID", "GenerationFormula", "Target", "IndependentVars", "ParameterRange", "FixedConstantValues", "paraValue", "varRange")
 
@@ -71,9 +72,15 @@ def check(row: dict[str, str | None], groups: int) -> None:
 def spec_errors(sheet: DataFrame, groups: int = 8) -> DataFrame:
     """(row, ID, problem) of each row that can't be used; rows are counted as in the workbook, where the header is row 1."""
     require_columns(sheet, list(COLUMNS), "the sheet")
-    order = W.orderBy("at_")  # a sheet has some hundred rows
-    rows = sheet.select(*(F.col(c).cast("string").alias(c) for c in COLUMNS), F.monotonically_increasing_id().alias("at_"))
-    numbered = rows.withColumn("row", F.row_number().over(order) + 1).withColumn("nth_", F.row_number().over(W.partitionBy(normal_id(F.col("ID"))).orderBy("at_")))
+    # Written with their places, so that counts and rows are sure to have the same. A place is the partition's number and one within it.
+    rows = sinks.between(sheet.select(*(F.col(c).cast("string").alias(c) for c in COLUMNS), F.monotonically_increasing_id().alias("at_"), normal_id(F.col("ID").cast("string")).alias("key_")))
+    part = F.shiftright("at_", 33)
+    counts = rows.groupBy(part.alias("part_")).agg(F.count("*").alias("c_"))  # a row a partition
+    before = counts.select("part_", F.coalesce(F.sum("c_").over(W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    twice = rows.groupBy("key_").agg(F.min("at_").alias("first_"), F.count("*").alias("c_")).filter("c_ > 1").select(F.col("key_").alias("twice_"), "first_")
+    placed = rows.join(F.broadcast(before), part == F.col("part_")).withColumn("row", (F.col("at_").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before_") + 2).cast("int"))
+    n = int(sheet.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = placed.join(twice, F.col("key_").eqNullSafe(F.col("twice_")), "left").withColumn("nth_", F.when(F.col("at_") > F.col("first_"), 2).otherwise(1)).select(*COLUMNS, "row", "nth_").repartition(n)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
