@@ -1,12 +1,15 @@
-"""Random numbers from counters: the draw of a row is a function of its key and its counter alone, in built-in functions.
+"""Random numbers from counters: the draw of a row is a function of its key and its counter alone.
 
-Threefry (two words of 32 bits, 20 rounds) is a published generator of addition, rotation and exclusive or; its rounds are a fold over the
+Threefry (two words of 32 bits, 20 rounds) is a published generator of addition, rotation and exclusive or; ``normals`` runs its rounds on a batch of
+rows at once, ``threefry`` says the same in columns, as a fold over the
 list of their constants. Rows may lie in any order and any number of partitions, be read again or be left out; each gets the number that
 it always gets.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +62,19 @@ def uniform(high: Column, low: Column) -> Column:
     return (F.shiftleft(high, 20) + F.shiftright(low, 12) + 0.5) / float(1 << 52)
 
 
+def drawn(k0: pd.Series, k1: pd.Series, c0: pd.Series, c1: pd.Series) -> pd.Series:
+    """``uniform`` of the two words of ``threefry``, for a batch of rows at once."""
+    keys = [k.to_numpy(np.int64) for k in (k0, k1)]
+    keys.append(keys[0] ^ keys[1] ^ PARITY)
+    keys.append(0)
+    a, b = (c0.to_numpy(np.int64) + keys[0]) & MASK, (c1.to_numpy(np.int64) + keys[1]) & MASK
+    for r, i, j, n in STEPS:
+        total = (a + b) & MASK
+        b = ((b << r) & MASK | b >> (32 - r)) ^ total
+        a, b = (total + keys[i]) & MASK, (b + keys[j] + n) & MASK
+    return pd.Series(((a << 20) + (b >> 12) + 0.5) / float(1 << 52))
+
+
 def polynomial(x: Column, powers: tuple[float, ...]) -> Column:
     out = F.lit(powers[0])
     for c in powers[1:]:
@@ -85,8 +101,7 @@ def normals(df: DataFrame, key: Column, counter: Column, name: str) -> DataFrame
     """``df`` with a standard normal draw ``name`` of the row's ``key`` (a text) and ``counter`` (a long)."""
     # A negative counter is its two's complement.
     halves = F.shiftrightunsigned(counter.cast("long"), 32), counter.cast("long").bitwiseAND(F.lit(MASK))
-    drawn = bound(threefry((word(key, 0), word(key, 1)), halves), lambda w: uniform(w["a"], w["b"]))
-    return df.withColumn(name, bound(drawn, normal_quantile))
+    return df.withColumn(name, bound(F.pandas_udf(drawn, "double")(word(key, 0), word(key, 1), *halves), normal_quantile))
 
 
 def sql_normals(source: str, key: str, counter: str, name: str) -> str:

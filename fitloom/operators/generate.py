@@ -100,7 +100,7 @@ def add_noise(samples: DataFrame, level: str | float, mode: str = "relative", se
     there = F.col("y").isNotNull() & ~F.isnan("y")
     if mode == "dataset-std":
         spread = taken.filter(there).groupBy("id", "grp").agg(F.stddev_pop("y").alias("spread_"))
-        drawn = drawn.join(spread, ["id", "grp"], "left")
+        drawn = drawn.join(F.broadcast(spread), ["id", "grp"], "left")  # a row a dataset
     noise = {"relative": F.col("y") * (1.0 + amount * F.col("draw_")), "absolute": F.col("y") + amount * F.col("draw_"), "dataset-std": F.col("y") + amount * F.col("spread_") * F.col("draw_") if mode == "dataset-std" else None}[mode]
     grp = (F.col("grp") - start).cast("int") if start is not None else F.col("grp")
     return drawn.select(F.lit(f"noise_{key}").alias("variant"), "id", grp.alias("grp"), "row_idx", "x", F.when(there, noise).otherwise(F.col("y")).alias("y"))
