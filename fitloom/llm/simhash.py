@@ -307,6 +307,8 @@ WINDOW = 32
 NEAREST = 2
 #: Larger groups are put in order by the whole fingerprints, turned in so many ways.
 TURNS = 4
+#: All pairs of larger groups are compared by their shingles in tasks that hold two blocks of about so many texts and shingles at most.
+BLOCK_TEXTS, BLOCK_SHINGLES = 4096, 1 << 20
 
 
 def level(n: float) -> int:
@@ -382,13 +384,13 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, nodes: np.n
     return both[:, 0], both[:, 1]
 
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v) that may be near copies. ``prints``: node, fp, n, and ``keys`` as bytes.
+def meetings(prints: DataFrame) -> DataFrame:
+    """(u, v, large): distinct pairs (u, v) that may be near copies, and the keys ``large`` of groups of over 33, whose pairs aren't all among
+    them (``large_links`` finds those). ``prints``: node, fp, n, and ``keys`` as bytes.
 
-    A task streams its groups: it holds a batch and the ``WINDOW`` rows before it, however large a group is. All pairs of a group of up
+    A task streams its groups: it holds a batch and the 33 rows before it, however large a group is. All pairs of a group of up
     to 33 meet. In a larger one, many near copies of one text or a passage that very many texts share, each text is compared with the 32
-    behind it, in one of four orders, and meets the two nearest, so what is sent on is linear. Its near copies share other classes with
-    it, too, in other orders or in groups of up to 33.
+    behind it, in one of four orders, and meets the two nearest, so what is sent on is linear.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,11 +410,14 @@ def candidates(prints: DataFrame) -> DataFrame:
             rows = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("k", "o", "n", "node"))]
             # All fingerprints of a key are turned alike, so they differ as they did.
             u, v = near_pairs(rows[0], rows[1].view(np.uint64), rows[2], rows[3])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-            held = [x[-WINDOW:] for x in rows]
+            large = np.unique(rows[0][: -WINDOW - 1][rows[0][: -WINDOW - 1] == rows[0][WINDOW + 1 :]])
+            none = lambda n: pa.nulls(n, pa.int64())
+            columns = [(pa.array(u), none(len(large))), (pa.array(v), none(len(large))), (none(len(u)), pa.array(large))]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["u", "v", "large"])
+            held = [x[-WINDOW - 1 :] for x in rows]
 
     rows = prints.select("node", "fp", "n", "keys").mapInArrow(spread, "k long, o long, n int, node long")
-    return rows.repartition(partitions(prints.sparkSession), "k").sortWithinPartitions("k", "o").mapInArrow(meet, "u long, v long").distinct()
+    return rows.repartition(partitions(prints.sparkSession), "k").sortWithinPartitions("k", "o").mapInArrow(meet, "u long, v long, large long").distinct()
 
 
 def jaccard_reached(a: bytes, b: bytes) -> bool:
@@ -422,34 +427,137 @@ def jaccard_reached(a: bytes, b: bytes) -> bool:
     return OF * both >= SHARE * (len(x) + len(y) - both)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """The ``pairs`` (u, v) of keys whose texts in ``docs`` (key, text) have a Jaccard similarity of 0.8 or more, by all their shingles."""
+def shingle_sets(docs: DataFrame, ends: DataFrame, shingle: int) -> DataFrame:
+    """(key, shingles) of the ``ends`` (end) among the texts of ``docs`` (key, text): all hashes, sorted, as bytes. A table of its own, so that
+    joins read plain exchanges and a text that is sent very often can be split."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(np.array(shingle_hashes(t.as_py() or b"", shingle), np.uint64)).tobytes() for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], ["key", "shingles"])
 
+    texts = docs.select("key", "text").join(ends.distinct(), F.col("key") == F.col("end"), "left_semi").dropDuplicates(["key"])
+    return written(texts.mapInArrow(sets, "key long, shingles binary"), "shingles")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (u, v) of keys whose texts have a Jaccard similarity of 0.8 or more, by all their shingles (``shingle_sets``)."""
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [jaccard_reached(a.as_py(), b.as_py()) for a, b in zip(batch.column("a"), batch.column("b"))]
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    ends = pairs.select(F.col("u").alias("end")).unionByName(pairs.select(F.col("v").alias("end"))).distinct()
-    texts = docs.select("key", "text").join(ends, F.col("key") == F.col("end"), "left_semi").dropDuplicates(["key"])
-    # A table of its own, so that the joins read plain exchanges and a text in very many pairs can be split.
-    of = written(texts.mapInArrow(sets, "key long, shingles binary"), "shingles")
-    left = pairs.join(of.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u")
-    both = left.join(of.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
+    left = pairs.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u")
+    both = left.join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v")
     return both.select("u", "v", "a", "b").mapInArrow(judge, "u long, v long")
 
 
+def set_links(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v) of a forest of all pairs of ``sets`` (distinct hashes) with a Jaccard similarity of 0.8 or more.
+
+    A text whose shingles are less than 0.8 in other texts has no partner; without it others may have none, either. Those left are counted
+    against all that aren't reached yet, by lists of the texts of each shingle, which are made anew when half of the texts are reached.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    row, column = np.repeat(np.arange(len(sets)), sizes), np.unique(np.concatenate(sets), return_inverse=True)[1]
+    while True:
+        some = np.bincount(column)[column] > 1
+        row, column = row[some], column[some]
+        open_ = OF * np.bincount(row, minlength=len(sets)) >= SHARE * sizes
+        some = open_[row]
+        if some.all():
+            break
+        row, column = row[some], column[some]
+    us, vs = [row[:0]], [row[:0]]
+
+    def lists() -> tuple[np.ndarray, ...]:
+        some = open_[row]
+        r, c = row[some], column[some]
+        order = np.argsort(c, kind="stable")
+        return r[order], *(np.searchsorted(c[order], np.arange(columns), side) for side in ("left", "right"))
+
+    columns = int(column.max()) + 1 if len(column) else 0
+    texts, begins, ends = lists()
+    listed = left = int(open_.sum())
+    for start in np.flatnonzero(open_):
+        queue = [start] if open_[start] else []
+        left -= len(queue)
+        open_[start] = False
+        while queue and left:
+            at = queue.pop()
+            own = column[np.searchsorted(row, at) : np.searchsorted(row, at, "right")]
+            n = ends[own] - begins[own]
+            both = np.bincount(texts[np.repeat(begins[own] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+            found = np.flatnonzero(open_ & (OF * both >= SHARE * (sizes + sizes[at] - both)))
+            if len(found):
+                open_[found] = False
+                left -= len(found)
+                us.append(np.full(len(found), at))
+                vs.append(found)
+                queue += found.tolist()
+            if 2 * left < listed:
+                texts, begins, ends = lists()
+                listed = left
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def members(nodes: DataFrame, large: DataFrame) -> DataFrame:
+    """(k, node, n) of the groups ``large`` (k)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(0, batch.num_rows, 1024):
+                rows = batch.slice(part, 1024)
+                data = rows.column("keys").to_pylist()
+                times = [len(d) // 8 for d in data]
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(data), np.int64)), *(pa.array(np.repeat(rows.column(c).to_numpy(), times)) for c in ("node", "n"))], ["k", "node", "n"])
+
+    return written(nodes.select("node", "n", "keys").mapInArrow(spread, "k long, node long, n int").join(large, "k"), "members")
+
+
+def large_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) that keep together all pairs of a similarity of 0.8 or more within the groups of ``rows`` (``members``).
+
+    A group is dealt to blocks by hash. Each two blocks of it meet in a task, which holds no more than these and compares their texts by all
+    shingles; it sends on a forest. A pair of texts that shares several groups is looked at in each.
+    """
+    spark = rows.sparkSession
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        at = None
+
+        def out() -> pa.RecordBatch:
+            nodes = np.array([n for n, _ in held], np.int64)
+            u, v = set_links([np.frombuffer(s, np.uint64) for _, s in held])
+            return pa.RecordBatch.from_arrays([pa.array(nodes[u]), pa.array(nodes[v])], ["u", "v"])
+
+        for batch in batches:
+            for *group, node, shingles in zip(*(batch.column(c).to_pylist() for c in ("k", "i", "j", "node", "shingles"))):
+                if group != at:
+                    if held:
+                        yield out()
+                    held, at = [], group
+                held.append((node, shingles))
+        if held:
+            yield out()
+
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    dealt = rows.join(rows.groupBy("k").agg(F.greatest(blocks, F.lit(1)).alias("blocks")), "k").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    # Two blocks have all pairs of each, too.
+    others = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("blocks = 1 or other <> block")
+    sent = others.select("k", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node").join(sets.select(F.col("key").alias("node"), "shingles"), "node")
+    met = sent.repartition(partitions(spark), "k", "i", "j").sortWithinPartitions("k", "i", "j").select("k", "i", "j", "node", "shingles")
+    return met.mapInArrow(meet, "u long, v long").distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(id, key, key2, root, clash) of every row of ``docs`` (id, key, key2, text): texts of one root are near copies of each other, or
     linked by such.
 
     Nodes are texts, by their key. Texts are linked if their shingles have a Jaccard similarity of 0.8 or more; candidates are those with a
-    class of shingles alike. Different texts can have one key of 64 bits; ``key2`` tells them apart, and ``clash`` says that a key has
+    class of shingles alike. Groups of a class of over 33 texts are compared pair by pair, by all shingles. Different texts can have one key of 64 bits; ``key2`` tells them apart, and ``clash`` says that a key has
     several.
     """
 
@@ -464,8 +572,16 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
     rows = written(docs.select("id", "key", "key2", "text").mapInArrow(of, f"id {kind}, key long, key2 long, fp long, n int, keys binary"), "prints")
     nodes = rows.groupBy(F.col("key").alias("node")).agg(F.first(F.struct("fp", "n", "keys")).alias("x"), (F.min("key2") != F.max("key2")).alias("clash")).select("node", "x.*", "clash")
-    edges = written(candidates(nodes), "pairs")
-    roots = written(rooted(nodes.select("node"), verified(edges, docs, shingle)).join(nodes.select("node", "clash"), "node"), "roots")
+    met = written(meetings(nodes), "pairs")
+    pairs, large = met.filter("large is null").select("u", "v"), written(met.filter("large is not null").select(F.col("large").alias("k")), "large")
+    ends = pairs.select(F.col("u").alias("end")).unionByName(pairs.select(F.col("v").alias("end")))
+    if large.isEmpty():
+        edges = verified(pairs, shingle_sets(docs, ends, shingle))
+    else:
+        rest = members(nodes, large)
+        sets = shingle_sets(docs, ends.unionByName(rest.select(F.col("node").alias("end"))), shingle)
+        edges = verified(pairs, sets).unionByName(large_links(rest, sets))
+    roots = written(rooted(nodes.select("node"), edges).join(nodes.select("node", "clash"), "node"), "roots")
     return rows.select("id", "key", "key2").join(roots, F.col("key") == F.col("node")).select("id", "key", "key2", "root", "clash")
 
 
